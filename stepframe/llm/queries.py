@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stepframe.llm import langid, toxicity
 from stepframe.llm.bpe import bpe_digests
 from stepframe.llm.packing import pack
 from stepframe.llm.token_output import token_digests
@@ -27,10 +28,22 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_packing": op2_packing,
     "op3_bpe_codec": op3_bpe_codec,
+    "op6_toxicity": op6_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
