@@ -1,10 +1,11 @@
 """Toxicity: cumulative-link (proportional-odds) ordinal regression over sparse hashed words and word prefixes.
 
 Grades. Labels tell toxic documents from others. Grade 0 is not toxic; toxic documents are graded 1 to GRADES by how
-much of them is toxic: the share of their words whose feature is far more common in toxic training documents, cut at
-the quantiles of the training sample. One weight vector serves all thresholds: P(grade > k) = sigmoid(w.x - t_k),
-t_0 < t_1 < ..., so severity is the sum of these chances (the expected grade). A document is toxic when
-P(grade > 0) >= 0.5.
+much toxic wording they hold: the damped count of their features that are far more common in toxic training documents,
+cut at the quantiles of the training sample. One weight vector serves all thresholds: P(grade > k) = sigmoid(w.x - t_k),
+t_0 < t_1 < ..., so severity is the sum of these chances (the expected grade). A document is toxic when P(grade > 0)
+reaches the model's cut, the chance that parts the training sample best with false alarms weighed FALSE_ALARM times.
+Near copies of a sampled document (same four smallest feature hashes) count once in learning.
 
 Learning is on a bounded sample of labelled documents, at most `per_class` of each class by hash of the id; scoring
 reads whole texts. Defined results: a null or empty text, or any text when there are no labels of both classes, has
@@ -26,7 +27,12 @@ from stepframe.llm.arrow_text import chunks
 from stepframe.llm.features import word_counts
 from stepframe.llm.langid import Ftrl
 
-BITS, GRADES = 18, 3
+#: Features are BITS-bit hashes, too many for chance clashes with a marked word to matter; weights are kept sparse.
+BITS, GRADES = 40, 3
+#: A feature enters the regression if its G statistic (chi-square, 1 degree of freedom) for being more common in toxic
+#: documents is above this; among some millions of features, fewer than one passes by chance.
+LEAST_G = 28.0
+FALSE_ALARM = 5.0
 
 
 def sigmoid(x):
@@ -40,6 +46,7 @@ class SeverityModel:
     features: np.ndarray
     values: np.ndarray
     thresholds: np.ndarray
+    cut: float = 0.5
 
     def chances(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold."""
@@ -68,32 +75,49 @@ class SeverityModel:
 NOTHING = SeverityModel(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
 
 
+def associated(rows: list[tuple[np.ndarray, np.ndarray, int, bool]]) -> np.ndarray:
+    """The features that are significantly more common in toxic rows, ascending."""
+    sides = []
+    for flag in (True, False):
+        own = [r[0] for r in rows if r[3] == flag]
+        sides.append((np.unique(np.concatenate(own), return_counts=True), len(own)))
+    ((feature, a), n1), ((other, b), n0) = sides
+    pos = np.minimum(np.searchsorted(other, feature), max(len(other) - 1, 0))
+    b = np.where(other[pos] == feature, b[pos], 0) if len(other) else np.zeros(len(feature))
+    a, b = a.astype(float), b.astype(float)
+    share = (a + b) / (n1 + n0)
+
+    def part(seen, wanted):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(wanted, 1e-9)), 0.0)
+
+    g = 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
+    return feature[(g > LEAST_G) & (a / n1 > 4 * b / n0)]
+
+
 def grade(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], grades: int = GRADES) -> np.ndarray:
-    """Severity grades of (features, counts, words, toxic) rows."""
-    size = 1 << BITS
-    seen = {flag: np.zeros(size) for flag in (False, True)}
-    number = {flag: max(1, sum(r[3] == flag for r in rows)) for flag in (False, True)}
-    for at, _, _, toxic in rows:
-        seen[toxic][at] += 1
-    ratio = ((seen[True] + 0.1) / number[True]) / ((seen[False] + 0.5) / number[False])
-    marked = (ratio > 5) & (seen[True] >= 3)
-    strength = np.array([float(c[marked[a]].sum()) / max(1, w) if t else 0.0 for a, c, w, t in rows])
+    """Severity grades of (marked features, counts, words, toxic) rows."""
+    strength = np.array([float((1 + np.log(c)).sum()) if t else 0.0 for _, c, _, t in rows])
     toxic = np.array([r[3] for r in rows])
     cuts = np.quantile(strength[toxic], np.arange(1, grades) / grades)
     return np.where(toxic, 1 + np.searchsorted(cuts, strength, side="right"), 0)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], epochs: int = 5, seed: int = 11, grades: int = GRADES) -> SeverityModel:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], epochs: int = 20, seed: int = 11, grades: int = GRADES) -> SeverityModel:
     flags = [r[3] for r in rows]
     if not any(flags) or all(flags):
         return NOTHING
-    y = grade(rows, grades)
+    features = associated(rows)
+    marked = []
+    for at, c, w, toxic in rows:
+        own, here, there = np.intersect1d(features, at, assume_unique=True, return_indices=True)
+        marked.append((here, c[there], w, toxic))
+    y = grade(marked, grades)
     share = np.array([(y > k).mean() for k in range(grades)])
     t = -np.log(np.maximum(share, 1e-3) / np.maximum(1 - share, 1e-3))
     t = np.maximum.accumulate(t + np.arange(grades) * 1e-3)
-    ftrl = Ftrl(1 << BITS, 1, alpha=0.3, l1=1.5, l2=0.05)
+    ftrl = Ftrl(len(features), 1, alpha=1.0, l1=0.02, l2=0.002)
     order = np.random.default_rng(seed)
-    data = [(a, 1 + np.log(c)) for a, c, _, _ in rows]
+    data = [(a, 1 + np.log(c)) for a, c, _, _ in marked]
     for epoch in range(epochs):
         for i in order.permutation(len(data)):
             at, x = data[i]
@@ -105,7 +129,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], epochs: int = 5, s
             slope = above[k] + above[k + 1] - 1
             ftrl.learn(at, w, (slope * x)[:, None])
             p = max(above[k] - above[k + 1], 1e-6)
-            rate = 0.05 / (1 + epoch)
+            rate = 0.2 / (1 + epoch)
             if k > 0:
                 t[k - 1] -= rate * min(5.0, above[k] * (1 - above[k]) / p)
             if k < grades:
@@ -113,10 +137,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int, bool]], epochs: int = 5, s
             t = np.maximum.accumulate(np.maximum(t, t[0] + np.arange(grades) * 0.05))
     w = ftrl.weights()[:, 0]
     at = np.flatnonzero(w)
-    return SeverityModel(at, w[at], t)
+    model = SeverityModel(features[at], w[at], t)
+    chance = np.array([model.chances(r[0], r[1])[0] for r in rows])
+    toxic = np.array(flags)
+    cuts = np.arange(10, 2, -1) / 20
+    model.cut = float(max(cuts, key=lambda c: (chance[toxic] >= c).mean() - FALSE_ALARM * (chance[~toxic] >= c).mean()))
+    return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> SeverityModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> SeverityModel:
     """Learn from a bounded sample of the labelled documents."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), (labels["toxic"].cast("int") > 0).alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.withColumn("share", F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1))
@@ -129,30 +158,32 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Severity
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             got = list(word_counts(b.column(3).to_pylist(), BITS))
-            lists = [pa.array([g[k].astype(np.int32) for g in got], pa.list_(pa.int32())) for k in (0, 1)]
+            lists = [pa.array([g[k].astype(kind).tobytes() for g in got], pa.binary()) for k, kind in ((0, np.int64), (1, np.int32))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([g[2] for g in got], pa.int64()), *lists], names=["doc_id", "toxic", "share", "words", "at", "counts"])
 
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     # the sample has at most about 2 * per_class rows
-    rows = own.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "share", "text").mapInArrow(featured, "doc_id long, toxic boolean, share long, words long, at array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r["share"], r["doc_id"], not r["toxic"], r["at"]))
+    rows = own.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "share", "text").mapInArrow(featured, "doc_id long, toxic boolean, share long, words long, at binary, counts binary").collect()
+    rows.sort(key=lambda r: (r["share"], r["doc_id"], not r["toxic"], bytes(r["at"])))
     taken, room, seen = [], {True: per_class, False: per_class}, set()
     for r in rows:
-        if r["words"] and room[r["toxic"]] and r["doc_id"] not in seen:
-            seen.add(r["doc_id"])
+        at = np.frombuffer(r["at"], np.int64)
+        same = {r["doc_id"], tuple(at[:4])}
+        if r["words"] and room[r["toxic"]] and not same & seen:
+            seen |= same
             room[r["toxic"]] -= 1
-            taken.append((np.array(r["at"], np.int64), np.array(r["counts"], float), r["words"], r["toxic"]))
+            taken.append((at, np.frombuffer(r["counts"], np.int32).astype(float), r["words"], r["toxic"]))
     return fit(taken)
 
 
 def score(docs: DataFrame, model: SeverityModel) -> DataFrame:
     """doc_id, severity, chance, grade, toxic of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^BITS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many weights as the bounded sample has marked features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             got = shared.value.predict(b.column(1).to_pylist())
-            cols = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[1] >= 0.5 for g in got], pa.bool_())]
+            cols = [pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[1] >= shared.value.cut for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "severity", "chance", "grade", "toxic"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, severity double, chance double, grade long, toxic boolean")
@@ -165,6 +196,6 @@ def keep_clean(docs: DataFrame, model: SeverityModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             got = shared.value.predict(b.column(b.schema.get_field_index("text")).to_pylist())
-            yield b.filter(pa.array([g[1] < 0.5 for g in got], pa.bool_()))
+            yield b.filter(pa.array([g[1] < shared.value.cut for g in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
