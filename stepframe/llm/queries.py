@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepframe.llm import langid, toxicity
+from stepframe.llm import langid, pii, toxicity
 from stepframe.llm.bpe import bpe_digests
 from stepframe.llm.packing import pack
 from stepframe.llm.token_output import token_digests
@@ -33,6 +33,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_bpe_codec": op3_bpe_codec,
     "op6_toxicity": op6_toxicity,
+    "op8_personal_data": op8_personal_data,
     "op10_language_id": op10_language_id,
 }
 
