@@ -35,7 +35,9 @@ BANDS, ROWS = 4, 4
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 #: A lookup table of at most this many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
-BUCKET_TOKENS = 500_000
+BUCKET_TOKENS = 250_000
+#: Texts (bytes) and prefix rows that a Python worker turns into arrays at a time.
+SCAN_BYTES, DEAL_ROWS = 1 << 20, 2500
 
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -63,7 +65,7 @@ def scan(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         names = ["doc_id", "n", "key", "bands", "chunk", "counts"]
-        for b in chunks(batches):
+        for b in chunks(batches, limit=SCAN_BYTES):
             sets = shingle_sets(b.column(1), words)
             tokens = np.concatenate(sets)
             if len(tokens):
@@ -100,7 +102,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int = W
     joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, limit=1 << 20):
+        for b in chunks(batches, limit=SCAN_BYTES):
             left, right = shingle_sets(b.column(2), words), shingle_sets(b.column(3), words)
             rows = []
             for x, y, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), left, right, strict=True):
@@ -128,7 +130,7 @@ def prefixes(docs: DataFrame, groups: DataFrame, n_groups: int, sketch: np.ndarr
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for b in chunks(batches):
+        for b in chunks(batches, limit=SCAN_BYTES):
             keys, sizes, first = [], [], []
             for s in shingle_sets(b.column(1), words):
                 keys.append(set_key(s))
@@ -140,9 +142,7 @@ def prefixes(docs: DataFrame, groups: DataFrame, n_groups: int, sketch: np.ndarr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "key", "n", "tokens"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(k, DEAL_ROWS) for b in batches for k in range(0, b.num_rows, DEAL_ROWS)):
             parts = [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
             lens = np.array([len(p) for p in parts])
             flat = np.concatenate(parts)
