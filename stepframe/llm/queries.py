@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stepframe.llm import langid, pii, toxicity
 from stepframe.llm.bpe import bpe_digests
+from stepframe.llm.media import media_digests
 from stepframe.llm.ngram_join import similar_groups
 from stepframe.llm.packing import pack
 from stepframe.llm.token_output import token_digests
@@ -29,6 +30,10 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_packing": op2_packing,
     "op3_bpe_codec": op3_bpe_codec,
+    "op4_media_webp": op4_media_webp,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
     "op8_personal_data": op8_personal_data,
