@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stepframe.llm import langid, pii, toxicity
 from stepframe.llm.bpe import bpe_digests
+from stepframe.llm.chat import format_chats
 from stepframe.llm.media import media_digests
 from stepframe.llm.ngram_join import similar_groups
 from stepframe.llm.packing import pack
 from stepframe.llm.token_output import token_digests
+from stepframe.llm.topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +45,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op9_topk_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -59,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_media_webp": op4_media_webp,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
+    "op7_chat_format": op7_chat_format,
     "op8_personal_data": op8_personal_data,
+    "op9_topk_hamming": op9_topk_hamming,
     "op10_language_id": op10_language_id,
 }
 
