@@ -1,13 +1,52 @@
-"""The training-data pipeline: STAGES applied one after the other to the documents table."""
+"""The training-data pipeline: STAGES applied one after the other to the documents table.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
+of documents; the last returns packed pieces. run() writes every stage's rows to the shared folder before the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stepframe.llm import langid, ngram_join, packing, pii, toxicity
 from stepframe.shared import materialise
 
-STAGES: list = []
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents that the ordinal regression finds toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.train(docs, labels))
+
+
+def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without letters, or with no language better than chance, go."""
+    return langid.keep_known(docs, langid.train(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each group stays, the one with the least doc_id."""
+    return ngram_join.one_of_each(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII: spans are replaced by their kind in angle brackets."""
+    return pii.mask(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: best-fit decreasing into windows of 4096 ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_languages),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_windows),
+]
+
+#: Learned models and best-fit packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
+def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.25) -> DataFrame:
     """The rows of docs, all columns, whose language is identified with a score of at least `least`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
