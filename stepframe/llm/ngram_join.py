@@ -1,8 +1,9 @@
 """N-gram Jaccard join by a token-group matrix, exact: every pair of similar texts is linked.
 
 1. Classes. Equal shingle sets are one class; a class stands for all its copies from here on.
-2. Groups. Classes that agree in a band of MinHash values are checked against the least class of their band key (a
-   star, never all pairs). Verified links joined into components are the groups; most classes are groups alone.
+2. Groups. Classes that agree in a band of MinHash values are checked against one leader of their band key (a star,
+   never all pairs): the class that shares its band keys with most others, as the common origin of copies does.
+   Verified links joined into components are the groups; most classes are groups alone.
 3. Token-group matrix. Tokens are ordered from rare to frequent by a fixed-size count sketch over all documents (any
    total order is right; a good one is fast). Two sets with Jaccard >= t must share one of the first
    n - ceil(t * n) + 1 tokens of each in that order. The matrix holds, per token, the groups in whose prefixes it
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepframe.llm.arrow_text import chunks
@@ -31,7 +32,7 @@ from stepframe.llm.shingles import common, mix, set_key, shingle_sets
 from stepframe.shared import materialise
 
 WORDS, PERCENT = 5, 80
-BANDS, ROWS = 4, 4
+BANDS, ROWS = 8, 3
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 #: A lookup table of at most this many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -52,7 +53,9 @@ def band_keys(s: np.ndarray) -> list[int]:
 
 
 def prefix_length(n, percent: int = PERCENT):
-    return n - (percent * n + 99) // 100 + 1
+    """Of a number or a column."""
+    least = F.floor((percent * n + 99) / 100) if isinstance(n, Column) else (percent * n + 99) // 100
+    return n - least + 1
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -118,9 +121,13 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int = W
 
 
 def star_pairs(reps: DataFrame) -> DataFrame:
-    """(a, b): each class with the least class that has the same band key."""
+    """(a, b): each class with the leader of each of its band keys."""
     keyed = materialise(reps.select("key", F.posexplode("bands").alias("band", "value")))
-    leaders = materialise(keyed.groupBy("band", "value").agg(F.min("key").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    shared = materialise(keyed.groupBy("band", "value").agg(F.count("*").alias("m")).where("m > 1"))
+    keyed = materialise(keyed.join(shared, ["band", "value"]))
+    degree = materialise(keyed.groupBy("key").agg(F.sum("m").alias("degree")))
+    keyed = materialise(keyed.drop("m").join(degree, "key"))
+    leaders = materialise(keyed.groupBy("band", "value").agg(F.max(F.struct("degree", "key")).alias("top")).select("band", "value", F.col("top.key").alias("a")))
     return materialise(keyed.join(leaders, ["band", "value"]).where("a <> key").select("a", F.col("key").alias("b")).distinct())
 
 
@@ -178,12 +185,33 @@ def open_groups(matrix: DataFrame) -> DataFrame:
     return materialise(matrix.groupBy("bucket").applyInPandas(run, "token long, key long, owner long, n long"))
 
 
+def least_shared(m: Column, n: Column, percent: int) -> Column:
+    """How many prefix tokens sets of m and n tokens share at least if they link."""
+    overlap = F.floor((percent * (m + n) + 99 + percent) / (100 + percent))
+    return F.least(prefix_length(m, percent) - m, prefix_length(n, percent) - n) + overlap
+
+
 def matrix_pairs(opened: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different groups that share a prefix token and agree in size."""
-    q = opened.select("token", F.col("key").alias("a"), F.col("owner").alias("g"), F.col("n").alias("m"))
-    s = opened.select("token", F.col("key").alias("b"), F.col("owner").alias("h"), "n")
+    """(a, b, low, high, shared): pairs of classes of different groups that meet the size and the count bound."""
+    counted = materialise(opened.groupBy("key").agg(F.count("*").alias("most")))
+    opened = materialise(opened.join(counted, "key"))
+    q = opened.select("token", F.col("key").alias("a"), F.col("owner").alias("g"), F.col("n").alias("m"), F.col("most").alias("k"))
+    s = opened.select("token", F.col("key").alias("b"), F.col("owner").alias("h"), "n", "most")
     near = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
-    return materialise(q.join(s, "token").where(near & (F.col("g") != F.col("h")) & (100 * F.col("m") >= percent * F.col("n"))).select("a", "b").distinct())
+    bound = least_shared(F.col("m"), F.col("n"), percent)
+    met = q.join(s, (q["token"] == s["token"]) & near & (F.col("g") != F.col("h")) & (100 * F.col("m") >= percent * F.col("n")) & (F.least("k", "most") >= bound))
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("m").alias("m"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("h").alias("h"))
+    return materialise(pairs.where(F.col("shared") >= bound).select("a", "b", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "shared"))
+
+
+def open_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that join every two groups with a linking pair: the likeliest pair first, then all pairs of the rest."""
+    best = pairs.groupBy("low", "high").agg(F.max(F.struct("shared", "a", "b")).alias("top")).select("low", "high", "top.a", "top.b")
+    best = materialise(best)
+    links = verify(best.select("a", "b"), docs, classes, words, percent)
+    joined = materialise(best.join(links.select("a", "b"), ["a", "b"]).select("low", "high"))
+    rest = materialise(pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(joined, ["low", "high"], "left_anti").select("a", "b"))
+    return links if rest.isEmpty() else links.unionByName(verify(rest, docs, classes, words, percent))
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -195,12 +223,12 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = verify(star_pairs(classes), docs, classes, words, percent)
     roots = components(links)
     groups = materialise(classes.join(roots.withColumnRenamed("v", "key"), "key", "left").select(F.col("rep").alias("doc_id"), "key", F.coalesce("root", "key").alias("owner"), "n"))
-    size = groups.agg(F.count("*"), F.sum(prefix_length_column(percent))).first()
+    size = groups.agg(F.count("*"), F.sum(prefix_length(F.col("n"), percent))).first()
     if size[0]:
         sketch = sum_sketch(scanned.where("chunk is not null").select("chunk", "counts"))
         buckets = max(64, -(-int(size[1]) // BUCKET_TOKENS))
         matrix = prefixes(docs, groups.drop("n"), size[0], sketch, buckets, words, percent)
-        more = verify(matrix_pairs(open_groups(matrix), percent), docs, classes, words, percent)
+        more = open_pairs(matrix_pairs(open_groups(matrix), percent), docs, classes, words, percent)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     home = materialise(info.join(roots.withColumnRenamed("v", "key"), "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("home")))
@@ -208,10 +236,6 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return home.join(least, "home", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def prefix_length_column(percent: int) -> F.Column:
-    return F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-
-
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with the least doc_id of every group of similar texts only; rows without an id stay."""
     found = materialise(similar_groups(docs, words, percent))
