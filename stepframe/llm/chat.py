@@ -1,9 +1,11 @@
 """Chat formatting: tool calls linked to their results, ordered, validated, and written as canonical JSON.
 
 DataFrame functions only. Calls and results meet in an equi-join on (conversation, call id). Calls are ordered
-topologically: level 0 depends on no call of its conversation, every other call lies one level above the highest it
-depends on; one round of joins for each level, and calls on a cycle keep no level. Arguments are checked against
-schemas (names, JSON types, required ones). Canonical JSON has sorted keys and no blanks; null fields are left out.
+topologically, and by turn and place where dependencies leave a choice: a call's key is the greatest of its own
+(turn, place, 0) and, for each call it depends on, that call's key with one hop more. Keys move only where a call
+precedes one that it depends on, so rounds of joins are needed for such chains alone, not for the length of a
+conversation; calls on or behind a cycle have no key and come last. Arguments are checked against schemas (names, JSON
+types, required ones). Canonical JSON has sorted keys and no blanks; null fields are left out.
 
 Calls stand as <tool_call>{"id", "name", "arguments", "depends_on"}</tool_call> in assistant texts, their results in
 'tool' messages as {"tool_call_id", "content"}. With turns=True every user message is also a call of the tool
@@ -87,32 +89,40 @@ def first_of(df: DataFrame, *order: str) -> DataFrame:
     return df.groupBy("conv_id", "call_id").agg(F.min(F.struct(*lead)).alias("s")).select("conv_id", "call_id", *(F.col(f"s.{c}").alias(c) for c in rest))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of all calls that are not on or above a cycle."""
-    needs = materialise(calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("dep")).join(calls.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
-    known = materialise(calls.select("conv_id", "call_id").join(needs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")))
-    while not needs.isEmpty():
-        met = needs.join(known.select("conv_id", F.col("call_id").alias("dep"), "level"), ["conv_id", "dep"], "left")
-        needs = materialise(met)
-        ready = needs.groupBy("conv_id", "call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("all"), (F.max("level") + 1).alias("level")).where("all").drop("all")
-        ready = materialise(ready)
-        if ready.isEmpty():
-            break
-        known = materialise(known.unionByName(ready))
-        needs = materialise(needs.drop("level").join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
-    return known
+def topological_keys(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, key struct<turn, place, hops>): dependencies have lesser keys; null on and behind cycles."""
+    own = F.struct("turn", "place", F.lit(0).alias("hops"))
+    keys = calls.select("conv_id", "call_id", own.alias("key"))
+    needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("dep"))
+    dep_keys = lambda k: k.select("conv_id", F.col("call_id").alias("dep"), F.struct("key.turn", "key.place", (F.col("key.hops") + 1).alias("hops")).alias("dep_key"))
+    # only calls that some chain of dependencies can move take part: those before a call they depend on, and what follows
+    known = materialise(needs.join(dep_keys(keys), ["conv_id", "dep"]).join(keys, ["conv_id", "call_id"]).select("conv_id", "call_id", "dep", "key", "dep_key"))
+    if known.where("dep_key > key").isEmpty():
+        return keys
+    edges = materialise(known.select("conv_id", "call_id", "dep"))
+    most = materialise(calls.groupBy("conv_id").agg(F.count("*").alias("most")))
+    keys = materialise(keys)
+    while True:
+        raised = edges.join(dep_keys(keys), ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg(F.max("dep_key").alias("dep_key"))
+        higher = F.coalesce(F.greatest("key", "dep_key"), "key")
+        # more hops than the conversation has calls: a cycle; such keys stay at one hop too many
+        capped = F.struct(higher["turn"].alias("turn"), higher["place"].alias("place"), F.least(higher["hops"], (F.col("most") + 1).cast("int")).alias("hops"))
+        new = materialise(keys.join(raised, ["conv_id", "call_id"], "left").join(most, "conv_id").select("conv_id", "call_id", F.col("key").alias("old"), capped.alias("key"), "most"))
+        if new.where("key <> old").isEmpty():
+            return new.select("conv_id", "call_id", F.when(F.col("key.hops") <= F.col("most"), F.col("key")).alias("key"))
+        keys = new.select("conv_id", "call_id", "key")
 
 
 def linked_calls(messages: DataFrame, schemas: Schemas, turns: bool = False) -> DataFrame:
-    """conv_id, turn, place, call_id, name, arguments (canonical), level, valid, linked, result_turn."""
+    """conv_id, turn, place, call_id, name, arguments (canonical), key, valid, linked, result_turn."""
     calls = embedded_calls(messages)
     if turns:
         calls = calls.unionByName(turn_calls(messages))
     calls = materialise(first_of(calls, "turn", "place", "name", "arguments"))
     answers = first_of(results(messages, turns), "turn", "content")
     answers = answers.select("conv_id", "call_id", F.col("turn").alias("result_turn"), F.lit(True).alias("linked"))
-    out = calls.join(levels(calls), ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left")
-    return out.select("conv_id", "turn", "place", "call_id", "name", F.to_json(F.try_parse_json("arguments")).alias("arguments"), "level", valid_arguments(F.col("name"), F.col("arguments"), schemas).alias("valid"), F.coalesce("linked", F.lit(False)).alias("linked"), "result_turn")
+    out = calls.join(topological_keys(calls), ["conv_id", "call_id"], "left").join(answers, ["conv_id", "call_id"], "left")
+    return out.select("conv_id", "turn", "place", "call_id", "name", F.to_json(F.try_parse_json("arguments")).alias("arguments"), "key", valid_arguments(F.col("name"), F.col("arguments"), schemas).alias("valid"), F.coalesce("linked", F.lit(False)).alias("linked"), "result_turn")
 
 
 def canonical(**fields: Column) -> Column:
@@ -128,27 +138,26 @@ def quoted(text: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame, schemas: Schemas = REPLY, turns: bool = True, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, segment, n_messages, n_calls, n_linked, n_valid, depth, chat (canonical JSON)."""
+    """conv_id, segment, n_messages, n_calls, n_linked, n_valid, chat (canonical JSON)."""
     messages = conversations.select(conversations["conv_id"].cast("long").alias("conv_id"), conversations["turn"].cast("long").alias("turn"), conversations["role"].cast("string").alias("role"), conversations["text"].cast("string").alias("text")).where("conv_id is not null and turn is not null")
     part = F.floor(F.col("turn") / segment).alias("segment")
     calls = linked_calls(messages, schemas, turns)
-    call = canonical(arguments=F.col("arguments"), id=quoted(F.col("call_id")), level=F.col("level").cast("string"), linked=F.col("linked").cast("string"), name=quoted(F.col("name")), result_turn=F.col("result_turn").cast("string"), turn=F.col("turn").cast("string"), valid=F.col("valid").cast("string"))
+    call = canonical(arguments=F.col("arguments"), id=quoted(F.col("call_id")), linked=F.col("linked").cast("string"), name=quoted(F.col("name")), result_turn=F.col("result_turn").cast("string"), turn=F.col("turn").cast("string"), valid=F.col("valid").cast("string"))
     said = canonical(content=quoted(F.col("text")), role=quoted(F.col("role")), turn=F.col("turn").cast("string"))
-    ranked = F.struct(F.coalesce("level", F.lit(1 << 40)).alias("level"), "turn", "place", "call_id", call.alias("json"))
-    items = messages.select("conv_id", part, F.struct("turn", "role", said.alias("json")).alias("message"), F.lit(None).cast("struct<level:bigint,turn:bigint,place:int,call_id:string,json:string>").alias("call"), F.lit(None).cast("boolean").alias("linked"), F.lit(None).cast("boolean").alias("valid"))
+    ranked = F.struct(F.col("key").isNull().cast("int").alias("last"), "key", "turn", "place", "call_id", call.alias("json"))
+    items = messages.select("conv_id", part, F.struct("turn", "role", said.alias("json")).alias("message"), F.lit(None).cast("struct<last:int,key:struct<turn:bigint,place:int,hops:int>,turn:bigint,place:int,call_id:string,json:string>").alias("call"), F.lit(None).cast("boolean").alias("linked"), F.lit(None).cast("boolean").alias("valid"))
     items = items.unionByName(calls.select("conv_id", part, F.lit(None).cast("struct<turn:bigint,role:string,json:string>").alias("message"), ranked.alias("call"), "linked", "valid"))
     grouped = items.groupBy("conv_id", "segment").agg(
         F.count("message").alias("n_messages"),
         F.count("call").alias("n_calls"),
         F.count_if("linked").alias("n_linked"),
         F.count_if("valid").alias("n_valid"),
-        F.max(F.when(F.col("call.level") < (1 << 40), F.col("call.level"))).alias("depth"),
         F.collect_list("message").alias("messages"),
         F.collect_list("call").alias("calls"),
     )
     listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(c), lambda x: x["json"]), ","), F.lit("]"))
     chat = canonical(calls=listed("calls"), id=F.col("conv_id").cast("string"), messages=listed("messages"), segment=F.col("segment").cast("string"))
-    return grouped.select("conv_id", "segment", "n_messages", "n_calls", "n_linked", "n_valid", F.coalesce("depth", F.lit(-1)).alias("depth"), chat.alias("chat"))
+    return grouped.select("conv_id", "segment", "n_messages", "n_calls", "n_linked", "n_valid", chat.alias("chat"))
 
 
-__all__ = ["REPLY", "SEGMENT", "format_chats", "levels", "linked_calls", "valid_arguments"]
+__all__ = ["REPLY", "SEGMENT", "format_chats", "linked_calls", "topological_keys", "valid_arguments"]
