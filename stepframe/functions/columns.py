@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -345,8 +346,6 @@ def put(t: Typed, fmt: str, user: UserFormat | None = None) -> Column:
 
 
 def exact_text(f: Spec, user: UserFormat | None):
-    import pandas as pd
-
     def one(v) -> str:
         v = None if v is None or v != v else float(v)
         got = user.show(v) if user is not None else None
