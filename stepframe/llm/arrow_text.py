@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A chunk closes when its texts reach this many bytes, or after its first text if that alone is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
