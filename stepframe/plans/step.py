@@ -328,7 +328,7 @@ class Symbolic:
 
     def _if(self, s: Stmt) -> None:
         c = C.truth(self.eval(s.cond))
-        before, path = dict(self.env), self.path
+        before, path, settled = dict(self.env), self.path, set(self.settled)
         self.path = c if path is None else path & c
         self.run(s.then)
         then, self.env = self.env, dict(before)
@@ -338,8 +338,9 @@ class Symbolic:
         out = {}
         for name in dict.fromkeys([*then, *other]):
             a, b = then.get(name), other.get(name)
-            if name in self.settled and name not in before:
-                out[name] = a or b
+            if name in self.settled - settled:
+                # its column holds for every row, whichever branch set it
+                out[name] = a if a is not before.get(name) else b
             elif a is b:
                 out[name] = a
             else:
