@@ -166,7 +166,7 @@ program(
 program("q23_freq_oneway", "proc freq data=o noprint; tables o_orderpriority / out=out; run;", {"o": "orders: o_orderpriority"}, "out", "SELECT o_orderpriority, count(*) AS \"COUNT\", round(100.0 * count(*) / sum(count(*)) OVER (), 8) AS \"PERCENT\" FROM orders GROUP BY 1", rounded(8, "PERCENT", whole=("COUNT",)))
 
 
-@query("q24_freq_nway", "SELECT l_returnflag, l_linestatus, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS \"Frequency\", round(100.0 * count(*) / sum(count(*)) OVER (), 8) AS \"Percent\", CAST(sum(count(*)) OVER w AS BIGINT) AS \"CumFreq\", round(100.0 * sum(count(*)) OVER w / sum(count(*)) OVER (), 8) AS \"CumPercent\" FROM lineitem GROUP BY 1, 2, 3 WINDOW w AS (ORDER BY l_returnflag, l_linestatus, l_linenumber ROWS UNBOUNDED PRECEDING)")
+@query("q24_freq_nway", "SELECT l_returnflag, l_linestatus, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS \"Frequency\", round(100.0 * count(*) / sum(count(*)) OVER (), 8) AS \"Percent\", CAST(sum(count(*)) OVER w AS BIGINT) AS \"CumFreq\", round(100.0 * sum(count(*)) OVER w / sum(count(*)) OVER (), 8) AS \"CumPercent\" FROM lineitem GROUP BY 1, 2, 3 WINDOW w AS (ORDER BY l_returnflag, l_linestatus, CAST(l_linenumber AS BIGINT) ROWS UNBOUNDED PRECEDING)")
 def q24(spark: SparkSession, sf: str) -> DataFrame:
     t = from_dataframe(read(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"))
     return rounded(8, "Percent", "CumPercent", whole=("Frequency", "CumFreq", "l_linenumber"))(stats.freq_list(t, ["l_returnflag", "l_linestatus", "l_linenumber"]).data())
@@ -264,7 +264,7 @@ program("q48_proof_rule", 'proc sort data=o; by o_orderkey; run; proc proof data
 # --- SQL
 
 SQL = {"o": "orders: o_orderkey; o_custkey; o_totalprice; o_orderstatus; o_orderpriority", "li": "lineitem: l_orderkey; l_quantity; l_extendedprice", "p": "part: p_brand; p_size; p_name"}
-program("q49_sql_group_having", "proc sql; create table out as select o_custkey, count(*) as n, avg(o_totalprice) as a from o group by o_custkey having count(*) > 12 order by o_custkey; quit;", SQL, "out", "SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 2) AS a FROM orders GROUP BY 1 HAVING count(*) > 12", rounded(2, "a", whole=("o_custkey", "n")))
+program("q49_sql_group_having", "proc sql; create table out as select o_custkey, count(*) as n, sum(o_totalprice) as a from o group by o_custkey having count(*) > 12 order by o_custkey; quit;", SQL, "out", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS a FROM orders GROUP BY 1 HAVING count(*) > 12", rounded(2, "a", whole=("o_custkey", "n")))
 program("q50_sql_setops", "proc sql; create table out as select o_custkey as k from o where o_totalprice > 250000 union select l_orderkey from li where l_quantity > 49 except select o_orderkey from o where o_orderstatus = 'F'; quit;", SQL, "out", "SELECT o_custkey AS k FROM orders WHERE o_totalprice > 250000 UNION SELECT l_orderkey FROM lineitem WHERE l_quantity > 49 EXCEPT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'", longs("k"))
 program("q51_sql_window", "proc sql; create table out as select o_orderkey, rank() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as r, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as prev from o; quit;", SQL, "out", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders", longs("o_orderkey", "r", "prev"))
 program("q52_sql_semi_anti", "proc sql; create table out as select o_orderkey, o_totalprice from o where o_orderkey in (select l_orderkey from li where l_quantity = 50) and not exists (select 1 from li x where x.l_orderkey = o_orderkey and x.l_extendedprice > 90000); quit;", SQL, "out", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50) AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = o_orderkey AND x.l_extendedprice > 90000)", longs("o_orderkey"))
