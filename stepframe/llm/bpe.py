@@ -194,5 +194,6 @@ def bpe_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 of_ids.append(hashlib.sha256(" ".join(map(bpe.number.__getitem__, ids)).encode()).hexdigest())
                 of_text.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.pieces.release()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

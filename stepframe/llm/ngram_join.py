@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from stepframe.llm.arrow_text import chunks
 from stepframe.llm.components import components
 from stepframe.llm.shingles import common, mix, set_key, shingle_sets
-from stepframe.shared import materialise
+from stepframe.shared import arrow_rows, materialise
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 8, 3
@@ -37,8 +37,10 @@ SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 #: A lookup table of at most this many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 BUCKET_TOKENS = 250_000
-#: Texts (bytes) and prefix rows that a Python worker turns into arrays at a time.
-SCAN_BYTES, DEAL_ROWS = 1 << 20, 2500
+#: A token in more prefixes than this is handled by blocks of about BLOCK_TOKENS tokens.
+HOT_CLASSES, BLOCK_TOKENS = 16, 20_000
+#: Texts (bytes) that a Python worker turns into arrays at a time, and rows of an Arrow batch.
+SCAN_BYTES, ARROW_ROWS = 1 << 20, 2000
 
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -117,7 +119,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int = W
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "shared", "united"])
 
-    return materialise(joined.mapInArrow(run, "a long, b long, shared long, united long").distinct())
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return materialise(joined.mapInArrow(run, "a long, b long, shared long, united long").distinct())
 
 
 def star_pairs(reps: DataFrame) -> DataFrame:
@@ -135,37 +138,31 @@ def prefixes(docs: DataFrame, groups: DataFrame, n_groups: int, sketch: np.ndarr
     """(bucket, tokens, keys, owners, sizes): packed rows of the token-group matrix, dealt by token hash."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in chunks(batches, limit=SCAN_BYTES):
-            keys, sizes, first = [], [], []
-            for s in shingle_sets(b.column(1), words):
-                keys.append(set_key(s))
-                sizes.append(len(s))
-                if len(s):
+            first, rows = [], []
+            for s, key, owner in zip(shingle_sets(b.column(2), words), b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                # one row for each class: that of its representative (a repeated doc_id may bring other texts along)
+                if len(s) and set_key(s) == key:
                     rank = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    s = s[np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]]
-                first.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "key", "n", "tokens"])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(k, DEAL_ROWS) for b in batches for k in range(0, b.num_rows, DEAL_ROWS)):
-            parts = [np.frombuffer(x, np.uint64) for x in b.column(0).to_pylist()]
-            lens = np.array([len(p) for p in parts])
-            flat = np.concatenate(parts)
-            key, owner, size = (np.repeat(np.array(b.column(k).to_pylist(), np.int64), lens) for k in (1, 2, 3))
+                    first.append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]])
+                    rows.append((key, owner, len(s)))
+            if not rows:
+                continue
+            lens = np.array([len(x) for x in first])
+            flat = np.concatenate(first)
+            key, owner, size = (np.repeat(np.array(c, np.int64), lens) for c in zip(*rows, strict=True))
             bucket = (mix(flat) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            flat, key, owner, size, bucket = flat[order], key[order], owner[order] ^ key[order], size[order], bucket[order]
+            by = np.argsort(bucket, kind="stable")
+            flat, key, owner, size, bucket = flat[by], key[by], owner[by] ^ key[by], size[by], bucket[by]
             cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
             spans = [slice(x, y) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             packed = [pa.array([v[p].tobytes() for p in spans], pa.binary()) for v in (flat, key, owner, size.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), *packed], names=["bucket", "tokens", "keys", "owners", "sizes"])
 
-    own = docs.mapInArrow(tokens, "doc_id long, key long, n long, tokens binary")
-    # one row for each class: that of its representative
-    own = own.join(_small(groups, n_groups), ["doc_id", "key"]).select("tokens", "key", "owner", "n")
-    return own.mapInArrow(deal, "bucket long, tokens binary, keys binary, owners binary, sizes binary")
+    own = docs.join(_small(groups, n_groups), "doc_id").select("key", "owner", "text")
+    return own.mapInArrow(run, "bucket long, tokens binary, keys binary, owners binary, sizes binary")
 
 
 def open_groups(matrix: DataFrame) -> DataFrame:
@@ -204,6 +201,100 @@ def matrix_pairs(opened: DataFrame, percent: int) -> DataFrame:
     return materialise(pairs.where(F.col("shared") >= bound).select("a", "b", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "shared"))
 
 
+def split_hot(opened: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The matrix rows of ordinary tokens, and (key, owner, n, cluster) of the classes that frequent ones connect.
+
+    Two classes that share a frequent token are in one cluster, so pairs of ordinary tokens need only count those.
+    """
+    frequent = materialise(opened.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > HOT_CLASSES).drop("m"))
+    hot = materialise(opened.join(frequent, "token"))
+    cold = opened.join(frequent, "token", "left_anti")
+    lead = materialise(hot.groupBy("key").agg(F.min("token").alias("lead"), F.first("owner").alias("owner"), F.first("n").alias("n")))
+    roots = components(hot.select("key", "token").join(lead.select("key", "lead"), "key").select(F.col("lead").alias("a"), F.col("token").alias("b")).distinct())
+    return cold, materialise(lead.join(roots.withColumnsRenamed({"v": "lead"}), "lead", "left").select("key", "owner", "n", F.coalesce("root", "lead").alias("cluster")))
+
+
+def block_links(a: tuple, b: tuple, same: bool, percent: int) -> list[tuple[int, int, int, int]]:
+    """Links between (or within) two blocks that join different groups. A block: keys, owners, sizes, tokens."""
+    (ka, oa, na, ta), (kb, ob, nb, tb) = a, b
+    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    # the bound: how many tokens of each query set are in the other block's union
+    union = np.unique(tb)
+    within = union[np.minimum(np.searchsorted(union, ta), len(union) - 1)] == ta
+    overlap = np.bincount(ra[within], minlength=len(na))
+    open_ = 100 * overlap >= percent * na
+    if not open_.any():
+        return []
+    keep = within & open_[ra]
+    ta, ra = ta[keep], ra[keep]
+    order = np.argsort(tb, kind="stable")
+    tb, rb = tb[order], rb[order]
+    first, last = np.searchsorted(tb, ta, side="left"), np.searchsorted(tb, ta, side="right")
+    shared = np.zeros(len(na) * len(nb), np.int64)
+    step = max(1, 4_000_000 // max(1, len(nb)))
+    for k in range(0, len(ta), step):
+        f, n = first[k : k + step], last[k : k + step] - first[k : k + step]
+        at = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared += np.bincount(np.repeat(ra[k : k + step], n) * len(nb) + rb[at], minlength=len(shared))
+    shared = shared.reshape(len(na), len(nb))
+    united = na[:, None] + nb[None, :] - shared
+    hit = (100 * shared >= percent * united) & (oa[:, None] != ob[None, :])
+    if same:
+        hit = np.triu(hit, 1)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+        g, h = find(int(oa[i])), find(int(ob[j]))
+        if g != h:
+            parent[h] = g
+            out.append((int(ka[i]), int(kb[j]), int(shared[i, j]), int(united[i, j])))
+    return out
+
+
+def cluster_links(members: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b, shared, united) that join groups of one cluster, block against block, from the whole texts."""
+    parts = materialise(members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts")))
+    dealt = members.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("long"))
+    wanted = materialise(dealt.join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"), "owner", "cluster", "part"))
+    sets = docs.join(_small(wanted, wanted.count()), "doc_id").select("key", "owner", "cluster", "part", "text")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, limit=SCAN_BYTES):
+            sets = shingle_sets(b.column(4), words)
+            good = [k for k, s in enumerate(sets) if set_key(s) == b.column(0)[k].as_py()]
+            rows = b.take(pa.array(good, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array([sets[k].tobytes() for k in good], pa.binary())], names=["key", "owner", "cluster", "part", "tokens"])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("key")
+        one = {"cluster": pdf["cluster"].iloc[:1], "part": pdf["part"].iloc[:1], "keys": [pdf["key"].to_numpy(np.int64).tobytes()], "owners": [pdf["owner"].to_numpy(np.int64).tobytes()], "sizes": [np.array([len(t) // 8 for t in pdf["tokens"]], np.int64).tobytes()], "tokens": [b"".join(pdf["tokens"])]}
+        return pd.DataFrame(one)
+
+    schema = "key long, owner long, cluster long, part long, tokens binary"
+    blocks = materialise(sets.mapInArrow(shingled, schema).groupBy("cluster", "part").applyInPandas(pack, "cluster long, part long, keys binary, owners binary, sizes binary, tokens binary"))
+    other = blocks.select("cluster", F.col("part").alias("part_b"), *(F.col(c).alias(f"{c}_b") for c in ("keys", "owners", "sizes", "tokens")))
+    met = blocks.join(other, "cluster").where("part <= part_b").repartition(F.xxhash64("cluster", "part", "part_b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+            for k in range(b.num_rows):
+                side = [tuple(np.frombuffer(col[f"{c}{end}"][k].as_py(), kind) for c, kind in (("keys", np.int64), ("owners", np.int64), ("sizes", np.int64), ("tokens", np.uint64))) for end in ("", "_b")]
+                rows = block_links(*side, col["part"][k].as_py() == col["part_b"][k].as_py(), percent)
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "shared", "united"])
+
+    with arrow_rows(blocks.sparkSession, 8):
+        return materialise(met.mapInArrow(compare, "a long, b long, shared long, united long"))
+
+
 def open_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Links that join every two groups with a linking pair: the likeliest pair first, then all pairs of the rest."""
     best = pairs.groupBy("low", "high").agg(F.max(F.struct("shared", "a", "b")).alias("top")).select("low", "high", "top.a", "top.b")
@@ -217,7 +308,8 @@ def open_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links lead to, its own included)."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    scanned = materialise(scan(docs, words))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        scanned = materialise(scan(docs, words))
     info = scanned.where("chunk is null").select("doc_id", "n", "key", "bands")
     classes = materialise(info.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).where("rep is not null"))
     links = verify(star_pairs(classes), docs, classes, words, percent)
@@ -227,8 +319,12 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     if size[0]:
         sketch = sum_sketch(scanned.where("chunk is not null").select("chunk", "counts"))
         buckets = max(64, -(-int(size[1]) // BUCKET_TOKENS))
-        matrix = prefixes(docs, groups.drop("n"), size[0], sketch, buckets, words, percent)
-        more = open_pairs(matrix_pairs(open_groups(matrix), percent), docs, classes, words, percent)
+        with arrow_rows(docs.sparkSession, ARROW_ROWS):
+            opened = open_groups(prefixes(docs, groups.drop("n"), size[0], sketch, buckets, words, percent))
+        cold, members = split_hot(opened)
+        more = open_pairs(matrix_pairs(cold, percent), docs, classes, words, percent)
+        if not members.isEmpty():
+            more = more.unionByName(cluster_links(members, docs, classes, words, percent))
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     home = materialise(info.join(roots.withColumnRenamed("v", "key"), "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("home")))

@@ -110,6 +110,7 @@ def cut_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, v
                     crc.append(zlib.crc32(piece.tobytes()))
                     total.append(n + 1)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.release()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, PIECES)
 

@@ -338,6 +338,7 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
                 if sum(len(g[2]) for g in groups) >= BATCH_IDS:
                     yield emit()
         close()
+        encoder.release()
         if groups:
             yield emit()
 

@@ -38,6 +38,10 @@ class PieceEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
         self.starts, self.lens, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
+    def release(self) -> None:
+        """Forgets all pieces: called at the end of a task, so that idle workers hold no memory."""
+        self._clear()
+
     def _learn(self) -> None:
         fresh, self.codes.fresh = self.codes.fresh, []
         if not fresh:
@@ -103,6 +107,10 @@ class LibraryEncoder(PieceEncoder):
         self.tails = PieceEncoder(self._encode_alone, most)
         super().__init__(self._encode_split, most)
 
+    def release(self) -> None:
+        for part in (self.letters, self.tails, self):
+            part._clear()
+
     def _encode_alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
