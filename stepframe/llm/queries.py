@@ -75,4 +75,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # every user message is a call of 'reply'; its dependency lies two turns before, so turns are a topological order
+    "op7_chat_format": """
+        WITH m AS (SELECT conv_id, turn, role, text, CAST(floor(turn / 1024) AS BIGINT) AS segment FROM conversations),
+        c AS (SELECT u.conv_id, u.segment, u.turn, a.turn AS result_turn FROM m u LEFT JOIN m a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
+        cj AS (SELECT c.conv_id, c.segment, count(*) AS n_calls, count(result_turn) AS n_linked, string_agg('{"arguments":{"prompt":' || CAST(to_json(m.text) AS VARCHAR) || ',"turn":' || c.turn || '},"id":"c' || c.conv_id || '-' || c.turn || '","linked":' || CASE WHEN result_turn IS NULL THEN 'false' ELSE 'true' END || ',"name":"reply"' || CASE WHEN result_turn IS NULL THEN '' ELSE ',"result_turn":' || result_turn END || ',"turn":' || c.turn || ',"valid":true}', ',' ORDER BY c.turn) AS calls
+               FROM c JOIN m ON m.conv_id = c.conv_id AND m.turn = c.turn GROUP BY 1, 2),
+        mj AS (SELECT conv_id, segment, count(*) AS n_messages, string_agg('{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || ',"turn":' || turn || '}', ',' ORDER BY turn) AS messages FROM m GROUP BY 1, 2)
+        SELECT mj.conv_id, mj.segment, n_messages, coalesce(n_calls, 0) AS n_calls, coalesce(n_linked, 0) AS n_linked, coalesce(n_calls, 0) AS n_valid,
+               '{"calls":[' || coalesce(calls, '') || '],"id":' || mj.conv_id || ',"messages":[' || messages || '],"segment":' || mj.segment || '}' AS chat
+        FROM mj LEFT JOIN cj ON cj.conv_id = mj.conv_id AND cj.segment = mj.segment""",
+    "op9_topk_hamming": """
+        WITH e AS (SELECT vec_id, embedding FROM embeddings),
+        d AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(sum(CASE WHEN (q.embedding[i] > 0) <> (e.embedding[i] > 0) THEN 1 ELSE 0 END) AS BIGINT) AS distance
+              FROM e q JOIN e ON q.vec_id <> e.vec_id AND q.vec_id % 50 = 0, range(1, 65) t(i) GROUP BY 1, 2)
+        SELECT query_id, "rank", vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS "rank" FROM d) WHERE "rank" <= 10""",
+}
