@@ -58,7 +58,7 @@ class Table:
         return [tuple(r) for r in df.select([f"`{n}`" for n in self.names]).collect()]
 
 
-def _ingest(df: DataFrame, f: T.StructField) -> tuple[Column, Var] | None:
+def _ingest(df: DataFrame, f: T.StructField, nan_missing: bool) -> tuple[Column, Var] | None:
     c, t = F.col(f"`{f.name}`"), f.dataType
     fmt, label = f.metadata.get("format"), f.metadata.get("label")
     if isinstance(t, T.StringType | T.CharType | T.VarcharType):
@@ -69,17 +69,17 @@ def _ingest(df: DataFrame, f: T.StructField) -> tuple[Column, Var] | None:
         return from_timestamp(c), Var(f.name, "num", fmt or "datetime19.", label)
     if isinstance(t, T.NumericType | T.BooleanType):
         x = c.cast("double")
-        return (F.when(~F.isnan(x), x) if isinstance(t, T.DoubleType | T.FloatType) else x), Var(f.name, "num", fmt, label)
+        return (F.when(~F.isnan(x), x) if nan_missing and isinstance(t, T.DoubleType | T.FloatType) else x), Var(f.name, "num", fmt, label)
     return None
 
 
-def from_dataframe(df: DataFrame, order: Column | None = None) -> Table:
+def from_dataframe(df: DataFrame, order: Column | None = None, nan_missing: bool = False) -> Table:
     """Any DataFrame as a table: numbers become double, dates and timestamps day numbers and seconds with a format.
 
-    Columns of other types have no counterpart in the two kinds and are left out. Row order is `order` if given, else
+    nan_missing turns NaN into missing; without it filters on numbers still reach the scan. Columns of other types have no counterpart in the two kinds and are left out. Row order is `order` if given, else
     the order of the scan.
     """
-    got = [x for f in df.schema.fields if f.name != ORD and (x := _ingest(df, f))]
+    got = [x for f in df.schema.fields if f.name != ORD and (x := _ingest(df, f, nan_missing))]
     place = order if order is not None else F.col(ORD) if ORD in df.columns else F.monotonically_increasing_id()
     return Table(df.select(*(c.alias(v.name) for c, v in got), place.alias(ORD)), [v for _, v in got], (), order is None and ORD not in df.columns)
 

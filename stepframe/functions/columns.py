@@ -21,6 +21,7 @@ class Typed:
     col: Column
     kind: str
     value: float | str | None = None  # of a literal
+    test: Column | None = None  # of a comparison: the predicate behind the 1 or 0
 
 
 def lit(v: float | str | None) -> Typed:
@@ -61,11 +62,13 @@ def char(t: Typed) -> Column:
 
 
 def truth(t: Typed) -> Column:
+    if t.test is not None:
+        return t.test
     return t.col != "" if t.kind == "char" else F.coalesce(t.col != 0, F.lit(False))
 
 
 def flag(predicate: Column) -> Typed:
-    return Typed(predicate.cast("double"), "num")
+    return Typed(predicate.cast("double"), "num", None, predicate)
 
 
 def compare(op: str, a: Typed, b: Typed) -> Column:
