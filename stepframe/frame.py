@@ -31,13 +31,14 @@ class Table:
     """df holds one column for each variable, and ORD: unique, increasing in row order, not dense.
 
     in_place: the rows also lie in this order in the partitions, one partition after the other, as after a scan or a
-    sort and whatever works row by row on it.
+    sort and whatever works row by row on it. unique_by: variables whose combinations are known not to repeat.
     """
 
     df: DataFrame
     vars: list[Var]
     sorted_by: tuple[str, ...] = ()
     in_place: bool = False
+    unique_by: tuple[str, ...] = ()
 
     @property
     def names(self) -> list[str]:

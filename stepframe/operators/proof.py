@@ -25,6 +25,7 @@ class Verdict:
     checked: int
     severity: str
     sample: list[int]
+    message: str = ""
 
 
 def _missing(v: Var) -> Column:
@@ -44,7 +45,7 @@ def describe(s: Stmt) -> str:
     if check == "values":
         return f"values {body} in ({' '.join(map(_shown, p['set']))})"
     if check == "type":
-        return f"type {body}={p['type']}"
+        return "type " + " ".join(f"{n}={k}" for n, k in zip(p["names"], p["types"], strict=True))
     if check == "key":
         return f"key {body} references {p['parent']}({' '.join(p['keys'])})"
     return f'rule "{p["label"]}"' if check == "rule" else f"{check} {body}"
@@ -98,9 +99,9 @@ def prove(table: Table, checks: list[Stmt], lib: Library, severity: str = "error
             absent = [n for n in p["names"] if table.var(n) is None]
             dataset[k] = (True, len(absent))
         elif p["check"] == "type":
-            v = table.var(p["names"][0])
-            if v is not None:
-                dataset[k] = (True, int(v.kind != ("char" if p["type"].startswith("c") or p["type"] == "$" else "num")))
+            vs = [table.var(n) for n in p["names"]]
+            if all(vs):
+                dataset[k] = (True, sum(v.kind != ("char" if kind.startswith(("c", "$")) else "num") for v, kind in zip(vs, p["types"], strict=True)))
         elif p["check"] == "key":
             lib_name, _, name = p["parent"].rpartition(".")
             vs = [table.var(n) for n in p["names"]]
@@ -128,11 +129,11 @@ def prove(table: Table, checks: list[Stmt], lib: Library, severity: str = "error
     for k, s in enumerate(checks):
         level = s.parts["severity"] or severity
         if k in dataset:
-            verdicts.append(Verdict(describe(s), "FAIL" if dataset[k][1] else "PASS", dataset[k][1], len(s.parts["names"]), level, []))
+            verdicts.append(Verdict(describe(s), "FAIL" if dataset[k][1] else "PASS", dataset[k][1], len(s.parts["names"]), level, [], s.parts["message"]))
         elif k in tests:
             n = counted[f"v{k}"]
             sample = [int(r[0]) for r in parts.where(f"__t{k}").orderBy("__obs").select("__obs").limit(maxsample).collect()] if n else []
-            verdicts.append(Verdict(describe(s), "FAIL" if n else "PASS", n, counted["n"], level, sample))
+            verdicts.append(Verdict(describe(s), "FAIL" if n else "PASS", n, counted["n"], level, sample, s.parts["message"]))
         else:
             verdicts.append(Verdict(describe(s), "N/RUN", 0, 0, level, []))
     rule = F.filter(F.array(*(F.when(F.col(c), F.struct(F.lit(rule_key(checks[k])).alias("r"), F.lit(k).alias("k"))) for k, c in tests.items())), lambda x: x.isNotNull()) if tests else F.array().cast("array<struct<r:string,k:int>>")

@@ -60,7 +60,7 @@ def means_out(table: Table, vars_: list[str], classes: list[str], named: list[tu
     out += [F.lit(float(2 ** len(cls) - 1)).alias("_TYPE_"), F.col("_freq").alias("_FREQ_")]
     more = [(name, f"{s}_{k}") for s, names in named for k, name in enumerate(names) if k < len(vars_)]
     d = g.select(*out, *(F.col(c).alias(n) for n, c in more), F.monotonically_increasing_id().alias(ORD))
-    return Table(d, [*cls, Var("_TYPE_", "num"), Var("_FREQ_", "num"), *(Var(n, "num") for n, _ in more)], (), True)
+    return Table(d, [*cls, Var("_TYPE_", "num"), Var("_FREQ_", "num"), *(Var(n, "num") for n, _ in more)], (), True, tuple(v.name.lower() for v in cls) if shown is plain else ())
 
 
 def _present(v: Var) -> Column:

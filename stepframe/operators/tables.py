@@ -33,7 +33,7 @@ def sort(table: Table, keys: list[tuple[str, bool]], nodupkey: bool = False) ->
         df = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*names).orderBy(ORD))).where("__rn = 1").drop("__rn")
     df = df.orderBy(*order).withColumn(ORD, F.monotonically_increasing_id())
     ascending = tuple(table.var(k).name.lower() for k, down in keys)
-    return Table(df, table.vars, ascending, True)
+    return Table(df, table.vars, ascending, True, ascending if nodupkey else ())
 
 
 def numbered(table: Table) -> Table:
@@ -59,7 +59,11 @@ def select(table: Table, keep: list[str] = (), drop: list[str] = (), rename: lis
     new = {a.lower(): b for a, b in rename}
     out = [renamed(v, new.get(v.name.lower(), v.name)) for v in vars_]
     df = table.df.select(*(F.col(f"`{a.name}`").alias(b.name) for a, b in zip(vars_, out, strict=True)), ORD)
-    return Table(df, out, tuple(new.get(k, k).lower() for k in table.sorted_by), table.in_place)
+    left = {v.name.lower() for v in vars_}
+    still = tuple(new.get(k, k).lower() for k in table.unique_by) if set(table.unique_by) <= left else ()
+    order = [k in left for k in table.sorted_by]
+    kept_order = table.sorted_by[: order.index(False) if False in order else len(order)]
+    return Table(df, out, tuple(new.get(k, k).lower() for k in kept_order), table.in_place, still)
 
 
 def merged_vars(tables: list[Table]) -> list[Var]:
@@ -135,6 +139,8 @@ def merge(tables: list[Table], keys: list[str], flags: list[str | None]) -> Tabl
             d = n.select(*own, F.col("__n").cast("long").alias("__rn"), F.lit(total).alias("__cnt"))
         sides.append(d)
     on = [f"__k{i}" for i in range(len(by))]
+    if on and all(unique(t, keys) for t in tables):
+        return _outer(sides, on, by, vars_, owners)
     spine = reduce(lambda a, b: a.unionByName(b), [s.select(*on, "__rn") for s in sides]).distinct()
     for k, s in enumerate(sides):
         c = s.select(*(F.col(x).alias(f"__c{x}") for x in on), F.col("__cnt").alias(f"__cnt{k}")).distinct()
@@ -143,6 +149,36 @@ def merge(tables: list[Table], keys: list[str], flags: list[str | None]) -> Tabl
         r = s.drop("__cnt").select(*(F.col(x).alias(f"__r{x}") for x in on), F.col("__rn").alias("__rrn"), *(x for x in s.columns if x not in (*on, "__rn", "__cnt")))
         match = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"__r{x}")) for x in on], F.least(F.col("__rn"), F.col(f"__cnt{k}")) == F.col("__rrn"))
         spine = spine.join(r, match, "left").drop("__rrn", *(f"__r{x}" for x in on))
+    return _merged(spine, len(tables), by, vars_, owners)
+
+
+def unique(table: Table, keys: list[str]) -> bool:
+    """Whether no key repeats: known from a NODUPKEY sort or a summary, else one aggregation of the keys."""
+    low = {k.lower() for k in keys}
+    if table.unique_by and set(table.unique_by) <= low:
+        return True
+    names = [F.col(f"`{table.var(k).name}`") for k in keys]
+    return table.df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _outer(sides: list, on: list[str], by: list[Var], vars_: list[Var], owners: dict[str, list[int]]) -> Table:
+    """The merge of sources that repeat no key: full outer joins on the key."""
+    out = None
+    for k, s in enumerate(sides):
+        s = s.drop("__rn", "__cnt").withColumn(f"__cnt{k}", F.lit(1).cast("long"))
+        if out is None:
+            out = s
+            continue
+        s = s.withColumnsRenamed({x: f"__c{x}" for x in on})
+        match = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"__c{x}")) for x in on])
+        joined = out.join(s, match, "full")
+        here = reduce(lambda a, b: a | b, [F.col(f"__cnt{j}").isNotNull() for j in range(k)])
+        out = joined.withColumns({x: F.when(here, F.col(x)).otherwise(F.col(f"__c{x}")) for x in on}).drop(*(f"__c{x}" for x in on))
+    return _merged(out.withColumn("__rn", F.lit(1).cast("long")), len(sides), by, vars_, owners)
+
+
+def _merged(spine, n: int, by: list[Var], vars_: list[Var], owners: dict[str, list[int]]) -> Table:
+    """Variables, IN flags and order of joined sources."""
     out = [F.col(f"__k{i}").alias(b.name) for i, b in enumerate(by)]
     for v in vars_:
         low = v.name.lower()
@@ -155,8 +191,8 @@ def merge(tables: list[Table], keys: list[str], flags: list[str | None]) -> Tabl
             value = value.otherwise(F.lit("")) if v.kind == "char" else value
             out.append(value.alias(v.name))
     ordered_vars = [v for v in vars_ if v.name.lower() in {b.name.lower() for b in by}] + [v for v in vars_ if v.name.lower() in owners]
-    ins = [F.coalesce((F.col(f"__cnt{k}") >= F.col("__rn")).cast("double"), F.lit(0.0)).alias(f"__in_{k}") for k in range(len(tables))]
+    ins = [F.coalesce((F.col(f"__cnt{k}") >= F.col("__rn")).cast("double"), F.lit(0.0)).alias(f"__in_{k}") for k in range(n)]
     place = [F.col(f"__k{i}").asc_nulls_first() for i in range(len(by))] + [F.col("__rn").asc()]
     df = spine.orderBy(*place).select(*out, *ins, F.monotonically_increasing_id().alias(ORD))
     final = [v for v in vars_ if v in ordered_vars]
-    return Table(df.select(*(f"`{v.name}`" for v in final), *(f"__in_{k}" for k in range(len(tables))), ORD), final, tuple(b.name.lower() for b in by))
+    return Table(df.select(*(f"`{v.name}`" for v in final), *(f"__in_{k}" for k in range(n)), ORD), final, tuple(b.name.lower() for b in by))

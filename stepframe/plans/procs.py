@@ -298,7 +298,7 @@ def proc_proof(step: ProcStep, lib: Library, out: Listing) -> None:
     out += proof.report(verdicts).split("\n")
     for v in verdicts:
         if v.state == "FAIL":
-            (log.error if v.severity.startswith("error") else log.warning)("%s: %s violations", v.description, v.violations)
+            (log.error if v.severity.startswith("error") else log.warning)("%s: %s violations", v.message or v.description, v.violations)
     target = step.options.get("out")
     if isinstance(target, Ref):
         lib.put(target.lib, target.name, bad)

@@ -268,8 +268,8 @@ data regions; input region $; datalines;
 east
 ;
 run;
-proc proof data=t out=bad; require id; type id=num; notnull id qty; values region in ('east' 'west'); range qty 1 - 100; unique id; run;
-proc proof data=t out=bad2; key region references regions(region); rule "small": qty < 20; unique nothere; run;""",
+proc proof data=t out=bad; require id; type id=num region=char; notnull id qty; values region in ('east' 'west'); range qty 1 - 100; unique id; run;
+proc proof data=t out=bad2; key region references regions(region); rule "small": qty < 20; unique nothere; rule "ratio": id / qty < 5 / severity=warn message="odd ratio"; run;""",
         bad=("id qty region _rule_ _obs_", [(2, 0, "west", "range qty 1 - 100", 2), (2, 0, "west", "unique id", 2), (2, 50, "east", "unique id", 3)]),
         bad2=("id qty region _rule_ _obs_", [(2, 0, "west", "key region references regions(region)", 2), (2, 50, "east", "small", 3)]),
     )
