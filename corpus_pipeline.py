@@ -9,32 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stepframe.llm import langid, ngram_join, packing, pii, toxicity
-from stepframe.shared import materialise
+from stepframe.shared import materialise, ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents that the ordinal regression finds toxic go."""
+    ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.train(docs, labels))
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without letters, or with no language better than chance, go."""
+    ship_package(spark)
     return langid.keep_known(docs, langid.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: one document of each group stays, the one with the least doc_id."""
+    ship_package(spark)
     return ngram_join.one_of_each(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """PII: spans are replaced by their kind in angle brackets."""
+    ship_package(spark)
     return pii.mask(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: best-fit decreasing into windows of 4096 ids."""
+    ship_package(spark)
     return packing.pack(docs)
 
 
