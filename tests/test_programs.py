@@ -230,6 +230,15 @@ def test_sql(check):
         check("proc sql; create table a as select 1 as x; quit;")
 
 
+def test_sql_sources(check):
+    check(
+        PEOPLE + "data sc; input name $ score; datalines;\nJohn 95\nTim 70\n;\nrun; proc sql; create table a as select p.name, s.score from people p, sc s where p.name = s.name order by 1; create table b as select name from (select * from people where age > 20) x where name in (select name from sc); create table c as select people.name, sc.score from people left join sc on people.name = sc.name where sc.score is null order by people.name; quit;",
+        a=("name score", [("John", 95), ("Tim", 70)]),
+        b=("name", [("John",)]),
+        c=("name score", [("Ann", None), ("Mary", None)]),
+    )
+
+
 def test_database(check, tmp_path):
     check(
         f"""libname db sqlite "{tmp_path}/x.db";
