@@ -6,6 +6,7 @@ import logging
 import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from stepframe.frame import ORD, Library, Table, Var, from_dataframe
@@ -384,12 +385,32 @@ def run_sql(query: str, lib: Library, connections: dict[str, str]) -> Table:
             break
         query = new
     try:
-        return from_dataframe(lib.spark.sql(to_spark_sql(query)))
+        return from_dataframe(_select(to_spark_sql(query), lib))
     finally:
         for name in made:
             lib.spark.catalog.dropTempView(name)
 
 
+def _select(sql: str, lib: Library):
+    """The query; bare columns beside GROUP BY, which are any value of the group, are wrapped where Spark names them."""
+    for _ in range(20):
+        try:
+            return lib.spark.sql(sql)
+        except AnalysisException as x:
+            m = re.search(r'MISSING_AGGREGATION.*?"([\w.]+)"', str(x), re.S)
+            head = re.match(r"\s*select\s+(?:distinct\s+)?", sql, re.I)
+            stop = re.search(r"\bfrom\b", sql, re.I)
+            if not m or not head or not stop:
+                raise
+            name = m[1].rsplit(".", 1)[-1]
+            item = re.compile(rf"(?<=[\s,])((?:\w+\.)?{name})(\s+(?:as\s+)?\w+)?(?=\s*(?:,|$))", re.I)
+            items = item.sub(lambda g: f"any_value({g[1]})" + (g[2] or f" as {name}"), f" {sql[head.end() : stop.start()].strip()}", count=1)  # noqa: B023
+            if "any_value" not in items or sql[: head.end()] + items.strip() + " " + sql[stop.start() :] == sql:
+                raise
+            sql = sql[: head.end()] + items.strip() + " " + sql[stop.start() :]
+    return lib.spark.sql(sql)
+
+
 def backend(name: str, lib: Library, connections: dict[str, str]):
     return lib.librefs[connections.get(name.lower(), name.lower())]
 

@@ -357,8 +357,6 @@ class Symbolic:
         step = self.eval(s.step) if s.step else C.lit(1.0)
         values = [x.value for x in (first, last, step)]
         if not all(isinstance(v, float) for v in values):
-            if all(x.value is None for x in (first, last)) and isinstance(first.value, type(None)) and s.first == ("num", None):
-                return
             raise Fallback("loop bounds are not constant")
         a, b, by = values
         count = int((b - a) / by) + 1 if by and (b - a) / by >= 0 else 0

@@ -239,6 +239,10 @@ def test_sql_sources(check):
     )
 
 
+def test_sql_bare_columns(check):
+    check("data t; input g $ a b; datalines;\nx 1 5\nx 2 5\ny 3 7\n;\nrun; proc sql; create table o as select g, b, sum(a) as s from t group by g order by g; quit;", o=("g b s", [("x", 5, 3), ("y", 7, 3)]))
+
+
 def test_database(check, tmp_path):
     check(
         f"""libname db sqlite "{tmp_path}/x.db";
