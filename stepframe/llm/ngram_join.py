@@ -333,7 +333,17 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs, all columns, with the least doc_id of every group of similar texts only; rows without an id stay."""
+    """docs, all columns, with the least doc_id of every group of similar texts only; rows without an id stay.
+
+    Of rows that repeat a doc_id those with the same text count once; the others stay if one of them stands for its
+    group, so that no group loses its document.
+    """
     found = materialise(similar_groups(docs, words, percent))
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(_small(gone, gone.count()), "doc_id", "left_anti")
+    ids = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows")))
+    gone, repeated = ids.where("gone").select("doc_id"), ids.where("not gone and rows > 1").select("doc_id")
+    kept = docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    n = repeated.count()
+    if not n:
+        return kept
+    again = _small(repeated, n)
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -79,8 +79,15 @@ def test_jaccard_join_against_brute_force(spark, seed):
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, n string").repartition(4)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect())
     assert got == brute_components(docs)
-    kept = {r.doc_id for r in ngram_join.one_of_each(df).collect()}
-    assert kept == {c for _, _, c in got}
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {c for _, _, c in got}
+
+
+def test_repeated_ids_keep_one_of_each_group(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "x y z")
+    df = spark.createDataFrame([(1, a), (1, a), (2, b), (3, b), (3, c), (4, a), (None, a)], "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in ngram_join.one_of_each(df).collect())
+    assert kept == [(0, a), (1, a), (2, b), (3, b), (3, c)]
 
 
 def test_jaccard_join_of_nothing(spark):
