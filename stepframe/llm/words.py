@@ -29,7 +29,7 @@ class _Codes(dict):
 class PieceEncoder:
     """Encodes texts through `encode(list of pieces) -> list of id lists`, remembering at most about `most` pieces."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode_pieces, self.most = encode, most
         self._clear()
 
@@ -91,7 +91,7 @@ class LibraryEncoder(PieceEncoder):
 
     JOINED = 500
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 100_000, most_letters: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -103,7 +103,7 @@ class LibraryEncoder(PieceEncoder):
         size = self.tok.get_vocab_size()
         suffix = self.tok.model.end_of_word_suffix
         self.ends = np.array([bool(suffix) and (self.tok.id_to_token(i) or "").endswith(suffix) for i in range(size)])
-        self.letters = PieceEncoder(self._encode_letters, most)
+        self.letters = PieceEncoder(self._encode_letters, most_letters)
         self.tails = PieceEncoder(self._encode_alone, most)
         super().__init__(self._encode_split, most)
 
