@@ -7,11 +7,13 @@ import re
 import struct
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stepframe.frame import ORD, Table, Var
 from stepframe.functions.columns import to_number, to_text
@@ -160,11 +162,15 @@ ROW_RUNS, ROW_PAIRS = b"SASYZCRL", b"SASYZCR2"
 
 
 class BinaryDataset:
-    """A little-endian binary dataset, 32 or 64 bit: page headers, subheaders, row data."""
+    """A little-endian binary dataset, 32 or 64 bit: page headers, subheaders, row data.
+
+    Opening it reads pages until all columns are known; rows are read page range by page range.
+    """
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, "rb") as f:
-            self.raw = f.read()
+            self.raw = f.read(1024)
         if self.raw[:32] != MAGIC:
             raise ValueError(f"{path} is not a binary dataset")
         wide = self.raw[32] == 0x33
@@ -179,53 +185,68 @@ class BinaryDataset:
         self.names: list[tuple[int, int, int]] = []
         self.attributes: list[tuple[int, int, int]] = []
         self.formats: list[tuple[tuple[int, int, int], tuple[int, int, int]]] = []
-        self.row_length = self.row_count = self.mix_rows = 0
+        self.row_length = self.row_count = self.mix_rows = self.columns = 0
         self.compression = b""
-        self.rows: list[bytes] = []
-        for p in range(self.pages):
-            self._page(self.head + p * self.page_size)
-        self.rows = self.rows[: self.row_count]
+        known = 0
+        for page in range(self.pages):
+            self._page(page, None)
+            # formats come last; a dataset without them is known once a page adds nothing
+            got = len(self.attributes) + len(self.formats)
+            if self.columns and len(self.attributes) >= self.columns and (len(self.formats) >= self.columns or got == known):
+                break
+            known = got
 
     def _int(self, at: int, n: int) -> int:
         return int.from_bytes(self.raw[at : at + n], "little")
 
-    def _page(self, base: int) -> None:
+    def rows_of(self, first: int, last: int) -> Iterator[tuple[int, int, bytes]]:
+        """(page, number in the page, bytes) of the rows of pages first to last - 1."""
+        for page in range(first, last):
+            rows: list[bytes] = []
+            self._page(page, rows)
+            yield from ((page, k, r) for k, r in enumerate(rows))
+
+    def _page(self, page: int, rows: list[bytes] | None) -> None:
+        """One page: its columns (rows is None) or its rows."""
+        with open(self.path, "rb") as f:
+            f.seek(self.head + page * self.page_size)
+            self.raw = f.read(self.page_size)
         b, w = self.page_bits, self.word
-        kind, blocks, subs = (self._int(base + b + k, 2) for k in (0, 2, 4))
+        kind, blocks, subs = (self._int(b + k, 2) for k in (0, 2, 4))
         size = 24 if w == 8 else 12
         if kind & 0x0F00 == 0x0100:
-            self._data(base + b + 8, min(blocks, self.row_count - len(self.rows)))
+            self._data(b + 8, blocks, rows)
             return
         if kind & 0xF000 == 0x9000 or kind == 0x4000 and not subs:
             return
         for k in range(subs):
-            at = base + b + 8 + k * size
+            at = b + 8 + k * size
             offset, length = self._int(at, w), self._int(at + w, w)
             packed, more = self.raw[at + 2 * w], self.raw[at + 2 * w + 1]
             if not length or packed == 1:
                 continue
-            body = self.raw[base + offset : base + offset + length]
+            body = self.raw[offset : offset + length]
             name = SUBHEADERS.get(body[:4]) if packed != 4 and not (w == 8 and body[4:8] not in (b"\0" * 4, b"\xff" * 4)) else None
             if name:
-                self._subheader(name, body)
-            elif self.compression or packed == 4 or more == 1:
-                row = expand_row(body, self.row_length, self.compression) if packed == 4 and length < self.row_length else body[: self.row_length]
-                self.rows.append(row)
+                if rows is None:
+                    self._subheader(name, body)
+            elif rows is not None and (self.compression or packed == 4 or more == 1):
+                rows.append(expand_row(body, self.row_length, self.compression) if packed == 4 and length < self.row_length else body[: self.row_length])
         if kind & 0x0F00 == 0x0200:
             start = b + 8 + subs * size
-            start += (base + start - base) % 8 and 4
-            self._data(base + start, min(self.row_count - len(self.rows), self.mix_rows))
+            self._data(start + (start % 8 and 4), min(self.row_count, self.mix_rows), rows)
 
-    def _data(self, at: int, n: int) -> None:
-        for _ in range(max(0, n)):
-            self.rows.append(self.raw[at : at + self.row_length])
-            at += self.row_length
+    def _data(self, at: int, n: int, rows: list[bytes] | None) -> None:
+        if rows is not None:
+            rows += [self.raw[at + k * self.row_length : at + (k + 1) * self.row_length] for k in range(n)]
 
     def _subheader(self, name: str, body: bytes) -> None:
         w = self.word
         num = lambda at, n: int.from_bytes(body[at : at + n], "little")
         if name == "rowsize":
             self.row_length, self.row_count, self.mix_rows = num(5 * w, w), num(6 * w, w), num(15 * w, w)
+        elif name == "colsize":
+            self.columns = num(w, w)
         elif name == "text":
             text = body[w:]
             if not self.texts:
@@ -255,17 +276,55 @@ class BinaryDataset:
             out.append(Var(self._text(self.names[k]), "num" if kind == 1 else "char", f"{fmt}." if fmt else None, label or None, n))
         return out
 
-    def values(self) -> Iterator[tuple]:
-        for row in self.rows:
-            out: list = []
-            for at, n, kind in self.attributes:
-                raw = row[at : at + n]
-                if kind == 1:
-                    v = struct.unpack("<d", b"\0" * (8 - n) + raw)[0]
-                    out.append(None if v != v else v)
-                else:
-                    out.append(raw.decode("utf-8", "replace").rstrip("\0 "))
-            yield tuple(out)
+    def values(self, row: bytes) -> tuple:
+        out: list = []
+        for at, n, kind in self.attributes:
+            raw = row[at : at + n]
+            if kind == 1:
+                v = struct.unpack("<d", b"\0" * (8 - n) + raw)[0]
+                out.append(None if v != v else v)
+            else:
+                out.append(raw.decode("utf-8", "replace").rstrip("\0 "))
+        return tuple(out)
+
+
+@dataclass
+class Pages(InputPartition):
+    first: int
+    last: int
+
+
+class BinaryReader(DataSourceReader):
+    """Page ranges side by side. The file must lie in a folder that the executors see too."""
+
+    PAGES = 256
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[Pages]:
+        n = BinaryDataset(self.path).pages
+        return [Pages(k, min(k + self.PAGES, n)) for k in range(0, n, self.PAGES)]
+
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        data = BinaryDataset(self.path)
+        for page, k, row in data.rows_of(partition.first, partition.last):
+            yield (*data.values(row), (page << 32) + k)
+
+
+class BinarySource(DataSource):
+    """spark.read.format("stepframe-binary").load(path)"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "stepframe-binary"
+
+    def schema(self) -> str:
+        vars_ = BinaryDataset(self.options["path"]).variables()
+        return "".join(f"`{v.name}` {'double' if v.kind == 'num' else 'string'}, " for v in vars_) + f"{ORD} long"
+
+    def reader(self, schema) -> BinaryReader:
+        return BinaryReader(self.options["path"])
 
 
 #: Run-length control bytes by their high nibble: what is written, the least count, and whether a count byte follows.
@@ -326,7 +385,5 @@ def expand_row(data: bytes, size: int, kind: bytes) -> bytes:
 
 
 def open_binary(spark: SparkSession, path: str) -> Table:
-    data = BinaryDataset(path)
-    vars_ = data.variables()
-    schema = "".join(f"`{v.name}` {'double' if v.kind == 'num' else 'string'}, " for v in vars_) + f"{ORD} long"
-    return Table(spark.createDataFrame([(*r, k) for k, r in enumerate(data.values())], schema), vars_, (), True)
+    spark.dataSource.register(BinarySource)
+    return Table(spark.read.format(BinarySource.name()).load(path), BinaryDataset(path).variables(), (), True)

@@ -153,6 +153,7 @@ def binary_dataset(rows, wide):
     size[:w] = b"\xf7\xf7\xf7\xf7" + pad
     size[5 * w : 6 * w], size[6 * w : 7 * w] = number(length), number(len(rows))
     sub["size"] = bytes(size)
+    sub["columns"] = b"\xf6\xf6\xf6\xf6" + pad + number(2)
     sub["text"] = b"\xfd\xff\xff\xff" + (b"\xff" * 4 if wide else b"") + text
     ref = lambda at, n: number(0, 2) + number(at, 2) + number(n, 2) + b"\0\0"
     sub["names"] = b"\xff\xff\xff\xff" + (b"\xff" * 4 if wide else b"") + b"\0" * 8 + ref(4, 2) + ref(8, 4) + b"\0" * (w + 4)
