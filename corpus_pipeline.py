@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without letters, or with no language better than chance, go."""
+    """Language ID: documents without letters, in no learned language or with no language better than chance, go."""
     ship_package(spark)
     return langid.keep_known(docs, langid.train(docs))
 

@@ -5,6 +5,13 @@ fitted on a bounded sample of them, at most `per_language` rows of each language
 hash of the id; the optimiser is follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties. A fifth of
 the sample is kept out of the fit and sets the temperature that calibrates the probabilities.
 
+Rejection. A softmax over the learned languages says which of them a text is nearest to, not that it is in any: its
+largest value is never below one over their number. So the n-grams of each language's fitted rows are remembered, and
+a text is known if enough of its n-grams are among those of its two likeliest languages (two, as texts may mix them).
+How many is enough is set for each language from the kept-out rows: up to twice the highest share of unknown n-grams
+there passes, and a tenth always, or half of all n-grams where fewer than FEW rows were kept out; a language with fewer than FEW fitted rows
+lets any share pass. Short texts get the benefit of BENEFIT known n-grams.
+
 Prediction reads the text only. Defined results: a null text or one without a letter is 'und' with score 0; equal
 texts get equal results; ties go to the first language in alphabetical order; without any training row every text is
 'und'; languages beyond the `most_languages` most frequent are not learned.
@@ -27,6 +34,7 @@ from stepframe.llm.features import ngram_counts, sparse_batch
 
 BITS = 15
 UNKNOWN = "und"
+BENEFIT, FEW, MOST_ASKED = 32, 20, 0.9
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -66,29 +74,44 @@ class LanguageModel:
     weights: np.ndarray | None = None
     bias: np.ndarray | None = None
     temperature: float = 1.0
+    #: for each language, the n-grams of its fitted rows, and the least share of known n-grams of a text in it
+    known: np.ndarray | None = None
+    least_known: np.ndarray | None = None
 
     def vector(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         x = (1 + np.log(counts)) * self.idf[at]
         norm = math.sqrt(float(x @ x))
         return x / norm if norm else x
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        lang, score = [], []
+    def share(self, at: np.ndarray, counts: np.ndarray, pair: np.ndarray) -> float:
+        """The share of n-grams that are known in one of two languages."""
+        return (float(counts[self.known[pair][:, at].any(axis=0)].sum()) + BENEFIT) / (float(counts.sum()) + BENEFIT)
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of each text, and whether enough of its n-grams are known in its two likeliest languages."""
+        lang, score, known = [], [], []
         for text, (at, counts) in zip(texts, ngram_counts(texts, BITS), strict=True):
             if not self.languages or not text or not LETTER.search(text):
                 lang.append(UNKNOWN)
                 score.append(0.0)
+                known.append(False)
                 continue
             p = softmax((self.vector(at, counts) @ self.weights[at] + self.bias) / self.temperature)
             k = int(p.argmax())
             lang.append(self.languages[k])
             score.append(float(p[k]))
-        return lang, score
+            pair = np.argsort(-p, kind="stable")[:2]
+            known.append(self.share(at, counts, pair) >= self.least_known[pair].min())
+        return lang, score, known
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
 
 
 def fit(model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, seed: int = 7) -> LanguageModel:
-    """rows: (n-grams, counts, language number). Sets weights, bias and temperature."""
-    data = [(at, model.vector(at, counts), y) for at, counts, y in rows if len(at)]
+    """rows: (n-grams, counts, language number). Sets weights, bias, temperature and what is known."""
+    rows = [r for r in rows if len(r[0])]
+    data = [(at, model.vector(at, counts), y) for at, counts, y in rows]
     fitted, kept = [r for i, r in enumerate(data) if i % 5], data[::5]
     size = 1 << BITS
     ftrl = Ftrl(size + 1, len(model.languages))
@@ -113,6 +136,16 @@ def fit(model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray, int]], ep
     if len(truth):
         grid = np.linspace(math.log(0.02), math.log(20), 61)
         model.temperature = math.exp(min(grid, key=loss))
+    model.known = np.zeros((len(model.languages), size), bool)
+    learned = np.zeros(len(model.languages), np.int64)
+    for at, _, y in (r for i, r in enumerate(rows) if i % 5):
+        model.known[y, at] = True
+        learned[y] += 1
+    shares: list[list[float]] = [[] for _ in model.languages]
+    for (at, counts, y), s in zip(rows[::5], scores, strict=False):
+        shares[y].append(model.share(at, counts, np.argsort(-s, kind="stable")[:2]))
+    # one kept-out row in 400 may be junk itself
+    model.least_known = np.array([min(MOST_ASKED, 1 - 2 * (1 - sorted(s)[len(s) // 400])) if len(s) >= FEW else 0.5 if n >= FEW else 0.0 for s, n in zip(shares, learned, strict=True)])
     return model
 
 
@@ -173,12 +206,15 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.25) -> DataFrame:
-    """The rows of docs, all columns, whose language is identified with a score of at least `least`."""
+    """The rows of docs, all columns, that are in a learned language: enough n-grams are known, and the score is at least
+    `least` and clear of chance (one over the number of languages) by a twentieth of what is left to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    chance = 1 / max(1, len(model.languages))
+    least = max(least, chance + (1 - chance) / 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            lang, score = shared.value.predict(b.column(b.schema.get_field_index("text")).to_pylist())
-            yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+            judged = shared.value.judge(b.column(b.schema.get_field_index("text")).to_pylist())
+            yield b.filter(pa.array([x != UNKNOWN and s >= least and k for x, s, k in zip(*judged, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,7 +1,9 @@
 """Language identification, toxicity and personal data."""
 
+import base64
 import random
 import re
+import string
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -58,6 +60,27 @@ def test_language_learns_nothing_from_held_out_or_empty(spark):
     assert langid.identify(empty, langid.train(empty)).count() == 0
 
 
+def test_texts_in_no_learned_language_go(spark):
+    # four languages: the largest of four probabilities is never below 1/4
+    rng = random.Random(3)
+    syllables = SYL | {"dd": ["lla", "cion", "que", "dor"]}
+    clean = []
+    for k in range(480):
+        lang = sorted(syllables)[k % 4]
+        clean.append((k, " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 60))), lang))
+    mixed = [(600, clean[4][1] + " " + clean[5][1], "aa")]
+    foreign = [
+        (700, "съешь же ещё этих мягких французских булок да выпей чаю " * 3, None),
+        (701, "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏" * 3, None),
+        (702, base64.b64encode(rng.randbytes(300)).decode(), None),
+        (703, " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(3, 9))) for _ in range(60)), None),
+    ]
+    docs = spark.createDataFrame(clean + mixed + foreign, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == 4
+    assert {r.doc_id for r in langid.keep_known(docs, model).collect()} == set(range(480)) | {600}
+
+
 def test_ftrl_prefers_few_weights():
     f = langid.Ftrl(10, 1, l1=1.0)
     for _ in range(50):
