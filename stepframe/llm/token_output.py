@@ -12,10 +12,11 @@ so blocks decode independently; numpy runs the blocks of a batch side by side, o
 
 Format. A frame is "TIDC", then little-endian: version u32, documents u64, ids u64, block size u32, blocks u32; the
 doc_ids (i64) and id counts (i64); per block its length in 16-bit words (u32) and CRC-32 of its ids as u32 (u32); the
-blocks' words. Frames are rows of Parquet files in the shared folder, in ascending doc_id order.
+blocks' words. A frame with null doc_ids has version 2: behind the id counts, a byte for each document says whether its doc_id is
+null (its i64 is then 0). Frames are rows of Parquet files in the shared folder, in ascending doc_id order, nulls first.
 
 Defined results: a null or empty text holds the end id only; rows that repeat a doc_id stay next to each other as
-documents of their own (ordered by text); an empty table gives no rows. Ids must be below 65,536. A damaged frame
+documents of their own (ordered by text), and so do rows with a null doc_id, which stays null; an empty table gives no rows. Ids must be below 65,536. A damaged frame
 raises ValueError.
 """
 
@@ -36,7 +37,7 @@ from stepframe.shared import materialise
 
 BLOCK, FRAME_IDS, BATCH_IDS = 4096, 1 << 20, 8 << 20
 END_ID = 2
-MAGIC, VERSION = b"TIDC", 1
+MAGIC, VERSION, WITH_NULLS = b"TIDC", 1, 2
 SLOTS, REBUILD, HALVE = 512, 128, 512
 BITS1, BITS2 = 10, 11
 HEAD = struct.Struct("<4sIQQII")
@@ -237,7 +238,7 @@ def decode_blocks(words: np.ndarray, n_words: np.ndarray, lens: np.ndarray) -> n
 
 
 def write_frames(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int = BLOCK) -> list[bytes]:
-    """A frame for each (doc_ids, id counts, ids); their blocks are coded side by side."""
+    """A frame for each (doc_ids, id counts, ids); their blocks are coded side by side. Null doc_ids are masked."""
     split = []
     for _, _, ids in groups:
         n = len(ids)
@@ -256,27 +257,32 @@ def write_frames(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block:
         table = np.empty((len(own), 2), "<u4")
         table[:, 0] = n
         table[:, 1] = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        frames.append(b"".join([HEAD.pack(MAGIC, VERSION, len(docs), len(ids), block, len(own)), docs.astype("<i8").tobytes(), lens.astype("<i8").tobytes(), table.tobytes(), words[w : w + total].astype("<u2").tobytes()]))
+        nulls = np.ma.getmaskarray(docs)
+        version, mask = (WITH_NULLS, nulls.astype(np.uint8).tobytes()) if nulls.any() else (VERSION, b"")
+        frames.append(b"".join([HEAD.pack(MAGIC, version, len(docs), len(ids), block, len(own)), np.ma.filled(docs, 0).astype("<i8").tobytes(), lens.astype("<i8").tobytes(), mask, table.tobytes(), words[w : w + total].astype("<u2").tobytes()]))
         w += total
     return frames
 
 
 def read_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, id counts, ids) of each frame; ValueError if one is damaged."""
+    """(doc_ids, id counts, ids) of each frame, null doc_ids masked; ValueError if one is damaged."""
     parsed, all_words, all_counts, all_lens = [], [], [], []
     for raw in frames:
         if len(raw) < HEAD.size:
             raise ValueError("token frame: too short")
         magic, version, n_docs, n_ids, block, n_blocks = HEAD.unpack_from(raw)
-        if magic != MAGIC or version != VERSION or n_blocks != -(-n_ids // block):
+        if magic != MAGIC or version not in (VERSION, WITH_NULLS) or n_blocks != -(-n_ids // block):
             raise ValueError("token frame: not a frame of this format")
         at = HEAD.size
-        if len(raw) < at + 16 * n_docs + 8 * n_blocks:
+        mask = n_docs if version == WITH_NULLS else 0
+        if len(raw) < at + 16 * n_docs + mask + 8 * n_blocks:
             raise ValueError("token frame: too short")
         docs = np.frombuffer(raw, "<i8", n_docs, at)
         lens = np.frombuffer(raw, "<i8", n_docs, at + 8 * n_docs)
-        table = np.frombuffer(raw, "<u4", 2 * n_blocks, at + 16 * n_docs).reshape(-1, 2)
-        at += 16 * n_docs + 8 * n_blocks
+        if mask:
+            docs = np.ma.array(docs, mask=np.frombuffer(raw, np.uint8, mask, at + 16 * n_docs) != 0)
+        table = np.frombuffer(raw, "<u4", 2 * n_blocks, at + 16 * n_docs + mask).reshape(-1, 2)
+        at += 16 * n_docs + mask + 8 * n_blocks
         if len(raw) != at + 2 * int(table[:, 0].sum()) or int(lens.sum()) != n_ids or (len(lens) and lens.min() < 0) or (n_blocks and table[:, 0].min() < 2):
             raise ValueError("token frame: lengths do not agree")
         parsed.append((docs, lens, table, n_ids, block))
@@ -312,7 +318,7 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
         def close() -> None:
             nonlocal doc, lens, ids, held
             if doc:
-                groups.append((np.concatenate(doc), np.concatenate(lens), np.concatenate(ids)))
+                groups.append((np.ma.concatenate(doc), np.concatenate(lens), np.concatenate(ids)))
             doc, lens, ids, held = [], [], [], 0
 
         def emit() -> pa.RecordBatch:
@@ -329,7 +335,8 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
             own = np.full(len(got) + len(n), end_id, np.uint16)
             ends = np.cumsum(n)
             own[np.arange(len(got)) + np.repeat(np.arange(len(n)), n)] = got
-            doc.append(np.array(b.column(0).to_pylist(), np.int64))
+            own_ids = b.column(0)
+            doc.append(np.ma.array(own_ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64, mask=own_ids.is_null().to_numpy(zero_copy_only=False)))
             lens.append(n + 1)
             ids.append(own)
             held += len(own)
@@ -355,7 +362,7 @@ def read_tokens(frames: DataFrame, with_ids: bool = True) -> DataFrame:
                 ends = np.cumsum(lens)
                 raw = ids.astype("<u4")
                 crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True)]
-                cols = [pa.array(np.full(len(docs), file_no), pa.int64()), pa.array(np.full(len(docs), frame_no), pa.int64()), pa.array(ends - lens, pa.int64()), pa.array(docs, pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())]
+                cols = [pa.array(np.full(len(docs), file_no), pa.int64()), pa.array(np.full(len(docs), frame_no), pa.int64()), pa.array(ends - lens, pa.int64()), pa.array(np.ma.getdata(docs), pa.int64(), mask=np.ma.getmaskarray(docs)), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["file_no", "frame_no", "at", "doc_id", "n_tokens", "ids_crc32"]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32())))

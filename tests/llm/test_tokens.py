@@ -68,6 +68,12 @@ def test_token_output_empty_table_and_repeated_ids(spark):
     assert sorted(r.start for r in token_output.token_digests(twice).collect()) == [0, 1, 4]
 
 
+def test_token_output_keeps_null_ids(spark):
+    docs = spark.createDataFrame([(1, "a b"), (None, "a b"), (None, None), (0, "c")], "doc_id long, text string")
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_output.token_digests(docs).collect())
+    assert got == [(0, None, 1), (1, None, 3), (4, 0, 2), (6, 1, 3)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 4095, 4096, 4097, 12_289])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
