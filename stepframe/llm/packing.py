@@ -5,7 +5,7 @@ best-fit decreasing: lengths in falling order, each into the open window with th
 Open windows hang in a segment tree over remaining capacity (a leaf for each possible room, holding a stack of the
 windows with just that room; inner nodes count windows), so the tightest fit is one walk down the tree.
 
-At scale the remainders are dealt by hash to shards of about SHARD_PIECES, and every shard packs alone: a shard's
+At scale the remainders are dealt by a hash of their row to shards of about SHARD_PIECES, whatever the doc_ids, and every shard packs alone: a shard's
 size does not grow with the corpus, and a shard of that size already packs to well under one percent of padding.
 
 Defined results: a null or empty text is one piece that holds the end id only; equal lengths are placed in
@@ -115,6 +115,11 @@ def cut_documents(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, v
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
+def dealt(rest: DataFrame, shards: int) -> DataFrame:
+    """rest with its shard. The row's place counts too, so that rows of one repeated or null doc_id, even with one text, are spread."""
+    return rest.withColumn("at", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "at"), F.lit(shards)).cast("long")).drop("at")
+
+
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Pieces with sequence_id and offset. Sequence ids are gapless: full windows first, then shard after shard."""
     pieces = materialise(cut_documents(docs, window, end_id, vocabulary))
@@ -128,7 +133,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
         return pdf
 
     placed = (
-        rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("long"))
+        dealt(rest, shards)
         .groupBy("shard")
         .applyInPandas(place, f"{PIECES}, shard long, local long, offset long")
     )

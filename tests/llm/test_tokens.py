@@ -122,6 +122,14 @@ def test_best_fit_decreasing_against_brute_force():
         assert at.tolist() == (np.cumsum(own) - own).tolist()
 
 
+def test_rows_of_one_id_are_spread_over_shards(spark):
+    docs = spark.createDataFrame([(None, "a b")] * 300 + [(7, "a b")] * 300, "doc_id long, text string")
+    sizes = [r["count"] for r in packing.dealt(packing.materialise(packing.cut_documents(docs)), 10).groupBy("shard").count().collect()]
+    assert sum(sizes) == 600 and len(sizes) == 10 and max(sizes) < 120
+    packed = packing.pack(docs, shard_pieces=60)
+    assert packed.where("doc_id is null").count() == packed.where("doc_id = 7").count() == 300
+
+
 def test_pack_covers_every_id_once(docs, library):
     p = packing.pack(docs, shard_pieces=4).cache()
     rows = p.collect()
