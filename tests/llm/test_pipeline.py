@@ -1,7 +1,13 @@
 """The pipeline, stage by stage, on the small tables."""
 
+import random
+import zlib
+
+import numpy as np
+
 import corpus_pipeline
 from stepframe.llm import queries
+from stepframe.llm.words import default_vocabulary
 
 
 def test_stages_and_run(spark):
@@ -22,5 +28,33 @@ def test_stages_and_run(spark):
     assert packed.select("doc_id").distinct().count() == counts[-1]
 
 
+def test_run_against_a_plain_version(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    syllables = {"aa": ["ka", "ko", "ki", "tan"], "bb": ["sch", "en", "ung", "der"], "cc": ["eau", "oui", "le", "tre"], "dd": ["lla", "cion", "que", "dor"]}
+    texts, langs = {}, {}
+    for k in range(480):
+        langs[k] = sorted(syllables)[k % 4]
+        words = ["".join(rng.choice(syllables[langs[k]]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(20, 60))]
+        texts[k] = " ".join(words)
+    toxic = {k for k in texts if k % 7 == 0}
+    for k in toxic:
+        texts[k] = texts[k].replace(" ", " nastyword ", 1) + " nastyword vileterm"
+    copies = {500 + k: texts[k] for k in (1, 2, 3, 4)}
+    private = {k: " write to some.one@mail1.example.com" for k in (5, 6)}
+    foreign = {600: "съешь же ещё этих мягких французских булок да выпей чаю " * 3, 601: "123 456 !!"}
+    rows = [(k, t + private.get(k, ""), langs.get(k)) for k, t in (texts | copies | foreign).items()]
+    spark.createDataFrame([(k, t, lang, "s", len(t)) for k, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    library, want = Tokenizer.from_file(default_vocabulary()), set()
+    for k in texts.keys() - toxic:
+        text = texts[k] + private.get(k, "").replace("some.one@mail1.example.com", "<EMAIL>")
+        ids = library.encode(text, add_special_tokens=False).ids + [2]
+        want.add((k, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
