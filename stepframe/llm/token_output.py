@@ -1,27 +1,33 @@
 """Token-id output in a compressed binary format: an adaptive context-mixing range coder over token ids.
 
-Prediction. For each id, an order-2 and an order-1 table (looked up by the hashed last two ids and last id) name the
-id that followed last time, with a confidence of 0 to 3. An order-0 table has SLOTS slots, each with the id last seen
-there. The id is coded as one of four events: as order 2 says, as order 1 says, in its order-0 slot, or new. The
-chances of the events mix two adaptive models, one seen from the two confidences and one from the last two events;
-their weight moves towards the model that did better. A slot is then coded by adaptive slot frequencies, a new id by
-16 plain bits. All arithmetic is on integers, so any machine reads what another wrote.
+Prediction. Of each id, order 2 and order 1 (tables looked up by the last two ids and the last id) name the id that
+followed there, with a confidence of 0 to 15; order 0 is how often each id was seen. Whether the id is order 2's
+candidate, and if not, whether it is order 1's, is a binary choice. Its chance mixes what the three orders say of that candidate: each
+has an adaptive chance for its confidence (order 0: for how often it saw the candidate), and these are added in the logistic domain with weights that
+learn online, a set for each way in which the orders agree. An id that neither names is coded by order 0's adaptive counts,
+first its upper byte, then its lower byte given the upper. All arithmetic is on integers, so any machine reads
+what another wrote.
 
 Blocks. Ids are coded in blocks of at most BLOCK ids. Every block starts from empty models and has its own CRC-32,
-so blocks decode independently; numpy runs the blocks of a batch side by side, one id of each block at a time.
+so blocks decode independently. The query's coder is java/TokenCoder.java, a JVM function from frame to frame;
+BlockCoder below is the same coder written plainly, for reading frames without Spark and for tests.
 
 Format. A frame is "TIDC", then little-endian: version u32, documents u64, ids u64, block size u32, blocks u32; the
 doc_ids (i64) and id counts (i64); per block its length in 16-bit words (u32) and CRC-32 of its ids as u32 (u32); the
-blocks' words. A frame with null doc_ids has version 2: behind the id counts, a byte for each document says whether its doc_id is
-null (its i64 is then 0). Frames are rows of Parquet files in the shared folder, in ascending doc_id order, nulls first.
+blocks' words (bytes, an odd one filled up with a zero). The version is 3; a frame with null doc_ids has version 4: behind the id counts, a byte for each
+document says whether its doc_id is null (its i64 is then 0). Added to it, 0x100 marks a frame on its way to or from the coder: in
+place of table and words stand the plain ids (u32). Frames are rows of Parquet files in the shared folder, in ascending
+doc_id order, nulls first.
 
 Defined results: a null or empty text holds the end id only; rows that repeat a doc_id stay next to each other as
-documents of their own (ordered by text), and so do rows with a null doc_id, which stays null; an empty table gives no rows. Ids must be below 65,536. A damaged frame
-raises ValueError.
+documents of their own (ordered by text), and so do rows with a null doc_id, which stays null; a text longer than a
+frame has a frame of its own; an empty table gives no rows. Ids must be below 65,536, else ValueError (an error of the
+job inside one). A damaged frame raises ValueError, or fails the job that reads it.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,357 +37,294 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepframe.llm.arrow_text import chunks, ranges
+from stepframe.llm.arrow_text import chunks
+from stepframe.llm.jvm import token_coder
 from stepframe.llm.words import default_vocabulary, library_encoder
-from stepframe.shared import materialise
+from stepframe.shared import arrow_rows, materialise
 
-BLOCK, FRAME_IDS, BATCH_IDS = 4096, 1 << 20, 8 << 20
+BLOCK, FRAME_IDS = 1 << 16, 1 << 20
 END_ID = 2
-MAGIC, VERSION, WITH_NULLS = b"TIDC", 1, 2
-SLOTS, REBUILD, HALVE = 512, 128, 512
-BITS1, BITS2 = 10, 11
+MAGIC, VERSION, WITH_NULLS, PLAIN = b"TIDC", 3, 4, 0x100
 HEAD = struct.Struct("<4sIQQII")
-
-
-#: Four 16-bit chances lie in one 64-bit word; multiplied by ONES, each field becomes the sum of those up to it.
-ONES = 0x0001000100010001
-FRESH, GAIN, KEPT = 960 * ONES, 120, 0x07FF07FF07FF07FF
-
-
-class _Model:
-    """The adaptive state of `lanes` blocks; encoder and decoder drive it alike."""
-
-    def __init__(self, lanes: int):
-        self.t1 = np.zeros(lanes << BITS1, np.int32)
-        self.t2 = np.zeros(lanes << BITS2, np.int32)
-        self.slot_id = np.zeros(lanes * SLOTS, np.int32)
-        self.slot_count = np.zeros(lanes * SLOTS, np.int32)
-        self.cum = np.zeros(lanes * (SLOTS + 1), np.int32)
-        self.by_confidence = np.full(lanes * 32, FRESH)
-        self.by_history = np.full(lanes * 16, FRESH)
-        self.weight = np.full(lanes, 4)
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.prev1, self.prev2, self.history = (np.zeros(lanes, np.int64) for _ in range(3))
-
-    def predict(self, n: int, t: int) -> np.ndarray:
-        """Running sums of the chances of the four events at step t for the first n lanes, 16 bits each."""
-        if t % REBUILD == 0:
-            count = self.slot_count.reshape(-1, SLOTS)[:n]
-            if t and t % HALVE == 0:
-                count >>= 1
-            np.cumsum(count + 1, axis=1, dtype=np.int32, out=self.cum.reshape(-1, SLOTS + 1)[:n, 1:])
-        lane, p1 = self.lane[:n], self.prev1[:n]
-        self.at1 = (lane << BITS1) + (((p1 * 40503) >> 4) & ((1 << BITS1) - 1))
-        self.at2 = (lane << BITS2) + (((p1 * 2654435761 + self.prev2[:n] * 40499) >> 9) & ((1 << BITS2) - 1))
-        self.e1, self.e2 = np.take(self.t1, self.at1), np.take(self.t2, self.at2)
-        self.id1, self.id2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
-        self.row_a = (lane << 5) + (((self.e2 >> 16) << 3) + ((self.e1 >> 16) << 1) + (self.id1 == self.id2))
-        self.row_b = (lane << 4) + self.history[:n]
-        self.fa, self.fb = np.take(self.by_confidence, self.row_a), np.take(self.by_history, self.row_b)
-        w = self.weight[:n]
-        return (self.fa * w + self.fb * (8 - w)) * ONES
-
-    def slot(self, ids: np.ndarray) -> np.ndarray:
-        return ((ids * 40503) >> 5) & (SLOTS - 1)
-
-    def update(self, n: int, ids: np.ndarray, event: np.ndarray) -> None:
-        own = ids.astype(np.int32)
-        for table, at, e, guess in ((self.t1, self.at1, self.e1, self.id1), (self.t2, self.at2, self.e2, self.id2)):
-            table[at] = np.where(guess == own, e + ((e < 0x30000).astype(np.int32) << 16), np.where(e > 0xFFFF, e - 0x10000, own))
-        at = self.lane[:n] * SLOTS + self.slot(ids)
-        self.slot_id[at] = own
-        self.slot_count[at] += ((event >> 1) << 4).astype(np.int32)
-        shift = event << 4
-        a, b = (self.fa >> shift) & 0xFFFF, (self.fb >> shift) & 0xFFFF
-        w = self.weight[:n]
-        w += a > b
-        w -= a < b
-        np.clip(w, 1, 7, out=w)
-        gain = GAIN << shift
-        self.by_confidence[self.row_a] = self.fa - ((self.fa >> 5) & KEPT) + gain
-        self.by_history[self.row_b] = self.fb - ((self.fb >> 5) & KEPT) + gain
-        self.history[:n] = ((self.history[:n] << 2) | event) & 15
-        self.prev2[:n], self.prev1[:n] = self.prev1[:n], ids
-
-
-def _lanes(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks in falling order of length, and how many are still running at each step."""
-    order = np.argsort(-lens, kind="stable")
-    steps = int(lens.max()) if len(lens) else 0
-    running = len(lens) - np.searchsorted(np.sort(lens), np.arange(steps), side="right")
-    return order, running
+SYMBOLS, STEP, MOST, RATE = 256, 24, 60_000, 6
+#: Pieces of texts and runs of letters that a worker remembers, some 150 MB.
+PIECES, LETTERS = 600_000, 500_000
+
+
+def _logistic() -> tuple[list[int], list[int]]:
+    """Chances of 12 bits for logits -2047..2047 (256 a unit), and the least logit of each chance."""
+    squash = [max(1, int(4096 / (1 + math.exp(-d / 256)))) for d in range(-2047, 2048)]
+    stretch: list[int] = []
+    for d, p in enumerate(squash):
+        stretch += [d - 2047] * (p + 1 - len(stretch))
+    return squash, stretch + [2047] * (4096 - len(stretch))
+
+
+SQUASH, STRETCH = _logistic()
+
+
+class BlockCoder:
+    """Codes (words=None) or decodes one block, an id at a time."""
+
+    def __init__(self, words: bytes | None = None):
+        self.first: dict[int, tuple[int, int]] = {}
+        self.second: dict[int, tuple[int, int, int]] = {}
+        self.seen: dict[int, int] = {}
+        self.counts: dict[int, list[int]] = {}
+        self.chance: dict[tuple[int, int, int], int] = {}
+        self.weight = [[26_214] * 3 for _ in range(5)]
+        self.before = self.before_that = 0
+        self.low, self.range = 0, 0xFFFFFFFF
+        self.source = None if words is None else iter(words)
+        self.out = bytearray()
+        if words is not None:
+            self.code = 0
+            for _ in range(4):
+                self.code = self.code << 8 | next(self.source, 0)
+
+    def narrow(self, below: int, size: int) -> None:
+        self.range = size
+        if self.source is not None:
+            self.code -= below
+        else:
+            self.low += below
+            if self.low > 0xFFFFFFFF:
+                self.low &= 0xFFFFFFFF
+                k = len(self.out) - 1
+                while self.out[k] == 255:
+                    self.out[k] = 0
+                    k -= 1
+                self.out[k] += 1
+        while self.range < 1 << 24:
+            self.range <<= 8
+            if self.source is not None:
+                self.code = self.code << 8 | next(self.source, 0)
+            else:
+                self.out.append(self.low >> 24)
+                self.low = self.low << 8 & 0xFFFFFFFF
+
+    def guess(self, group: int, confidences: tuple[int, int], candidate: int, hit: bool) -> bool:
+        """Whether the id is the candidate: the chances that orders 2, 1 and 0 give it are mixed."""
+        keys = [(order, group, c) for order, c in zip((2, 1, 0), (*confidences, self.seen.get(candidate, 0).bit_length()), strict=True)]
+        said = [self.chance.get(k, 32_768) for k in keys]
+        logits, weight = [STRETCH[c >> 4] for c in said], self.weight[group]
+        p = SQUASH[max(-2047, min(2047, sum(w * x for w, x in zip(weight, logits, strict=True)) >> 16)) + 2047]
+        bound = (self.range >> 12) * p
+        yes = hit if self.source is None else self.code < bound
+        self.narrow(*((0, bound) if yes else (bound, self.range - bound)))
+        error = (4096 * yes - p) * RATE
+        for k, x in enumerate(logits):
+            weight[k] += (x * error + 32_768) >> 16
+        for k, c in zip(keys, said, strict=True):
+            self.chance[k] = c + ((65_535 * yes - c) >> 5)
+        return yes
+
+    def symbol(self, table: int, s: int) -> int:
+        """One byte by the adaptive counts of a table."""
+        counts = self.counts.setdefault(table, [1] * SYMBOLS)
+        total = sum(counts)
+        part = self.range // total
+        if self.source is not None:
+            left, s = min(self.code // part, total - 1), 0
+            while counts[s] <= left:
+                left -= counts[s]
+                s += 1
+        self.narrow(sum(counts[:s]) * part, counts[s] * part)
+        counts[s] += STEP
+        if total + STEP > MOST:
+            counts[:] = [(c + 1) >> 1 for c in counts]
+        return s
+
+    def id(self, own: int = -1) -> int:
+        """Codes the id `own`, or decodes one; then learns from it."""
+        mixed = (self.before * 0x9E3779B1 + self.before_that * 0x85EBCA6B) & 0xFFFFFFFF
+        place, check = mixed >> 16, mixed >> 8 & 255
+        conf1, id1 = self.first.get(self.before, (0, 0))
+        of, conf2, id2 = self.second.get(place, (check, 0, 0))
+        if of != check:
+            conf2 = 0
+        found = -1
+        if conf2:
+            group = 0 if not conf1 else 1 if id1 == id2 else 2
+            if self.guess(group, (conf2, conf1), id2, own == id2):
+                found = id2
+            elif group == 2 and self.guess(3, (conf2, conf1), id1, own == id1):
+                found = id1
+        elif conf1 and self.guess(4, (0, conf1), id1, own == id1):
+            found = id1
+        if found < 0:
+            top = self.symbol(-1, own >> 8)
+            found = top << 8 | self.symbol(top, own & 255)
+        self.first[self.before] = self.learned(conf1, id1, found)
+        self.second[place] = (check, *self.learned(conf2, id2, found))
+        self.seen[found] = min(255, self.seen.get(found, 0) + 1)
+        self.before_that, self.before = self.before, found
+        return found
+
+    @staticmethod
+    def learned(conf: int, guess: int, found: int) -> tuple[int, int]:
+        if conf and guess == found:
+            return min(15, conf + 1), guess
+        return (conf >> 1, guess) if conf > 1 else (1, found)
+
+    def end(self) -> bytes:
+        self.out += self.low.to_bytes(4, "big") + bytes(len(self.out) & 1)
+        return bytes(self.out)
 
 
 def encode_blocks(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coded 16-bit words of all blocks one after the other, and the number of words of each. ids: all blocks' ids."""
-    lens = lens.astype(np.int64)
-    if not len(lens):
-        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-    order, running = _lanes(lens)
-    n_all = len(lens)
-    begin = (np.cumsum(lens) - lens)[order]
-    model = _Model(n_all)
-    width = 2 * int(lens.max()) + 4
-    out, put = np.zeros(n_all * width, np.uint16), np.arange(n_all, dtype=np.int64) * width
-    low, span = np.zeros(n_all, np.int64), np.full(n_all, (1 << 32) - 1, np.int64)
-
-    def code(n: int, lo: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """Narrow the spans, carry out of `low`, then shift out 16 bits where a span is short."""
-        lows, spans = low[:n], span[:n]
-        part = spans // total
-        lows += lo * part
-        np.multiply(size, part, out=spans)
-        over = np.flatnonzero(lows >> 32)
-        if len(over):
-            lows[over] &= 0xFFFFFFFF
-            at = put[over] - 1
-            while len(at):
-                out[at] += 1
-                at = at[out[at] == 0] - 1
-        short = np.flatnonzero(spans < 65536)
-        if len(short):
-            x = lows[short]
-            out[put[short]] = x >> 16
-            put[short] += 1
-            lows[short] = (x << 16) & 0xFFFFFFFF
-            spans[short] <<= 16
-
-    for t in range(len(running)):
-        n = int(running[t])
-        now = np.take(ids, begin[:n] + t).astype(np.int64)
-        sums = model.predict(n, t)
-        slot = model.slot(now)
-        lane = model.lane[:n]
-        event = np.where(model.id2 == now, 0, np.where(model.id1 == now, 1, 3 - (np.take(model.slot_id, lane * SLOTS + slot) == now)))
-        shift = event << 4
-        lo = ((sums << 16) >> shift) & 0xFFFF
-        code(n, lo, ((sums >> shift) & 0xFFFF) - lo, sums >> 48)
-        # the slot, 16 plain bits, or nothing (one chance in one)
-        at = lane * (SLOTS + 1)
-        slotted, new = event == 2, event == 3
-        first = np.take(model.cum, at + slot)
-        size = np.where(slotted, np.take(model.cum, at + slot + 1) - first, 1)
-        total = np.where(slotted, np.take(model.cum, at + SLOTS), np.where(new, 65536, 1))
-        code(n, np.where(slotted, first, np.where(new, now, 0)), size, total)
-        model.update(n, now, event)
-    for _ in range(2):
-        out[put] = low >> 16
-        put += 1
-        low = (low << 16) & 0xFFFFFFFF
-    words, lane_of = np.zeros(n_all, np.int64), np.empty(n_all, np.int64)
-    words[order] = put - np.arange(n_all) * width
-    lane_of[order] = np.arange(n_all)
-    return out[np.repeat(lane_of * width, words) + ranges(words)], words
+    parts, at = [], 0
+    for n in lens.tolist():
+        coder = BlockCoder()
+        for x in ids[at : at + n].tolist():
+            coder.id(x)
+        parts.append(np.frombuffer(coder.end(), "<u2"))
+        at += n
+    return np.concatenate([np.zeros(0, np.uint16), *parts]), np.array([len(p) for p in parts], np.int64)
 
 
 def decode_blocks(words: np.ndarray, n_words: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The ids of all blocks one after the other."""
-    lens = lens.astype(np.int64)
-    ids = np.zeros(int(lens.sum()), np.int32)
-    if not len(lens):
-        return ids
-    order, running = _lanes(lens)
-    n_all = len(lens)
-    begin = (np.cumsum(lens) - lens)[order]
-    n_words = n_words.astype(np.int64)
-    at = (np.cumsum(n_words) - n_words)[order]
-    last = at + n_words[order]
-    source = np.concatenate([words, np.zeros(2, np.uint16)])
-    end = len(source) - 1
-    model = _Model(n_all)
-    code = (source[at].astype(np.int64) << 16) | source[at + 1]
-    at += 2
-    span = np.full(n_all, (1 << 32) - 1, np.int64)
-
-    def narrow(n: int, lo: np.ndarray, size: np.ndarray, part: np.ndarray) -> None:
-        codes, spans = code[:n], span[:n]
-        codes -= lo * part
-        np.multiply(size, part, out=spans)
-        short = np.flatnonzero(spans < 65536)
-        if len(short):
-            codes[short] = (codes[short] << 16) | source[np.minimum(at[short], end)]
-            at[short] += 1
-            spans[short] <<= 16
-
-    for t in range(len(running)):
-        n = int(running[t])
-        sums = model.predict(n, t)
-        total = sums >> 48
-        part = span[:n] // total
-        value = np.minimum(code[:n] // part, total - 1)
-        event = (value >= (sums & 0xFFFF)).astype(np.int64)
-        event += value >= ((sums >> 16) & 0xFFFF)
-        event += value >= ((sums >> 32) & 0xFFFF)
-        shift = event << 4
-        lo = ((sums << 16) >> shift) & 0xFFFF
-        narrow(n, lo, ((sums >> shift) & 0xFFFF) - lo, part)
-        lane = model.lane[:n]
-        row = lane * (SLOTS + 1)
-        slotted, new = event == 2, event == 3
-        total = np.where(slotted, np.take(model.cum, row + SLOTS), np.where(new, 65536, 1))
-        part = span[:n] // total
-        value = np.minimum(code[:n] // part, total - 1)
-        here, step = row.copy(), SLOTS >> 1
-        while step:
-            here += (np.take(model.cum, here + step) <= value) * step
-            step >>= 1
-        first = np.take(model.cum, here)
-        size = np.where(slotted, np.take(model.cum, here + 1) - first, 1)
-        narrow(n, np.where(slotted, first, np.where(new, value, 0)), size, part)
-        known = np.where(event == 0, model.id2, model.id1)
-        now = np.where(slotted, np.take(model.slot_id, here - lane), np.where(new, value, known)).astype(np.int64)
-        ids[begin[:n] + t] = now
-        model.update(n, now, event)
-    if (at > last + 2).any():
-        raise ValueError("token frame: a block ends too early")
-    return ids
+    ids, at = [], 0
+    for w, n in zip(n_words.tolist(), lens.tolist(), strict=True):
+        coder = BlockCoder(words[at : at + w].astype("<u2").tobytes())
+        ids += [coder.id() for _ in range(n)]
+        at += w
+    return np.array(ids, np.int32)
 
 
-def write_frames(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int = BLOCK) -> list[bytes]:
-    """A frame for each (doc_ids, id counts, ids); their blocks are coded side by side. Null doc_ids are masked."""
-    split = []
-    for _, _, ids in groups:
-        n = len(ids)
-        split.append(np.diff(np.append(np.arange(0, n, block), n)))
-    flat = np.concatenate([g[2] for g in groups]) if groups else np.zeros(0, np.int64)
-    if len(flat) and int(flat.max()) > 0xFFFF:
+def _head(docs: np.ndarray, lens: np.ndarray, n_ids: int, block: int, mark: int = 0) -> bytes:
+    nulls = np.ma.getmaskarray(docs)
+    version, mask = (WITH_NULLS, nulls.astype(np.uint8).tobytes()) if nulls.any() else (VERSION, b"")
+    return b"".join([HEAD.pack(MAGIC, version | mark, len(docs), n_ids, block, -(-n_ids // block)), np.ma.filled(docs, 0).astype("<i8").tobytes(), lens.astype("<i8").tobytes(), mask])
+
+
+def plain_frame(docs: np.ndarray, lens: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """A frame as the coder takes it; null doc_ids are masked."""
+    if len(ids) and int(ids.max()) > 0xFFFF:
         raise ValueError("token ids must be below 65,536")
-    words, counts = encode_blocks(flat, np.concatenate(split) if split else np.zeros(0, np.int64))
-    frames, k, w = [], 0, 0
-    for (docs, lens, ids), own in zip(groups, split, strict=True):
-        n = counts[k : k + len(own)]
-        k += len(own)
-        total = int(n.sum())
+    return _head(docs, lens, len(ids), block, PLAIN) + ids.astype("<u4").tobytes()
+
+
+def _parsed(raw: bytes) -> tuple[np.ndarray, np.ndarray, int, int, int, int]:
+    """doc_ids, id counts, ids, block size, marks and where the head ends."""
+    if len(raw) < HEAD.size:
+        raise ValueError("token frame: too short")
+    magic, version, n_docs, n_ids, block, n_blocks = HEAD.unpack_from(raw)
+    if magic != MAGIC or version & 0xFF not in (VERSION, WITH_NULLS) or not block or n_blocks != -(-n_ids // block):
+        raise ValueError("token frame: not a frame of this format")
+    at = HEAD.size
+    mask = n_docs if version & 0xFF == WITH_NULLS else 0
+    if len(raw) < at + 16 * n_docs + mask:
+        raise ValueError("token frame: too short")
+    docs = np.frombuffer(raw, "<i8", n_docs, at)
+    lens = np.frombuffer(raw, "<i8", n_docs, at + 8 * n_docs)
+    if mask:
+        docs = np.ma.array(docs, mask=np.frombuffer(raw, np.uint8, mask, at + 16 * n_docs) != 0)
+    if int(lens.sum()) != n_ids or (n_docs and lens.min() < 0):
+        raise ValueError("token frame: lengths do not agree")
+    return docs, lens, n_ids, block, version & PLAIN, at + 16 * n_docs + mask
+
+
+def plain_ids(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, id counts, ids) of a frame as the coder gives it back."""
+    docs, lens, n_ids, _, mark, at = _parsed(raw)
+    if not mark or len(raw) != at + 4 * n_ids:
+        raise ValueError("token frame: not a plain frame")
+    return docs, lens, np.frombuffer(raw, "<u4", n_ids, at)
+
+
+def write_frames(groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int = BLOCK) -> list[bytes]:
+    """A frame for each (doc_ids, id counts, ids), by the plainly written coder. Null doc_ids are masked."""
+    frames = []
+    for docs, lens, ids in groups:
+        if len(ids) and int(ids.max()) > 0xFFFF:
+            raise ValueError("token ids must be below 65,536")
+        own = np.diff(np.append(np.arange(0, len(ids), block), len(ids)))
+        words, counts = encode_blocks(ids, own)
         raw = ids.astype("<u4")
-        edges = np.append(0, np.cumsum(own))
         table = np.empty((len(own), 2), "<u4")
-        table[:, 0] = n
-        table[:, 1] = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        nulls = np.ma.getmaskarray(docs)
-        version, mask = (WITH_NULLS, nulls.astype(np.uint8).tobytes()) if nulls.any() else (VERSION, b"")
-        frames.append(b"".join([HEAD.pack(MAGIC, version, len(docs), len(ids), block, len(own)), np.ma.filled(docs, 0).astype("<i8").tobytes(), lens.astype("<i8").tobytes(), mask, table.tobytes(), words[w : w + total].astype("<u2").tobytes()]))
-        w += total
+        table[:, 0] = counts
+        table[:, 1] = [zlib.crc32(raw[k : k + block].tobytes()) for k in range(0, len(ids), block)]
+        frames.append(_head(docs, lens, len(ids), block) + table.tobytes() + words.astype("<u2").tobytes())
     return frames
 
 
 def read_frames(frames: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_ids, id counts, ids) of each frame, null doc_ids masked; ValueError if one is damaged."""
-    parsed, all_words, all_counts, all_lens = [], [], [], []
+    """(doc_ids, id counts, ids) of each frame, null doc_ids masked, by the plainly written coder; ValueError if one is damaged."""
+    out = []
     for raw in frames:
-        if len(raw) < HEAD.size:
-            raise ValueError("token frame: too short")
-        magic, version, n_docs, n_ids, block, n_blocks = HEAD.unpack_from(raw)
-        if magic != MAGIC or version not in (VERSION, WITH_NULLS) or n_blocks != -(-n_ids // block):
-            raise ValueError("token frame: not a frame of this format")
-        at = HEAD.size
-        mask = n_docs if version == WITH_NULLS else 0
-        if len(raw) < at + 16 * n_docs + mask + 8 * n_blocks:
+        docs, lens, n_ids, block, mark, at = _parsed(raw)
+        own = np.diff(np.append(np.arange(0, n_ids, block), n_ids))
+        if mark or len(raw) < at + 8 * len(own):
             raise ValueError("token frame: too short")
-        docs = np.frombuffer(raw, "<i8", n_docs, at)
-        lens = np.frombuffer(raw, "<i8", n_docs, at + 8 * n_docs)
-        if mask:
-            docs = np.ma.array(docs, mask=np.frombuffer(raw, np.uint8, mask, at + 16 * n_docs) != 0)
-        table = np.frombuffer(raw, "<u4", 2 * n_blocks, at + 16 * n_docs + mask).reshape(-1, 2)
-        at += 16 * n_docs + mask + 8 * n_blocks
-        if len(raw) != at + 2 * int(table[:, 0].sum()) or int(lens.sum()) != n_ids or (len(lens) and lens.min() < 0) or (n_blocks and table[:, 0].min() < 2):
+        table = np.frombuffer(raw, "<u4", 2 * len(own), at).reshape(-1, 2).astype(np.int64)
+        if len(raw) != at + 8 * len(own) + 2 * int(table[:, 0].sum()) or (len(own) and table[:, 0].min() < 2):
             raise ValueError("token frame: lengths do not agree")
-        parsed.append((docs, lens, table, n_ids, block))
-        all_words.append(np.frombuffer(raw, "<u2", -1, at))
-        all_counts.append(table[:, 0].astype(np.int64))
-        all_lens.append(np.diff(np.append(np.arange(0, n_ids, block), n_ids)))
-    if not parsed:
-        return []
-    ids = decode_blocks(np.concatenate(all_words), np.concatenate(all_counts), np.concatenate(all_lens))
-    out, at = [], 0
-    for docs, lens, table, n_ids, block in parsed:
-        own = ids[at : at + n_ids]
-        at += n_ids
-        raw = own.astype("<u4")
+        ids = decode_blocks(np.frombuffer(raw, "<u2", -1, at + 8 * len(own)), table[:, 0], own)
         for k, crc in enumerate(table[:, 1].tolist()):
-            if zlib.crc32(raw[k * block : (k + 1) * block].tobytes()) != crc:
+            if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) != crc:
                 raise ValueError(f"token frame: block {k} fails its checksum")
-        out.append((docs, lens, own))
+        out.append((docs, lens, ids))
     return out
 
 
-def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Encode and write all documents; returns the written frames (file_no, frame_no, n_docs, n_ids, payload)."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, file_no, frame_no = library_encoder(path), TaskContext.get().partitionId(), 0
-        groups: list = []
+        # the workers keep their pieces from task to task
+        encoder, file_no, frame_no = library_encoder(path, PIECES, LETTERS), TaskContext.get().partitionId(), 0
         doc, lens, ids, held = [], [], [], 0
 
-        def close() -> None:
-            nonlocal doc, lens, ids, held
-            if doc:
-                groups.append((np.ma.concatenate(doc), np.concatenate(lens), np.concatenate(ids)))
-            doc, lens, ids, held = [], [], [], 0
-
-        def emit() -> pa.RecordBatch:
-            nonlocal frame_no, groups
-            payloads = write_frames(groups)
-            n = len(groups)
-            cols = [[file_no] * n, list(range(frame_no, frame_no + n)), [len(g[0]) for g in groups], [len(g[2]) for g in groups]]
-            frame_no += n
-            groups = []
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(payloads, pa.binary())], names=["file_no", "frame_no", "n_docs", "n_ids", "payload"])
+        def frame() -> pa.RecordBatch:
+            plain = plain_frame(np.ma.concatenate(doc), np.concatenate(lens), np.concatenate(ids))
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (file_no, frame_no, sum(map(len, doc)), held)), pa.array([plain], pa.binary())], names=["file_no", "frame_no", "n_docs", "n_ids", "plain"])
 
         for b in chunks(batches):
             got, n = encoder.encode(b.column(1).to_pylist())
-            own = np.full(len(got) + len(n), end_id, np.uint16)
-            ends = np.cumsum(n)
+            own = np.full(len(got) + len(n), end_id, np.uint32)
             own[np.arange(len(got)) + np.repeat(np.arange(len(n)), n)] = got
             own_ids = b.column(0)
             doc.append(np.ma.array(own_ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64, mask=own_ids.is_null().to_numpy(zero_copy_only=False)))
             lens.append(n + 1)
             ids.append(own)
             held += len(own)
-            if held >= FRAME_IDS:
-                close()
-                if sum(len(g[2]) for g in groups) >= BATCH_IDS:
-                    yield emit()
-        close()
-        encoder.release()
-        if groups:
-            yield emit()
+            if held >= frame_ids:
+                yield frame()
+                doc, lens, ids, held, frame_no = [], [], [], 0, frame_no + 1
+        if doc:
+            yield frame()
 
     ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(run, "file_no long, frame_no long, n_docs long, n_ids long, payload binary"))
+    plain = ordered.mapInArrow(run, "file_no long, frame_no long, n_docs long, n_ids long, plain binary")
+    return materialise(plain.select("file_no", "frame_no", "n_docs", "n_ids", token_coder(docs.sparkSession, decode=False)("plain").alias("payload")))
 
 
 def read_tokens(frames: DataFrame, with_ids: bool = True) -> DataFrame:
     """Documents of written frames: file_no, frame_no, place in the frame, doc_id, n_tokens, ids_crc32 and (with_ids) ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows: list) -> Iterator[pa.RecordBatch]:
-            for (file_no, frame_no, _), (docs, lens, ids) in zip(rows, read_frames([r[2] for r in rows]), strict=True):
+        for b in batches:
+            for file_no, frame_no, plain in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                docs, lens, ids = plain_ids(plain)
                 ends = np.cumsum(lens)
-                raw = ids.astype("<u4")
-                crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip((ends - lens).tolist(), ends.tolist(), strict=True)]
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip((ends - lens).tolist(), ends.tolist(), strict=True)]
                 cols = [pa.array(np.full(len(docs), file_no), pa.int64()), pa.array(np.full(len(docs), frame_no), pa.int64()), pa.array(ends - lens, pa.int64()), pa.array(np.ma.getdata(docs), pa.int64(), mask=np.ma.getmaskarray(docs)), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["file_no", "frame_no", "at", "doc_id", "n_tokens", "ids_crc32"]
                 if with_ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-        rows, held = [], 0
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3).to_pylist(), strict=True):
-                rows.append((r[0], r[1], r[3]))
-                held += r[2]
-                if held >= BATCH_IDS:
-                    yield from emit(rows)
-                    rows, held = [], 0
-        if rows:
-            yield from emit(rows)
-
     schema = "file_no long, frame_no long, at long, doc_id long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return frames.select("file_no", "frame_no", "n_ids", "payload").mapInArrow(run, schema)
+    plain = frames.select("file_no", "frame_no", token_coder(frames.sparkSession, decode=True)("payload").alias("plain"))
+    return plain.mapInArrow(run, schema)
 
 
 def frame_starts(frames: DataFrame) -> DataFrame:
@@ -394,10 +337,12 @@ def frame_starts(frames: DataFrame) -> DataFrame:
     return own.join(files, "file_no").select("file_no", "frame_no", (F.col("file_base") + F.col("before")).alias("base"))
 
 
-def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def token_digests(docs: DataFrame, vocabulary: str | None = None, frame_ids: int = FRAME_IDS) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of all documents, from the files written and read back."""
-    frames = write_tokens(docs, vocabulary)
-    return read_tokens(frames, with_ids=False).join(frame_starts(frames), ["file_no", "frame_no"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    frames = write_tokens(docs, vocabulary, frame_ids=frame_ids)
+    with arrow_rows(docs.sparkSession, 4):  # frames in Python at a time
+        digests = materialise(read_tokens(frames, with_ids=False))
+    return digests.join(frame_starts(frames), ["file_no", "frame_no"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def load_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -35,7 +35,7 @@ class PieceEncoder:
 
     def _clear(self) -> None:
         self.codes = _Codes()
-        self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lens, self.known = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def release(self) -> None:
@@ -154,14 +154,14 @@ class LibraryEncoder(PieceEncoder):
         return gather(both, starts.ravel(), lens.ravel()), lens.sum(1)
 
 
-_LIBRARY: dict[str, LibraryEncoder] = {}
+_LIBRARY: dict[tuple, LibraryEncoder] = {}
 
 
-def library_encoder(path: str) -> LibraryEncoder:
-    """One encoder for each process and vocabulary file."""
-    if path not in _LIBRARY:
-        _LIBRARY[path] = LibraryEncoder(path)
-    return _LIBRARY[path]
+def library_encoder(path: str, *most: int) -> LibraryEncoder:
+    """One encoder for each process, vocabulary file and number of remembered pieces."""
+    if (path, *most) not in _LIBRARY:
+        _LIBRARY[path, *most] = LibraryEncoder(path, *most)
+    return _LIBRARY[path, *most]
 
 
 def default_vocabulary() -> str:

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepframe.llm import bpe, packing, token_output
-from stepframe.llm.words import default_vocabulary, library_encoder
+from stepframe.llm.jvm import token_coder
+from stepframe.llm.words import PieceEncoder, default_vocabulary, library_encoder
 
 TEXTS = ["", None, "Hello  World's 123 <|endoftext|>x<|startoftext|> don't\tfoo\x1cbar aaaa aaaaa", "ΑΣ ΣΑΣ İstanbul ﬁ é 日本語 😀👍🏽 ½²٣ \x00y", "the of and " * 3000, "same", "same", "foo., bar! (x) a'b é ́z"]
 
@@ -102,6 +103,35 @@ def test_damage_is_found():
         token_output.write_frames([(np.array([1]), np.array([1]), np.array([70_000]))])
 
 
+def test_jvm_coder_writes_the_same_frames_as_the_plain_one(spark):
+    rng = np.random.default_rng(1)
+    groups = []
+    for n in (1, 2, 4095, 65_536, 65_537, 70_000):
+        for ids in (rng.integers(0, 65_536, n), np.zeros(n, np.int64), rng.zipf(1.3, n) % 49_408, np.full(n, 65_535), np.tile([7, 8, 9], n)[:n])[n % 3 :: 2]:
+            groups.append((np.ma.array([5, 0], mask=[False, n % 2 == 0]), np.array([n - 1, 1]), ids))
+    plain, coded = [token_output.plain_frame(*g) for g in groups], token_output.write_frames(groups)
+    df = spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(plain)], "k int, plain binary").repartition(3)
+    df = df.select("k", token_coder(spark, decode=False)("plain").alias("coded")).select("k", "coded", token_coder(spark, decode=True)("coded").alias("back"))
+    rows = df.orderBy("k").collect()
+    assert [bytes(r.coded) for r in rows] == coded and [bytes(r.back) for r in rows] == plain
+    assert (token_output.read_frames(coded[:1])[0][2] == groups[0][2]).all()
+    damaged = bytearray(coded[-1][:-9] + bytes([coded[-1][-9] ^ 0x55]) + coded[-1][-8:])
+    for bad in (damaged, coded[-1][:-2], plain[0], b""):
+        with pytest.raises(Exception, match="token frame"):
+            spark.createDataFrame([(bytearray(bad),)], "x binary").select(token_coder(spark, decode=True)("x")).collect()
+
+
+def test_text_longer_than_a_frame_and_vocabulary_over_16_bits(spark):
+    docs = spark.createDataFrame([(1, "the of and " * 200), (2, "x"), (3, "a b " * 60)], "doc_id long, text string").coalesce(1)
+    got = token_output.token_digests(docs, frame_ids=100).orderBy("doc_id").collect()
+    assert [(r.start, r.n_tokens) for r in got] == [(0, 601), (601, 2), (603, 121)]
+    wide = PieceEncoder(lambda pieces: (np.full(len(pieces), 70_000), np.ones(len(pieces), np.int64)))
+    ids, _ = wide.encode(["a b"])
+    assert ids.tolist() == [70_000] * 2
+    with pytest.raises(ValueError):
+        token_output.plain_frame(np.array([1]), np.array([2]), ids)
+
+
 def test_best_fit_decreasing_against_brute_force():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 64, 300)
