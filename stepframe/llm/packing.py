@@ -9,8 +9,8 @@ At scale the remainders are dealt by a hash of their row to shards of about SHAR
 size does not grow with the corpus, and a shard of that size already packs to well under one percent of padding.
 
 Defined results: a null or empty text is one piece that holds the end id only; equal lengths are placed in
-ascending order of doc_id; rows that repeat a doc_id are packed as documents of their own; an empty table gives no
-rows.
+ascending order of doc_id, nulls first; rows that repeat a doc_id, and rows without one, are packed as documents of
+their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,16 +19,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepframe.llm.arrow_text import chunks
 from stepframe.llm.words import default_vocabulary, library_encoder
 from stepframe.shared import materialise
 
-WINDOW, END_ID, SHARD_PIECES = 4096, 2, 16_384
+WINDOW, END_ID, SHARD_PIECES, SHARD_BLOCK = 4096, 2, 16_384, 4096
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -127,28 +126,32 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
     full, rest = pieces.where(F.col("length") == window), pieces.where(F.col("length") < window)
     shards = max(1, -(-rest.count() // shard_pieces))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
-        pdf["local"], pdf["offset"], _ = best_fit_decreasing(pdf["length"].to_numpy(), window)
-        return pdf
+    def place(shard: pa.Table) -> pa.Table:
+        # Arrow keeps null and large doc_ids as they are
+        doc, start, crc = (shard.column(c) for c in ("doc_id", "start", "ids_crc32"))
+        null = doc.is_null().to_numpy()
+        order = np.lexsort((crc.to_numpy(), start.to_numpy(), doc.fill_null(0).to_numpy(), ~null))
+        shard = shard.take(pa.array(order))
+        local, offset, _ = best_fit_decreasing(shard.column("length").to_numpy(), window)
+        return shard.append_column("local", pa.array(local)).append_column("offset", pa.array(offset))
 
-    placed = (
-        dealt(rest, shards)
-        .groupBy("shard")
-        .applyInPandas(place, f"{PIECES}, shard long, local long, offset long")
-    )
+    placed = dealt(rest, shards).groupBy("shard").applyInArrow(place, f"{PIECES}, shard long, local long, offset long")
     whole = full.select(*full.columns, F.lit(-1).cast("long").alias("shard"), F.monotonically_increasing_id().alias("local"), F.lit(0).cast("long").alias("offset"))
     # a full window's run is the partition it was read in, whose rows monotonically_increasing_id counts from 0
     run, within = F.shiftright("local", 33), F.col("local").bitwiseAND((1 << 33) - 1)
     placed = materialise(whole.select(*full.columns, (-1 - run).alias("shard"), within.alias("local"), "offset").unionByName(placed), spark)
-    # one row for each shard and partition, not for each piece
-    sizes = placed.groupBy("shard").agg((F.max("local") + 1).alias("n")).collect()
-    base, bases = 0, []
-    for r in sorted(sizes, key=lambda r: (r["shard"] >= 0, abs(r["shard"]))):
-        bases.append((r["shard"], base))
-        base += r["n"]
-    bases = spark.createDataFrame(bases, "shard long, base long")
-    return placed.join(F.broadcast(bases), "shard").select(*full.columns, (F.col("base") + F.col("local")).alias("sequence_id"), "offset")
+    bases = _running(placed.groupBy("shard").agg((F.max("local") + 1).alias("n")))
+    return placed.join(bases, "shard").select(*full.columns, (F.col("base") + F.col("local")).alias("sequence_id"), "offset")
+
+
+def _running(sizes: DataFrame) -> DataFrame:
+    """(shard, base): windows in the shards before each. One row for each SHARD_BLOCK shards goes through one window."""
+    sizes = materialise(sizes.withColumn("block", F.floor(F.col("shard") / SHARD_BLOCK)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(before(Window.orderBy("block"))), F.lit(0)).alias("first"))
+    inner = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before(Window.partitionBy("block").orderBy("shard"))), F.lit(0)).alias("inner"))
+    return inner.join(blocks, "block").select("shard", (F.col("first") + F.col("inner")).alias("base"))
 
 
 def sequences(docs: DataFrame, packed: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:

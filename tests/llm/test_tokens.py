@@ -160,6 +160,25 @@ def test_rows_of_one_id_are_spread_over_shards(spark):
     assert packed.where("doc_id is null").count() == packed.where("doc_id = 7").count() == 300
 
 
+def test_pack_keeps_large_ids_beside_null_ones(spark):
+    ids = [None, (1 << 53) + 1, (1 << 53) + 3, None, -5]
+    packed = packing.pack(spark.createDataFrame([(i, "a b", 0) for i in ids], "doc_id long, text string, shard int").coalesce(1)).collect()
+    assert sorted((r.doc_id or 0) for r in packed) == sorted(i or 0 for i in ids)
+    assert [r.doc_id for r in sorted(packed, key=lambda r: r.offset)] == [None, None, -5, (1 << 53) + 1, (1 << 53) + 3]
+
+
+def test_pack_over_many_shards_is_gapless(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BLOCK", 3)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the "), (F.col("id") * 37 % 5000).cast("int")).alias("text"))
+    rows = packing.pack(docs, shard_pieces=20).collect()
+    assert sorted({r.sequence_id for r in rows}) == list(range(len({r.sequence_id for r in rows})))
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == by.get(r.sequence_id, 0)
+        by[r.sequence_id] = r.offset + r.length
+    assert max(by.values()) <= 4096
+
+
 def test_pack_covers_every_id_once(docs, library):
     p = packing.pack(docs, shard_pieces=4).cache()
     rows = p.collect()
