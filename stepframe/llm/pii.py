@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +67,7 @@ def base_spans(text: str) -> list[Span]:
             at = text.find("@", max(at + 1, done))
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m.group().split(".")):
+            if all(len(p) < 4 and int(p or "0") < 256 for p in (x.lstrip("0") for x in m.group().split("."))):
                 out.append((*m.span(), 1))
         for m in CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
@@ -82,8 +83,8 @@ def base_spans(text: str) -> list[Span]:
 # --- candidates of the CRF
 
 NUMBERS = re.compile(r"(?:\+|\()?[0-9]++(?:[\x20().\-/\[\]_]{1,3}\+?[0-9]++)*+")
-GROUP = re.compile("[0-9]+")
-VEILED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]\x20?(?:at|AT)\x20?[\])}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[({]\x20?(?:dot|DOT)\x20?[\])}]\x20?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){0,6}")
+GROUP, OTHER = re.compile("[0-9]+"), re.compile("[^0-9]+")
+VEILED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[({]\x20?(?:at|AT)\x20?[\])}]\x20?[A-Za-z0-9-]++(?:\x20?[\[({]\x20?(?:dot|DOT)\x20?[\])}]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)*+")
 CUES = {
     "phone": 1, "tel": 1, "call": 1, "mobile": 1, "fax": 1, "cell": 1,
     "card": 2, "visa": 2, "credit": 2, "debit": 2, "pan": 2,
@@ -101,42 +102,44 @@ def _feature(*parts) -> int:
 _KNOWN: dict = {}
 
 
-def _number(*parts) -> int:
-    got = _KNOWN.get(parts)
-    if got is None:
-        if len(_KNOWN) > 100_000:
-            _KNOWN.clear()
-        got = _KNOWN[parts] = _feature(*parts)
-    return got
-
-
-def span_features(text: str, start: int, end: int, kind: int, region: tuple[int, int]) -> list[int]:
-    """Numbers of the features of a whole candidate span."""
+def signature(text: str, start: int, end: int, region: tuple[int, int]) -> tuple:
+    """What the features of a whole candidate span see of it: (name, value, ...) for each feature."""
     body = text[start:end]
     groups = GROUP.findall(body)
     digits = "".join(groups)
-    seps = "".join(sorted(set(re.sub("[A-Za-z0-9]", "", body))))
+    gaps = OTHER.findall(body)
+    letters = any(c.isalpha() for c in body)
     before, after = text[start - 1 : start], text[end : end + 1]
     m = WORD_BEFORE.search(text, max(0, start - 16), start)
     cue = CUES.get(m.group(1).lower(), 0) if m else 0
     out = [
-        _number("bias", kind),
-        _number("digits", kind, min(len(digits), 20)),
-        _number("shape", kind, "-".join(str(min(len(g), 5)) for g in groups[:5]) if len(groups) <= 5 else "many"),
-        _number("seps", kind, seps[:6]),
-        _number("cue", kind, cue),
-        _number("edge", kind, before.isalnum(), after.isalnum()),
-        _number("open", kind, body[:1] in "+(", text[start - 1 : start] in ("+", "(")),
-        _number("whole", kind, (start, end) == region),
-        _number("letters", kind, any(c.isalpha() for c in body)),
+        ("bias",),
+        ("digits", min(len(digits), 20)),
+        ("shape", "-".join(str(min(len(g), 5)) for g in groups[:5]) if len(groups) <= 5 else "many"),
+        ("seps", "".join(sorted({c for g in gaps for c in g if not (c.isascii() and c.isalpha())}))[:6]),
+        ("cue", cue),
+        ("edge", before.isalnum(), after.isalnum()),
+        ("open", body[:1] in "+(", before in ("+", "(")),
+        ("whole", (start, end) == region),
+        ("letters", letters),
     ]
     if 13 <= len(digits) <= 19:
-        out.append(_number("luhn", kind, luhn(digits)))
+        out.append(("luhn", luhn(digits)))
     if len(groups) == 4:
-        out.append(_number("octets", kind, all(len(g) < 4 and int(g) < 256 for g in groups), len(set(re.findall(r"[^0-9]+", body))) == 1))
-    if "at" in body.lower():
-        out.append(_number("veiled", kind, "dot" in body.lower() or "." in body))
-    return out
+        out.append(("octets", all(len(g) < 4 and int(g) < 256 for g in groups), len(set(gaps)) == 1))
+    if letters and "at" in body.lower():
+        out.append(("veiled", "dot" in body.lower() or "." in body))
+    return tuple(out)
+
+
+def span_features(kind: int, seen: tuple) -> list[int]:
+    """Numbers of the features of a candidate span of a kind, from its signature."""
+    got = _KNOWN.get((kind, seen))
+    if got is None:
+        if len(_KNOWN) > 100_000:
+            _KNOWN.clear()
+        got = _KNOWN[kind, seen] = [_feature(name, kind, *values) for name, *values in seen]
+    return got
 
 
 def regions(text: str) -> Iterator[tuple[tuple[int, int], list[tuple[int, int]]]]:
@@ -163,11 +166,15 @@ def candidates(text: str, region: tuple[int, int], groups: list[tuple[int, int]]
             start, end = groups[i][0], groups[j - 1][1]
             if i and text[start - 1] in "+(":
                 start -= 1
-            n = sum(c.isdigit() for c in text[start:end])
-            veiled = any(c.isalpha() for c in text[start:end])
+            body = text[start:end]
+            n = sum(map(str.isdigit, body))
+            veiled = any(map(str.isalpha, body))
+            if n > 19 and not veiled:
+                break  # more groups hold more digits
             if n > 19 or (n < 4 and not veiled):
                 continue
-            out += [(i, j, kind, span_features(text, start, end, kind, region)) for kind in range(len(KINDS)) if veiled == (kind == 0)]
+            seen = signature(text, start, end, region)
+            out += [(i, j, kind, span_features(kind, seen)) for kind in range(len(KINDS)) if veiled == (kind == 0)]
     return out
 
 
@@ -178,7 +185,8 @@ class SemiMarkov:
         self.weights = np.zeros(FEATURES) if weights is None else weights
 
     def scores(self, cands: list) -> list[float]:
-        return [float(self.weights[c[3]].sum()) for c in cands]
+        w = self.weights.tolist() if len(cands) > 50 else self.weights
+        return [float(sum(w[f] for f in c[3])) for c in cands]
 
     def best(self, n: int, cands: list) -> list[tuple[int, int, int]]:
         """The likeliest segmentation, as (first group, group behind the last, kind)."""
@@ -292,23 +300,41 @@ def train(seed: int = 5, epochs: int = 30, rate: float = 0.3, l2: float = 0.002)
 def added_spans(text: str, model: SemiMarkov, base: list[Span]) -> list[Span]:
     """Spans of the CRF that overlap no base span."""
     out: list[Span] = []
+    taken = _merged(base)
     for region, groups in regions(text):
-        if len(groups) > 1 or region[1] - region[0] >= 4:
-            free = [g for g in groups if not any(s < g[1] and g[0] < e for s, e, _ in base)] if base else groups
-            if not free:
+        if len(groups) < 2 and region[1] - region[0] < 4:
+            continue
+        # groups left and right of a base span must not meet in one span
+        run: list[tuple[int, int]] = []
+        for g in [*groups, None]:
+            if g is not None and not _meets(taken, *g):
+                run.append(g)
                 continue
-            # groups left and right of a base span must not meet in one span
-            run: list[tuple[int, int]] = []
-            for g in [*groups, None]:
-                if g is not None and g in free:
-                    run.append(g)
-                    continue
-                if run:
-                    for i, j, kind in model.best(len(run), candidates(text, region, run)):
-                        start = run[i][0] - (1 if i and text[run[i][0] - 1] in "+(" else 0)
-                        out.append((start, run[j - 1][1], kind))
-                run = []
-    return [s for s in out if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+            if run:
+                for i, j, kind in model.best(len(run), candidates(text, region, run)):
+                    start = run[i][0] - (1 if i and text[run[i][0] - 1] in "+(" else 0)
+                    out.append((start, run[j - 1][1], kind))
+            run = []
+    return [s for s in out if not _meets(taken, s[0], s[1])]
+
+
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans (by start) cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e, _ in spans:
+        if starts and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _meets(stretches: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether [start, end) overlaps a stretch: the last one that begins before `end` decides."""
+    k = bisect_left(stretches[0], end) - 1
+    return k >= 0 and stretches[1][k] > start
 
 
 def listed(spans: list[Span]) -> str:

@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import time
 import string
 
 import numpy as np
@@ -168,3 +169,48 @@ def test_personal_data_and_mask(spark):
     masked = {r.doc_id: r for r in pii.mask(docs).collect()}
     assert masked[1].text == "mail <EMAIL> or <PHONE>" and masked[1].n_chars == 23 and masked[2].text is None
     assert pii.personal_data(docs.limit(0)).count() == 0
+
+
+def test_long_digits_and_tables_of_numbers():
+    assert pii.base_spans("x " + "0" * 5000 + ".1.1.1 y") == [(2, 5008, 1)]
+    assert pii.base_spans("x " + "9" * 5000 + ".1.1.1 y") == []
+    model = pii.train()
+    took = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        pii.find("a@b.cd 12 34 " * n, model)
+        pii.find("12 34 " * n, model)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+    address = "jo" * 50 + " [at] " + "mail" * 30 + " [dot] b.c.d.e.f.g.h.example"
+    assert pii.find(f"x {address} y", model)[1] == [(2, 2 + len(address), 0)]
+
+
+def test_partition_function_and_gradient_against_enumeration():
+    rng = np.random.default_rng(9)
+    cands = [(i, j, k, [int(x) for x in rng.integers(0, pii.FEATURES, 2)]) for i in range(4) for j in range(i + 1, 5) for k in range(2)]
+    model = pii.SemiMarkov(rng.normal(size=pii.FEATURES))
+
+    def segmentations(at):
+        if at == 4:
+            yield []
+            return
+        yield from segmentations(at + 1)
+        for c in cands:
+            if c[0] == at:
+                for rest in segmentations(c[1]):
+                    yield [c, *rest]
+
+    every = list(segmentations(0))
+    weight = [np.exp(sum(model.weights[c[3]].sum() for c in s)) for s in every]
+    truth = {cands[3][:3]}
+    want = np.zeros(pii.FEATURES)
+    for s, w in zip(every, weight):
+        for c in s:
+            np.add.at(want, c[3], -w / sum(weight))
+    np.add.at(want, cands[3][3], 1.0)
+    got = {}
+    model.gradient(4, cands, truth, got)
+    full = np.zeros(pii.FEATURES)
+    full[list(got)] = list(got.values())
+    assert np.allclose(full, want)
