@@ -5,25 +5,30 @@ bits, each with a hash table of its own (offsets into an order of the rows). A q
 all substrings at distance r = 0, 1, 2, ... of its own; once table a has been probed with radius r, every code within
 Hamming distance m * r + a (m tables) has been seen. The search stops when the k-th verified distance is covered.
 
-Rows lie in shards of about SHARD_ROWS by hash; a query block goes over the shards of a group one after the other,
-carrying its k-th distance along, and groups are merged at the end. Queries are blocks of a stated query set.
+Rows lie in shards of about SHARD_ROWS by hash. A shard's index is built once, and all blocks of the stated query set
+stream through it. The first shard is searched alone: the k-th distance found there bounds each query's search in the
+other shards, which return only rows within it, at most k each.
 
 Defined results: neighbours are ordered by distance, then id, and never include the query's own row; with fewer than
-k other rows, all of them; a null vector has no code (it is neither query nor found); null or NaN components count as
-not positive; shorter vectors are padded with zeros; rows that repeat an id are found as rows of their own.
+k other rows, all of them; a null vector or id has no code (it is neither query nor found); null or NaN components
+count as not positive; shorter vectors are padded with zeros; rows that repeat an id are found, and asked for, as rows
+of their own, so that each has k neighbours, the other rows of its id among them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepframe.shared import materialise
+from stepframe.shared import arrow_rows, materialise
 
 SUB = 16
-SHARD_ROWS, GROUP_SHARDS, QUERY_ROWS = 32_768, 8, 64
+SHARD_ROWS, QUERY_ROWS = 65_536, 1024
+NO_BOUND = 1 << 30
 
 _SORTED = np.argsort(np.bitwise_count(np.arange(1 << SUB, dtype=np.uint32)), kind="stable").astype(np.uint32)
 _EDGES = np.searchsorted(np.bitwise_count(_SORTED), np.arange(SUB + 2))
@@ -36,8 +41,9 @@ def masks(weight: int) -> np.ndarray:
 class MultiIndex:
     """Hash tables of the 16-bit substrings of n codes (n, words of 16 bits)."""
 
-    def __init__(self, codes: np.ndarray, ids: np.ndarray):
+    def __init__(self, codes: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None):
         self.codes, self.ids, self.m = codes, ids, codes.shape[1]
+        self.rows = ids if rows is None else rows
         self.order, self.offset = [], []
         for a in range(self.m):
             self.order.append(np.argsort(codes[:, a], kind="stable"))
@@ -52,8 +58,8 @@ class MultiIndex:
         ends = np.cumsum(n)
         return self.order[a][np.repeat(start - (ends - n), n) + np.arange(int(ends[-1]))]
 
-    def search(self, code: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The k least (distance, id) among `best` and the rows here but `own`."""
+    def search(self, code: np.ndarray, own: int, k: int, best: list[tuple[int, int]], bound: int = NO_BOUND) -> list[tuple[int, int]]:
+        """The k least (distance, id) among `best` and the rows here but `own` that lie within `bound`."""
         if not len(self.ids):
             return best
         seen = np.zeros(len(self.ids), bool)
@@ -64,68 +70,88 @@ class MultiIndex:
                 rows = rows[~seen[rows]]
                 if len(rows):
                     seen[rows] = True
-                    rows = rows[self.ids[rows] != own]
+                    rows = rows[self.rows[rows] != own]
                     d = np.bitwise_count(self.codes[rows] ^ code).sum(axis=1)
-                    if len(best) >= k:
-                        near = d <= best[-1][0]
-                        d, rows = d[near], rows[near]
+                    near = d <= (min(bound, best[-1][0]) if len(best) >= k else bound)
+                    d, rows = d[near], rows[near]
                     if len(rows) > k:
                         first = np.lexsort((self.ids[rows], d))[:k]
                         d, rows = d[first], rows[first]
                     best = sorted([*best, *zip(d.tolist(), self.ids[rows].tolist(), strict=True)])[:k]
-                if len(best) == k and best[-1][0] <= self.m * radius + a:
+                if (min(bound, best[-1][0]) if len(best) == k else bound) <= self.m * radius + a:
                     return best
         return best
 
 
 def codes(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(id, code array<int>): 16 bits in each element."""
+    """(id, code binary): the bits of each vector as 16-bit words, all codes of one length."""
     v = vectors.select(vectors[id_column].cast("long").alias("id"), vectors[vector_column].cast("array<double>").alias("v")).where("id is not null and v is not null")
     longest = v.agg(F.max(F.size("v"))).first()[0] or 1
-    bit = lambda x: F.when((x > 0) & ~F.isnan(x), 1).otherwise(0)
-    bits = F.transform("v", bit)
-    part = F.transform(F.sequence(F.lit(0), F.lit(-(-longest // SUB) - 1)), lambda w: F.aggregate(F.sequence(F.lit(0), F.lit(SUB - 1)), F.lit(0), lambda acc, i: acc * 2 + F.coalesce(F.get(F.col("bits"), w * SUB + i), F.lit(0))))
-    return v.select("id", bits.alias("bits")).select("id", part.alias("code"))
-
-
-def top_k(vectors: DataFrame, k: int = 10, every: int = 50, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    width = -(-longest // SUB) * SUB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            lens = np.diff(lists.offsets.to_numpy())
+            at = np.repeat(np.arange(len(lens)) * width - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+            bits = np.zeros(len(lens) * width, bool)
+            bits[at] = lists.flatten().fill_null(0.0).to_numpy(zero_copy_only=False) > 0
+            words = np.packbits(bits.reshape(len(lens), width), axis=1).view(">u2").astype("<u2")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w.tobytes() for w in words], pa.binary())], names=["id", "code"])
+
+    return v.mapInArrow(run, "id long, code binary")
+
+
+def _packed(rows: DataFrame, kind: str, n: int) -> DataFrame:
+    """Rows (row, id, code, bound) dealt to n bins of `kind`, a line each: (kind, rows, ids, codes, bounds)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        raw = [pa.array([t.column(c).to_numpy().tobytes()], pa.binary()) for c in ("row", "id", "bound")]
+        return pa.table([t.column(kind)[:1], raw[0], raw[1], pa.array([b"".join(t.column("code").to_pylist())], pa.binary()), raw[2]], names=[kind, "rows", "ids", "codes", "bounds"])
+
+    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(n)).cast("long").alias(kind), "row", "id", "code", "bound")
+    return dealt.groupBy(kind).applyInArrow(run, f"{kind} long, rows binary, ids binary, codes binary, bounds binary")
+
+
+def _search(shards: DataFrame, first: int, last: int, blocks: DataFrame, k: int) -> DataFrame:
+    """(query_row, query_id, id, distance): the k nearest rows of each shard first..last, within its bound, for every query."""
+    shard = shards.where(F.col("shard").between(first, last)).select("shard", F.lit(-1).cast("long").alias("block"), "rows", "ids", "codes", "bounds")
+    # every block of the stated query set visits every shard
+    asked = blocks.select(F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("shard"), *shard.columns[1:])
+    lines = shard.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, of = None, None
+        for b in batches:
+            for line in b.to_pylist():
+                rows, ids = np.frombuffer(line["rows"], np.int64), np.frombuffer(line["ids"], np.int64)
+                code = np.frombuffer(line["codes"], np.uint16).reshape(len(ids), -1)
+                if line["block"] < 0:
+                    index, of = MultiIndex(code, ids, rows), line["shard"]
+                    continue
+                assert of == line["shard"]
+                found = []
+                for j, (row, bound) in enumerate(zip(rows.tolist(), np.frombuffer(line["bounds"], np.int64).tolist(), strict=True)):
+                    found += [(row, ids[j], i, d) for d, i in index.search(code[j], row, k, [], bound)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [()] * 4)], names=["query_row", "query_id", "id", "distance"])
+
+    with arrow_rows(shards.sparkSession, 4):
+        return materialise(lines.mapInArrow(run, "query_row long, query_id long, id long, distance long"))
+
+
+def top_k(vectors: DataFrame, k: int = 10, every: int = 50, id_column: str = "vec_id", vector_column: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest rows of every row whose id is divisible by `every`."""
-    coded = materialise(codes(vectors, id_column, vector_column))
-    rows = coded.count()
-    shards = max(1, -(-rows // SHARD_ROWS))
-    groups = -(-shards // GROUP_SHARDS)
+    coded = materialise(codes(vectors, id_column, vector_column).withColumn("row", F.monotonically_increasing_id()))
+    coded = coded.withColumn("bound", F.lit(NO_BOUND).cast("long"))
+    n = max(1, -(-coded.count() // shard_rows))
+    shards = materialise(_packed(coded, "shard", n))
     queries = coded.where(F.col("id") % every == 0)
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
-
-    def packed(kind: str):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            code = np.array(pdf["code"].tolist(), np.uint16)
-            return pd.DataFrame({kind: pdf[kind].iloc[:1], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "codes": [code.tobytes()], "width": [code.shape[1]]})
-
-        return run
-
-    def dealt(df: DataFrame, kind: str, n: int) -> DataFrame:
-        return df.withColumn(kind, F.pmod(F.xxhash64("id"), F.lit(n)).cast("long")).groupBy(kind).applyInPandas(packed(kind), f"{kind} long, ids binary, codes binary, width long")
-
-    shard = materialise(dealt(coded, "shard", shards))
-    block = materialise(dealt(queries, "block", blocks))
-    # every block of the query set visits every group of shards
-    left = block.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "block", F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"))
-    met = left.join(shard, "shard").withColumn("part", F.floor(F.col("shard") / GROUP_SHARDS).cast("long"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        width = int(pdf["width"].iloc[0])
-        ids = np.frombuffer(pdf["q_ids"].iloc[0], np.int64)
-        code = np.frombuffer(pdf["q_codes"].iloc[0], np.uint16).reshape(-1, width)
-        best: list = [[] for _ in ids]
-        for raw_ids, raw_codes in zip(pdf["ids"], pdf["codes"], strict=True):
-            index = MultiIndex(np.frombuffer(raw_codes, np.uint16).reshape(-1, width), np.frombuffer(raw_ids, np.int64))
-            for j, own in enumerate(ids.tolist()):
-                best[j] = index.search(code[j], own, k, best[j])
-        out = [(q, i, d) for q, found in zip(ids.tolist(), best, strict=True) for d, i in found]
-        return pd.DataFrame(out, columns=["query_id", "id", "distance"])
-
-    found = met.groupBy("block", "part").applyInPandas(search, "query_id long, id long, distance long")
-    # at most k rows of each of the groups meet here
-    place = Window.partitionBy("query_id").orderBy("distance", "id")
+    found = _search(shards, 0, 0, materialise(_packed(queries, "block", blocks)), k)
+    if n > 1:
+        bounds = found.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count("*") == k, F.max("distance")).alias("known"))
+        bounded = queries.join(bounds, "row", "left").select("row", "id", "code", F.coalesce("known", "bound").alias("bound"))
+        found = found.unionByName(_search(shards, 1, n - 1, materialise(_packed(bounded, "block", blocks)), k))
+    # at most k rows of each shard meet here
+    place = Window.partitionBy("query_row").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(place).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "distance")
