@@ -4,7 +4,7 @@ DataFrame functions only. Calls and results meet in an equi-join on (conversatio
 topologically, and by turn and place where dependencies leave a choice: a call's key is the greatest of its own
 (turn, place, 0) and, for each call it depends on, that call's key with one hop more. Keys move only where a call
 precedes one that it depends on, so rounds of joins are needed for such chains alone, not for the length of a
-conversation; calls on or behind a cycle have no key and come last. Arguments are checked against schemas (names, JSON
+conversation; calls on a cycle, and calls behind it that it moves, have no key and come last. Arguments are checked against schemas (names, JSON
 types, required ones). Canonical JSON has sorted keys and no blanks; null fields are left out.
 
 Calls stand as <tool_call>{"id", "name", "arguments", "depends_on"}</tool_call> in assistant texts, their results in
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from stepframe.shared import materialise
 
 SEGMENT = 1024
+#: The hops of a key on a cycle, or raised by one.
+ENDLESS = 1 << 30
 #: tool -> argument -> (JSON types, required)
 Schemas = dict[str, dict[str, tuple[tuple[str, ...], bool]]]
 REPLY: Schemas = {"reply": {"prompt": (("string",), True), "turn": (("integer",), True)}}
@@ -99,18 +101,24 @@ def topological_keys(calls: DataFrame) -> DataFrame:
     known = materialise(needs.join(dep_keys(keys), ["conv_id", "dep"]).join(keys, ["conv_id", "call_id"]).select("conv_id", "call_id", "dep", "key", "dep_key"))
     if known.where("dep_key > key").isEmpty():
         return keys
-    edges = materialise(known.select("conv_id", "call_id", "dep"))
-    most = materialise(calls.groupBy("conv_id").agg(F.count("*").alias("most")))
-    keys = materialise(keys)
+    edges = materialise(needs.join(calls.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"]))
+    # a round takes the calls that the last one raised to their dependents; the others have their final key
+    raised = materialise(known.where("dep_key > key").groupBy("conv_id", "call_id").agg(F.max("dep_key").alias("key")))
+    moved = raised
     while True:
-        raised = edges.join(dep_keys(keys), ["conv_id", "dep"]).groupBy("conv_id", "call_id").agg(F.max("dep_key").alias("dep_key"))
-        higher = F.coalesce(F.greatest("key", "dep_key"), "key")
-        # more hops than the conversation has calls: a cycle; such keys stay at one hop too many
-        capped = F.struct(higher["turn"].alias("turn"), higher["place"].alias("place"), F.least(higher["hops"], (F.col("most") + 1).cast("int")).alias("hops"))
-        new = materialise(keys.join(raised, ["conv_id", "call_id"], "left").join(most, "conv_id").select("conv_id", "call_id", F.col("key").alias("old"), capped.alias("key"), "most"))
-        if new.where("key <> old").isEmpty():
-            return new.select("conv_id", "call_id", F.when(F.col("key.hops") <= F.col("most"), F.col("key")).alias("key"))
-        keys = new.select("conv_id", "call_id", "key")
+        # a chain of more hops than calls have moved has met a call twice: a cycle, whose hops go to ENDLESS at once
+        chains = moved.groupBy("conv_id").agg(F.count("*").alias("most"))
+        offers = edges.join(dep_keys(raised), ["conv_id", "dep"]).join(chains, "conv_id")
+        hops = F.when(F.col("dep_key.hops") > F.col("most"), ENDLESS).otherwise(F.col("dep_key.hops"))
+        offers = offers.groupBy("conv_id", "call_id").agg(F.max(F.struct("dep_key.turn", "dep_key.place", hops.alias("hops"))).alias("offer"))
+        had = keys.select("conv_id", "call_id", F.col("key").alias("own")).join(offers, ["conv_id", "call_id"]).join(moved.withColumnRenamed("key", "moved"), ["conv_id", "call_id"], "left")
+        raised = materialise(had.where(F.col("offer") > F.coalesce("moved", "own")).select("conv_id", "call_id", F.col("offer").alias("key")))
+        if raised.isEmpty():
+            break
+        moved = materialise(moved.join(raised, ["conv_id", "call_id"], "left_anti").unionByName(raised))
+    final = keys.join(moved.withColumnRenamed("key", "moved"), ["conv_id", "call_id"], "left")
+    key = F.coalesce("moved", "key")
+    return final.select("conv_id", "call_id", F.when(key["hops"] < ENDLESS, key).alias("key"))
 
 
 def linked_calls(messages: DataFrame, schemas: Schemas, turns: bool = False) -> DataFrame:

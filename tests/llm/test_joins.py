@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stepframe.llm import chat, media, ngram_join, shingles, topk, webp_lossless
 from stepframe.llm.components import components
+from stepframe.shared import materialise
 
 
 def brute_set(text):
@@ -133,6 +134,23 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids_over_many_shards(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 20))
+    x[1], x[50:60], x[100:160] = -x[0], x[0], -x[0]
+    ids = np.arange(300)
+    ids[1] = 0
+    df = spark.createDataFrame([(int(i), v.tolist(), 0, 0) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, query_id int, id int")
+    want = []
+    for q in np.flatnonzero(ids % 50 == 0):
+        d = ((x > 0) != (x[q] > 0)).sum(1)
+        order = [i for i in np.lexsort((ids, d)) if i != q][:3]
+        want += [(int(ids[q]), k + 1, int(ids[i]), int(d[i])) for k, i in enumerate(order)]
+    for shard_rows in (1000, 40):
+        got = topk.top_k(df, k=3, shard_rows=shard_rows).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_multi_index_stops_early_but_misses_nothing():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 1 << 16, (3000, 4)).astype(np.uint16)
@@ -250,6 +268,17 @@ def test_forward_dependencies_in_long_conversations(spark):
     assert len(key) == n
 
 
+def test_cycles_take_few_rounds(spark, monkeypatch):
+    rows = [(1, k, "assistant", call(f"k{k}", [f"k{k - 1}"] if k else [])) for k in range(1000)]
+    rows += [(1, 1000, "assistant", call("a", ["b"]) + call("b", ["a"]) + call("c", ["b"])), (2, 3, "assistant", call("s", ["s"]) + call("t"))]
+    rows += [(3, k, "assistant", call(f"r{k}", [f"r{(k + 1) % 4}"])) for k in range(4)] + [(3, 9, "assistant", call("free"))]
+    count = []
+    monkeypatch.setattr(chat, "materialise", lambda df, *more: count.append(1) or materialise(df, *more))
+    got = chat.linked_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {}).collect()
+    assert {(r.conv_id, r.call_id) for r in got if r.key is None} == {(1, "a"), (1, "b"), (2, "s"), *((3, f"r{k}") for k in range(4))}
+    assert len(got) == 1003 + 2 + 5 and len(count) < 30
+
+
 def test_native_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
     plan = chat.format_chats(df)._jdf.queryExecution().executedPlan().toString()
