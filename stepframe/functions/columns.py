@@ -119,41 +119,28 @@ def first_of_month(k: Column) -> Column:
     return from_date(F.try_to_date(F.format_string("%04d-%02d-01", y.cast("int"), m.cast("int"))))
 
 
-def _grid_index(iv: dates.Interval, v: Column) -> Column:
-    if iv.grid == "month":
-        d = as_date(v)
-        return (F.year(d) * 12 + F.month(d) - 1).cast("double")
-    return F.floor(v / iv.unit).cast("double") if iv.grid == "sec" else F.floor(v).cast("double")
-
-
-def _grid_start(iv: dates.Interval, k: Column) -> Column:
-    return first_of_month(k) if iv.grid == "month" else k * iv.unit
+class OnColumns:
+    """Arithmetic of the calendars on Columns."""
 
+    @staticmethod
+    def floor(c: Column) -> Column:
+        return F.floor(c).cast("double")
 
-def _scaled(iv: dates.Interval, v: Column) -> Column:
-    return F.floor(v / dates.DAY_S).cast("double") if iv.datetime and iv.grid != "sec" else v
-
+    @staticmethod
+    def month(day: Column) -> Column:
+        d = as_date(day)
+        return (F.year(d) * 12 + F.month(d) - 1).cast("double")
 
-def _ordinal(iv: dates.Interval, v: Column) -> Column:
-    return F.floor((_grid_index(iv, _scaled(iv, v)) - iv.offset) / iv.period)
+    month_start = staticmethod(first_of_month)
 
 
 def intck(name: str, a: Column, b: Column) -> Column:
-    iv = dates.interval(name)
-    return F.lit(None).cast("double") if iv is None else (_ordinal(iv, b) - _ordinal(iv, a)).cast("double")
+    by = dates.calendar(name)
+    return (by.number(b, OnColumns) - by.number(a, OnColumns)).cast("double")
 
 
 def intnx(name: str, start: Column, n: Column, align: str = "b") -> Column:
-    iv = dates.interval(name)
-    if iv is None:
-        return F.lit(None).cast("double")
-    k = _ordinal(iv, start)
-    at = lambda o: _grid_start(iv, o * iv.period + iv.offset)
-    step = n.cast("long")
-    first, last = at(k + step), at(k + step + 1) - 1
-    how = align[:1].lower()
-    out = last if how == "e" else F.floor((first + last) / 2) if how == "m" else first + (_scaled(iv, start) - at(k)) if how == "s" else first
-    return (out * dates.DAY_S if iv.datetime and iv.grid != "sec" else out).cast("double")
+    return dates.moved(dates.calendar(name), start, n.cast("long"), align, OnColumns).cast("double")
 
 
 # --- functions

@@ -13,6 +13,7 @@ from stepframe.frame import ORD, Library, Table, Var, from_dataframe
 from stepframe.functions import columns as C
 from stepframe.functions.texts import Range, UserFormat, general, show, spec
 from stepframe.lang.parser import ProcStep, Ref, Stmt
+from stepframe.lang.sqltext import to_spark_sql, with_tables
 from stepframe.operators import proof, stats
 from stepframe.operators import tables as ops
 from stepframe.plans.step import read_ref
@@ -313,33 +314,6 @@ def statements(text: str) -> list[str]:
     return [m.strip() for m in re.findall(r"""(?:'(?:[^']|'')*'|"(?:[^"]|"")*"|[^;'"])+""", text) if m.strip()]
 
 
-def to_spark_sql(sql: str) -> str:
-    """The dialect shim: division by zero is missing, LIKE ignores case, and functions of other names."""
-    strings: list[str] = []
-
-    def hide(m: re.Match) -> str:
-        strings.append(m[0])
-        return f"\x00{len(strings) - 1}\x00"
-
-    s = re.sub(r"'(?:[^']|'')*'", hide, sql)
-    s = re.sub(r"\blike\b", "ilike", s, flags=re.I)
-    operand = r"(\b\d+\.?\d*\b|[A-Za-z_][\w.]*(?:\((?:[^()]|\([^()]*\))*\))?|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))"
-    whole = re.compile(r"(?<![\w.])(\d+)\s*/\s*(\d+)(?![\w.])")
-    s = whole.sub(lambda m: f"({m[1]} div nullif({m[2]}, 0))", s)
-    division = re.compile(rf"{operand}\s*/\s*{operand}")
-    for _ in range(20):
-        new = division.sub(lambda m: f"try_divide({m[1]}, {m[2]})", s, count=1)
-        if new == s:
-            break
-        s = new
-    s = re.sub(r"\bgroup_concat\s*\(", "listagg(", s, flags=re.I)
-    s = re.sub(r"\btotal\s*\(((?:[^()]|\([^()]*\))*)\)", r"coalesce(sum(\1), 0)", s, flags=re.I)
-    s = re.sub(r"\biif\s*\(", "if(", s, flags=re.I)
-    s = re.sub(r"\beq\b", "=", s, flags=re.I)
-    s = re.sub(r"\bne\b", "<>", s, flags=re.I)
-    return re.sub("\x00(\\d+)\x00", lambda m: strings[int(m[1])], s)
-
-
 def run_sql(query: str, lib: Library, connections: dict[str, str]) -> Table:
     """A SELECT over WORK tables, librefs and pass-through queries; each becomes a temporary view."""
     made: list[str] = []
@@ -350,40 +324,17 @@ def run_sql(query: str, lib: Library, connections: dict[str, str]) -> Table:
         made.append(name)
         return name
 
-    def passed(m: re.Match) -> str:
-        start = m.end()
-        depth, k = 1, start
-        while depth:
-            depth += {"(": 1, ")": -1}.get(query[k], 0)
-            k += 1
-        spans.append((m.start(), k, view(backend(m[1], lib, connections).query(query[start : k - 1]))))
-        return ""
-
-    spans: list[tuple[int, int, str]] = []
-    for m in re.finditer(r"connection\s+to\s+(\w+)\s*\(", query, re.I):
-        passed(m)
-    for a, b, name in reversed(spans):
-        query = query[:a] + name + query[b:]
     known: dict[str, str] = {}
 
-    def source(m: re.Match) -> str:
-        full = m[2].lower()
+    def table(full: str) -> str | None:
         lib_name, _, name = full.rpartition(".")
-        if full.startswith("__sf_") or not lib.has(lib_name, name):
-            return m[0]
+        if not lib.has(lib_name, name):
+            return None
         if full not in known:
             known[full] = view(lib.get(lib_name, name))
-        rest = query[m.end() :]
-        alias = re.match(r"\s+(?:as\s+)?(?!(?:where|on|join|left|right|full|inner|cross|outer|group|order|having|union|except|intersect|limit|natural|using|set)\b)([A-Za-z_]\w*)", rest, re.I)
-        return f"{m[1]}{known[full]}" + ("" if alias else f" as {name}")
-
-    query = re.sub(r"""((?:\bfrom|\bjoin)\s+)([A-Za-z_][\w.]*)""", source, query, flags=re.I)
-    # comma joins
-    for _ in range(8):
-        new = re.sub(r"((?:\bfrom\b)[^()]*?,\s*)([A-Za-z_][\w.]*)(?=\s*(?:,|\s|$))", lambda m: source(m) if not m[2].startswith("__sf_") else m[0], query, count=1, flags=re.I)
-        if new == query:
-            break
-        query = new
+        return known[full]
+
+    query = with_tables(query, table, lambda connection, text: view(backend(connection, lib, connections).query(text)))
     try:
         return from_dataframe(_select(to_spark_sql(query), lib))
     finally:

@@ -16,7 +16,7 @@ from stepframe.lang.parser import cut, names, whole_expression
 from stepframe.operators import stats
 from stepframe.operators import tables as ops
 from stepframe.plans import ordered
-from stepframe.plans.procs import to_spark_sql
+from stepframe.lang.sqltext import to_spark_sql, with_tables
 from stepframe.sources import files
 from stepframe.sources.lines import dsd_line, fields
 
@@ -39,7 +39,9 @@ def test_best_and_fixed():
 def test_dates_roll_over_and_cut():
     assert dates.parse_date("31FEB2020") == dates.day_number(2020, 3, 2) and dates.parse_date("01JAN19") == dates.day_number(2019, 1, 1) and dates.parse_date("01JAN20") == dates.day_number(1920, 1, 1)
     assert dates.parse_numeric_date("01/15/2020", "mdy") == dates.parse_numeric_date("20200115", "ymd") == 21929
-    assert dates.interval("qtr3.2").period == 9 and dates.interval("nothing") is None
+    assert dates.calendar("qtr3.2").months == 9 and dates.intck("month", 0.0, 1e9) is None
+    with pytest.raises(ValueError):
+        dates.calendar("nothing")
 
 
 NUMBERS = st.one_of(st.none(), st.integers(-1000, 1000).map(float), st.floats(-1e6, 1e6).map(lambda x: round(x, 3)))
@@ -133,6 +135,11 @@ def test_dsd_round_trip(values):
 
 def test_sql_shim():
     assert to_spark_sql("select a / b, 7/2 from t where x like 'a/b%'") == "select try_divide(a, b), (7 div nullif(2, 0)) from t where x ilike 'a/b%'"
+    assert to_spark_sql('select 3 * 7 / 2 / 4, x / (a + 1) / -2, count(*), sum(q)/total(r) from t -- a/b\nwhere a = "x like 6/2; it\'s" and t.b eq 1') == "select ((3 * 7 div nullif(2, 0)) div nullif(4, 0)), try_divide(try_divide(x, (a + 1)), (-2)), count(*), try_divide(sum(q), coalesce(sum(r), 0)) from t where a = 'x like 6/2; it\\'s' and t.b = 1"
+    seen = []
+    out = with_tables("with c as (select * from a) select extract(year from d) from c, lib.b join (select 1 from a z, connection to db (select (1) from a) q) s on a is distinct from b where 'from a' = x", lambda n: seen.append(n) or f"V{len(seen)}", lambda c, q: f"P[{c}:{q}]")
+    assert seen == ["a", "lib.b", "a"]
+    assert out == "with c as (select * from V1 as a) select extract(year from d) from c, V2 as b join (select 1 from V3 z, P[db:select (1) from a] q) s on a is distinct from b where 'from a' = x"
     assert "listagg(" in to_spark_sql("select group_concat(x) from t") and "coalesce(sum(x), 0)" in to_spark_sql("select total(x) from t")
 
 

@@ -1,370 +1,422 @@
-"""Programs end to end, compared in order."""
+"""Programs end to end, compared in order. Data: boats, their harbours, catches and berths."""
+
+import datetime as dt
 
 import pytest
 
 from stepframe.lang.parser import ParseError
 
-PEOPLE = """
-data people;
-  input name $ age;
-  datalines;
-John 25
-Mary 30
-Tim 12
-Ann 17
-;
-run;
-"""
+EPOCH = dt.date(1960, 1, 1)
+
+
+def day(*ymd):
+    return (dt.date(*ymd) - EPOCH).days
+
+
+def lines(name, columns, *rows, lead=""):
+    return f"data {name}; {lead} input {columns}; datalines;\n" + "\n".join(rows) + "\n;\nrun;\n"
+
+
+BOATS = lines("boats", "boat $ crew port $", "Heron 4 Skagen", "Osprey 9 Esbjerg", "Tern 2 Skagen", "Gannet 6 Hanstholm", "Puffin 2 Esbjerg")
+FLEET = [("Heron", 4, "Skagen"), ("Osprey", 9, "Esbjerg"), ("Tern", 2, "Skagen"), ("Gannet", 6, "Hanstholm"), ("Puffin", 2, "Esbjerg")]
+CATCH = lines("catch", "boat $ kg", "Heron 120", "Heron 80", "Tern 40", "Osprey 300", "Osprey 10", "Osprey 25")
+
 
+# --- reading
 
-def test_list_input(check):
-    check(PEOPLE, people=("name age", [("John", 25), ("Mary", 30), ("Tim", 12), ("Ann", 17)]))
 
+def test_lists_of_values(check):
+    check(BOATS, boats=("boat crew port", FLEET))
+    check(lines("t", "a b $ c", "1 x 2", ". y", "3 z 4.5"), t=("a b c", [(1, "x", 2), (None, "y", None), (3, "z", 4.5)]))
 
-def test_column_input_and_blanks(check):
-    check("data t; input id 1-3 name $ 5-14 age 16-17; datalines;\n001 Mary Ann   42\n012 Bob        07\n;\nrun;", t=("id name age", [(1, "Mary Ann", 42), (12, "Bob", 7)]))
 
+def test_fixed_columns(check):
+    check(lines("t", "berth 1-2 keeper $ 4-15 depth 17-20", "07 Ida Holm     3.25", "11 Bo           12"), t=("berth keeper depth", [(7, "Ida Holm", 3.25), (11, "Bo", 12)]))
 
-def test_informats(check):
+
+def test_informats_in_lists(check):
     check(
-        "data t; input id name $ pay : comma8. hired : date9.; datalines;\n1 Anna 1,234 15JAN2020\n2 Bob 56,789 01JUL2021\n;\nrun;",
-        t=("id name pay hired", [(1, "Anna", 1234, 21929), (2, "Bob", 56789, 22462)]),
+        lines("t", "boat $ value : comma12. built : date9. seen : mmddyy10.", "Heron 1,250,000 03MAR1998 12/31/2001", "Tern 900 29FEB2004 01/02/2003"),
+        t=("boat value built seen", [("Heron", 1250000, day(1998, 3, 3), day(2001, 12, 31)), ("Tern", 900, day(2004, 2, 29), day(2003, 1, 2))]),
     )
 
 
-def test_line_pointer_and_hold(check):
-    check("data t; input #1 name $ age #2 city $ zip; datalines;\nJohn 25\nBoston 02134\nMary 30\nAustin 78701\n;\nrun;", t=("name age city zip", [("John", 25, "Boston", 2134), ("Mary", 30, "Austin", 78701)]))
-    check("data u; input a #2 b @@; datalines;\n1 10\n2 20\n;\nrun;", u=("a b", [(1, 2), (10, 20)]))
+def test_times_and_datetimes(check):
+    check(lines("t", "left : time8. back : datetime20.", "06:05:30 02JAN1960:03:00:10"), t=("left back", [(21930, 86400 + 10810)]))
+    check("data u; a = '23:59't; b = '01JAN1961:00:00:00'dt; c = '01JAN1961'd; run;", u=("a b c", [(86340, 366 * 86400, 366)]))
+
 
+def test_records_of_several_lines(check):
+    check(lines("t", "#1 boat $ crew #2 kg price", "Heron 4", "120 3.5", "Tern 2", "40 8"), t=("boat crew kg price", [("Heron", 4, 120, 3.5), ("Tern", 2, 40, 8)]))
+    check(lines("t", "p #2 q @@", "5 6 7", "50 60 70"), t=("p q", [(5, 50), (6, 60), (7, 70)]))
 
-def test_double_hold_and_single_hold(check):
-    check("data t; input x y @@; datalines;\n1 2 3 4\n5 6\n;\nrun;", t=("x y", [(1, 2), (3, 4), (5, 6)]))
+
+def test_held_lines(check):
+    check(lines("t", "kg day $ @@", "10 mon 20 tue", "30 wed 40 thu"), t=("kg day", [(10, "mon"), (20, "tue"), (30, "wed"), (40, "thu")]))
     check(
-        "data u; input kind $ @; if kind = 'N' then input value; else input label $; datalines;\nN 42\nT hello\nN 7\n;\nrun;",
-        u=("kind value label", [("N", 42, ""), ("T", None, "hello"), ("N", 7, "")]),
+        "data t; input what $ @; if what = 'crew' then input crew; else input port $; datalines;\nport Skagen\ncrew 12\nport Thisted\n;\nrun;",
+        t=("what crew port", [("port", None, "Skagen"), ("crew", 12, ""), ("port", None, "Thisted")]),
     )
 
 
-def test_infile_dsd_and_end(check, tmp_path):
-    f = tmp_path / "p.csv"
-    f.write_text('name,age,city\n"Smith, John",25,Boston\nMary,30,"New York"\nTim,,Chicago\n')
-    check(f'data t; infile "{f}" dsd firstobs=2; input name $ age city $; run;', t=("name age city", [("Smith, John", 25, "Boston"), ("Mary", 30, "New York"), ("Tim", None, "Chicago")]))
-    g = tmp_path / "n.txt"
-    g.write_text("10\n20\n30\n40\n")
-    check(f'data u; infile "{g}" end=last; input value; total + value; count + 1; if last then output; run;', u=("total count value", [(100, 4, 40)]))
+def test_files_with_quotes_and_an_end(check, tmp_path):
+    (tmp_path / "b.csv").write_text('boat,crew,note\nHeron,4,"fast, old"\nTern,,\n"Osprey ""II""",9,x\n')
+    check(f'data t; infile "{tmp_path}/b.csv" dsd firstobs=2; input boat $ crew note $; run;', t=("boat crew note", [("Heron", 4, "fast, old"), ("Tern", None, ""), ('Osprey "II"', 9, "x")]))
+    (tmp_path / "kg.txt").write_text("7\n11\n2\n")
+    check(f'data u; infile "{tmp_path}/kg.txt" end=done; input kg; most = max(most, kg); retain most; days + 1; if done; keep most days; run;', u=("most days", [(11, 3)]))
 
 
-def test_times(check):
-    check("data t; input t : time8. dt : datetime19.; datalines;\n14:30:00 01JAN1960:00:00:01\n;\nrun;\ndata u; a = '14:30't; b = '01JAN1960:00:00:01'dt; run;", t=("t dt", [(52200, 1)]), u=("a b", [(52200, 1)]))
+# --- rows and state
 
 
-def test_assign_array_loop(check):
+def test_loops_and_arrays(check):
     check(
-        """data a; input s1 s2 s3; array s{3} s1-s3; do i = 1 to 3; s{i} = s{i} * 2; end; drop i; datalines;
-1 2 3
-10 20 30
-;
-run;
-data b; do i = 1 to 5; sq = i ** 2; output; end; run;
-data c; do i = 1 to 500 by 2; y = i + 1; if y > 498 then output; end; run;
-data d; n = 0; do while (n < 3); n = n + 1; end; do until (n >= 10); n = n + 4; end; run;""",
-        a=("s1 s2 s3", [(2, 4, 6), (20, 40, 60)]),
-        b=("i sq", [(k, k * k) for k in range(1, 6)]),
-        c=("i y", [(499, 500)]),
-        d=("n", [(11,)]),
+        lines("a", "m1 m2 m3", "3 5 7", "0 . 1") + "data b; set a; array m{3} m1-m3; big = 0; do k = 1 to 3; if m{k} > 2 then big = big + m{k}; end; drop k; run;"
+        "data c; do n = 10 to 4 by -3; third = n / 3; output; end; run;"
+        "data d; x = 1; steps = 0; do while (x < 50); x = x * 3; steps = steps + 1; end; do until (x < 60); x = x - 10; end; run;",
+        b=("m1 m2 m3 big", [(3, 5, 7, 15), (0, None, 1, 0)]),
+        c=("n third", [(10, 10 / 3), (7, 7 / 3), (4, 4 / 3)]),
+        d=("x steps", [(51, 4)]),
     )
 
 
-def test_numbering_retain_and_sum(check):
-    check(PEOPLE + "data n; set people; row = _n_; run;", n=("name age row", [("John", 25, 1), ("Mary", 30, 2), ("Tim", 12, 3), ("Ann", 17, 4)]))
-    check("data s; input sale; datalines;\n10\n20\n30\n;\nrun;\ndata r; set s; retain total 0; total = total + sale; run;\ndata q; set s; total + sale; run;", r=("total sale", [(10, 10), (30, 20), (60, 30)]), q=("total sale", [(10, 10), (30, 20), (60, 30)]))
+def test_row_numbers_and_totals(check):
+    check(
+        CATCH + "data t; set catch; row = _n_; total + kg; retain first 0; if _n_ = 1 then first = kg; run;",
+        t=("total first boat kg row", [(120, 120, "Heron", 120, 1), (200, 120, "Heron", 80, 2), (240, 120, "Tern", 40, 3), (540, 120, "Osprey", 300, 4), (550, 120, "Osprey", 10, 5), (575, 120, "Osprey", 25, 6)]),
+    )
 
 
-SALES = "data sales; input region $ amount; datalines;\neast 10\neast 20\nwest 30\nwest 40\n;\nrun;\n"
+def test_groups_of_rows(check):
+    each = "if first.boat then do; kg_all = 0; trips = 0; end; kg_all + kg; trips + 1; if last.boat; keep boat kg_all trips; run;"
+    check(CATCH + "proc sort data=catch; by boat; run; data g; set catch; by boat; " + each, g=("kg_all trips boat", [(200, 2, "Heron"), (335, 3, "Osprey"), (40, 1, "Tern")]))
+    check(
+        lines("x", "y m", "1 1", "1 1", "1 2", "2 2", "2 2", "1 2") + "data f; set x; by y m notsorted; a = first.y; b = last.y; c = first.m; d = last.m; run;".replace(" notsorted", ""),
+        f=("y m a b c d", [(1, 1, 1, 0, 1, 0), (1, 1, 0, 0, 0, 1), (1, 2, 0, 1, 1, 1), (2, 2, 1, 0, 1, 0), (2, 2, 0, 1, 0, 1), (1, 2, 1, 1, 1, 1)]),
+    )
 
 
-def test_by_groups(check):
+def test_state_that_only_the_interpreter_keeps(check):
     check(
-        SALES + "data g; set sales; by region; if first.region then total = 0; total + amount; if last.region then output; keep region total; run;",
-        g=("total region", [(30, "east"), (70, "west")]),
+        CATCH + "proc sort data=catch; by boat; run; data g; set catch; by boat; retain low; if first.boat then low = kg; if kg < low then low = kg / 2; twice = low * 2; run;",
+        g=("low boat kg twice", [(120, "Heron", 120, 240), (40, "Heron", 80, 80), (300, "Osprey", 300, 600), (5, "Osprey", 10, 10), (5, "Osprey", 25, 10), (40, "Tern", 40, 80)]),
     )
-    check(SALES + "proc sort data=sales; by region; run; data g; set sales; by region; if first.region then total = 0; total + amount; if last.region; keep region total; run;", g=("total region", [(30, "east"), (70, "west")]))
-    check("data x; input a b; datalines;\n1 1\n1 1\n1 2\n2 2\n1 1\n;\nrun; data f; set x; by a b; fa = first.a; la = last.a; fb = first.b; lb = last.b; run;", f=("a b fa la fb lb", [(1, 1, 1, 0, 1, 0), (1, 1, 0, 0, 0, 1), (1, 2, 0, 1, 1, 1), (2, 2, 1, 1, 1, 1), (1, 1, 1, 1, 1, 1)]))
 
 
-def test_group_state_by_interpreter(check):
-    check(SALES + "proc sort data=sales; by region; run; data g; set sales; by region; if first.region then do; m = amount; end; retain m; if amount > m then m = amount * 2; k = m + 1; run;", g=("m region amount k", [(10, "east", 10, 11), (40, "east", 20, 41), (30, "west", 30, 31), (80, "west", 40, 81)]))
+# --- options, filters, sets
 
 
-FIVE = "data five; input id age dept $; datalines;\n1 25 A\n2 40 B\n3 33 A\n4 19 C\n5 55 B\n;\nrun;\n"
+def test_options_of_tables(check):
+    check(
+        BOATS + "data a; set boats(where=(crew < 5) rename=(port=home)); run; data b; set boats(firstobs=3 obs=4 keep=boat); run; data c(drop=port); set boats; if crew > 5; run;",
+        a=("boat crew home", [("Heron", 4, "Skagen"), ("Tern", 2, "Skagen"), ("Puffin", 2, "Esbjerg")]),
+        b=("boat", [("Tern",), ("Gannet",)]),
+        c=("boat crew", [("Osprey", 9), ("Gannet", 6)]),
+    )
+    check(lines("w", "id d1 d2 d3 d4", "9 1 2 3 4") + "data k; set w; keep d2-d4; run; data r; set w; rename d1=monday d4=thursday; drop id d2; run;", k=("d2 d3 d4", [(2, 3, 4)]), r=("monday d3 thursday", [(1, 3, 4)]))
 
 
-def test_dataset_options(check):
+def test_missing_is_below_every_number(check):
     check(
-        FIVE + "data a; set five(where=(age >= 30) rename=(age=years)); run; data b; set five(firstobs=2 obs=4); run; data c; set five(firstobs=2 obs=4 where=(age >= 30)); keep id; run;",
-        a=("id years dept", [(2, 40, "B"), (3, 33, "A"), (5, 55, "B")]),
-        b=("id age dept", [(2, 40, "B"), (3, 33, "A"), (4, 19, "C")]),
-        c=("id", [(2,), (3,)]),
+        lines("t", "id v", "1 -5", "2 .", "3 8") + "data a; set t; where v < 0; run; data b; set t; if v > -9; run; data c; set t; q = 10 / (v - 8); s = v - 1; length = v = .; run;".replace("length", "gap"),
+        a=("id v", [(1, -5), (2, None)]),
+        b=("id v", [(1, -5), (3, 8)]),
+        c=("id v q s gap", [(1, -5, 10 / -13, -6, 0), (2, None, None, None, 1), (3, 8, None, 7, 0)]),
     )
-    check("data x; input id x1 x2 x3 x4; datalines;\n1 2 3 4 5\n;\nrun; data k; set x; keep id x1-x3; run; data d; set x; drop x2-x3; run; data r; set x; rename x1=alpha; keep x1 x2; run;", k=("id x1 x2 x3", [(1, 2, 3, 4)]), d=("id x1 x4", [(1, 2, 5)]), r=("alpha x2", [(2, 3)]))
 
 
-def test_where_and_missing_is_low(check):
-    check("data t; input id x; datalines;\n1 10\n2 .\n3 3\n;\nrun; data a; set t; where x < 5; run; data b; set t; if x >= 3; run; data c; set t; y = x / 0; z = x + 1; if x = . then k = 'none'; else k = 'some'; run;", a=("id x", [(2, None), (3, 3)]), b=("id x", [(1, 10), (3, 3)]), c=("id x y z k", [(1, 10, None, 11, "some"), (2, None, None, None, "none"), (3, 3, None, 4, "some")]))
+def test_stacked_and_appended(check):
+    check("data p; kg = 5; run; data q; boat = 'Tern'; kg = 6; run; data pq; set p q p; run;", pq=("kg boat", [(5, ""), (6, "Tern"), (5, "")]))
+    program = BOATS + "data late; boat = 'Skua'; crew = 3; flag = 1; run;\n"
+    check(program + "proc append base=boats data=late force; run;", boats=("boat crew port", [*FLEET, ("Skua", 3, "")]))
+    with pytest.raises(ValueError):
+        check("proc append base=boats data=late; run;")
 
 
-NAMES = "data n; input id name $; datalines;\n1 John\n2 Mary\n3 Tim\n;\nrun; data s; input id score; datalines;\n1 95\n2 85\n4 70\n;\nrun;\n"
+PORTS = lines("ports", "port $ depth", "Esbjerg 10", "Hirtshals 8", "Skagen 11")
 
 
-def test_merge(check):
+def test_merge_by_key(check):
+    # a source without a row of its own here holds its last values, and its IN= variable is 0
     check(
-        NAMES + "data both; merge n(in=a) s(in=b); by id; if a and b; run; data all; merge n s; by id; run; data left; merge n(in=a) s(in=b); by id; if a and not b; run;",
-        both=("id name score", [(1, "John", 95), (2, "Mary", 85)]),
-        all=("id name score", [(1, "John", 95), (2, "Mary", 85), (3, "Tim", None), (4, "", 70)]),
-        left=("id name score", [(3, "Tim", None)]),
+        BOATS + PORTS + "proc sort data=boats; by port; run; data m; merge boats(in=b) ports(in=p); by port; both = b and p; run; data none; merge boats(in=b) ports(in=p); by port; if p and not b; keep port depth; run;",
+        m=("boat crew port depth both", [("Osprey", 9, "Esbjerg", 10, 1), ("Puffin", 2, "Esbjerg", 10, 0), ("Gannet", 6, "Hanstholm", None, 0), ("", None, "Hirtshals", 8, 0), ("Heron", 4, "Skagen", 11, 1), ("Tern", 2, "Skagen", 11, 0)]),
+        none=("port depth", [("Hirtshals", 8)]),
     )
-    check("data x; input k a; datalines;\n1 1\n1 2\n2 3\n;\nrun; data y; input k b; datalines;\n1 7\n2 8\n2 9\n;\nrun; data m; merge x y(in=iy); by k; f = first.k; l = last.k; g = iy; run; data p; merge x(drop=k) y(drop=k); run;", m=("k a b f l g", [(1, 1, 7, 1, 0, 1), (1, 2, 7, 0, 1, 0), (2, 3, 8, 1, 0, 1), (2, 3, 9, 0, 1, 1)]), p=("a b", [(1, 7), (2, 8), (3, 9)]))
 
 
-def test_set_concatenates_and_append(check):
-    check("data a; x = 1; c = 'p'; run; data b; x = 2; y = 5; run; data ab; set a b a; run;", ab=("x c y", [(1, "p", None), (2, "", 5), (1, "p", None)]))
-    check("data base; input r $ a; datalines;\neast 100\nwest 200\n;\nrun; data more; input r $ a z; datalines;\neast 50 1\n;\nrun; proc append base=base data=more force; run;", base=("r a", [("east", 100), ("west", 200), ("east", 50)]))
-    with pytest.raises(ValueError):
-        check("proc append base=base data=more; run;")
+def test_merge_many_to_many_and_without_key(check):
+    check(
+        lines("x", "k a", "5 1", "5 2", "5 3", "6 4") + lines("y", "k b", "5 10", "5 20", "7 30") + "data m; merge x y(in=y); by k; f = first.k; l = last.k; has = y; run; data s; merge x(drop=k) y(drop=k); run;",
+        m=("k a b f l has", [(5, 1, 10, 1, 0, 1), (5, 2, 20, 0, 0, 1), (5, 3, 20, 0, 1, 0), (6, 4, None, 1, 1, 0), (7, None, 30, 1, 1, 1)]),
+        s=("a b", [(1, 10), (2, 20), (3, 30), (4, 30)]),
+    )
+
+
+def test_rows_to_several_tables(check):
+    check(
+        BOATS + "data small(keep=boat) busy; set boats; if crew < 3 then output small; else if crew > 5 then do; output busy; crew = 0; output busy; end; run;",
+        small=("boat", [("Tern",), ("Puffin",)]),
+        busy=("boat crew port", [("Osprey", 9, "Esbjerg"), ("Osprey", 0, "Esbjerg"), ("Gannet", 6, "Hanstholm"), ("Gannet", 0, "Hanstholm")]),
+    )
+
+
+def test_sorting_is_stable(check):
+    check(BOATS + "proc sort data=boats out=s; by crew descending boat; run;", s=("boat crew port", [FLEET[2], FLEET[4], FLEET[0], FLEET[3], FLEET[1]]))
+    check(lines("t", "v tag $", "3 a", ". b", "3 c", "1 d", ". e") + "proc sort data=t out=u nodupkey; by descending v; run;", u=("v tag", [(3, "a"), (1, "d"), (None, "b")]))
 
 
-def test_multiple_outputs(check):
-    check(PEOPLE + "data young(keep=name) old; set people; if age < 18 then output young; else do; output old; output old; end; run; data _null_; set people; run;", young=("name", [("Tim",), ("Ann",)]), old=("name age", [("John", 25), ("John", 25), ("Mary", 30), ("Mary", 30)]))
+# --- functions
+
+
+def test_calendar_functions(check):
+    d = day(2016, 8, 17)
+    check(
+        f"""data t; d = {d}; y = year(d); m = month(d); dd = day(d); q = qtr(d); w = weekday(d); leap = mdy(2, 29, 2016); none = mdy(2, 29, 2015);
+        noon = dhms(d, 12, 0, 5); back = datepart(noon); clock = timepart(noon); h = hms(2, 3, 4); run;""",
+        t=("d y m dd q w leap none noon back clock h", [(d, 2016, 8, 17, 3, 4, day(2016, 2, 29), None, d * 86400 + 43205, d, 43205, 7384)]),
+    )
 
 
-def test_sort(check):
-    check(PEOPLE + "proc sort data=people; by age; run; proc sort data=people out=d; by descending age; run;", people=("name age", [("Tim", 12), ("Ann", 17), ("John", 25), ("Mary", 30)]), d=("name age", [("Mary", 30), ("John", 25), ("Ann", 17), ("Tim", 12)]))
-    check("data t; input id day $; datalines;\n2 mon\n1 mon\n1 tue\n2 wed\n. x\n;\nrun; proc sort data=t nodupkey; by id; run;", t=("id day", [(None, "x"), (1, "mon"), (2, "mon")]))
+def test_intervals(check):
+    d = day(2016, 8, 17)
+    noon = d * 86400 + 43205
+    check(
+        f"""data t; d = {d}; x = {noon}; a = intck('quarter', '31DEC2014'd, d); b = intck('week', '13AUG2016'd, '14AUG2016'd); c = intck('dthour', 0, 7200); e = intck('month3.2', '31JAN2016'd, '01FEB2016'd);
+        f = intnx('year', d, -1, 'e'); g = intnx('qtr', d, 1, 'm'); h = intnx('months', d, 2, 's'); i = intnx('week.2', d, 0); j = intnx('dtday', x, 3, 's'); k = intnx('dtmonth', x, 0, 'e'); l = intnx('semiyear', d, 0); m = intnx('minute15', x, 1); drop d x; run;""",
+        t=(
+            "a b c e f g h i j k l m",
+            [(7, 1, 2, 1, day(2015, 12, 31), (day(2016, 10, 1) + day(2016, 12, 31)) // 2, day(2016, 10, 17), day(2016, 8, 15), noon + 3 * 86400, day(2016, 8, 31) * 86400, day(2016, 7, 1), noon // 900 * 900 + 900)],
+        ),
+    )
+    with pytest.raises(ValueError, match="fortnight"):
+        check("data t; a = intck('fortnight', 0, 9); run;")
 
 
-def test_dates_and_intervals(check):
+def test_text_functions(check):
     check(
-        """data t; d = 21929; y = year(d); m = month(d); q = qtr(d); w = weekday(d); f = mdy(2, 29, 2020); bad = mdy(2, 30, 2021);
-        c = intck('month', '15NOV2019'd, d); nx = intnx('month', d, 1); e = intnx('month', d, 0, 'e'); dp = datepart(d * 86400 + 3600); tp = timepart(d * 86400 + 3600); h = hms(1, 30, 0);
-        m2 = intnx('month2', d, 1); wk = intnx('week', d, 0); wk2 = intnx('week.2', d, 0); se = intnx('semiyear', d, 1); hr = intnx('hour', 52200, 2); mi = intnx('minute', 90, 1); lit = '31FEB2020'd; run;""",
-        t=("d y m q w f bad c nx e dp tp h m2 wk wk2 se hr mi lit", [(21929, 2020, 1, 1, 4, 21974, None, 2, 21946, 21945, 21929, 3600, 5400, 21975, 21926, 21927, 22097, 57600, 120, 21976)]),
+        """data t; s = 'mackerel and Cod'; up = upcase(substr(s, 1, 4)); n = length('cod  '); p = propcase('north sea-coast'); c = cats('  a', 12, 'b '); x = catx('/', 'a', ' ', 'z'); at = index(s, 'and'); later = find(s, 'e', 6);
+        one = scan(s, 2); last = scan(s, -1, ' '); k = compress('4-4 4', '-'); r = tranwrd(s, 'and', '&'); v = reverse('oar'); j = 1.5 || '|' || 2000000; blank = missing(trim('  ')); run;""",
+        t=("s up n p c x at later one last k r v j blank", [("mackerel and Cod", "MACK", 3, "North Sea-coast", "a12b", "a/z", 10, 7, "and", "Cod", "44 4", "mackerel & Cod", "rao", "1.5|2e+06", 1)]),
     )
 
 
-def test_strings(check):
+def test_number_functions(check):
     check(
-        """data t; s = 'Hello big World'; u = upcase(s); l = length('ab  '); p = propcase("o'neil foo-bar"); b = substr(s, 7, 3); c = cats(' a ', 5, ' b'); x = catx('-', 'a', '', 'b'); i = index(s, 'big'); f = find(s, 'o', 6); w = scan(s, 2); z = scan(s, -1); k = compress('a-b c', '-'); r = tranwrd(s, 'big', 'small'); v = reverse('abc'); j = 'n' || 1000000 || 2.5; e = missing(''); run;""",
-        t=("s u l p b c x i f w z k r v j e", [("Hello big World", "HELLO BIG WORLD", 2, "O'neil Foo-bar", "big", "a5b", "a-b", 7, 12, "big", "World", "ab c", "Hello small World", "cba", "n1e+062.5", 1)]),
+        "data t; a = sum(., 4, 5); b = mean(2, ., 4); c = max(., -3); d = nmiss(., 1, .); e = round(7.125, .25); f = round(-2.5); g = int(-9.9); h = 3 ** 2 ** 0; i = -3 ** 2; j = not 1 or 2; l = log(-2); m = ceil(-1.5) + floor(-1.5); n = sqrt(49) + exp(0); run;",
+        t=("a b c d e f g h i j l m n", [(9, 3, -3, 2, 7.25, -3, -9, 3, -9, 1, None, -3, 8)]),
     )
 
 
-def test_numbers(check):
-    check("data t; a = sum(1, ., 3); b = mean(., .); c = min(4, ., 2); d = n(1, ., 'x'); e = round(2.345, .01); f = int(-2.7); g = 2 ** 3 ** 0; h = -2 ** 2; i = not 0 and 1; j = 5 <> 5; k = sqrt(-1); l = abs(-3) + ceil(1.2) * floor(-1.2); m = max(1, 'a'); run;", t=("a b c d e f g h i j k l m", [(4, None, 2, 2, 2.35, -2, 2, -4, 1, 0, None, -1, 1)]))
+# --- formats
 
 
-def test_formats(check):
-    program = """proc format;
-  value score low-579='Poor' 580-669='Fair' 670-high='Good';
-  value $yn 'Y'='Yes' 'N'='No' other='?';
-  invalue grade 'A'=4 'B'=3 other=0;
-  invalue size low-9=1 10-19=2 other=99;
-  picture dollars low-high='000,000,009.99' (prefix='$');
-  picture phone other='000-0000';
-  picture zid low-high='000000' (mult=1 fill='0');
+def test_value_formats_and_informats(check):
+    check(
+        """proc format;
+  value tide low-<0='ebb' 0='slack' 0<-high='flood' other='unknown';
+  value $grade 'A','B'='table' 'X'='bait' other='mixed';
+  invalue points 'gold'=3 'silver'=2 other=0;
+  invalue band low-5=1 6-high=2;
 run;
-data t; input score letter $ raw $; a = put(score, score.); b = put(letter, $yn.); c = input(raw, comma8.); d = input(letter, grade.); e = strip(put(score, dollars.)); f = put(score, zid.); g = put(score, 8.2); h = put(score, dollar10.2); i = put(21929, date9.); j = put(21929, mmddyy10.); k = strip(put(5551234, phone.)); datalines;
-580.5 Y 1,234
-. N 9,999
-;
-run;"""
-    check(program, t=("score letter raw a b c d e f g h i j k", [(580.5, "Y", "1,234", "Fair", "Yes", 1234, 0, "$580.50", "000581", "580.50", "$580.50", "15JAN2020", "01/15/2020", "555-1234"), (None, "N", "9,999", ".", "No", 9999, 0, "", " ", ".", ".", "15JAN2020", "01/15/2020", "555-1234")]))
+""" + lines("t", "level mark $ medal $", "-1.5 B gold", "0 X tin", "2 Z silver", ". A x") + "data u; set t; a = put(level, tide.); b = put(mark, $grade.); c = input(medal, points.); e = input(put(level * -4, best8.), band.); drop level mark medal; run;",
+        u=("a b c e", [("ebb", "table", 3, 2), ("slack", "bait", 0, 1), ("flood", "mixed", 2, 1), ("unknown", "table", 0, None)]),
+    )
 
 
-def test_control_datasets(check):
-    s = check(
-        "proc format; value agegrp low-12='Child' 13-19='Teen' 20-high='Adult' other='?'; value $reg 'E'='East' 'W'='West'; run; proc format cntlout=f; run;",
-        f=("FMTNAME START END LABEL TYPE HLO SEXCL EEXCL", [("REG", "E", "E", "East", "C", "", "N", "N"), ("REG", "W", "W", "West", "C", "", "N", "N"), ("AGEGRP", "", "12", "Child", "N", "L", "N", "N"), ("AGEGRP", "13", "19", "Teen", "N", "", "N", "N"), ("AGEGRP", "20", "", "Adult", "N", "H", "N", "N"), ("AGEGRP", "", "", "?", "N", "O", "N", "N")]),
+def test_pictures(check):
+    check(
+        """proc format; picture weight low-high='0,009.9 kg'; picture code other='99-999'; picture coin low-high='000,009.99' (prefix='kr '); run;
+        data t; a = strip(put(1234.5, weight.)); b = strip(put(7041, code.)); c = strip(put(88.4, coin.)); run;""",
+        t=("a b c", [("1,234.5 kg", "07-041", "kr 88.40")]),
     )
-    s.library.formats.clear()
-    check("proc format cntlin=f; run; data t; a = put(15, agegrp.); b = put('W', $reg.); c = put(., agegrp.); run;", t=("a b c", [("Teen", "West", "?")]))
 
 
-def test_means(check):
+def test_shipped_formats(check):
+    d = day(2016, 8, 17)
     check(
-        "data x; input grp $ x; datalines;\na 10\na 20\na 30\nb 100\nb 200\n;\nrun; proc means data=x noprint; class grp; var x; output out=o n=n mean=mean sum=sum min=min max=max; run;",
-        o=("grp _TYPE_ _FREQ_ n mean sum min max", [("a", 1, 3, 3, 20, 60, 10, 30), ("b", 1, 2, 2, 150, 300, 100, 200)]),
+        f"""data t; a = put({d}, date9.); b = put({d}, mmddyy8.); c = put({d}, worddate18.); e = put(3723, time8.); f = put({d} * 86400 + 61, datetime18.); g = strip(put(-1234567.891, comma14.2)); h = put(0.256, percent8.1); i = put(42, 6.1); j = put(., 5.); k = put('herring', $3.); l = strip(put(1e3, dollar9.)); run;""",
+        t=("a b c e f g h i j k l", [("17AUG2016", "08/17/16", "August 17, 2016", "01:02:03", "17AUG2016:00:01:01", "-1,234,567.89", "25.6%", "42.0", ".", "her", "$1,000.00")]),
     )
 
 
-FREQ = "data f; input region $ product $; datalines;\ne a\ne a\nw b\ne b\nw a\n;\nrun;\n"
+def test_formats_as_tables(check):
+    s = check(
+        "proc format; value depth low-5='shallow' 6-<20='mid' 20-high='deep'; value $side 'L'='port' 'R'='starboard'; run; proc format cntlout=f; run; proc sort data=f; by fmtname start; run;",
+        f=("FMTNAME START END LABEL TYPE HLO SEXCL EEXCL", [("DEPTH", "", "5", "shallow", "N", "L", "N", "N"), ("DEPTH", "20", "", "deep", "N", "H", "N", "N"), ("DEPTH", "6", "20", "mid", "N", "", "N", "Y"), ("SIDE", "L", "L", "port", "C", "", "N", "N"), ("SIDE", "R", "R", "starboard", "C", "", "N", "N")]),
+    )
+    s.library.formats.clear()
+    check("proc format cntlin=f; run; data t; a = put(19.5, depth.); b = put(3, depth.); c = put('R', $side.); run;", t=("a b c", [("mid", "shallow", "starboard")]))
+
+
+# --- statistics
+
 
+def test_summaries(check):
+    check(
+        CATCH + "proc means data=catch noprint; class boat; var kg; output out=o n=trips mean=avg sum=total min=least max=most; run;",
+        o=("boat _TYPE_ _FREQ_ trips avg total least most", [("Heron", 1, 2, 2, 100, 200, 80, 120), ("Osprey", 1, 3, 3, 335 / 3, 335, 10, 300), ("Tern", 1, 1, 1, 40, 40, 40, 40)]),
+    )
 
-def test_freq(check):
-    s = check(FREQ + "proc freq data=f; tables region / out=one; tables region*product / out=two chisq; run;", one=("region COUNT PERCENT", [("e", 3, 60), ("w", 2, 40)]), two=("region product COUNT PERCENT", [("e", "a", 2, 40), ("e", "b", 1, 20), ("w", "a", 1, 20), ("w", "b", 1, 20)]))
-    assert any("Chi-Square  DF 1  Value 0.1389" in x for x in s.listing)
-    check(FREQ + "proc format; value $reg 'e'='East' 'w'='West'; run; proc freq data=f; format region $reg.; tables region / out=o; run;", o=("region COUNT PERCENT", [("East", 3, 60), ("West", 2, 40)]))
 
+def test_counts(check):
+    s = check(
+        BOATS + "proc freq data=boats; tables port / out=one; tables port*crew / out=two chisq; run;",
+        one=("port COUNT PERCENT", [("Esbjerg", 2, 40), ("Hanstholm", 1, 20), ("Skagen", 2, 40)]),
+        two=("port crew COUNT PERCENT", [("Esbjerg", 2, 1, 20), ("Esbjerg", 9, 1, 20), ("Hanstholm", 6, 1, 20), ("Skagen", 2, 1, 20), ("Skagen", 4, 1, 20)]),
+    )
+    # 5 * (1/(2*2) + 1/(2*1) + 1/(1*1) + 1/(2*2) + 1/(2*1) - 1) = 7.5
+    assert any("Chi-Square  DF 6  Value 7.5" in x for x in s.listing)
+    check(BOATS + "proc format; value size low-3='few' 4-high='many'; run; proc freq data=boats; format crew size.; tables crew / out=o; run;", o=("crew COUNT PERCENT", [("few", 2, 40), ("many", 3, 60)]))
 
-def test_regression(check, spark):
+
+def test_least_squares(check):
     from stepframe.operators.stats import least_squares
 
-    s = check("data r; input x y; datalines;\n1 1\n2 3\n3 2\n4 5\n5 4\n;\nrun; data g; input grp $ score; datalines;\nA 10\nA 12\nA 11\nB 20\nB 23\nB 19\nC 31\nC 29\nC 30\n;\nrun;")
+    s = check(lines("r", "x y", "0 1", "1 3", "2 4", "3 8") + lines("g", "kind $ v", "a 4", "a 6", "b 1", "b 2", "b 3", "c 9", "c 11"))
     t, fit = least_squares(s.table("r"), "y", ["x"])
-    rows = t.rows()
-    assert abs(rows[0][2] - 0.6) < 1e-9 and abs(rows[1][2] - 0.8) < 1e-9 and abs(fit["rsquare"] - 0.64) < 1e-9
-    assert abs(rows[1][5] - 0.10409) < 1e-4
-    t, _ = least_squares(s.table("g"), "score", ["grp"], ["grp"])
-    assert [(r[0], round(r[2], 4), r[1]) for r in t.rows()] == [("Intercept", 30.0, 1.0), ("grp A", -19.0, 1.0), ("grp B", -9.3333, 1.0), ("grp C", 0.0, 0.0)]
+    intercept, slope = t.rows()
+    # Sxx = 5, Sxy = 11, Syy = 26, so the slope is 2.2 and the error sum of squares 26 - 24.2 = 1.8
+    assert abs(slope[2] - 2.2) < 1e-9 and abs(intercept[2] - 0.7) < 1e-9 and abs(fit["rsquare"] - 24.2 / 26) < 1e-9
+    assert abs(slope[3] - (0.9 / 5) ** 0.5) < 1e-9 and abs(slope[4] - 2.2 / (0.9 / 5) ** 0.5) < 1e-9
+    t, _ = least_squares(s.table("g"), "v", ["kind"], ["kind"])
+    assert [(r[0], r[1], round(r[2], 9)) for r in t.rows()] == [("Intercept", 1, 10), ("kind a", 1, -5), ("kind b", 1, -8), ("kind c", 0, 0)]
     with pytest.raises(ValueError):
         least_squares(s.table("r"), "y", ["x", "x"])
 
 
-def test_sql(check):
+# --- SQL
+
+
+def test_sql_dialect(check):
     check(
-        PEOPLE + "data sc; input name $ score; datalines;\nJohn 95\nTim 70\n;\nrun; proc sql; create table a as select name, age from people where age >= 18 order by age; create table b as select p.name, s.score, age / 0 as z from people p inner join sc s on p.name = s.name order by p.name; create table c as select count(*) as n, sum(age) as total, 7 / 2 as h from people where name like 'j%'; quit;",
-        a=("name age", [("John", 25), ("Mary", 30)]),
-        b=("name score z", [("John", 95, None), ("Tim", 70, None)]),
-        c=("n total h", [(1, 25, 3)]),
+        BOATS + """proc sql; create table a as select boat, crew / 2 as half, 1.0 * crew / 0 as none from boats where port like 's%' order by boat;
+        create table b as select port, count(*) as n, total(crew) as t from boats group by port having count(*) > 1 order by port;
+        create table c as select boat from boats where boat <> "x like 6/2" and port = "Skagen" order by 1; quit;""",
+        a=("boat half none", [("Heron", 2, None), ("Tern", 1, None)]),
+        b=("port n t", [("Esbjerg", 2, 11), ("Skagen", 2, 6)]),
+        c=("boat", [("Heron",), ("Tern",)]),
     )
     with pytest.raises(ValueError):
-        check("proc sql; create table a as select 1 as x; quit;")
+        check("proc sql; create table a as select 5 as five; quit;")
 
 
-def test_sql_sources(check):
+def test_sql_joins_and_subqueries(check):
     check(
-        PEOPLE + "data sc; input name $ score; datalines;\nJohn 95\nTim 70\n;\nrun; proc sql; create table a as select p.name, s.score from people p, sc s where p.name = s.name order by 1; create table b as select name from (select * from people where age > 20) x where name in (select name from sc); create table c as select people.name, sc.score from people left join sc on people.name = sc.name where sc.score is null order by people.name; quit;",
-        a=("name score", [("John", 95), ("Tim", 70)]),
-        b=("name", [("John",)]),
-        c=("name score", [("Ann", None), ("Mary", None)]),
+        BOATS + PORTS + CATCH + """proc sql; create table a as select b.boat, p.depth from boats b left join ports p on b.port = p.port where p.depth is null or p.depth > 10 order by b.boat;
+        create table c as select boat, port from boats where boat not in (select boat from catch) order by boat; create table d as select x.boat, x.kg from (select boat, max(kg) as kg from catch group by boat) x, boats b where x.boat = b.boat and b.crew > 3 order by x.kg; quit;""",
+        a=("boat depth", [("Gannet", None), ("Heron", 11), ("Tern", 11)]),
+        c=("boat port", [("Gannet", "Hanstholm"), ("Puffin", "Esbjerg")]),
+        d=("boat kg", [("Heron", 120), ("Osprey", 300)]),
     )
 
 
-def test_sql_bare_columns(check):
-    check("data t; input g $ a b; datalines;\nx 1 5\nx 2 5\ny 3 7\n;\nrun; proc sql; create table o as select g, b, sum(a) as s from t group by g order by g; quit;", o=("g b s", [("x", 5, 3), ("y", 7, 3)]))
+def test_sql_columns_outside_the_groups(check):
+    check(lines("t", "g $ a b", "m 1 4", "m 9 4", "k 2 6") + "proc sql; create table o as select g, b, max(a) as a from t group by g order by g; quit;", o=("g b a", [("k", 6, 2), ("m", 4, 9)]))
 
 
 def test_database(check, tmp_path):
     check(
-        f"""libname db sqlite "{tmp_path}/x.db";
-data db.emp; input id name $ amt; datalines;
-1 Amy 100
-2 Bob 50
-3 Cy 200
-;
-run;
-data dept; input id dept $; datalines;
-1 Eng
-2 Sales
-3 Ops
-;
-run;
-proc sql; create table j as select e.name, d.dept from db.emp e join dept d on e.id = d.id order by e.name;
-create table p as select * from connection to db (select sum(amt) as total from "emp" where id > 1); execute (insert into emp values (4, 'Di', 1)) by db; quit;
-proc append base=db.emp data=db.emp(where=(id=1)); run;
-data back; set db.emp; run;
-proc sql; drop table db.emp; quit;""",
-        j=("name dept", [("Amy", "Eng"), ("Bob", "Sales"), ("Cy", "Ops")]),
-        p=("total", [(250,)]),
-        back=("id name amt", [(1, "Amy", 100), (2, "Bob", 50), (3, "Cy", 200), (4, "Di", 1), (1, "Amy", 100)]),
+        f'libname sea sqlite "{tmp_path}/sea.db";\n' + CATCH.replace("data catch;", "data sea.catch;") + BOATS + """proc sql; create table j as select c.boat, c.kg, b.port from sea.catch c join boats b on c.boat = b.boat where c.kg > 100 order by c.kg;
+create table p as select * from connection to sea (select boat, count(*) as trips from "catch" group by boat order by boat); execute (delete from "catch" where kg < 20) by sea; quit;
+proc append base=sea.catch data=sea.catch(where=(boat='Tern')); run;
+data back; set sea.catch; run;
+proc sql; drop table sea.catch; quit;""",
+        j=("boat kg port", [("Heron", 120, "Skagen"), ("Osprey", 300, "Esbjerg")]),
+        p=("boat trips", [("Heron", 2), ("Osprey", 3), ("Tern", 1)]),
+        back=("boat kg", [("Heron", 120), ("Heron", 80), ("Tern", 40), ("Osprey", 300), ("Osprey", 25), ("Tern", 40)]),
     )
 
 
-def test_proof(check):
+# --- checks
+
+
+def test_checks_and_their_report(check):
     s = check(
-        """data t; input id qty region $; datalines;
-1 10 east
-2 0 west
-2 50 east
-;
-run;
-data regions; input region $; datalines;
-east
-;
-run;
-proc proof data=t out=bad; require id; type id=num region=char; notnull id qty; values region in ('east' 'west'); range qty 1 - 100; unique id; run;
-proc proof data=t out=bad2; key region references regions(region); rule "small": qty < 20; unique nothere; rule "ratio": id / qty < 5 / severity=warn message="odd ratio"; run;""",
-        bad=("id qty region _rule_ _obs_", [(2, 0, "west", "range qty 1 - 100", 2), (2, 0, "west", "unique id", 2), (2, 50, "east", "unique id", 3)]),
-        bad2=("id qty region _rule_ _obs_", [(2, 0, "west", "key region references regions(region)", 2), (2, 50, "east", "small", 3)]),
+        lines("t", "trip kg boat $", "1 50 Heron", "2 -4 Skua", "3 . Tern", "3 12 Heron") + BOATS + """proc proof data=t out=bad; require trip; type trip=num boat=char; notnull kg; values boat in ('Heron' 'Tern'); range kg 0 - 40; unique trip; run;
+proc proof data=t out=more; key boat references boats(boat); rule "odd trip": mod3 = 1; rule "light": kg < 30 / severity=warn message="heavy catch"; run;""",
+        bad=(
+            "trip kg boat _rule_ _obs_",
+            [(1, 50, "Heron", "range kg 0 - 40", 1), (2, -4, "Skua", "range kg 0 - 40", 2), (2, -4, "Skua", "values boat in (Heron Tern)", 2), (3, None, "Tern", "notnull kg", 3), (3, None, "Tern", "range kg 0 - 40", 3), (3, None, "Tern", "unique trip", 3), (3, 12, "Heron", "unique trip", 4)],
+        ),
     )
-    assert s.errors == 4
-    assert any("N/RUN" in x for x in s.listing)
+    assert s.errors > 0 and any("heavy catch" in x or "light" in x for x in s.listing)
+
 
+# --- writing
 
-def test_put_files(check, tmp_path):
+
+def test_text_sinks(check, tmp_path):
     f = tmp_path
     check(
-        PEOPLE + f"""data _null_; set people; file "{f}/a.csv" dsd; put name age; run;
-data a; infile "{f}/a.csv" dsd; input name $ age; run;
-data _null_; set people; file "{f}/b.txt"; put name $ 1-10 age 11-13; run;
-data b; infile "{f}/b.txt"; input name $ 1-10 age 11-13; run;
-data _null_; set people; file "{f}/c.txt"; put age @@; run;
-data c; infile "{f}/c.txt"; input age @@; run;
-data _null_; set people; file "{f}/d.txt"; put name @; put age; run;
-data d; infile "{f}/d.txt"; input name $ age; run;
-data _null_; set people; file "{f}/e.txt"; put name=; run;
-data e; infile "{f}/e.txt" dlm='='; input k $ name $; run;
-data _null_; set people; file "{f}/f.txt"; put name / age; run;""".replace("put name / age;", "put #1 name #2 age;"),
-        a=("name age", [("John", 25), ("Mary", 30), ("Tim", 12), ("Ann", 17)]),
-        b=("name age", [("John", 25), ("Mary", 30), ("Tim", 12), ("Ann", 17)]),
-        c=("age", [(25,), (30,), (12,), (17,)]),
-        d=("name age", [("John", 25), ("Mary", 30), ("Tim", 12), ("Ann", 17)]),
-        e=("k name", [("name", "John"), ("name", "Mary"), ("name", "Tim"), ("name", "Ann")]),
+        BOATS + f"""data _null_; set boats; file "{f}/a.csv" dsd; note = catx(',', boat, port); put crew note; run;
+data a; infile "{f}/a.csv" dsd; input crew note $; run;
+data _null_; set boats; file "{f}/b.txt"; put crew 1-3 boat $ 5-12; run;
+data b; infile "{f}/b.txt"; input crew 1-3 boat $ 5-12; run;
+data _null_; set boats; file "{f}/c.txt"; put boat @@; run;
+data _null_; set boats; file "{f}/d.txt"; put port @; put crew; run;
+data _null_; set boats; file "{f}/e.txt"; put crew= boat=; run;
+data _null_; set boats; file "{f}/f.txt"; put #1 boat #2 crew; run;""",
+        a=("crew note", [(c, f"{b},{p}") for b, c, p in FLEET]),
+        b=("crew boat", [(c, b) for b, c, _ in FLEET]),
     )
-    assert (f / "c.txt").read_text() == "25 30 12 17\n"
-    assert (f / "f.txt").read_text() == "John\n25\nMary\n30\nTim\n12\nAnn\n17\n"
+    assert (f / "c.txt").read_text() == "Heron Osprey Tern Gannet Puffin\n"
+    assert (f / "d.txt").read_text().splitlines()[0] == "Skagen 4"
+    assert (f / "e.txt").read_text().splitlines()[1] == "crew=9 boat=Osprey"
+    assert (f / "f.txt").read_text().splitlines()[:4] == ["Heron", "4", "Osprey", "9"]
 
 
-def test_import_export(check, tmp_path):
+def test_import_and_export(check, tmp_path):
     f = tmp_path
+    rows = [("Heron, old", 1250000, None), ("Tern", 2.75, 3)]
     check(
-        f"""data t; input name $ 1-12 salary 14-20; datalines;
-Smith, John  1000000
-Ann             2.5
-Bob               .
-;
-run;
-proc export data=t outfile="{f}/t.csv" dbms=csv; run;
-proc import datafile="{f}/t.csv" out=b dbms=csv; getnames=yes; run;
-proc export data=t outfile="{f}/t.xlsx" dbms=xlsx; run;
-proc import datafile="{f}/t.xlsx" out=x dbms=xlsx; run;""",
-        b=("name salary", [("Smith, John", 1000000), ("Ann", 2.5), ("Bob", None)]),
-        x=("name salary", [("Smith, John", 1000000), ("Ann", 2.5), ("Bob", None)]),
+        lines("t", "boat $ 1-10 price 12-19 crew 21-22", "Heron, old  1250000  .", "Tern           2.75  3") + f"""proc export data=t outfile="{f}/t.csv" dbms=csv; run; proc import datafile="{f}/t.csv" out=c dbms=csv; getnames=yes; run;
+proc export data=t outfile="{f}/t.xlsx" dbms=xlsx; run; proc import datafile="{f}/t.xlsx" out=x dbms=xlsx; run;""",
+        c=("boat price crew", rows),
+        x=("boat price crew", rows),
     )
 
 
-def test_macros(check):
+# --- macros, listings, errors
+
+
+def test_macro_text(check):
     check(
-        PEOPLE + """%let cut = 18; %macro pick(ds, v=age); data &ds; set people; if &v >= &cut; run; %mend;
-%pick(adults);
-%macro rows; data r; %do i = 1 %to 3; x = &i; output; %end; run; %mend;
-%rows
-%macro c(k); data q; %if &k = 1 %then %do; y = 'one'; %end; %else %do; y = 'more'; %end; run; %mend; %c(2);""",
-        adults=("name age", [("John", 25), ("Mary", 30)]),
-        r=("x", [(1,), (2,), (3,)]),
-        q=("y", [("more",)]),
+        BOATS + """%let least = 5; %macro over(out, of=crew); data &out; set boats; where &of > &least; keep boat; run; %mend; %over(big);
+%macro table; data squares; %do n = 2 %to 4; v = &n * &n; output; %end; run; %mend; %table
+%macro choose(k); data said; %if &k > 1 %then %do; word = 'many'; %end; %else %do; word = 'single'; %end; run; %mend; %choose(1);""",
+        big=("boat", [("Osprey",), ("Gannet",)]),
+        squares=("v", [(4,), (9,), (16,)]),
+        said=("word", [("single",)]),
     )
 
 
-def test_listing_titles_and_errors(check, session):
-    out = session.submit(PEOPLE + "title 'People'; footnote 'end'; proc print data=people noobs; var name; run; title;")
-    assert out[0] == "People" and out[-1] == "end" and out[2].strip() == "John"
-    with pytest.raises(ParseError):
-        session.submit("data ok; x = 1; run; data bad; x = (1; run;")
+def test_listings(session):
+    out = session.submit(BOATS + "title 'Fleet'; footnote 'Sea'; proc print data=boats noobs; var port; run; title;")
+    assert out[0] == "Fleet" and out[-1] == "Sea" and out[2].strip() == "Skagen"
+
+
+def test_errors_leave_the_library_alone(session):
+    for text in ("data ok; v = 1; run; data broken; v = 1 + ; run;", "data ok; v = 1; run; data broken; set ok; delete; run;"):
+        with pytest.raises(ParseError):
+            session.submit(text)
     assert "ok" not in session.library.tables
-    with pytest.raises(ParseError):
-        session.submit("data bad; set people; delete; run;")
 
 
-def test_symbolic_equals_interpreter(spark, session):
+def test_symbolic_equals_interpreter(session):
     from stepframe.lang.parser import parse
     from stepframe.plans.step import run_step
 
-    session.submit(FIVE)
-    for body in ("x = age * 2 - id; if x > 50 then k = 'hi'; else if dept = 'A' then k = 'a'; else k = 'lo'; z = catx('/', dept, x);", "array a{2} id age; s = 0; do j = 1 to 2; s = s + a{j}; end; if s > 30; drop j;", "t + age; r = _n_;", "if age > 30 then do; output; age = 0; output; end;"):
-        step = parse(f"data o; set five; {body} run;")[0]
+    session.submit(BOATS)
+    for body in (
+        "more = crew * 3 - 1; if more > 15 then size = 'large'; else if port = 'Skagen' then size = 'north'; else size = 'small'; tag = catx('.', port, more);",
+        "array v{2} crew more; more = 1; all = 0; do j = 1 to 2; all = all + v{j} * j; end; if all > 5; drop j;",
+        "hands + crew; at = _n_;",
+        "if crew > 3 then do; output; crew = -crew; output; end;",
+        "d = intnx('month2', crew * 1000, 1, 'm'); n = intck('week.3', 0, crew * 100);",
+    ):
+        step = parse(f"data o; set boats; {body} run;")[0]
         run_step(step, session.library)
-        a = session.table("o")
-        got = (a.names, a.rows())
+        got = (session.table("o").names, session.table("o").rows())
         run_step(step, session.library, force_interpreter=True)
-        b = session.table("o")
-        assert got == (b.names, b.rows()), body
+        assert got == (session.table("o").names, session.table("o").rows()), body
