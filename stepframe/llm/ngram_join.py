@@ -6,11 +6,14 @@
    Verified links joined into components are the groups; most classes are groups alone.
 3. Token-group matrix. Tokens are ordered from rare to frequent by a fixed-size count sketch over all documents (any
    total order is right; a good one is fast). Two sets with Jaccard >= t must share one of the first
-   n - ceil(t * n) + 1 tokens of each in that order. The matrix holds, per token, the groups in whose prefixes it
-   stands. For a query set the bound on its overlap with a group is whether one of its prefix tokens is in the group's
-   union at all; its own group, already joined to it, is never opened. Tokens of one group only are dropped inside
-   their hash bucket; only the rest are joined, with the size bound t * |Q| <= |S| <= |Q| / t.
-4. Pairs of opened groups are verified on the whole texts; all links together give the components.
+   n - ceil(t * n) + 1 tokens of each in that order, and a known number of those. The matrix stores each group's union
+   of such tokens of its members, with their least and greatest size. A query set's overlap with a group is at most the number of its tokens
+   in that union; only groups where this bound reaches what the sizes ask for qualify. Where one member alone holds the shared tokens, the
+   bound is that pair's own; else the group is opened and its members are counted one by one.
+4. Frequent tokens. Sets that share a token of many sets' prefixes are in one cluster. Their groups, whole or (large ones) in
+   parts, lie in blocks with unions of all their tokens, and blocks of like sizes meet: each query set's overlap with every group's union is
+   counted, and only qualifying groups that no link joins yet are opened.
+5. Pairs of opened groups are verified on the whole texts; all links together give the components.
 
 Defined results: a null, empty or blank text has no shingle and links with nothing (its component is itself); rows
 that repeat a doc_id are documents of their own; rows without a doc_id get the component of their copies, or null.
@@ -18,11 +21,13 @@ that repeat a doc_id are documents of their own; rows without a doc_id get the c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +42,12 @@ SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 #: A lookup table of at most this many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 BUCKET_TOKENS = 250_000
-#: A token in more prefixes than this is handled by blocks of about BLOCK_TOKENS tokens.
-HOT_CLASSES, BLOCK_TOKENS = 16, 20_000
+#: The rows of a token that is in more sets than this are dealt by set, not by token.
+SPREAD_SETS = 10_000
+#: A token in more prefixes than this is handled by blocks of about BLOCK_TOKENS tokens and at most some BLOCK_SETS sets.
+HOT_CLASSES, BLOCK_TOKENS, BLOCK_SETS = 16, 20_000, 2_000
+#: Cells of a count matrix in a Python worker; pairs that one copy of a leader's text serves.
+CELLS, LED_PAIRS = 4_000_000, 500
 #: Texts (bytes) that a Python worker turns into arrays at a time, and rows of an Arrow batch.
 SCAN_BYTES, ARROW_ROWS = 1 << 20, 2000
 
@@ -101,26 +110,37 @@ def sum_sketch(partial: DataFrame) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) of class keys, those that link: (a, b, shared, united), from the whole texts."""
+    """Of pairs (a, b) of class keys, those that link: (a, b, shared, united), from the whole texts.
+
+    The text of `a` goes once to every LED_PAIRS of its pairs, which stream past it.
+    """
     wanted = materialise(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", F.col("rep").alias("doc_id")))
     texts = materialise(docs.join(_small(wanted, wanted.count()), "doc_id").select("key", "text"))
-    joined = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text", "text_b")
+    leads = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / LED_PAIRS).alias("parts")))
+    led = pairs.join(leads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("long").alias("part"), "b").join(texts.withColumnRenamed("key", "b"), "b")
+    lead = leads.join(texts.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    lines = lead.unionByName(led.select("a", "part", "b", "text")).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, limit=SCAN_BYTES):
-            left, right = shingle_sets(b.column(2), words), shingle_sets(b.column(3), words)
+        of, first = None, np.zeros(0, np.uint64)
+        for block in chunks(batches, limit=SCAN_BYTES):
             rows = []
-            for x, y, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), left, right, strict=True):
-                shared = common(s, t)
-                united = len(s) + len(t) - shared
+            for a, b, s in zip(block.column(0).to_pylist(), block.column(2).to_pylist(), shingle_sets(block.column(3), words), strict=True):
                 # a repeated doc_id may bring another text along: the keys tell
-                if 100 * shared >= percent * united and set_key(s) == x and set_key(t) == y:
-                    rows.append((x, y, shared, united))
+                if set_key(s) != (a if b is None else b):
+                    continue
+                if b is None:
+                    of, first = a, s
+                elif of == a:
+                    shared = common(first, s)
+                    united = len(first) + len(s) - shared
+                    if 100 * shared >= percent * united:
+                        rows.append((a, b, shared, united))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "shared", "united"])
 
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
-        return materialise(joined.mapInArrow(run, "a long, b long, shared long, united long").distinct())
+        return materialise(lines.mapInArrow(run, "a long, b long, shared long, united long").distinct())
 
 
 def star_pairs(reps: DataFrame) -> DataFrame:
@@ -134,9 +154,8 @@ def star_pairs(reps: DataFrame) -> DataFrame:
     return materialise(keyed.join(leaders, ["band", "value"]).where("a <> key").select("a", F.col("key").alias("b")).distinct())
 
 
-def prefixes(docs: DataFrame, groups: DataFrame, n_groups: int, sketch: np.ndarray, buckets: int, words: int, percent: int) -> DataFrame:
-    """(bucket, tokens, keys, owners, sizes): packed rows of the token-group matrix, dealt by token hash."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+def prefixes(docs: DataFrame, groups: DataFrame, n_groups: int, shared: Broadcast, buckets: int, words: int, percent: int) -> DataFrame:
+    """(bucket, tokens, keys, owners, sizes): packed rows of the token-group matrix, dealt by token hash, and by class too where a token is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -153,7 +172,8 @@ def prefixes(docs: DataFrame, groups: DataFrame, n_groups: int, sketch: np.ndarr
             lens = np.array([len(x) for x in first])
             flat = np.concatenate(first)
             key, owner, size = (np.repeat(np.array(c, np.int64), lens) for c in zip(*rows, strict=True))
-            bucket = (mix(flat) % np.uint64(buckets)).astype(np.int64)
+            spread = order[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > SPREAD_SETS
+            bucket = (mix(np.where(spread, flat ^ mix(key.view(np.uint64)), flat)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             flat, key, owner, size, bucket = flat[by], key[by], owner[by] ^ key[by], size[by], bucket[by]
             cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
@@ -165,8 +185,8 @@ def prefixes(docs: DataFrame, groups: DataFrame, n_groups: int, sketch: np.ndarr
     return own.mapInArrow(run, "bucket long, tokens binary, keys binary, owners binary, sizes binary")
 
 
-def open_groups(matrix: DataFrame) -> DataFrame:
-    """(token, key, owner, n) of the tokens that stand in two groups or more."""
+def open_groups(matrix: DataFrame, shared: Broadcast) -> DataFrame:
+    """(token, key, owner, n) of the tokens that stand in two groups or more, and of all frequent ones."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         token, key, owner = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("tokens", "keys", "owners"))
@@ -176,6 +196,7 @@ def open_groups(matrix: DataFrame) -> DataFrame:
         token, key, owner, size = token[order], key[order], owner[order], size[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+        several |= shared.value[(token[first].view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > SPREAD_SETS
         keep = np.repeat(several, np.diff(np.append(first, len(token))))
         return pd.DataFrame({"token": token[keep], "key": key[keep], "owner": owner[keep], "n": size[keep]})
 
@@ -189,16 +210,31 @@ def least_shared(m: Column, n: Column, percent: int) -> Column:
 
 
 def matrix_pairs(opened: DataFrame, percent: int) -> DataFrame:
-    """(a, b, low, high, shared): pairs of classes of different groups that meet the size and the count bound."""
-    counted = materialise(opened.groupBy("key").agg(F.count("*").alias("most")))
-    opened = materialise(opened.join(counted, "key"))
-    q = opened.select("token", F.col("key").alias("a"), F.col("owner").alias("g"), F.col("n").alias("m"), F.col("most").alias("k"))
-    s = opened.select("token", F.col("key").alias("b"), F.col("owner").alias("h"), "n", "most")
+    """(a, b, low, high, shared): pairs of classes of different groups, from qualifying groups, that meet the size and the count bound."""
+    counted = materialise(opened.groupBy("key").agg(F.count("*").alias("k")))
+    queries = materialise(opened.join(counted, "key").select("token", F.col("key").alias("a"), F.col("owner").alias("g"), F.col("n").alias("m"), "k"))
+    union = opened.groupBy("token", F.col("owner").alias("h")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    union = materialise(union)
+    # a set looks for sets at least as large as itself
+    fits = (F.col("g") != F.col("h")) & (F.col("most") >= F.col("m")) & (percent * F.col("least") <= 100 * F.col("m"))
+    met = queries.join(union, "token").where(fits).groupBy("a", "h").agg(
+        F.count("*").alias("shared"), F.first("m").alias("m"), F.first("g").alias("g"), F.first("k").alias("k"),
+        F.min("least").alias("least"), F.max("most").alias("most"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+    )
+    # the count that sizes m and n ask for falls with n, but for rounding, which moves it by less than two
+    alone = F.col("lo") == F.col("hi")
+    largest = F.least("most", F.floor(100 * F.col("m") / percent))
+    bound = F.when(alone, least_shared(F.col("m"), F.col("most"), percent)).otherwise(F.greatest(F.lit(1), least_shared(F.col("m"), largest, percent) - 2))
+    qualifying = materialise(met.where((F.col("shared") >= bound) & (F.col("k") >= bound)))
+    one = qualifying.where(alone).select("a", F.col("lo").alias("b"), "g", "h", "m", F.col("most").alias("n"), "shared")
+    # the groups opened: members that hold tokens of the query set
+    several = qualifying.where(~alone).select("a", "h")
+    members = opened.select("token", F.col("key").alias("b"), F.col("owner").alias("h"), "n")
+    counts = several.join(queries, "a").join(members, ["h", "token"]).groupBy("a", "b").agg(F.first("g").alias("g"), F.first("h").alias("h"), F.first("m").alias("m"), F.first("n").alias("n"), F.count("*").alias("shared"))
+    pairs = one.unionByName(counts)
     near = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
-    bound = least_shared(F.col("m"), F.col("n"), percent)
-    met = q.join(s, (q["token"] == s["token"]) & near & (F.col("g") != F.col("h")) & (100 * F.col("m") >= percent * F.col("n")) & (F.least("k", "most") >= bound))
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("m").alias("m"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("h").alias("h"))
-    return materialise(pairs.where(F.col("shared") >= bound).select("a", "b", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "shared"))
+    asked = near & (100 * F.col("m") >= percent * F.col("n")) & (F.col("shared") >= least_shared(F.col("m"), F.col("n"), percent))
+    return materialise(pairs.where(asked).select("a", "b", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "shared"))
 
 
 def split_hot(opened: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,33 +250,38 @@ def split_hot(opened: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cold, materialise(lead.join(roots.withColumnsRenamed({"v": "lead"}), "lead", "left").select("key", "owner", "n", F.coalesce("root", "lead").alias("cluster")))
 
 
-def block_links(a: tuple, b: tuple, same: bool, percent: int) -> list[tuple[int, int, int, int]]:
-    """Links between (or within) two blocks that join different groups. A block: keys, owners, sizes, tokens."""
+def _overlaps(rows: np.ndarray, tokens: np.ndarray, n_rows: int, union_tokens: np.ndarray, union_groups: np.ndarray, n_groups: int) -> np.ndarray:
+    """(n_rows, n_groups): how many tokens of each row are in each group's union."""
+    first, last = np.searchsorted(union_tokens, tokens, side="left"), np.searchsorted(union_tokens, tokens, side="right")
+    n = last - first
+    out = np.zeros(n_rows * n_groups, np.int64)
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, side="right")))
+        f, m = first[at:stop], n[at:stop]
+        cell = np.repeat(f - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        out += np.bincount(np.repeat(rows[at:stop], m) * n_groups + union_groups[cell], minlength=len(out))
+        at = stop
+    return out.reshape(n_rows, n_groups)
+
+
+def block_links(a: tuple, b: tuple, percent: int) -> list[tuple[int, int, int, int]]:
+    """Links from sets of block a to sets of other groups in block b, enough to join all groups that link. A block: keys, owners, sizes, tokens."""
     (ka, oa, na, ta), (kb, ob, nb, tb) = a, b
-    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
-    # the bound: how many tokens of each query set are in the other block's union
-    union = np.unique(tb)
-    within = union[np.minimum(np.searchsorted(union, ta), len(union) - 1)] == ta
-    overlap = np.bincount(ra[within], minlength=len(na))
-    open_ = 100 * overlap >= percent * na
-    if not open_.any():
+    groups, of = np.unique(ob, return_inverse=True)
+    if len(groups) == 1 and (oa == groups[0]).all():
         return []
-    keep = within & open_[ra]
-    ta, ra = ta[keep], ra[keep]
-    order = np.argsort(tb, kind="stable")
-    tb, rb = tb[order], rb[order]
-    first, last = np.searchsorted(tb, ta, side="left"), np.searchsorted(tb, ta, side="right")
-    shared = np.zeros(len(na) * len(nb), np.int64)
-    step = max(1, 4_000_000 // max(1, len(nb)))
-    for k in range(0, len(ta), step):
-        f, n = first[k : k + step], last[k : k + step] - first[k : k + step]
-        at = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        shared += np.bincount(np.repeat(ra[k : k + step], n) * len(nb) + rb[at], minlength=len(shared))
-    shared = shared.reshape(len(na), len(nb))
-    united = na[:, None] + nb[None, :] - shared
-    hit = (100 * shared >= percent * united) & (oa[:, None] != ob[None, :])
-    if same:
-        hit = np.triu(hit, 1)
+    sets_b = np.split(tb, np.cumsum(nb)[:-1])
+    by_group = np.argsort(of, kind="stable")
+    edge = np.searchsorted(of[by_group], np.arange(len(groups) + 1))
+    least, most = np.minimum.reduceat(nb[by_group], edge[:-1]), np.maximum.reduceat(nb[by_group], edge[:-1])
+    # the matrix: each group's token union
+    entry_group = np.repeat(of, nb)
+    order = np.lexsort((entry_group, tb))
+    union_tokens, union_groups = tb[order], entry_group[order]
+    fresh = np.concatenate([[True], (union_tokens[1:] != union_tokens[:-1]) | (union_groups[1:] != union_groups[:-1])])
+    union_tokens, union_groups = union_tokens[fresh], union_groups[fresh]
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -250,44 +291,70 @@ def block_links(a: tuple, b: tuple, same: bool, percent: int) -> list[tuple[int,
         return x
 
     out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
-        g, h = find(int(oa[i])), find(int(ob[j]))
-        if g != h:
-            parent[h] = g
-            out.append((int(ka[i]), int(kb[j]), int(shared[i, j]), int(united[i, j])))
+    ends = np.cumsum(na)
+    step = max(1, CELLS // len(groups))
+    for k in range(0, len(na), step):
+        m, lo = na[k : k + step], int(ends[k] - na[k])
+        rows, tokens = np.repeat(np.arange(len(m)), m), ta[lo : int(ends[min(k + step, len(na)) - 1])]
+        overlap = _overlaps(rows, tokens, len(m), union_tokens, union_groups, len(groups))
+        qualifying = (100 * overlap >= percent * m[:, None]) & (100 * most[None, :] >= percent * m[:, None]) & (percent * least[None, :] <= 100 * m[:, None])
+        qualifying &= groups[None, :] != oa[k : k + step, None]
+        for i in np.flatnonzero(qualifying.any(1)).tolist():
+            own, start = int(oa[k + i]), lo + int(m[:i].sum())
+            query = ta[start : start + int(m[i])]
+            hits = np.flatnonzero(qualifying[i])
+            for g in hits[np.argsort(-overlap[i, hits], kind="stable")].tolist():
+                if find(own) == find(int(groups[g])):
+                    continue
+                for j in by_group[edge[g] : edge[g + 1]].tolist():
+                    size = int(nb[j])
+                    if 100 * min(size, len(query)) < percent * max(size, len(query)):
+                        continue
+                    shared = common(query, sets_b[j])
+                    united = len(query) + size - shared
+                    if 100 * shared >= percent * united:
+                        parent[find(int(groups[g]))] = find(own)
+                        out.append((int(ka[k + i]), int(kb[j]), shared, united))
+                        break
     return out
 
 
 def cluster_links(members: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b, shared, united) that join groups of one cluster, block against block, from the whole texts."""
-    parts = materialise(members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("parts")))
-    dealt = members.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("long"))
-    wanted = materialise(dealt.join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"), "owner", "cluster", "part"))
-    sets = docs.join(_small(wanted, wanted.count()), "doc_id").select("key", "owner", "cluster", "part", "text")
+    # sets that link differ in size by at most a factor, so they are of one band or of neighbouring ones
+    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) * (0.99999 / math.log(100 / percent))) if percent < 100 else F.col("n"))
+    blocks_of = lambda *by: banded.groupBy(*by).agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).alias("parts"))
+    parts, splits = materialise(blocks_of("cluster", "band")), materialise(blocks_of("cluster", "band", "owner").withColumnRenamed("parts", "splits"))
+    # a group goes to one block, a group larger than a block to several
+    where = F.pmod(F.xxhash64("owner", F.pmod(F.xxhash64("key"), F.col("splits"))), F.col("parts")).cast("long")
+    dealt = banded.join(parts, ["cluster", "band"]).join(splits, ["cluster", "band", "owner"]).withColumn("part", where)
+    wanted = materialise(dealt.join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"), "owner", "cluster", "band", "part"))
+    sets = docs.join(_small(wanted, wanted.count()), "doc_id").select("key", "owner", "cluster", "band", "part", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, limit=SCAN_BYTES):
-            sets = shingle_sets(b.column(4), words)
+            sets = shingle_sets(b.column(5), words)
             good = [k for k, s in enumerate(sets) if set_key(s) == b.column(0)[k].as_py()]
             rows = b.take(pa.array(good, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array([sets[k].tobytes() for k in good], pa.binary())], names=["key", "owner", "cluster", "part", "tokens"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:5], pa.array([sets[k].tobytes() for k in good], pa.binary())], names=["key", "owner", "cluster", "band", "part", "tokens"])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("key")
-        one = {"cluster": pdf["cluster"].iloc[:1], "part": pdf["part"].iloc[:1], "keys": [pdf["key"].to_numpy(np.int64).tobytes()], "owners": [pdf["owner"].to_numpy(np.int64).tobytes()], "sizes": [np.array([len(t) // 8 for t in pdf["tokens"]], np.int64).tobytes()], "tokens": [b"".join(pdf["tokens"])]}
+        one = {**{c: pdf[c].iloc[:1] for c in ("cluster", "band", "part")}, "keys": [pdf["key"].to_numpy(np.int64).tobytes()], "owners": [pdf["owner"].to_numpy(np.int64).tobytes()], "sizes": [np.array([len(t) // 8 for t in pdf["tokens"]], np.int64).tobytes()], "tokens": [b"".join(pdf["tokens"])]}
         return pd.DataFrame(one)
 
-    schema = "key long, owner long, cluster long, part long, tokens binary"
-    blocks = materialise(sets.mapInArrow(shingled, schema).groupBy("cluster", "part").applyInPandas(pack, "cluster long, part long, keys binary, owners binary, sizes binary, tokens binary"))
-    other = blocks.select("cluster", F.col("part").alias("part_b"), *(F.col(c).alias(f"{c}_b") for c in ("keys", "owners", "sizes", "tokens")))
-    met = blocks.join(other, "cluster").where("part <= part_b").repartition(F.xxhash64("cluster", "part", "part_b"))
+    schema = "key long, owner long, cluster long, band long, part long, tokens binary"
+    blocks = materialise(sets.mapInArrow(shingled, schema).groupBy("cluster", "band", "part").applyInPandas(pack, "cluster long, band long, part long, keys binary, owners binary, sizes binary, tokens binary"))
+    other = blocks.select("cluster", F.col("band").alias("band_b"), F.col("part").alias("part_b"), *(F.col(c).alias(f"{c}_b") for c in ("keys", "owners", "sizes", "tokens")))
+    once = (F.col("band_b") == F.col("band") + 1) | ((F.col("band_b") == F.col("band")) & (F.col("part") <= F.col("part_b")))
+    met = blocks.join(other, "cluster").where(once).repartition(F.xxhash64("cluster", "band", "part", "band_b", "part_b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
             for k in range(b.num_rows):
                 side = [tuple(np.frombuffer(col[f"{c}{end}"][k].as_py(), kind) for c, kind in (("keys", np.int64), ("owners", np.int64), ("sizes", np.int64), ("tokens", np.uint64))) for end in ("", "_b")]
-                rows = block_links(*side, col["part"][k].as_py() == col["part_b"][k].as_py(), percent)
+                rows = block_links(*side, percent)
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "shared", "united"])
 
@@ -319,8 +386,9 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     if size[0]:
         sketch = sum_sketch(scanned.where("chunk is not null").select("chunk", "counts"))
         buckets = max(64, -(-int(size[1]) // BUCKET_TOKENS))
+        shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of a fixed size
         with arrow_rows(docs.sparkSession, ARROW_ROWS):
-            opened = open_groups(prefixes(docs, groups.drop("n"), size[0], sketch, buckets, words, percent))
+            opened = open_groups(prefixes(docs, groups.drop("n"), size[0], shared, buckets, words, percent), shared)
         cold, members = split_hot(opened)
         more = open_pairs(matrix_pairs(cold, percent), docs, classes, words, percent)
         if not members.isEmpty():

@@ -84,6 +84,75 @@ def test_jaccard_join_against_brute_force(spark, seed):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {c for _, _, c in got}
 
 
+def block(first, sets, owners):
+    return first + np.arange(len(sets)), np.array(owners), np.array([len(s) for s in sets]), np.concatenate(sets)
+
+
+def test_block_links_join_what_brute_force_joins():
+    rng = np.random.default_rng(11)
+    origin = [np.unique(rng.integers(0, 1 << 60, 40).astype(np.uint64)) for _ in range(6)]
+    sides = []
+    for side in range(2):
+        sets, owners = [], []
+        for k in range(60):
+            s = origin[k % 6].copy()
+            s[rng.choice(len(s), rng.integers(0, 9), replace=False)] = rng.integers(0, 1 << 60, 1).astype(np.uint64)[0] + np.arange(1, dtype=np.uint64)
+            sets.append(np.unique(s))
+            owners.append(int(rng.integers(0, 25)) + 100 * side)
+        sides.append((sets, owners))
+    got = ngram_join.block_links(block(0, *sides[0]), block(1000, *sides[1]), 80)
+    key_of = {1000 * side + k: o for side, (_, owners) in enumerate(sides) for k, o in enumerate(owners)}
+
+    def joined(links):
+        parent = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for g, h in links:
+            parent[max(find(g), find(h))] = min(find(g), find(h))
+        return {x: find(x) for x in list(parent)}
+
+    want = []
+    for s, g in zip(*sides[0]):
+        for r, h in zip(*sides[1]):
+            shared = len(np.intersect1d(s, r))
+            if g != h and 100 * shared >= 80 * (len(s) + len(r) - shared):
+                want.append((g, h))
+    assert want and joined(want) == joined([(key_of[a], key_of[b]) for a, b, _, _ in got])
+    for a, b, shared, united in got:
+        assert 100 * shared >= 80 * united
+
+
+def test_blocks_of_tiny_sets_stay_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    sets = [np.sort(rng.integers(0, 1 << 60, 2).astype(np.uint64)) for _ in range(4000)]
+    one = block(0, sets, list(range(4000)))
+    tracemalloc.start()
+    assert ngram_join.block_links(one, one, 80) == []
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_group_bound_loses_no_pair(spark):
+    rng = random.Random(13)
+    rows, sets = [], []
+    for g in range(12):
+        base = rng.sample(range(400), rng.randint(5, 60))
+        for _ in range(rng.choice([1, 1, 3, 6])):
+            s = sorted({x if rng.random() < 0.9 else rng.randrange(400) for x in base})
+            sets.append((len(sets), g % 9, s))
+    for key, owner, s in sets:
+        rows += [(t, key, owner, len(s)) for t in s[: ngram_join.prefix_length(len(s))]]
+    got = ngram_join.matrix_pairs(spark.createDataFrame(rows, "token long, key long, owner long, n long"), 80).collect()
+    want = {(min(a, b), max(a, b)) for a, g, s in sets for b, h, r in sets if a < b and g != h and 100 * len(set(s) & set(r)) >= 80 * len(set(s) | set(r))}
+    assert len(want) > 5 and want <= {(min(r.a, r.b), max(r.a, r.b)) for r in got}
+
+
 def test_repeated_ids_keep_one_of_each_group(spark):
     a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "x y z")
     df = spark.createDataFrame([(1, a), (1, a), (2, b), (3, b), (3, c), (4, a), (None, a)], "doc_id long, text string")
