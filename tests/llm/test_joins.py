@@ -145,7 +145,7 @@ def test_group_bound_loses_no_pair(spark):
         base = rng.sample(range(400), rng.randint(5, 60))
         for _ in range(rng.choice([1, 1, 3, 6])):
             s = sorted({x if rng.random() < 0.9 else rng.randrange(400) for x in base})
-            sets.append((len(sets), g % 9, s))
+            sets.append((len(sets), rng.randrange(30), s))
     for key, owner, s in sets:
         rows += [(t, key, owner, len(s)) for t in s[: ngram_join.prefix_length(len(s))]]
     got = ngram_join.matrix_pairs(spark.createDataFrame(rows, "token long, key long, owner long, n long"), 80).collect()
