@@ -14,7 +14,6 @@ from stepframe.functions import columns as C
 from stepframe.lang.parser import Stmt
 from stepframe.plans import ordered
 from stepframe.plans.step import evaluate
-from stepframe.shared import materialise
 
 
 @dataclass
@@ -88,9 +87,10 @@ def violates(s: Stmt, table: Table, lib: Library) -> Column | None:
 def prove(table: Table, checks: list[Stmt], lib: Library, severity: str = "error", maxsample: int = 20) -> tuple[list[Verdict], Table]:
     """A verdict for each check, and the violations: source columns, _rule_, _obs_, by row and rule.
 
-    All row-level checks are booleans of one projection; keys are checked by a join with the parent's distinct keys.
+    All row-level checks are booleans of one projection, written once; keys are checked by a join with the parent's
+    distinct keys. Counts are one aggregation, samples of all rules another.
     """
-    parts = ordered.number(ordered.ordered(table.df), "__obs")
+    parts = table.df
     tests: dict[int, str] = {}
     dataset: dict[int, tuple[bool, int]] = {}
     for k, s in enumerate(checks):
@@ -122,9 +122,20 @@ def prove(table: Table, checks: list[Stmt], lib: Library, severity: str = "error
             if c is not None:
                 parts = parts.withColumn(f"__t{k}", F.coalesce(c, F.lit(False)))
                 tests[k] = f"__t{k}"
-    parts = materialise(parts)
+    moved = any(s.parts["check"] in ("unique", "key") for s in checks)
+    parts = ordered.ordered(parts, table.in_place and not moved)
     sums = [F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c)).alias(f"v{k}") for k, c in tests.items())]
     counted = parts.agg(*sums).first()
+    failing = [k for k in tests if counted[f"v{k}"]]
+    rule = lambda ks, value: F.filter(F.array(*(F.when(F.col(tests[k]), value(k)) for k in ks)), lambda x: x.isNotNull())
+    if failing:
+        parts = ordered.number(parts, "__obs")
+        each = parts.select(F.explode(rule(failing, F.lit)).alias("k"), "__obs")
+        first = F.row_number().over(Window.partitionBy("k").orderBy("__obs"))
+        rows = each.withColumn("at", first).where(F.col("at") <= maxsample).select("k", "__obs").collect()
+    else:
+        parts, rows = parts.withColumn("__obs", F.lit(0.0)), []
+    samples = {k: sorted(int(r["__obs"]) for r in rows if r["k"] == k) for k in failing}
     verdicts = []
     for k, s in enumerate(checks):
         level = s.parts["severity"] or severity
@@ -132,13 +143,12 @@ def prove(table: Table, checks: list[Stmt], lib: Library, severity: str = "error
             verdicts.append(Verdict(describe(s), "FAIL" if dataset[k][1] else "PASS", dataset[k][1], len(s.parts["names"]), level, [], s.parts["message"]))
         elif k in tests:
             n = counted[f"v{k}"]
-            sample = [int(r[0]) for r in parts.where(f"__t{k}").orderBy("__obs").select("__obs").limit(maxsample).collect()] if n else []
-            verdicts.append(Verdict(describe(s), "FAIL" if n else "PASS", n, counted["n"], level, sample, s.parts["message"]))
+            verdicts.append(Verdict(describe(s), "FAIL" if n else "PASS", n, counted["n"], level, samples.get(k, []), s.parts["message"]))
         else:
             verdicts.append(Verdict(describe(s), "N/RUN", 0, 0, level, []))
-    rule = F.filter(F.array(*(F.when(F.col(c), F.struct(F.lit(rule_key(checks[k])).alias("r"), F.lit(k).alias("k"))) for k, c in tests.items())), lambda x: x.isNotNull()) if tests else F.array().cast("array<struct<r:string,k:int>>")
+    found = rule(failing, lambda k: F.lit(rule_key(checks[k]))) if failing else F.array().cast("array<string>")
     cols = [F.col(f"`{v.name}`") for v in table.vars]
-    d = parts.select(*cols, F.col("__obs").alias("_obs_"), F.explode(rule).alias("__r")).select(*cols, F.col("__r.r").alias("_rule_"), "_obs_").orderBy("_obs_", "_rule_").withColumn(ORD, F.monotonically_increasing_id())
+    d = parts.select(*cols, F.explode(found).alias("_rule_"), F.col("__obs").alias("_obs_")).orderBy("_obs_", "_rule_").withColumn(ORD, F.monotonically_increasing_id())
     return verdicts, Table(d, [*table.vars, Var("_rule_", "char"), Var("_obs_", "num")], (), True)
 
 

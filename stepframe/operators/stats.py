@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepframe.frame import ORD, Table, Var, from_dataframe
+from stepframe.plans import ordered
+from stepframe.shared import materialise
 
 STATS: dict[str, Callable[[Column], Column]] = {
     "n": lambda c: F.count(c).cast("double"),
@@ -40,7 +42,8 @@ def means_groups(table: Table, vars_: list[str], classes: list[str], stats: tupl
     aggs = [F.min_by(F.struct(F.col(f"__r{k}").alias("v")), ORD)["v"].alias(f"c{k}") for k in range(len(cls))]
     aggs += [F.count(F.lit(1)).cast("double").alias("_freq")]
     aggs += [STATS[s](F.col(f"__x{k}")).alias(f"{s}_{k}") for k in range(len(vars_)) for s in dict.fromkeys(stats)]
-    return keyed.groupBy(*(f"__g{k}" for k in range(len(cls)))).agg(*aggs).orderBy(*(F.col(f"c{k}").asc_nulls_first() for k in range(len(cls))))
+    g = keyed.groupBy(*(f"__g{k}" for k in range(len(cls)))).agg(*aggs)
+    return g.orderBy(*(F.col(f"c{k}").asc_nulls_first() for k in range(len(cls)))) if cls else g
 
 
 def means_listing(table: Table, vars_: list[str], classes: list[str], stats: tuple[str, ...] = DEFAULT, shown: Shown = plain) -> Table:
@@ -80,14 +83,26 @@ def cells(table: Table, names: list[str], shown: Shown = plain) -> DataFrame:
     return d.groupBy(*(f"g{k}" for k in range(len(vs)))).agg(*(F.min(f"r{k}").alias(f"c{k}") for k in range(len(vs))), F.count(F.lit(1)).cast("double").alias("n"))
 
 
+#: Up to so many counted cells are numbered and summed in one task.
+FEW_CELLS = 100_000
+
+
+def _ranked(c: DataFrame, k: int) -> DataFrame:
+    """Cells in the order of their raw values."""
+    return c.orderBy(*(F.col(f"c{i}").asc_nulls_first() for i in range(k))).withColumn(ORD, F.monotonically_increasing_id())
+
+
 def freq_list(table: Table, names: list[str], shown: Shown = plain) -> Table:
-    """Values, Frequency, Percent, CumFreq, CumPercent; ordered by raw value. Windows run over the counted cells only."""
+    """Values, Frequency, Percent, CumFreq, CumPercent; ordered by raw value."""
     vs = [table.var(n) for n in names]
-    c = cells(table, names, shown)
-    order = [F.col(f"c{k}").asc_nulls_first() for k in range(len(vs))]
-    total = F.sum("n").over(Window.partitionBy())
-    cum = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    d = c.select(*(F.col(f"c{k}").alias(v.name) for k, v in enumerate(vs)), F.col("n").alias("Frequency"), (100 * F.col("n") / total).alias("Percent"), cum.alias("CumFreq"), (100 * cum / total).alias("CumPercent"), F.row_number().over(Window.orderBy(*order)).cast("long").alias(ORD))
+    c = materialise(cells(table, names, shown))
+    size = c.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0.0))).first()
+    if size[0] <= FEW_CELLS:
+        order = [F.col(f"c{k}").asc_nulls_first() for k in range(len(vs))]
+        c = c.withColumn("cum", F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn(ORD, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    else:
+        c = ordered.running(ordered.ordered(_ranked(c, len(vs)), in_place=True), {"cum": F.col("n")}).drop(ordered.PART)
+    d = c.select(*(F.col(f"c{k}").alias(v.name) for k, v in enumerate(vs)), F.col("n").alias("Frequency"), (100 * F.col("n") / size[1]).alias("Percent"), F.col("cum").alias("CumFreq"), (100 * F.col("cum") / size[1]).alias("CumPercent"), ORD)
     return Table(d, [*vs, *(Var(x, "num") for x in ("Frequency", "Percent", "CumFreq", "CumPercent"))])
 
 
@@ -95,16 +110,22 @@ def crosstab(table: Table, row: str, col: str, shown: Shown = plain) -> Table:
     """Row and column value, count, cell, row and column percent."""
     vs = [table.var(row), table.var(col)]
     c = cells(table, [row, col], shown)
-    total, by_row, by_col = (F.sum("n").over(Window.partitionBy(*p)) for p in ((), ("g0",), ("g1",)))
-    d = c.select(F.col("c0").alias(vs[0].name), F.col("c1").alias(vs[1].name), F.col("n").alias("Frequency"), (100 * F.col("n") / total).alias("Percent"), (100 * F.col("n") / by_row).alias("RowPercent"), (100 * F.col("n") / by_col).alias("ColPercent"), F.row_number().over(Window.orderBy("c0", "c1")).cast("long").alias(ORD))
+    c = materialise(c)
+    total = F.lit(c.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0])
+    by_row, by_col = (F.sum("n").over(Window.partitionBy(p)) for p in ("g0", "g1"))
+    d = c.withColumns({"by_row": by_row, "by_col": by_col})
+    by_row, by_col = F.col("by_row"), F.col("by_col")
+    d = _ranked(d, 2).select(F.col("c0").alias(vs[0].name), F.col("c1").alias(vs[1].name), F.col("n").alias("Frequency"), (100 * F.col("n") / total).alias("Percent"), (100 * F.col("n") / by_row).alias("RowPercent"), (100 * F.col("n") / by_col).alias("ColPercent"), ORD)
     return Table(d, [*vs, *(Var(x, "num") for x in ("Frequency", "Percent", "RowPercent", "ColPercent"))])
 
 
 def freq_out(table: Table, names: list[str], shown: Shown = plain) -> Table:
     """Values, COUNT and PERCENT."""
-    t = freq_list(table, names, shown)
-    d = t.df.select(*(f"`{v.name}`" for v in t.vars[: len(names)]), F.col("Frequency").alias("COUNT"), F.col("Percent").alias("PERCENT"), ORD)
-    return Table(d, [*t.vars[: len(names)], Var("COUNT", "num"), Var("PERCENT", "num")])
+    vs = [table.var(n) for n in names]
+    c = materialise(cells(table, names, shown))
+    total = c.agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
+    d = _ranked(c, len(vs)).select(*(F.col(f"c{k}").alias(v.name) for k, v in enumerate(vs)), F.col("n").alias("COUNT"), (100 * F.col("n") / total).alias("PERCENT"), ORD)
+    return Table(d, [*vs, Var("COUNT", "num"), Var("PERCENT", "num")])
 
 
 def gamma_tail(a: float, x: float) -> float:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepframe.frame import ORD, Table, Var, renamed
@@ -38,7 +38,7 @@ def sort(table: Table, keys: list[tuple[str, bool]], nodupkey: bool = False) ->
 
 def numbered(table: Table) -> Table:
     """The table with `__n`, the dense row number."""
-    return replace(table, df=ordered.number(ordered.ordered(table.df)))
+    return replace(table, df=ordered.number(ordered.ordered(table.df, table.in_place)), in_place=False)
 
 
 def slice_rows(table: Table, firstobs: int | None, obs: int | None) -> Table:
@@ -116,69 +116,49 @@ def merge(tables: list[Table], keys: list[str], flags: list[str | None]) -> Tabl
     """Match-merge by keys: for each key as many rows as its largest group, shorter groups hold their last row.
 
     The result is sorted by key and carries, per source, `__in_<k>` (double): 1 on rows that the source contributes
-    afresh. Without keys rows pair by number. When no source repeats a key it is one full outer join.
+    afresh. Without keys rows pair by number.
+
+    The sources' rows meet under their key in one shuffle; there they are numbered, paired by number, and each
+    source's last row is carried on.
     """
     vars_ = merged_vars(tables)
     by = [next(v for v in vars_ if v.name.lower() == k.lower()) for k in keys]
+    low_keys = {b.name.lower() for b in by}
     owners: dict[str, list[int]] = {}
     for k, t in enumerate(tables):
         for v in t.vars:
-            if v.name.lower() not in {b.name.lower() for b in by}:
+            if v.name.lower() not in low_keys:
                 owners.setdefault(v.name.lower(), []).append(k)
+    on = [f"__k{i}" for i in range(len(by))]
+    own = [F.struct(F.lit(True).alias("__here"), *(F.col(f"`{v.name}`").alias(v.name.lower()) for v in t.vars if v.name.lower() in owners)) for t in tables]
+    if not by:
+        return _merged(_side_by_side(tables, own), vars_, by, owners)
     sides = []
     for k, t in enumerate(tables):
-        cols = [F.col(f"`{t.var(b.name).name}`").alias(f"__k{i}") for i, b in enumerate(by)]
-        own = [F.col(f"`{v.name}`").alias(f"__{k}_{v.name.lower()}") for v in t.vars if v.name.lower() in owners]
-        if by:
-            part = Window.partitionBy(*(f"__k{i}" for i in range(len(by))))
-            d = t.df.select(*cols, *own, ORD)
-            d = d.withColumns({"__rn": F.row_number().over(part.orderBy(ORD)).cast("long"), "__cnt": F.count(F.lit(1)).over(part)}).drop(ORD)
-        else:
-            n = numbered(t).df
-            total = n.count()
-            d = n.select(*own, F.col("__n").cast("long").alias("__rn"), F.lit(total).alias("__cnt"))
-        sides.append(d)
-    on = [f"__k{i}" for i in range(len(by))]
-    if on and all(unique(t, keys) for t in tables):
-        return _outer(sides, on, by, vars_, owners)
-    spine = reduce(lambda a, b: a.unionByName(b), [s.select(*on, "__rn") for s in sides]).distinct()
-    for k, s in enumerate(sides):
-        c = s.select(*(F.col(x).alias(f"__c{x}") for x in on), F.col("__cnt").alias(f"__cnt{k}")).distinct()
-        match = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"__c{x}")) for x in on], F.lit(True))
-        spine = (spine.join(c, match, "left") if on else spine.crossJoin(F.broadcast(c.limit(1))) if sides[k].take(1) else spine.withColumn(f"__cnt{k}", F.lit(None).cast("long"))).drop(*(f"__c{x}" for x in on))
-        r = s.drop("__cnt").select(*(F.col(x).alias(f"__r{x}") for x in on), F.col("__rn").alias("__rrn"), *(x for x in s.columns if x not in (*on, "__rn", "__cnt")))
-        match = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"__r{x}")) for x in on], F.least(F.col("__rn"), F.col(f"__cnt{k}")) == F.col("__rrn"))
-        spine = spine.join(r, match, "left").drop("__rrn", *(f"__r{x}" for x in on))
-    return _merged(spine, len(tables), by, vars_, owners)
-
-
-def unique(table: Table, keys: list[str]) -> bool:
-    """Whether no key repeats: known from a NODUPKEY sort or a summary, else one aggregation of the keys."""
-    low = {k.lower() for k in keys}
-    if table.unique_by and set(table.unique_by) <= low:
-        return True
-    names = [F.col(f"`{table.var(k).name}`") for k in keys]
-    return table.df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-
-
-def _outer(sides: list, on: list[str], by: list[Var], vars_: list[Var], owners: dict[str, list[int]]) -> Table:
-    """The merge of sources that repeat no key: full outer joins on the key."""
+        cols = [F.col(f"`{t.var(b.name).name}`").alias(x) for x, b in zip(on, by, strict=True)]
+        sides.append(t.df.select(*cols, F.lit(k).alias("__src"), F.col(ORD).alias("__at"), own[k].alias(f"__s{k}")))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.withColumn("__at", F.struct(*(F.when(F.col("__src") == k, F.col("__at")).alias(f"o{k}") if k == j else F.lit(None).cast(sides[k].schema["__at"].dataType).alias(f"o{k}") for k in range(len(sides))))) for j, s in enumerate(sides)])
+    number = F.row_number().over(Window.partitionBy(*on, "__src").orderBy("__at")).cast("long")
+    held = Window.partitionBy(*on).orderBy("__rn").rowsBetween(Window.unboundedPreceding, 0)
+    paired = rows.repartition(*on).withColumn("__rn", number).groupBy(*on, "__rn").agg(*(F.first(f"__s{k}", ignorenulls=True).alias(f"__s{k}") for k in range(len(sides))))
+    paired = paired.withColumns({f"__in_{k}": F.col(f"__s{k}").isNotNull().cast("double") for k in range(len(sides))} | {f"__s{k}": F.last(f"__s{k}", ignorenulls=True).over(held) for k in range(len(sides))})
+    return _merged(paired, vars_, by, owners)
+
+
+def _side_by_side(tables: list[Table], own: list[Column]) -> DataFrame:
+    """Rows paired by number: `__rn`, and for each source `__s<k>` (its row, or its last) and `__in_<k>`."""
     out = None
-    for k, s in enumerate(sides):
-        s = s.drop("__rn", "__cnt").withColumn(f"__cnt{k}", F.lit(1).cast("long"))
-        if out is None:
-            out = s
-            continue
-        s = s.withColumnsRenamed({x: f"__c{x}" for x in on})
-        match = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"__c{x}")) for x in on])
-        joined = out.join(s, match, "full")
-        here = reduce(lambda a, b: a | b, [F.col(f"__cnt{j}").isNotNull() for j in range(k)])
-        out = joined.withColumns({x: F.when(here, F.col(x)).otherwise(F.col(f"__c{x}")) for x in on}).drop(*(f"__c{x}" for x in on))
-    return _merged(out.withColumn("__rn", F.lit(1).cast("long")), len(sides), by, vars_, owners)
-
-
-def _merged(spine, n: int, by: list[Var], vars_: list[Var], owners: dict[str, list[int]]) -> Table:
-    """Variables, IN flags and order of joined sources."""
+    for k, t in enumerate(tables):
+        n = numbered(t).df.select(F.col("__n").cast("long").alias("__rn"), own[k].alias(f"__s{k}"))
+        out = n if out is None else out.join(n, "__rn", "full")
+    for k, t in enumerate(tables):
+        last = t.df.select(ORD, own[k].alias("row")).agg(F.max_by("row", ORD).alias("row"))  # one row
+        out = out.withColumn(f"__in_{k}", F.col(f"__s{k}").isNotNull().cast("double")).join(F.broadcast(last), how="left").withColumn(f"__s{k}", F.coalesce(f"__s{k}", "row")).drop("row")
+    return out
+
+
+def _merged(rows: DataFrame, vars_: list[Var], by: list[Var], owners: dict[str, list[int]]) -> Table:
+    """Variables, IN flags and order of paired rows."""
     out = [F.col(f"__k{i}").alias(b.name) for i, b in enumerate(by)]
     for v in vars_:
         low = v.name.lower()
@@ -186,13 +166,11 @@ def _merged(spine, n: int, by: list[Var], vars_: list[Var], owners: dict[str, li
             # a later source that has the key overwrites an earlier one's variable of the same name
             value = None
             for k in reversed(owners[low]):
-                c = F.col(f"__{k}_{low}")
-                value = F.when(F.col(f"__cnt{k}").isNotNull(), c) if value is None else value.when(F.col(f"__cnt{k}").isNotNull(), c)
-            value = value.otherwise(F.lit("")) if v.kind == "char" else value
-            out.append(value.alias(v.name))
-    ordered_vars = [v for v in vars_ if v.name.lower() in {b.name.lower() for b in by}] + [v for v in vars_ if v.name.lower() in owners]
-    ins = [F.coalesce((F.col(f"__cnt{k}") >= F.col("__rn")).cast("double"), F.lit(0.0)).alias(f"__in_{k}") for k in range(n)]
+                here, c = F.col(f"__s{k}").isNotNull(), F.col(f"__s{k}.`{low}`")
+                value = F.when(here, c) if value is None else value.when(here, c)
+            out.append((value.otherwise(F.lit("")) if v.kind == "char" else value).alias(v.name))
+    ins = [c for c in rows.columns if c.startswith("__in_")]
     place = [F.col(f"__k{i}").asc_nulls_first() for i in range(len(by))] + [F.col("__rn").asc()]
-    df = spine.orderBy(*place).select(*out, *ins, F.monotonically_increasing_id().alias(ORD))
-    final = [v for v in vars_ if v in ordered_vars]
-    return Table(df.select(*(f"`{v.name}`" for v in final), *(f"__in_{k}" for k in range(n)), ORD), final, tuple(b.name.lower() for b in by))
+    df = rows.orderBy(*place).select(*out, *ins, F.monotonically_increasing_id().alias(ORD))
+    final = [v for v in vars_ if v.name.lower() in owners or v in by]
+    return Table(df.select(*(f"`{v.name}`" for v in final), *sorted(ins), ORD), final, tuple(b.name.lower() for b in by))

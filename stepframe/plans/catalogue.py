@@ -5,7 +5,7 @@ Program queries go through the session's text language, the others through the t
 
 from __future__ import annotations
 
-
+import os
 import tempfile
 from collections.abc import Callable
 
@@ -16,6 +16,7 @@ from stepframe.frame import from_dataframe
 from stepframe.operators import stats
 from stepframe.operators import tables as ops
 from stepframe.session import Session
+from stepframe.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -272,28 +273,32 @@ program("q52_sql_semi_anti", "proc sql; create table out as select o_orderkey, o
 # --- text in and out
 
 
-def _scratch() -> str:
-    return tempfile.mkdtemp(prefix="stepframe-")
-
-
-def _through(name: str, text: str, oracle: str, finish: Callable[[DataFrame], DataFrame]) -> None:
-    """A query that writes a local file and reads it back: a text sink is one file on the driver's disk."""
+def local_query(name: str, tables: dict[str, str], text: str, oracle: str, finish: Callable[[DataFrame], DataFrame]) -> None:
+    """A query that writes a file and reads it back, in the shared folder where that is a folder of the file system."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
+        where = shared_dir(spark).removeprefix("file://")
+        if "://" not in where:
+            os.makedirs(where, exist_ok=True)
+        scratch = tempfile.mkdtemp(prefix="stepframe-", dir=where if "://" not in where else None)
         s = Session(spark)
-        s.add("n", read(spark, sf, "nation"))
-        s.add("r", read(spark, sf, "region"))
-        s.submit(text.replace("@DIR@", _scratch()))
+        for work, source in tables.items():
+            table, _, exprs = source.partition(":")
+            s.add(work, read(spark, sf, table.strip()).selectExpr(*(e.strip() for e in exprs.split(";"))))
+        s.submit(text.replace("@DIR@", scratch))
         return finish(s.dataframe("out"))
 
     QUERIES[name] = run
     ORACLES[name] = oracle
 
 
-_through("q53_csv_roundtrip", 'proc export data=n outfile="@DIR@/n.csv" dbms=csv; run; proc import datafile="@DIR@/n.csv" out=out dbms=csv; run;', "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation", longs("n_nationkey", "n_regionkey"))
-_through("q54_text_column_input", 'data _null_; set n; file "@DIR@/n.txt"; put n_nationkey 1-4 n_name $ 6-30; run; data out; infile "@DIR@/n.txt"; input k 1-4 name $ 6-30; run;', "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation", longs("k"))
-_through("q55_dsd_input", 'data _null_; set r; file "@DIR@/r.csv" dsd; v = catx(",", r_name, r_regionkey); put r_regionkey v; run; data out; infile "@DIR@/r.csv" dsd; input k v $; run;', "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name || ',' || r_regionkey AS v FROM region", longs("k"))
-_through("q56_double_at_hold", 'data _null_; set n; file "@DIR@/h.txt"; put n_nationkey @@; run; data out; infile "@DIR@/h.txt"; input k @@; run;', "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation", longs("k"))
+NATION = {"n": "nation: n_nationkey; n_name; n_regionkey"}
+
+
+local_query("q53_csv_roundtrip", NATION, 'proc export data=n outfile="@DIR@/n.csv" dbms=csv; run; proc import datafile="@DIR@/n.csv" out=out dbms=csv; run;', "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation", longs("n_nationkey", "n_regionkey"))
+local_query("q54_text_column_input", NATION, 'data _null_; set n; file "@DIR@/n.txt"; put n_nationkey 1-4 n_name $ 6-30; run; data out; infile "@DIR@/n.txt"; input k 1-4 name $ 6-30; run;', "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation", longs("k"))
+local_query("q55_dsd_input", {"r": "region: r_regionkey; r_name"}, 'data _null_; set r; file "@DIR@/r.csv" dsd; v = catx(",", r_name, r_regionkey); put r_regionkey v; run; data out; infile "@DIR@/r.csv" dsd; input k v $; run;', "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name || ',' || r_regionkey AS v FROM region", longs("k"))
+local_query("q56_double_at_hold", NATION, 'data _null_; set n; file "@DIR@/h.txt"; put n_nationkey @@; run; data out; infile "@DIR@/h.txt"; input k @@; run;', "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation", longs("k"))
 
 
 # --- the two published micro-benchmark shapes

@@ -15,8 +15,15 @@ from stepframe.shared import materialise
 PART = "__part"
 
 
-def ordered(df: DataFrame) -> DataFrame:
-    """df in order, with PART: the number of each row's partition, ascending in order."""
+def ordered(df: DataFrame, in_place: bool = False) -> DataFrame:
+    """df in order, with PART: the number of each row's partition, ascending in order.
+
+    A table that has PART already is taken as it is; one whose rows lie in order (in_place) is written without a sort.
+    """
+    if PART in df.columns:
+        return df
+    if in_place:
+        return materialise(df.withColumn(PART, F.spark_partition_id()))
     return materialise(df.repartitionByRange(F.col(ORD)).sortWithinPartitions(ORD).withColumn(PART, F.spark_partition_id()))
 
 
@@ -76,13 +83,17 @@ def flags(parts: DataFrame, keys: list[str]) -> DataFrame:
     return d.withColumns(out).drop("__prev", "__next")
 
 
+def ends(keys: list[str]) -> tuple[Column, Column]:
+    """Whether a row is the first, and the last, of its keys' group, in one sort."""
+    w = Window.partitionBy(*(F.col(f"`{k}`") for k in keys)).orderBy(ORD)
+    return F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+
+
 def sorted_flags(df: DataFrame, keys: list[str]) -> DataFrame:
     """The same for a table sorted by its keys: groups are whole, so each key prefix is a window partition."""
     out = {}
     for i, k in enumerate(keys):
-        prefix = [F.col(f"`{x}`") for x in keys[: i + 1]]
-        out[f"first.{k.lower()}"] = F.row_number().over(Window.partitionBy(*prefix).orderBy(ORD)) == 1
-        out[f"last.{k.lower()}"] = F.row_number().over(Window.partitionBy(*prefix).orderBy(F.desc(ORD))) == 1
+        out[f"first.{k.lower()}"], out[f"last.{k.lower()}"] = ends(keys[: i + 1])
     return df.withColumns(out)
 
 

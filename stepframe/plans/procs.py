@@ -131,7 +131,7 @@ def proc_means(step: ProcStep, lib: Library, out: Listing) -> None:
         chosen = tuple(k for k in step.options if k in stats.STATS) or stats.DEFAULT
         digits = step.options.get("maxdec")
         listing = stats.means_listing(t, vars_, classes, chosen, shown)
-        print_table(listing, lib, out, fmt={v.name: f"12.{digits}" for v in listing.vars if v.kind == "num" and v.name != "N"} if digits else {})
+        print_table(listing, lib, out, obs=False, fmt={v.name: f"12.{digits}" for v in listing.vars if v.kind == "num" and v.name != "N"} if digits else {})
 
 
 @register_proc("freq")
@@ -149,7 +149,7 @@ def proc_freq(step: ProcStep, lib: Library, out: Listing) -> None:
             hide = {"nofreq": "Frequency", "nopercent": "Percent", "norow": "RowPercent", "nocol": "ColPercent"}
             gone = {v for k, v in hide.items() if k in s.options} | ({"CumFreq", "CumPercent"} if "nocum" in s.options else set())
             if "noprint" not in s.options and "noprint" not in step.options:
-                print_table(ops.select(listing, drop=list(gone)), lib, out)
+                print_table(ops.select(listing, drop=list(gone)), lib, out, obs=False)
             if "chisq" in s.options and len(names) >= 2:
                 stat, df, p = stats.chi_square(t, *names[:2], shown)
                 out.append(f"Chi-Square  DF {df}  Value {stat:.4f}  Prob {p:.4f}")
@@ -165,7 +165,7 @@ def proc_reg(step: ProcStep, lib: Library, out: Listing) -> None:
             target = Ref(target)
         if target is not None:
             lib.put(target.lib, target.name, table)
-        print_table(table, lib, out)
+        print_table(table, lib, out, obs=False)
         out.append(f"R-Square {fit['rsquare']:.4f}  Root MSE {fit['rmse']:.4f}  N {fit['n']:.0f}")
 
 

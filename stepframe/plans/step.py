@@ -211,8 +211,8 @@ def _subscript(name: str, k: float, members: list[str]) -> int:
 class Symbolic:
     """Symbolic execution over one row of the source."""
 
-    def __init__(self, plan: Plan, df: DataFrame, env: dict[str, Typed]):
-        self.plan, self.df, self.env = plan, df, env
+    def __init__(self, plan: Plan, df: DataFrame, env: dict[str, Typed], in_place: bool = False):
+        self.plan, self.df, self.env, self.in_place = plan, df, env, in_place
         self.alive: Column | None = None
         self.path: Column | None = None
         self.emitted: list[tuple[Column | None, list[str], dict[str, Typed]]] = []
@@ -284,8 +284,9 @@ class Symbolic:
         kind = self.plan.kinds.get(low, v.kind)
         col = C.char(v) if kind == "char" else C.num(v)
         init = next((i for s in self.plan.body if s.kind == "retain" for n, i in s.items if n.lower() == low), None)
-        parts = ordered.ordered(self.df.withColumn(f"__c_{low}", F.when(F.lit(True) if g is None else g, F.struct(col.alias("v")))))
-        self.df = ordered.carried(parts, f"__s_{low}", F.col(f"__c_{low}")).drop(f"__c_{low}", ordered.PART)
+        # PART stays, so that the step orders its rows once
+        parts = ordered.ordered(self.df.withColumn(f"__c_{low}", F.when(F.lit(True) if g is None else g, F.struct(col.alias("v")))), self.in_place)
+        self.df, self.in_place = ordered.carried(parts, f"__s_{low}", F.col(f"__c_{low}")).drop(f"__c_{low}"), False
         start = C.lit(init if init is not None else "" if kind == "char" else None)
         self.settled.add(low)
         self.env[low] = Typed(F.when(F.col(f"__s_{low}").isNotNull(), F.col(f"__s_{low}.v")).otherwise(start.col), kind)
@@ -308,15 +309,15 @@ class Symbolic:
             if whole:
                 # sorted, reset at each group's first row: the group is the window partition
                 w = Window.partitionBy(*(F.col(f"`{self.plan.source.var(k).name}`") for k in keys)).orderBy(ORD)
-                self.df = self.df.withColumn(col, F.lit(value.value) + F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                self.df, self.in_place = self.df.withColumn(col, F.lit(value.value) + F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0))), False
             else:
-                parts = ordered.ordered(self.df.withColumns({"__r": F.coalesce(reset, F.lit(False)).cast("int"), "__x": x}))
-                d = ordered.running(parts, {"__seg": F.col("__r").cast("double")}).drop(ordered.PART)
+                parts = ordered.ordered(self.df.withColumns({"__r": F.coalesce(reset, F.lit(False)).cast("int"), "__x": x}), self.in_place)
+                d, self.in_place = ordered.running(parts, {"__seg": F.col("__r").cast("double")}), False
                 w = Window.partitionBy("__seg").orderBy(ORD).rowsBetween(Window.unboundedPreceding, 0)
                 self.df = d.withColumn(col, F.when(F.col("__seg") == 0, init).otherwise(value.value) + F.sum("__x").over(w)).drop("__r", "__x", "__seg")
         else:
-            parts = ordered.ordered(self.df.withColumn("__x", x))
-            self.df = ordered.running(parts, {col: F.col("__x")}).withColumn(col, F.col(col) + float(init)).drop("__x", ordered.PART)
+            parts = ordered.ordered(self.df.withColumn("__x", x), self.in_place)
+            self.df, self.in_place = ordered.running(parts, {col: F.col("__x")}).withColumn(col, F.col(col) + float(init)).drop("__x"), False
         self.settled.add(low)
         self.env[low] = Typed(F.col(col), "num")
 
@@ -446,13 +447,13 @@ def by_flags(plan: Plan) -> None:
     t, keys = plan.source, [plan.source.var(k).name for k, _ in plan.keys]
     if any(s.kind == "merge" for s in plan.body):
         # one flag for the whole key
-        w = Window.partitionBy(*(f"`{k}`" for k in keys))
-        t.df = t.df.withColumns({"__first": F.row_number().over(w.orderBy(ORD)) == 1, "__last": F.row_number().over(w.orderBy(F.desc(ORD))) == 1})
+        t.df = t.df.withColumns(dict(zip(("__first", "__last"), ordered.ends(keys), strict=True)))
+        t.in_place = False
         for k in keys:
             plan.flags |= {f"first.{k.lower()}": "__first", f"last.{k.lower()}": "__last"}
         return
     whole = tuple(k.lower() for k in keys) == t.sorted_by[: len(keys)]
-    t.df = ordered.sorted_flags(t.df, keys) if whole else ordered.flags(ordered.ordered(t.df), keys).drop(ordered.PART)
+    t.df = ordered.sorted_flags(t.df, keys) if whole else ordered.flags(ordered.ordered(t.df, t.in_place), keys)
     t.in_place = False
     for k in keys:
         plan.flags |= {f"{side}.{k.lower()}": f"{side}.{k.lower()}" for side in ("first", "last")}
@@ -520,12 +521,12 @@ def compile_symbolic(plan: Plan) -> dict[str, Table]:
     else:
         df, env, body = generator(plan)
     if "_n_" in plan.used:
-        df = ordered.number(ordered.ordered(df), "__n").drop(ordered.PART)
+        df, in_place = ordered.number(ordered.ordered(df, in_place), "__n"), False
         env["_n_"] = Typed(F.col("__n"), "num")
     env["_error_"] = C.lit(0.0)
     for name in plan.pdv:
         env.setdefault(name, C.lit("" if plan.kinds[name] == "char" else None))
-    run = Symbolic(plan, df, env)
+    run = Symbolic(plan, df, env, in_place)
     if getattr(plan, "ranged", None) is not None:
         run.fresh = {s.target[1].lower() for s in walk(body) if s.kind == "assign" and s.target[0] == "var"}
     source_names = {v.name.lower() for v in plan.source.vars} if plan.source else set()

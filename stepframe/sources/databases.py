@@ -36,7 +36,8 @@ class Folder:
         return open_binary(self.spark, p) if p.endswith("bdat") else from_dataframe(self.spark.read.parquet(p), F.col(ORD) if ORD in self.spark.read.parquet(p).columns else None)
 
     def write(self, name: str, table: Table) -> None:
-        table.data().withColumn(ORD, table.df[ORD]).write.mode("overwrite").parquet(os.path.join(self.path, f"{name}.parquet"))
+        d = table.data()
+        table.df.select(*(table.df[f"`{n}`"].alias(n, metadata=d.schema[n].metadata) for n in table.names), ORD).write.mode("overwrite").parquet(os.path.join(self.path, f"{name}.parquet"))
 
     def append(self, name: str, table: Table) -> None:
         raise PermissionError("a folder libref is not appended to")
