@@ -35,15 +35,31 @@ def _loader(spark: SparkSession, name: str):
     return known[name]
 
 
-def token_coder(spark: SparkSession, decode: bool) -> Callable[[Column], Column]:
-    """Frames of plain ids to coded frames, or back: binary to binary."""
+def _function(spark: SparkSession, name: str, source: str, *arguments) -> Callable[[Column], Column]:
+    """An object of java/<source>.java, made with these (type, value) arguments, as a function from binary to binary."""
     context = spark.sparkContext
-    kind = _loader(spark, "TokenCoder").loadClass("stepframe.TokenCoder")
-    flag = context._gateway.new_array(context._jvm.Class, 1)
-    flag[0] = context._jvm.java.lang.Boolean.TYPE
-    values = context._gateway.new_array(context._jvm.Object, 1)
-    values[0] = decode
-    coder = kind.getConstructor(flag).newInstance(values)
-    name = "stepframe_tokens_plain" if decode else "stepframe_tokens_coded"
-    spark._jsparkSession.udf().register(name, coder, getattr(context._jvm.org.apache.spark.sql.types.DataTypes, "BinaryType"))
+    gateway, jvm = context._gateway, context._jvm
+    kinds, values = gateway.new_array(jvm.Class, len(arguments)), gateway.new_array(jvm.Object, len(arguments))
+    for k, (kind, value) in enumerate(arguments):
+        kinds[k], values[k] = kind, value
+    made = _loader(spark, source).loadClass(f"stepframe.{source}").getConstructor(kinds).newInstance(values)
+    spark._jsparkSession.udf().register(name, made, getattr(jvm.org.apache.spark.sql.types.DataTypes, "BinaryType"))
     return lambda column: F.call_function(name, column)
+
+
+def token_coder(spark: SparkSession, decode: bool) -> Callable[[Column], Column]:
+    """Frames of plain ids to coded frames, or back."""
+    flag = spark.sparkContext._jvm.java.lang.Boolean.TYPE
+    return _function(spark, "stepframe_tokens_plain" if decode else "stepframe_tokens_coded", "TokenCoder", (flag, decode))
+
+
+def webp(spark: SparkSession, decode: bool) -> Callable[[Column], Column]:
+    """Payloads to media, or media to the pixel arrays of their files."""
+    from stepframe.llm.webp_lossless import SHORT
+
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    near = gateway.new_array(jvm.int, 2 * len(SHORT))
+    for k, (dx, dy) in enumerate(SHORT):
+        near[2 * k], near[2 * k + 1] = dx, dy
+    flag = jvm.java.lang.Boolean.TYPE
+    return _function(spark, "stepframe_webp_read" if decode else "stepframe_webp_write", "WebpLossless", (flag, decode), (near.getClass(), near))

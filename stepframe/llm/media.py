@@ -1,10 +1,15 @@
-"""Media columns: payload bytes stored as lossless WebP images, read back to pixel arrays, with features of the pixels.
-
-A payload is stored as 8-bit samples in the green channel, 64 to a row, in tiles of at most TILE_ROWS rows; a medium is
-its tiles' files one after the other. Tiles keep every image small, however long the payload.
-
-Defined results: a null or empty text is one row of 64 zero bytes; equal payloads get equal media and features; a
-medium that is not a sequence of lossless WebP files raises ValueError. decode_media reads any lossless WebP file.
+"""Media columns: payload bytes stored as lossless WebP images, read back to pixel arrays, with features of the samples.
+
+A payload's bytes are the 8-bit samples of ARGB pixels (blue first), 16 pixels to a row, in tiles of at most 1024 rows;
+a medium is its tiles' files one after the other. Tiles keep every image small, however long the payload. The codec
+is java/WebpLossless.java, a JVM function from binary to binary. Its encoder chooses for each tile by counted bits:
+a palette where there are few colours; else predictor modes for each block, cross-colour factors for bands of rows or
+subtract-green, each where it saves; back-references from hash chains; and the size of the colour cache. Its decoder
+reads any lossless WebP file: prefix codes with meta groups, back-references, colour cache and all four transforms.
+
+Defined results: a null or empty text is one row of 64 zero bytes; equal payloads get equal media and features; rows
+that repeat a doc_id, and rows without one, keep media of their own; a medium that is not a sequence of lossless WebP
+files raises ValueError (and fails the job that reads it). decode_media reads media without Spark.
 """
 
 from __future__ import annotations
@@ -15,26 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepframe.llm.arrow_text import chunks, text_buffers
-from stepframe.llm.webp_lossless import Broken, decode_many, encode_samples
-from stepframe.shared import materialise
-
-ROW, TILE_ROWS = 64, 128
-DECODE_BYTES = 1 << 21
-
+from stepframe.llm.jvm import webp
+from stepframe.llm.webp_lossless import Broken, decode_many
+from stepframe.shared import arrow_rows, materialise
 
-def padded(raw: np.ndarray) -> np.ndarray:
-    """The bytes with zeros up to a positive multiple of ROW."""
-    more = -len(raw) % ROW or (ROW if not len(raw) else 0)
-    return np.concatenate([raw, np.zeros(more, np.uint8)]) if more else raw
+ROW = 64
+#: Rows of an Arrow batch that bring a payload each.
+ARROW_ROWS = 256
 
 
-def encode_payload(payload: np.ndarray) -> bytes:
-    step = ROW * TILE_ROWS
-    return b"".join(encode_samples(payload[k : k + step], ROW) for k in range(0, len(payload), step))
+def padded(text: Column) -> Column:
+    """UTF-8 bytes with zeros up to a positive multiple of ROW."""
+    raw = F.coalesce(text.cast("binary"), F.lit(b""))
+    size = F.length(raw)
+    more = F.when(size == 0, ROW).otherwise(F.pmod(-size, F.lit(ROW)))
+    return F.concat(raw, F.substring(F.lit(bytes(ROW)), F.lit(1), more))
 
 
 def split_files(medium: bytes) -> list[bytes]:
@@ -59,65 +62,61 @@ def decode_media(media: list[bytes]) -> list[list[np.ndarray]]:
 
 
 def samples(images: list[np.ndarray]) -> np.ndarray:
-    """The stored bytes: the green channel."""
-    return np.concatenate([((i >> 8) & 255).astype(np.uint8).ravel() for i in images])
+    """The stored bytes: the samples of the pixels."""
+    return np.concatenate([i.astype("<u4").view(np.uint8).ravel() for i in images])
+
+
+def pixel_arrays(raw: bytes) -> list[np.ndarray]:
+    """The pixel arrays (height, width) that the JVM decoder wrote."""
+    words, out, at = np.frombuffer(raw, "<u4"), [], 0
+    while at < len(words):
+        width, height = int(words[at]), int(words[at + 1])
+        out.append(words[at + 2 : at + 2 + width * height].reshape(height, width))
+        at += 2 + width * height
+    return out
 
 
 def feature(images: list[np.ndarray]) -> str:
     """Rows, sum of samples, counts of samples by their upper three bits, and sum of steps between rows."""
-    green = [((i >> 8) & 255).astype(np.int64) for i in images]
-    counts = sum(np.bincount((g >> 5).ravel(), minlength=8) for g in green)
-    steps = sum(int(np.abs(np.diff(g, axis=0)).sum()) for g in green)
-    return f"{sum(g.shape[0] for g in green)}|{sum(int(g.sum()) for g in green)}|{','.join(map(str, counts.tolist()))}|{steps}"
+    planes = [i.astype("<u4").view(np.uint8).reshape(i.shape[0], -1) for i in images]
+    counts = sum(np.bincount((p >> 5).ravel(), minlength=8) for p in planes)
+    steps = sum(int(np.abs(np.diff(p.astype(np.int16), axis=0)).sum(dtype=np.int64)) for p in planes)
+    return f"{sum(p.shape[0] for p in planes)}|{sum(int(p.sum(dtype=np.int64)) for p in planes)}|{','.join(map(str, counts.tolist()))}|{steps}"
 
 
 def store_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media binary), written in the shared folder."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            raw, offs = text_buffers(b.column(1))
-            media = [encode_payload(padded(raw[s:e])) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
-
-    return materialise(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary"))
+    text = docs["text"].cast("string")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), padded(text).alias("payload"))
+    return materialise(rows.select("doc_id", "n_bytes", webp(docs.sparkSession, decode=False)("payload").alias("media")))
 
 
-def read_media(stored: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload binary, feature string, media binary) of stored media."""
+def _read(stored: DataFrame, schema: str, row) -> DataFrame:
+    """doc_id, n_bytes and what row(pixel arrays, medium) gives, of stored media."""
+    kinds = [pa.int64() if k == "long" else pa.binary() if k == "binary" else pa.string() for _, k in (c.split() for c in schema.split(", "))]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, pixels in _decoded(batches):
-            payload = [samples(p).tobytes() for p in pixels]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(payload, pa.binary()), pa.array([feature(p) for p in pixels], pa.string()), b.column(2)], names=["doc_id", "n_bytes", "payload", "feature", "media"])
+        for b in batches:
+            rows = [row(pixel_arrays(p), m) for m, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", *names])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload binary, feature string, media binary")
+    pixels = stored.select("doc_id", "n_bytes", "media", webp(stored.sparkSession, decode=True)("media").alias("pixels"))
+    return pixels.mapInArrow(run, f"doc_id long, n_bytes long, {schema}")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[np.ndarray]]]]:
-    for b in batches:
-        media = b.column(2).to_pylist()
-        start, held = 0, 0
-        for k, m in enumerate(media):
-            if k > start and held + len(m) > DECODE_BYTES:
-                yield b.slice(start, k - start), decode_media(media[start:k])
-                start, held = k, 0
-            held += len(m)
-        if len(media) > start:
-            yield b.slice(start), decode_media(media[start:])
+def read_media(stored: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload binary, feature string, media binary) of stored media."""
+    return _read(stored, "payload binary, feature string, media binary", lambda images, medium: (samples(images).tobytes(), feature(images), medium))
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature: from the media stored and read back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, pixels in _decoded(batches):
-            rows = []
-            for p, m in zip(pixels, b.column(2).to_pylist(), strict=True):
-                raw = samples(p).tobytes()
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-ROW:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    stored = store_media(docs).where(F.col("media").isNotNull())
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def row(images: list[np.ndarray], medium: bytes) -> tuple:
+        raw = samples(images).tobytes()
+        return len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-ROW:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(images)
+
+    stored = store_media(docs)
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return materialise(_read(stored, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", row))

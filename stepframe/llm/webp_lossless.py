@@ -1,4 +1,7 @@
-"""Lossless WebP (VP8L): a decoder for whole streams, a lockstep decoder for many, and an encoder.
+"""Lossless WebP (VP8L) in Python: a decoder for whole streams, a lockstep decoder for many, and an encoder that does as told.
+
+The media operator's own codec is java/WebpLossless.java; this one reads media without Spark and is what tests hold
+that one against.
 
 Decoding: prefix codes (simple and normal, with meta prefix groups), back-references with the two-dimensional short
 distances, the colour cache, and the four transforms (predictor, cross-colour, subtract-green, palette), written to
@@ -735,48 +738,3 @@ def encode(image: np.ndarray, predictor: tuple[int, list[int]] | None = None, cr
     w.put(0, 1)
     write_pixels(w, px, coded, main=True, cache_bits=cache_bits, matches=matches, grid=grid)
     return riff(w.bytes())
-
-
-def encode_samples(samples: np.ndarray, width: int) -> bytes:
-    """A file of 8-bit samples, in the green channel of opaque pixels: literals, and back-references for runs.
-
-    At most 16 distinct samples are stored as palette indices, several to a pixel.
-    """
-    n = len(samples)
-    counts = np.bincount(samples, minlength=256)
-    if np.count_nonzero(counts) <= 16:
-        return encode((samples.astype(np.uint32) << 8 | BLACK).reshape(-1, width), palette=True)
-    w = _start(width, n // width)
-    w.put(0, 3)  # no transform, no colour cache, one prefix group
-    change = np.flatnonzero(np.diff(samples, prepend=samples[0] ^ 1))
-    runs = np.diff(np.append(change, n))
-    keep = np.ones(n, bool)
-    jumps = []
-    for k in np.flatnonzero(runs >= 12).tolist():
-        at, left = int(change[k]) + 1, int(runs[k]) - 1
-        keep[at : at + left] = False
-        while left:
-            m = min(left, 4096)
-            jumps.append((at, m))
-            at += m
-            left -= m
-    symbols = samples[keep]
-    tally = np.bincount(symbols, minlength=256)
-    of = {int(s): int(tally[s]) for s in np.flatnonzero(tally)}
-    prefixes = [prefix_of(m) for _, m in jumps]
-    for s, _, _ in prefixes:
-        of[256 + s] = of.get(256 + s, 0) + 1
-    words, lengths = write_code(w, of, 280)
-    for s in (0, 0, 255):
-        write_code(w, {s: 1}, 256)
-    # distance 1 is short code 2, prefix symbol 1, the only one
-    write_code(w, {1: 1} if jumps else {}, 40)
-    word, length = np.array(words, np.uint64), np.array(lengths, np.int64)
-    values, bits = word[symbols], length[symbols]
-    if jumps:
-        place = np.cumsum(keep)
-        where = [int(place[at - 1]) for at, _ in jumps]
-        values = np.insert(values, where, [words[256 + s] | extra << lengths[256 + s] for s, extra, _ in prefixes])
-        bits = np.insert(bits, where, [lengths[256 + s] + b for s, _, b in prefixes])
-    w.put_many(values, bits)
-    return riff(w.bytes())

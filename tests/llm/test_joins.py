@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stepframe.llm import chat, media, ngram_join, shingles, topk, webp_lossless
 from stepframe.llm.components import components
+from stepframe.llm.jvm import webp
 from stepframe.shared import materialise
 
 
@@ -265,6 +266,67 @@ def test_webp_transforms_round_trip():
         assert (a == b).all()
 
 
+def test_jvm_codec_against_the_plain_one(spark):
+    rng = np.random.default_rng(17)
+    files, pixels = [], []
+    for t in range(60):
+        h, w = (int(x) for x in rng.integers(1, 20, 2))
+        a, options, blocks = image(rng, h, w, t % 4), {}, -(-w // 4) * -(-h // 4)
+        if t % 3 == 0:
+            options["predictor"] = (2, [int(x) for x in rng.integers(0, 16, blocks)])
+        if t % 5 == 0:
+            options["cross"] = (2, [int(x) for x in rng.integers(0, 2**24, blocks)])
+        options["subtract_green"] = t % 2 == 0
+        if t % 4 in (1, 3) and t % 7 < 3:
+            options = {"palette": True}
+        if t % 7 == 0:
+            options["cache_bits"] = int(rng.integers(1, 12))
+        if t % 11 == 0 and "palette" not in options:
+            options["grid"] = (2, [int(x) for x in rng.integers(0, 3, blocks)])
+        files.append(webp_lossless.encode(a, **options))
+        pixels.append(a)
+    # the JVM decoder reads what the plain encoder wrote
+    (row,) = spark.createDataFrame([(bytearray(b"".join(files)),)], "m binary").select(webp(spark, decode=True)("m").alias("x")).collect()
+    for a, b in zip(media.pixel_arrays(bytes(row.x)), pixels, strict=True):
+        assert (a == b).all()
+    # and the plain decoder what the JVM encoder wrote
+    text = (b"The quick brown fox jumps over the lazy dog. " * 4000)[: 64 * 2500]
+    payloads = [bytes(64), bytes(range(256)), rng.integers(0, 256, 64 * 40, dtype=np.uint8).tobytes(), text, b"ab" * 32 * 30, np.cumsum(rng.integers(0, 3, (300, 64)), axis=0).astype(np.uint8).tobytes()]
+    red = rng.integers(0, 256, (200, 16))
+    tinted = np.stack([red * 2 % 256, red, red, np.full_like(red, 255)], axis=-1).astype(np.uint8)
+    payloads += [tinted.tobytes(), np.repeat(rng.integers(0, 256, 64 * 60, dtype=np.uint8), 4).tobytes()]
+    df = spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(payloads)], "k int, p binary")
+    media_ = [bytes(r.m) for r in df.select("k", webp(spark, decode=False)("p").alias("m")).orderBy("k").collect()]
+    for p, m, images in zip(payloads, media_, media.decode_media(media_), strict=True):
+        assert media.samples(images).tobytes() == p and len(m) < len(p) + 1000
+    kinds = {t[0] for m in media_ for f in media.split_files(m) for t in webp_lossless.read_head(f)[4]}
+    assert {webp_lossless.PREDICTOR, webp_lossless.PALETTE} <= kinds and kinds & {webp_lossless.CROSS_COLOUR, webp_lossless.SUBTRACT_GREEN}
+    for bad in (files[0][:30], b"JUNK" + files[0][4:], files[1][:20] + b"\x00" + files[1][21:], files[2][:-8], b""):
+        with pytest.raises(Exception, match="WebP"):
+            spark.createDataFrame([(bytearray(bad),)], "m binary").select(webp(spark, decode=True)("m")).collect()
+
+
+def test_media_of_documents_use_the_decoder(spark):
+    """What the media of a real table hold: back-references, colour caches, prefix codes and transforms."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = Counter()
+    for r in media.store_media(docs).select("media").collect():
+        for f in media.split_files(bytes(r.media)):
+            b, w, h, coded, transforms = webp_lossless.read_head(f)
+            found.update(t[0] for t in transforms)
+            found["files"] += 1
+            found["cache"] += b.read(1)
+    assert found["files"] >= 200 and found["cache"] > found["files"] // 3
+    assert found[webp_lossless.PALETTE] + found[webp_lossless.PREDICTOR] > 0
+
+
+def test_media_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (7, "b"), (7, "c"), ((1 << 53) + 1, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.payload_sha256) for r in media.media_digests(df).collect())
+    sha = lambda t: hashlib.sha256(t + bytes(64 - len(t))).hexdigest()
+    assert got == sorted([(0, 1, sha(b"a")), (0, 1, sha(b"a")), (7, 1, sha(b"b")), (7, 1, sha(b"c")), ((1 << 53) + 1, 0, sha(b""))])
+
+
 def test_broken_images():
     f = webp_lossless.encode(np.arange(64, dtype=np.uint32).reshape(8, 8))
     for bad in (b"", f[:30], b"JUNK" + f[4:], f[:20] + b"\x00" + f[21:], f[:-8]):
