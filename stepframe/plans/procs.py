@@ -23,7 +23,9 @@ log = logging.getLogger("stepframe")
 
 
 class Listing(list):
-    """Printed lines of a session."""
+    """Printed lines of a session; html: its printed tables, if they are kept."""
+
+    html: list[str] | None = None
 
 
 Proc = Callable[[ProcStep, Library, Listing], None]
@@ -258,6 +260,9 @@ def proc_print(step: ProcStep, lib: Library, out: Listing) -> None:
     t = data_of(step, lib)
     labels = {n.lower(): x for s in parts(step, "label") for n, x in s.pairs} | ({v.name.lower(): v.label for v in t.vars if v.label} if "label" in step.options else {})
     own = {n: f for s in parts(step, "format") for n, f in s.pairs}
+    if out.html is not None:
+        shown = [t.var(n) for n in names_of(step, "var")] or t.vars
+        out.html.append(html_table(Table(t.df, shown), lib))
     print_table(t, lib, out, names_of(step, "var") or None, "noobs" not in step.options, labels if "label" in step.options or labels else None, own)
 
 

@@ -18,6 +18,8 @@ log = logging.getLogger("stepframe")
 
 
 class _Counter(logging.Handler):
+    """Counts the errors that are logged while a session's program runs."""
+
     def __init__(self):
         super().__init__(logging.ERROR)
         self.n = 0
@@ -27,11 +29,13 @@ class _Counter(logging.Handler):
 
 
 class Session:
-    def __init__(self, spark: SparkSession):
+    """html: also keep every PROC PRINT as an HTML table in listing.html."""
+
+    def __init__(self, spark: SparkSession, html: bool = False):
         ship_package(spark)
         self.spark, self.library, self.macros, self.listing = spark, Library(spark), Macros(), Listing()
+        self.listing.html = [] if html else None
         self._errors = _Counter()
-        log.addHandler(self._errors)
 
     @property
     def errors(self) -> int:
@@ -41,15 +45,28 @@ class Session:
         """Runs a program; returns the lines it listed. A text that does not parse runs nothing; a failing step ends the program."""
         steps = parse(self.macros.expand(text))
         before = len(self.listing)
-        for step in steps:
-            if isinstance(step, DataStep):
-                run_step(step, self.library)
-            elif isinstance(step, ProcStep):
-                run_proc(step, self.library, self.listing)
-            else:
-                self._global(step)
+        log.addHandler(self._errors)
+        try:
+            for step in steps:
+                if isinstance(step, DataStep):
+                    self._note(run_step(step, self.library))
+                elif isinstance(step, ProcStep):
+                    run_proc(step, self.library, self.listing)
+                else:
+                    self._global(step)
+        finally:
+            log.removeHandler(self._errors)
         return list(self.listing[before:])
 
+    def _note(self, made: dict[str, Table]) -> None:
+        """A note on every table a step made; rows are counted only if somebody reads notes of this detail."""
+        for name, t in made.items():
+            full = (name if "." in name else f"work.{name}").upper()
+            if log.isEnabledFor(logging.DEBUG):
+                log.info("NOTE: The data set %s has %d observations and %d variables.", full, t.df.count(), len(t.vars))
+            else:
+                log.info("NOTE: The data set %s has %d variables.", full, len(t.vars))
+
     def _global(self, g: Global) -> None:
         p = g.parts
         if g.kind != "libname":

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -16,9 +17,11 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fallback for tests where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local fallback where one process runs all."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file:///tmp/checkpoints/{os.getuid()}"
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             spark.sparkContext.setCheckpointDir(where)
@@ -29,11 +32,41 @@ def materialise(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/stepframe-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Folders written inside each open scratch().
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside the block is deleted behind it: nothing lazy that reads it may leave the block."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def kept(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The rows of make(), written once; what it materialised on its way goes."""
+    with scratch(spark):
+        rows = make()
+        inner = _SCOPES.pop()
+        try:
+            rows = materialise(rows, spark)
+        finally:
+            _SCOPES.append(inner)
+    return rows
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to Python workers unless their PYTHONPATH already holds it."""
     paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]

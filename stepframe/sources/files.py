@@ -327,6 +327,7 @@ class BinarySource(DataSource):
         return BinaryReader(self.options["path"])
 
 
+#: Fixed values of the format.
 #: Run-length control bytes by their high nibble: what is written, the least count, and whether a count byte follows.
 RUNS = {
     0x0: ("literal", 64, True), 0x4: ("repeat", 18, True), 0x6: (b" ", 17, True), 0x7: (b"\0", 17, True),
@@ -336,7 +337,18 @@ RUNS = {
 
 
 def expand_row(data: bytes, size: int, kind: bytes) -> bytes:
-    """A compressed row: run lengths, or control words that mix literals, runs and back-references."""
+    """A compressed row of `size` bytes. ValueError where it is damaged: an unknown control byte, a run that leaves the row, or too few bytes."""
+    try:
+        out = _expanded(data, size, kind)
+    except (IndexError, KeyError) as x:
+        raise ValueError("a compressed row is damaged") from x
+    if len(out) < size:
+        raise ValueError(f"a compressed row has {len(out)} of {size} bytes")
+    return out
+
+
+def _expanded(data: bytes, size: int, kind: bytes) -> bytes:
+    """Run lengths, or control words that mix literals, runs and back-references."""
     out, at = bytearray(), 0
     if kind == ROW_RUNS:
         while at < len(data) and len(out) < size:
@@ -379,6 +391,8 @@ def expand_row(data: bytes, size: int, kind: bytes) -> bytes:
             if what == 2:
                 what = data[at] + 16
                 at += 1
+            if back > len(out):
+                raise IndexError("a reference before the row")
             for _ in range(what):
                 out.append(out[-back])
     return bytes(out[:size])
