@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from stepframe.llm.arrow_text import chunks
 from stepframe.llm.components import components
 from stepframe.llm.shingles import common, mix, set_key, shingle_sets
-from stepframe.shared import arrow_rows, materialise
+from stepframe.shared import arrow_rows, kept, materialise
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 8, 3
@@ -374,6 +374,10 @@ def open_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int
 
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links lead to, its own included)."""
+    return kept(lambda: _similar_groups(docs, words, percent), docs.sparkSession)
+
+
+def _similar_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
         scanned = materialise(scan(docs, words))
@@ -406,7 +410,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Of rows that repeat a doc_id those with the same text count once; the others stay if one of them stands for its
     group, so that no group loses its document.
     """
-    found = materialise(similar_groups(docs, words, percent))
+    found = similar_groups(docs, words, percent)
     ids = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows")))
     gone, repeated = ids.where("gone").select("doc_id"), ids.where("not gone and rows > 1").select("doc_id")
     kept = docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stepframe.llm.arrow_text import chunks
 from stepframe.llm.words import default_vocabulary, library_encoder
-from stepframe.shared import materialise
+from stepframe.shared import kept, materialise
 
 WINDOW, END_ID, SHARD_PIECES, SHARD_BLOCK = 4096, 2, 16_384, 4096
 
@@ -121,6 +121,10 @@ def dealt(rest: DataFrame, shards: int) -> DataFrame:
 
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Pieces with sequence_id and offset. Sequence ids are gapless: full windows first, then shard after shard."""
+    return kept(lambda: _pack(docs, window, end_id, vocabulary, shard_pieces), docs.sparkSession)
+
+
+def _pack(docs: DataFrame, window: int, end_id: int, vocabulary: str | None, shard_pieces: int) -> DataFrame:
     pieces = materialise(cut_documents(docs, window, end_id, vocabulary))
     spark = pieces.sparkSession
     full, rest = pieces.where(F.col("length") == window), pieces.where(F.col("length") < window)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepframe.shared import arrow_rows, materialise
+from stepframe.shared import arrow_rows, kept, materialise
 
 SUB = 16
 SHARD_ROWS, QUERY_ROWS = 65_536, 1024
@@ -141,6 +141,10 @@ def _search(shards: DataFrame, first: int, last: int, blocks: DataFrame, k: int)
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 50, id_column: str = "vec_id", vector_column: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest rows of every row whose id is divisible by `every`."""
+    return kept(lambda: _top_k(vectors, k, every, id_column, vector_column, shard_rows), vectors.sparkSession)
+
+
+def _top_k(vectors: DataFrame, k: int, every: int, id_column: str, vector_column: str, shard_rows: int) -> DataFrame:
     coded = materialise(codes(vectors, id_column, vector_column).withColumn("row", F.monotonically_increasing_id()))
     coded = coded.withColumn("bound", F.lit(NO_BOUND).cast("long"))
     n = max(1, -(-coded.count() // shard_rows))

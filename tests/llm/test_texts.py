@@ -214,3 +214,144 @@ def test_partition_function_and_gradient_against_enumeration():
     full = np.zeros(pii.FEATURES)
     full[list(got)] = list(got.values())
     assert np.allclose(full, want)
+
+
+# --- the classifiers against plain formulas
+
+MASK, GOLD = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+
+def plain_ngrams(text, bits, most=3):
+    points = [*map(ord, text.lower().replace("\0", " ")), 0, 0]
+    out = {}
+    for i in range(len(points) - 2):
+        h = 0
+        for n in range(1, most + 1):
+            if i + n > len(points):
+                break
+            h = (h * 0x100000001B3 + n + points[i + n - 1]) & MASK
+            g = ((h * GOLD) & MASK) >> (64 - bits)
+            out[g] = out.get(g, 0) + 1
+    return out
+
+
+def plain_words(text, bits, prefixes=(3, 4, 5, 6, 7)):
+    power, out = 0xD6E8FEB86659FD93, {}
+    runs = re.findall(r"[^\W\d_]+", text.lower())
+    for run in runs:
+        h = 0
+        for k, c in enumerate(run, 1):
+            h = (h + ord(c) + 1) * power & MASK
+            if k in prefixes and len(run) > k:
+                f = ((h ^ k) * GOLD & MASK) >> (64 - bits)
+                out[f] = out.get(f, 0) + 1
+        total, p = 0, 1
+        for c in run:
+            p = p * power & MASK
+            total = (total + ord(c) * p) & MASK
+        f = ((total ^ (len(run) << 40)) * GOLD & MASK) >> (64 - bits)
+        out[f] = out.get(f, 0) + 1
+    return out, len(runs)
+
+
+def test_language_scores_against_plain_formulas(spark):
+    docs, _ = corpus(spark)
+    model = langid.train(docs)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    import zlib
+
+    trained = [t for d, t, lang in rows if lang and t is not None and not (zlib.crc32(("" if d is None else str(d)).encode()) % 3 == 1)]
+    df = {}
+    for t in trained:
+        for g in plain_ngrams(t, langid.BITS):
+            df[g] = df.get(g, 0) + 1
+    idf = np.array([np.log((1 + len(trained)) / (1 + df.get(g, 0))) + 1 for g in range(1 << langid.BITS)])
+    assert np.allclose(idf, model.idf)
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for d, t, _ in rows:
+        if t and re.search(r"[^\W\d_]", t) and len(t) < 10_000:
+            x = {g: (1 + np.log(c)) * idf[g] for g, c in plain_ngrams(t, langid.BITS).items()}
+            norm = sum(v * v for v in x.values()) ** 0.5
+            eta = [sum(v / norm * float(model.weights[g, k]) for g, v in x.items()) + model.bias[k] for k in range(len(model.languages))]
+            e = [np.exp(v / model.temperature) for v in eta]
+            p = [v / sum(e) for v in e]
+            assert got[d].lang_pred == model.languages[int(np.argmax(p))] and abs(got[d].score - max(p)) < 1e-5
+
+
+def test_ftrl_and_temperature_against_plain_formulas():
+    rng = np.random.default_rng(5)
+    f = langid.Ftrl(6, 2, alpha=0.3, beta=1.5, l1=0.05, l2=0.1)
+    z, n = np.zeros((6, 2)), np.zeros((6, 2))
+    for _ in range(40):
+        at, g = np.sort(rng.choice(6, 3, replace=False)), rng.normal(size=(3, 2))
+        w = f.weights(at)
+        for i, a in enumerate(at):
+            for k in range(2):
+                plain = 0.0 if abs(z[a, k]) <= 0.05 else -(z[a, k] - np.sign(z[a, k]) * 0.05) / ((1.5 + n[a, k] ** 0.5) / 0.3 + 0.1)
+                assert abs(plain - w[i, k]) < 1e-12
+                z[a, k] += g[i, k] - ((n[a, k] + g[i, k] ** 2) ** 0.5 - n[a, k] ** 0.5) / 0.3 * plain
+                n[a, k] += g[i, k] ** 2
+        f.learn(at, w, g)
+    assert np.allclose(f.z, z) and np.allclose(f.n, n)
+    # no other temperature of a finer grid does better on the rows kept out than the one chosen, but for the grid's step
+    model = langid.LanguageModel(["a", "b"], idf=np.ones(1 << langid.BITS))
+    rows = [(np.sort(rng.choice(200, 12, replace=False) + 40 * (k % 2)), rng.integers(1, 4, 12).astype(float), k % 2 if rng.random() < 0.85 else 1 - k % 2) for k in range(200)]
+    langid.fit(model, rows)
+    kept = rows[::5]
+
+    def loss(t):
+        total = 0.0
+        for at, c, y in kept:
+            p = langid.softmax((model.vector(at, c) @ model.weights[at] + model.bias) / t)
+            total -= np.log(max(p[y], 1e-12))
+        return total / len(kept)
+
+    assert all(loss(model.temperature) <= loss(t) + 1e-3 for t in np.geomspace(0.02, 20, 200))
+
+
+def test_ties_and_repeated_rows_of_languages(spark):
+    docs, _ = corpus(spark)
+    model = langid.train(docs.unionByName(docs))
+    twice = docs.unionByName(docs).unionByName(spark.createDataFrame([(1, "ka ko", "und", "s", 5, "c", 1)], docs.schema))
+    got = langid.identify(twice, model).collect()
+    assert len(got) == 2 * 245 + 1
+    of = {}
+    for r in got[: 2 * 245]:
+        assert of.setdefault(r.doc_id, (r.lang_pred, r.score)) == (r.lang_pred, r.score)
+    even = langid.LanguageModel(["x", "y"], np.ones(1 << langid.BITS), np.zeros((1 << langid.BITS, 2), np.float32), np.zeros(2), 1.0, np.ones((2, 1 << langid.BITS), bool), np.zeros(2))
+    assert even.predict(["abc"]) == (["x"], [0.5])
+
+
+def test_severity_against_plain_formulas(spark):
+    docs, labels = corpus(spark)
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    weight = dict(zip(model.features.tolist(), model.values.tolist()))
+    for r in docs.where("doc_id < 240 or doc_id in (1000, 1001, 1002)").collect():
+        counts, n = plain_words(r.text or "", toxicity.BITS)
+        eta = sum(weight.get(f, 0.0) * (1 + np.log(c)) for f, c in counts.items())
+        p = [1 / (1 + np.exp(t - eta)) if n else 0.0 for t in model.thresholds]
+        grades = [1 - p[0], *(a - b for a, b in zip(p, p[1:])), p[-1]]
+        assert abs(got[r.doc_id].severity - sum(p)) < 1e-9 and abs(got[r.doc_id].chance - p[0]) < 1e-9
+        assert got[r.doc_id].grade == (int(np.argmax(grades)) if n else 0) and got[r.doc_id].toxic == (p[0] >= model.cut)
+
+
+def test_ordinal_gradient_against_differences():
+    t = np.array([-0.5, 0.3, 1.4])
+
+    def loss(eta, k):
+        above = np.concatenate([[1.0], toxicity.sigmoid(eta - t), [0.0]])
+        return -np.log(above[k] - above[k + 1])
+
+    for eta in (-2.0, 0.1, 3.0):
+        above = np.concatenate([[1.0], toxicity.sigmoid(eta - t), [0.0]])
+        for k in range(4):
+            assert abs((loss(eta + 1e-6, k) - loss(eta - 1e-6, k)) / 2e-6 - (above[k] + above[k + 1] - 1)) < 1e-6
+
+
+def test_severity_at_the_cut_and_of_repeated_rows(spark):
+    docs, labels = corpus(spark)
+    model = toxicity.train(docs, labels.unionByName(labels))
+    (same,) = {(r.severity, r.chance, r.toxic) for r in toxicity.score(docs.where("doc_id = 4").unionByName(docs.where("doc_id = 4")), model).collect()}
+    model.cut = same[1]
+    assert toxicity.score(docs.where("doc_id = 4"), model).first().toxic and toxicity.keep_clean(docs.where("doc_id = 4"), model).count() == 0
