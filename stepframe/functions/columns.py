@@ -309,6 +309,73 @@ def user_label(t: Typed, fmt: UserFormat, otherwise: Column | None) -> Column:
     return other if out is None else out.otherwise(other)
 
 
+# --- informats
+
+
+def _year(y: Column) -> Column:
+    return F.when(y >= 100, y).otherwise(y + F.when(y < 20, 2000).otherwise(1900))
+
+
+def _day(y: Column, m: Column, d: Column) -> Column:
+    """Day number; months and days out of range roll over."""
+    return first_of_month(_year(y) * 12 + m - 1) + d - 1
+
+
+def read_date(s: Column) -> Column:
+    """ddMMMyy or ddMMMyyyy as a day number."""
+    part = lambda k: F.regexp_extract(s, r"^\s*(\d{1,2})[ -]?([A-Za-z]{3})[ -]?(\d{4}|\d{2})\s*$", k)
+    at = F.instr(F.lit("".join(f"{m}." for m in dates.MONTHS)), F.concat(F.upper(part(2)), F.lit(".")))
+    month = F.when((part(2) != "") & (at > 0), (at + 3) / 4)
+    return _day(part(3).try_cast("double"), month, part(1).try_cast("double"))
+
+
+def read_numeric_date(s: Column, order: str) -> Column:
+    """order: 'mdy', 'dmy' or 'ymd'; parts apart by / - . or packed in 6 or 8 digits."""
+    t = F.trim(s)
+    apart = F.split(t, r"[/\-.]")
+    year = F.length(t) - 4
+    begin = {"mdy": {"m": 1, "d": 3, "y": 5}, "dmy": {"d": 1, "m": 3, "y": 5}, "ymd": {"y": 1, "m": year + 1, "d": year + 3}}[order]
+    packed = t.rlike(r"^(\d{6}|\d{8})$")
+    whole = t.rlike(r"^\d+[/\-.]\d+[/\-.]\d+$")
+
+    def part(c: str) -> Column:
+        own = t.substr(F.lit(begin[c]) if isinstance(begin[c], int) else begin[c], year if c == "y" else F.lit(2))
+        return F.when(packed, own).when(whole, F.get(apart, F.lit(order.index(c)))).try_cast("double")
+
+    return _day(part("y"), part("m"), part("d"))
+
+
+def read_time(s: Column) -> Column:
+    part = lambda k: F.regexp_extract(s, r"^\s*(\d+):(\d+)(?::(\d+(?:\.\d*)?))?\s*$", k).try_cast("double")
+    return part(1) * 3600 + part(2) * 60 + F.coalesce(part(3), F.lit(0.0))
+
+
+def read_datetime(s: Column) -> Column:
+    t = F.trim(s)
+    clock = F.regexp_extract(t, r"^[^:]*:(.*)$", 1)
+    return read_date(F.substring_index(t, ":", 1)) * dates.DAY_S + F.when(clock == "", 0.0).otherwise(read_time(clock))
+
+
+def read_user(s: Column, user: UserFormat) -> Column:
+    """A user informat: equal texts first, then ranges of numbers, then OTHER; a label that is no number is missing."""
+    t, x = F.trim(s), to_number(s)
+    value = lambda r: F.lit(float(r.label) if isinstance(r.label, int | float) else None).cast("double")
+    tests = [(t == r.low, value(r)) for r in user.ranges if not r.other and isinstance(r.low, str)]
+    for r in user.ranges:
+        if not r.other and not isinstance(r.low, str) and not isinstance(r.high, str):
+            ok = x.isNotNull()
+            if r.low is not None:
+                ok = ok & (x > r.low if r.low_open else x >= r.low)
+            if r.high is not None:
+                ok = ok & (x < r.high if r.high_open else x <= r.high)
+            tests.append((ok, value(r)))
+    tests += [(F.lit(True), value(r)) for r in user.ranges if r.other][:1]
+    out = None
+    for ok, v in tests:
+        out = F.when(ok, v) if out is None else out.when(ok, v)
+    return out if out is not None else F.lit(None).cast("double")
+
+
 def put(t: Typed, fmt: str, user: UserFormat | None = None) -> Column:
     """A value as text in a format. Exact decimal text needs Python: only then an Arrow UDF runs."""
     f = spec(fmt)

@@ -183,23 +183,12 @@ def informat_column(s: Column, informat: str, lib: Library | None) -> Typed:
         return Typed(F.substring(t, 1, f.width) if f.width else t, "char")
     if user is None and f.name in ("comma", "dollar", "comman", "dollarn"):
         return Typed(C.to_number(F.call_function("translate", s, F.lit(",$ "), F.lit(""))), "num")
-    if user is None and f.name not in ("date", "mmddyy", "ddmmyy", "yymmdd", "time", "hhmmss", "datetime"):
-        return Typed(C.to_number(s), "num")
-    if user is None and f.name in ("time", "hhmmss"):
-        part = lambda k: F.regexp_extract(s, r"^\s*(\d+):(\d+)(?::(\d+(?:\.\d*)?))?\s*$", k).try_cast("double")
-        return Typed(part(1) * 3600 + part(2) * 60 + F.coalesce(part(3), F.lit(0.0)), "num")
-    from stepframe.functions.texts import read
-
-    def one(v):
-        got = user.read(v or "") if user is not None else read(v or "", f)
-        return got if not isinstance(got, str) else None
-
-    @F.pandas_udf("double")
-    def parsed(v: pd.Series) -> pd.Series:
-        return v.map(one).astype("float64")
-
-    out = parsed(s)
-    return Typed(F.when(~F.isnan(out), out), "num")
+    if user is not None:
+        return Typed(C.read_user(s, user), "num")
+    if f.name in ("mmddyy", "ddmmyy", "yymmdd"):
+        return Typed(C.read_numeric_date(s, {"mm": "mdy", "dd": "dmy", "yy": "ymd"}[f.name[:2]]), "num")
+    read = {"date": C.read_date, "time": C.read_time, "hhmmss": C.read_time, "datetime": C.read_datetime}.get(f.name, C.to_number)
+    return Typed(read(s).cast("double"), "num")
 
 
 def _subscript(name: str, k: float, members: list[str]) -> int:
@@ -656,7 +645,8 @@ def interpret(plan: Plan) -> tuple[dict[str, Table], DataFrame | None]:
 
         def over_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             it = fresh()
-            it.over_lines([x for b in batches for x in b["value"]])
+            for _ in it.over_lines(x for b in batches for x in b["value"]):
+                yield frame(it)
             yield frame(it)
 
         d = plan.lines.orderBy(ORD)

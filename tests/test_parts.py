@@ -210,3 +210,39 @@ def test_transform_is_one_stage_of_codegen(spark):
     plan = s.dataframe("out")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_extendedprice:double,l_discount:double>" in plan
     assert "PushedFilters: [Or(LessThan(l_quantity,10.0),IsNull(l_quantity))]" in plan
+
+
+def test_informat_columns_equal_python(spark):
+    texts_ = ["15JAN2020", " 1feb99 ", "31FEB2020", "00JAN2020", "5-MAR-2001", "5 XYZ 2001", "15JANU2020", "", "01/15/2020", "13/45/1999", "2020-1-5", "20200115", "011520", "1.2.03", "1/2", "14:30", "1:2:3.5", "x:1", "02JAN1960:03:00:10", "02JAN1960", "02JAN1960:", "99JAN1960:1:1", "12", "7.5", "gold", "Zed", "-3", "1e3"]
+    from stepframe.functions.texts import Range, UserFormat
+    from stepframe.plans.step import informat_column
+
+    class Lib:
+        own = UserFormat("m", [Range("gold", "gold", 3.0), Range(None, 5.0, 1.0, high_open=True), Range(7.0, 12.0, 2.0), Range(100.0, None, "x"), Range(label=9.0, other=True)], "invalue")
+
+        def user_informat(self, name):
+            return self.own if name == "m." else None
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts_)], "k int, s string")
+    names_ = ["date9.", "mmddyy10.", "ddmmyy10.", "yymmdd10.", "time8.", "datetime20.", "m.", "8.", "comma8."]
+    rows = df.select("k", *(informat_column(F.col("s"), n, Lib()).col.alias(f"c{i}") for i, n in enumerate(names_))).orderBy("k").collect()
+    plan = df.select(*(informat_column(F.col("s"), n, Lib()).col.alias(n) for n in names_))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    for r, t in zip(rows, texts_, strict=True):
+        for i, n in enumerate(names_):
+            want = Lib.own.read(t) if n == "m." else texts.read(t, texts.spec(n))
+            want = None if isinstance(want, str) else want
+            assert r[i + 1] == want, (n, t, r[i + 1], want)
+
+
+def test_lines_stream_through_the_interpreter(check, tmp_path):
+    """More rows than go out at once, and no more lines in memory than a record needs."""
+    from stepframe.plans.interp import Lines
+
+    lines = Lines(map(str, range(10)))
+    assert lines.has(3) and not lines.has(10) and lines[4] == "4"
+    lines.forget(4)
+    assert len(lines.held) == 6 and lines[4] == "4"
+    (tmp_path / "v.txt").write_text("".join(f"{k} {k * 2}\n" for k in range(25_000)))
+    s = check(f'data t; infile "{tmp_path}/v.txt" end=last; input a @@; total + a; if last then mark = 1; run; proc sql; create table o as select count(*) as n, max(total) as total, sum(mark) as marks from t; quit;')
+    assert s.table("o").rows() == [(50_000, 3.0 * sum(range(25_000)), 2)]
