@@ -20,7 +20,7 @@ place of table and words stand the plain ids (u32). Frames are rows of Parquet f
 doc_id order, nulls first.
 
 Defined results: a null or empty text holds the end id only; rows that repeat a doc_id stay next to each other as
-documents of their own (ordered by text), and so do rows with a null doc_id, which stays null; a text longer than a
+documents of their own (ordered by their first LEAD characters, then as read), and so do rows with a null doc_id, which stays null; a text longer than a
 frame has a frame of its own; an empty table gives no rows. Ids must be below 65,536, else ValueError (an error of the
 job inside one). A damaged frame raises ValueError, or fails the job that reads it.
 """
@@ -47,6 +47,7 @@ END_ID = 2
 MAGIC, VERSION, WITH_NULLS, PLAIN = b"TIDC", 3, 4, 0x100
 HEAD = struct.Struct("<4sIQQII")
 SYMBOLS, STEP, MOST, RATE = 256, 24, 60_000, 6
+LEAD = 32
 #: Pieces of texts and runs of letters that a worker remembers, some 150 MB.
 PIECES, LETTERS = 600_000, 500_000
 
@@ -300,8 +301,11 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
         if doc:
             yield frame()
 
-    ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    plain = ordered.mapInArrow(run, "file_no long, frame_no long, n_docs long, n_ids long, plain binary")
+    # rows of one repeated or null doc_id are dealt by how their texts begin, and equal ones by their place
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    keys = ["doc_id", "lead", "place"]
+    ordered = own.withColumns({"lead": F.substring("text", 1, LEAD), "place": F.monotonically_increasing_id()}).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    plain = ordered.select("doc_id", "text").mapInArrow(run, "file_no long, frame_no long, n_docs long, n_ids long, plain binary")
     return materialise(plain.select("file_no", "frame_no", "n_docs", "n_ids", token_coder(docs.sparkSession, decode=False)("plain").alias("payload")))
 
 
