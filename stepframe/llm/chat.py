@@ -13,8 +13,9 @@ Calls stand as <tool_call>{"id", "name", "arguments", "depends_on"}</tool_call>
 
 Defined results: null roles and texts are left out of their message; unparsable calls are ignored, unparsable
 arguments are invalid and left out; of several calls or results with one id the first by turn counts (then by place,
-then by text); a conversation is cut into segments of SEGMENT turns, so that no row grows without bound; rows without
-conversation or turn are dropped; equal rows are separate messages.
+then by text); a conversation is cut into segments of SEGMENT turns, and a segment of over CROWDED messages (many rows of
+one turn) into several rows, dealt by hash, so that no row grows without bound; rows without conversation or turn are
+dropped; equal rows are separate messages.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stepframe.shared import materialise
 
-SEGMENT = 1024
+SEGMENT, CROWDED = 1024, 16_384
 #: The hops of a key on a cycle, or raised by one.
 ENDLESS = 1 << 30
 #: tool -> argument -> (JSON types, required)
@@ -145,7 +146,7 @@ def quoted(text: Column) -> Column:
     return F.when(text.isNotNull(), F.substring(one, 6, 1 << 30).substr(F.lit(1), F.length(one) - 6))
 
 
-def format_chats(conversations: DataFrame, schemas: Schemas = REPLY, turns: bool = True, segment: int = SEGMENT) -> DataFrame:
+def format_chats(conversations: DataFrame, schemas: Schemas = REPLY, turns: bool = True, segment: int = SEGMENT, crowded: int = CROWDED) -> DataFrame:
     """conv_id, segment, n_messages, n_calls, n_linked, n_valid, chat (canonical JSON)."""
     messages = conversations.select(conversations["conv_id"].cast("long").alias("conv_id"), conversations["turn"].cast("long").alias("turn"), conversations["role"].cast("string").alias("role"), conversations["text"].cast("string").alias("text")).where("conv_id is not null and turn is not null")
     part = F.floor(F.col("turn") / segment).alias("segment")
@@ -155,7 +156,13 @@ def format_chats(conversations: DataFrame, schemas: Schemas = REPLY, turns: bool
     ranked = F.struct(F.col("key").isNull().cast("int").alias("last"), "key", "turn", "place", "call_id", call.alias("json"))
     items = messages.select("conv_id", part, F.struct("turn", "role", said.alias("json")).alias("message"), F.lit(None).cast("struct<last:int,key:struct<turn:bigint,place:int,hops:int>,turn:bigint,place:int,call_id:string,json:string>").alias("call"), F.lit(None).cast("boolean").alias("linked"), F.lit(None).cast("boolean").alias("valid"))
     items = items.unionByName(calls.select("conv_id", part, F.lit(None).cast("struct<turn:bigint,role:string,json:string>").alias("message"), ranked.alias("call"), "linked", "valid"))
-    grouped = items.groupBy("conv_id", "segment").agg(
+    full = materialise(messages.groupBy("conv_id", part).agg(F.ceil(F.count("*") / crowded).alias("parts")).where("parts > 1"))
+    if full.isEmpty():
+        items = items.withColumn("piece", F.lit(0))
+    else:
+        own = F.coalesce("message.json", "call.json")
+        items = items.withColumn("place", F.monotonically_increasing_id()).join(full, ["conv_id", "segment"], "left").withColumn("piece", F.pmod(F.xxhash64(own, "place"), F.coalesce("parts", F.lit(1))))
+    grouped = items.groupBy("conv_id", "segment", "piece").agg(
         F.count("message").alias("n_messages"),
         F.count("call").alias("n_calls"),
         F.count_if("linked").alias("n_linked"),

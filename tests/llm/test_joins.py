@@ -399,6 +399,15 @@ def test_forward_dependencies_in_long_conversations(spark):
     assert len(key) == n
 
 
+def test_crowded_turns_are_cut(spark):
+    rows = [(1, 0, "user", "same")] * 500 + [(1, 1, "assistant", call(f"c{k}")) for k in range(30)] + [(2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.format_chats(df, {"f": {"x": (("integer",), True)}}, turns=False, crowded=100).collect()
+    one = [r for r in got if r.conv_id == 1]
+    assert len(one) == 6 and sum(r.n_messages for r in one) == 530 and sum(r.n_calls for r in one) == sum(r.n_valid for r in one) == 30
+    assert max(r.n_messages for r in one) < 150 and sum(len(json.loads(r.chat)["calls"]) for r in one) == 30 and len(got) == 7
+
+
 def test_cycles_take_few_rounds(spark, monkeypatch):
     rows = [(1, k, "assistant", call(f"k{k}", [f"k{k - 1}"] if k else [])) for k in range(1000)]
     rows += [(1, 1000, "assistant", call("a", ["b"]) + call("b", ["a"]) + call("c", ["b"])), (2, 3, "assistant", call("s", ["s"]) + call("t"))]
