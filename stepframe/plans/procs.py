@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from stepframe.lang.sqltext import to_spark_sql, with_tables
 from stepframe.operators import proof, stats
 from stepframe.operators import tables as ops
 from stepframe.plans.step import read_ref
+from stepframe.shared import materialise
 from stepframe.sources import files
 
 log = logging.getLogger("stepframe")
@@ -330,6 +332,7 @@ def run_sql(query: str, lib: Library, connections: dict[str, str]) -> Table:
         return name
 
     known: dict[str, str] = {}
+    changing: list[bool] = []
 
     def table(full: str) -> str | None:
         lib_name, _, name = full.rpartition(".")
@@ -337,11 +340,18 @@ def run_sql(query: str, lib: Library, connections: dict[str, str]) -> Table:
             return None
         if full not in known:
             known[full] = view(lib.get(lib_name, name))
+            changing.append(getattr(lib.librefs.get(lib_name), "changing", False))
         return known[full]
 
-    query = with_tables(query, table, lambda connection, text: view(backend(connection, lib, connections).query(text)))
+    def passed(connection: str, text: str) -> str:
+        source = backend(connection, lib, connections)
+        changing.append(getattr(source, "changing", False))
+        return view(source.query(text))
+
+    query = with_tables(query, table, passed)
     try:
-        return from_dataframe(_select(to_spark_sql(query), lib))
+        t = from_dataframe(_select(to_spark_sql(query), lib))
+        return replace(t, df=materialise(t.df), in_place=False) if any(changing) else t
     finally:
         for name in made:
             lib.spark.catalog.dropTempView(name)

@@ -25,6 +25,7 @@ from stepframe.lang.parser import DataStep, Expr, Ref, Stmt
 from stepframe.operators import tables as ops
 from stepframe.plans import ordered
 from stepframe.plans.interp import Interpreter, walk
+from stepframe.shared import materialise
 from stepframe.sources import lines as L
 
 log = logging.getLogger("stepframe")
@@ -696,8 +697,6 @@ def interpret(plan: Plan) -> tuple[dict[str, Table], DataFrame | None]:
             d = (d.select(*cols) if cols else d.select(F.lit(0).alias("x"))).mapInPandas(over_rows, schema)
     d = d.withColumn(ORD, F.monotonically_increasing_id())
     if len(names) + puts > 1:
-        from stepframe.shared import materialise
-
         d = materialise(d)
     out = {}
     for ref in plan.step.outputs:
@@ -725,5 +724,7 @@ def run_step(step: DataStep, lib: Library, force_interpreter: bool = False) -> d
         L.write_lines(lines if lines is not None else lib.spark.createDataFrame([], f"value string, {ORD} long"), file["path"], bool(file.get("mod")))
     for ref in step.outputs:
         if ref.full in out:
+            if any(getattr(lib.librefs.get(r.lib.lower()), "changing", False) for s in plan.all if s.kind in ("set", "merge") for r in s.refs):
+                out[ref.full] = replace(out[ref.full], df=materialise(out[ref.full].df), in_place=False)
             lib.put(ref.lib, ref.name, out[ref.full])
     return out

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from stepframe.frame import ORD, Table, from_dataframe, to_dataframe
 from stepframe.sources.files import open_binary
 
+#: How a table is renamed, by the subprotocol of the URL.
+RENAME = {"postgresql": "alter table {0} rename to {1}", "oracle": "alter table {0} rename to {1}", "sqlserver": "exec sp_rename '{0}', '{1}'"}
 JDBC = {"postgres": "postgresql", "postgresql": "postgresql", "sqlserver": "sqlserver", "mssql": "sqlserver", "oracle": "oracle:thin", "db2": "db2", "mysql": "mysql"}
 
 
@@ -37,7 +39,13 @@ class Folder:
 
     def write(self, name: str, table: Table) -> None:
         d = table.data()
-        table.df.select(*(table.df[f"`{n}`"].alias(n, metadata=d.schema[n].metadata) for n in table.names), ORD).write.mode("overwrite").parquet(os.path.join(self.path, f"{name}.parquet"))
+        target = os.path.join(self.path, f"{name}.parquet")
+        # beside the old table, which the step may be reading
+        table.df.select(*(table.df[f"`{n}`"].alias(n, metadata=d.schema[n].metadata) for n in table.names), ORD).write.mode("overwrite").parquet(target + ".new")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(target).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(path(target), True)
+        fs.rename(path(target + ".new"), path(target))
 
     def append(self, name: str, table: Table) -> None:
         raise PermissionError("a folder libref is not appended to")
@@ -98,7 +106,12 @@ class Sqlite:
 
 @dataclass
 class Jdbc:
-    """A database through Spark's JDBC source: filters and columns are pushed down; the driver jar must be on the class path."""
+    """A database through Spark's JDBC source: filters and columns are pushed down; the driver jar must be on the class path.
+
+    What a step takes from it is written once (`changing`), so that later statements do not change it.
+    """
+
+    changing = True
 
     spark: SparkSession
     engine: str
@@ -125,17 +138,24 @@ class Jdbc:
         to_dataframe(table).write.format("jdbc").option("url", self._reader()[1]).option("dbtable", name).mode(mode).save()
 
     def write(self, name: str, table: Table) -> None:
-        self._write(name, table, "overwrite")
+        """Into a table of another name, which takes the place of the old one only when it is whole."""
+        new = f"{name}_new"
+        self._write(new, table, "overwrite")
+        rename = RENAME.get(self._reader()[1].split(":")[1], "rename table {0} to {1}")
+        self.execute(*([f"drop table {name}"] if self.has(name) else []), rename.format(new, name))
 
     def append(self, name: str, table: Table) -> None:
         self._write(name, table, "append")
 
-    def execute(self, sql: str) -> None:
-        driver = self.spark.sparkContext._jvm.java.sql.DriverManager.getConnection(self._reader()[1])
+    def execute(self, *sql: str) -> None:
+        """Statements over one connection."""
+        jvm, url = self.spark.sparkContext._jvm, self._reader()[1]
+        connection = jvm.java.sql.DriverManager.getConnection(url)
         try:
-            driver.createStatement().execute(sql)
+            for one in sql:
+                connection.createStatement().execute(one)
         finally:
-            driver.close()
+            connection.close()
 
     def drop(self, name: str) -> None:
         self.execute(f"drop table {name}")

@@ -7,6 +7,7 @@ import pytest
 from stepframe.__main__ import main, run_cases
 from stepframe.session import Session
 from stepframe.shared import kept, materialise, shared_dir
+from stepframe.sources.databases import Jdbc
 from stepframe.sources.files import ROW_RUNS, expand_row
 
 
@@ -55,3 +56,31 @@ def test_scratch_tables_go(spark):
     before = set(os.listdir(where))
     rows = kept(lambda: materialise(materialise(spark.range(5)).where("id > 1")), spark)
     assert rows.count() == 3 and len(set(os.listdir(where)) - before) == 1
+
+
+def test_jdbc_library(spark):
+    """Against the in-memory database that Spark's jars hold."""
+    s = Session(spark)
+    s.library.librefs["db"] = Jdbc(spark, "derby", "jdbc:derby:memory:stepframe;create=true")
+    s.submit(
+        """data db.boats; input boat $ crew; datalines;
+Heron 4
+Tern 2
+;
+run;
+data more; boat = 'Skua'; crew = 7; run;
+proc append base=db.boats data=more; run;
+data big; set db.boats; where crew > 3; run;
+proc sql; create table out as select * from connection to db (select sum("crew") as total, count(*) as n from boats); execute (delete from boats where "crew" = 2) by db; quit;
+data db.boats; set db.boats; crew = crew + 1; run;"""
+    )
+    assert sorted(s.table("big").rows()) == [("Heron", 4), ("Skua", 7)] and s.table("out").rows() == [(13, 3)]
+    assert sorted(s.library.get("db", "boats").rows()) == [("Heron", 5), ("Skua", 8)]
+    s.submit("proc sql; drop table db.boats; quit;")
+    assert not s.library.has("db", "boats")
+
+
+def test_folder_table_in_its_own_place(spark, tmp_path):
+    s = Session(spark)
+    s.submit(f'libname f "{tmp_path}"; data f.t; do k = 1 to 3; output; end; run; data f.t; set f.t; k = k * 10; run;')
+    assert s.library.get("f", "t").rows() == [(10,), (20,), (30,)]
