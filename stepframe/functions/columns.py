@@ -283,8 +283,42 @@ FUNCTIONS["avg"] = FUNCTIONS["mean"]
 # --- formats
 
 
+#: Ranges of a format that one CASE may have.
+LARGE_FORMAT = 200
+
+
+def looked_up(fmt: UserFormat, kind: str):
+    """The first range that holds a value: single values by hash, and only wider ranges one by one."""
+    points: dict = {}
+    wide = []
+    for k, r in enumerate(fmt.ranges):
+        if r.other:
+            continue
+        if isinstance(r.low, str) or (r.low is not None and r.low == r.high and not r.low_open and not r.high_open):
+            if isinstance(r.low, str) == (kind == "char"):
+                points.setdefault(r.low, k)
+        elif kind == "num":
+            wide.append((k, r))
+    rest = next((str(r.label) for r in fmt.ranges if r.other), None)
+
+    def one(v):
+        k = points.get(v, len(fmt.ranges)) if v is not None and v == v else len(fmt.ranges)
+        k = min([k, *(i for i, r in wide if i < k and v is not None and v == v and r.holds(v))])
+        return str(fmt.ranges[k].label) if k < len(fmt.ranges) else rest
+
+    @F.pandas_udf("string")
+    def labels(x: pd.Series) -> pd.Series:
+        codes, values = pd.factorize(x, use_na_sentinel=False)
+        return pd.Series([one(None if pd.isna(v) else v) for v in values], dtype="object").take(codes).reset_index(drop=True)
+
+    return labels
+
+
 def user_label(t: Typed, fmt: UserFormat, otherwise: Column | None) -> Column:
-    """The label of a value by a VALUE format, as one CASE."""
+    """The label of a value by a VALUE format, as one CASE; a large catalogue is looked up by hash in Arrow batches."""
+    if len(fmt.ranges) > LARGE_FORMAT:
+        found = looked_up(fmt, t.kind)(t.col)
+        return F.coalesce(found, otherwise if otherwise is not None else F.lit(""))
     out, other = None, otherwise
     for r in fmt.ranges:
         label = F.lit(str(r.label))

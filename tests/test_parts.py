@@ -246,3 +246,17 @@ def test_lines_stream_through_the_interpreter(check, tmp_path):
     (tmp_path / "v.txt").write_text("".join(f"{k} {k * 2}\n" for k in range(25_000)))
     s = check(f'data t; infile "{tmp_path}/v.txt" end=last; input a @@; total + a; if last then mark = 1; run; proc sql; create table o as select count(*) as n, max(total) as total, sum(mark) as marks from t; quit;')
     assert s.table("o").rows() == [(50_000, 3.0 * sum(range(25_000)), 2)]
+
+
+def test_large_formats_equal_small_ones(spark):
+    from stepframe.functions.texts import Range, UserFormat
+
+    points = [Range(float(k), float(k), f"p{k}") for k in range(0, 900, 3)] + [Range(10.0, 20.0, "wide"), Range(500.0, None, "high", low_open=True), Range(label="rest", other=True)]
+    words = [Range(f"w{k}", f"w{k}", f"l{k}") for k in range(300)]
+    nums = [None, 0.0, 1.0, 12.0, 13.0, 20.0, 501.0, 502.0, -4.0, 898.0, 899.5]
+    texts_ = ["w0", "w299", "w300", ""]
+    for ranges, values, kind in ((points, nums, "num"), (words, texts_, "char")):
+        fmt = UserFormat("f", ranges)
+        df = spark.createDataFrame([(v,) for v in values], "v double" if kind == "num" else "v string").coalesce(1)
+        got = [r[0] for r in df.select(C.user_label(C.Typed(F.col("v"), kind), fmt, F.lit("none"))).collect()]
+        assert got == [fmt.show(v) if fmt.show(v) is not None else "none" for v in values]
