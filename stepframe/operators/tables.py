@@ -33,7 +33,7 @@ def sort(table: Table, keys: list[tuple[str, bool]], nodupkey: bool = False) ->
         df = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*names).orderBy(ORD))).where("__rn = 1").drop("__rn")
     df = df.orderBy(*order).withColumn(ORD, F.monotonically_increasing_id())
     ascending = tuple(table.var(k).name.lower() for k, down in keys)
-    return Table(df, table.vars, ascending, True, ascending if nodupkey else ())
+    return Table(df, table.vars, ascending, True)
 
 
 def numbered(table: Table) -> Table:
@@ -60,10 +60,9 @@ def select(table: Table, keep: list[str] = (), drop: list[str] = (), rename: lis
     out = [renamed(v, new.get(v.name.lower(), v.name)) for v in vars_]
     df = table.df.select(*(F.col(f"`{a.name}`").alias(b.name) for a, b in zip(vars_, out, strict=True)), ORD)
     left = {v.name.lower() for v in vars_}
-    still = tuple(new.get(k, k).lower() for k in table.unique_by) if set(table.unique_by) <= left else ()
     order = [k in left for k in table.sorted_by]
     kept_order = table.sorted_by[: order.index(False) if False in order else len(order)]
-    return Table(df, out, tuple(new.get(k, k).lower() for k in kept_order), table.in_place, still)
+    return Table(df, out, tuple(new.get(k, k).lower() for k in kept_order), table.in_place)
 
 
 def merged_vars(tables: list[Table]) -> list[Var]:
