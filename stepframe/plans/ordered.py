@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 from stepframe.frame import ORD
 from stepframe.shared import materialise
 
-PART = "__part"
+PART, ROW = "__part", "__row"
 
 
 def ordered(df: DataFrame, in_place: bool = False) -> DataFrame:
-    """df in order, with PART: the number of each row's partition, ascending in order.
+    """df in order, with PART: the number of each row's partition, ascending in order, and ROW: its place there, from 0.
 
     A table that has PART already is taken as it is; one whose rows lie in order (in_place) is written without a sort.
     """
     if PART in df.columns:
         return df
+    # monotonically_increasing_id counts the rows of a partition in its lower 33 bits
+    place = {PART: F.spark_partition_id(), ROW: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
     if in_place:
-        return materialise(df.withColumn(PART, F.spark_partition_id()))
-    return materialise(df.repartitionByRange(F.col(ORD)).sortWithinPartitions(ORD).withColumn(PART, F.spark_partition_id()))
+        return materialise(df.withColumns(place))
+    return materialise(df.repartitionByRange(F.col(ORD)).sortWithinPartitions(ORD).withColumns(place))
 
 
 def _within(*bounds: int) -> object:
@@ -37,13 +39,13 @@ def _spread(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def number(parts: DataFrame, name: str = "__n") -> DataFrame:
-    """Adds the dense row number from 1."""
+    """Adds the dense row number from 1, without another shuffle."""
     counts = sorted((r[PART], r["count"]) for r in parts.groupBy(PART).count().collect())
     rows, total = [], 0
     for part, n in counts:
         rows.append((part, total))
         total += n
-    return _spread(parts, rows, f"{PART} int, __before long").withColumn(name, (F.col("__before") + F.row_number().over(_within())).cast("double")).drop("__before")
+    return _spread(parts, rows, f"{PART} int, __before long").withColumn(name, (F.col("__before") + F.col(ROW) + 1).cast("double")).drop("__before")
 
 
 def running(parts: DataFrame, sums: dict[str, Column]) -> DataFrame:

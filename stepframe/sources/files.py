@@ -231,7 +231,10 @@ class BinaryDataset:
                 if rows is None:
                     self._subheader(name, body)
             elif rows is not None and (self.compression or packed == 4 or more == 1):
-                rows.append(expand_row(body, self.row_length, self.compression) if packed == 4 and length < self.row_length else body[: self.row_length])
+                row = expand_row(body, self.row_length, self.compression) if packed == 4 and length < self.row_length else body[: self.row_length]
+                if len(row) != self.row_length:
+                    raise ValueError(f"{self.path}: a row has {len(row)} of {self.row_length} bytes")
+                rows.append(row)
         if kind & 0x0F00 == 0x0200:
             start = b + 8 + subs * size
             self._data(start + (start % 8 and 4), min(self.row_count, self.mix_rows), rows)
@@ -337,14 +340,11 @@ RUNS = {
 
 
 def expand_row(data: bytes, size: int, kind: bytes) -> bytes:
-    """A compressed row of `size` bytes. ValueError where it is damaged: an unknown control byte, a run that leaves the row, or too few bytes."""
+    """A compressed row of at most `size` bytes. ValueError where it is damaged: an unknown control byte, or data that end within a run."""
     try:
-        out = _expanded(data, size, kind)
+        return _expanded(data, size, kind)
     except (IndexError, KeyError) as x:
         raise ValueError("a compressed row is damaged") from x
-    if len(out) < size:
-        raise ValueError(f"a compressed row has {len(out)} of {size} bytes")
-    return out
 
 
 def _expanded(data: bytes, size: int, kind: bytes) -> bytes:
@@ -358,6 +358,8 @@ def _expanded(data: bytes, size: int, kind: bytes) -> bytes:
             if counted:
                 n = (n - least) * 256 + data[at] + least
                 at += 1
+            if what in ("literal", "repeat") and at + (n if what == "literal" else 1) > len(data):
+                raise IndexError("the data end within a run")
             if what == "literal":
                 out += data[at : at + n]
                 at += n
