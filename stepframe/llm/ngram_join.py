@@ -4,15 +4,17 @@
 2. Groups. Classes that agree in a band of MinHash values are checked against one leader of their band key (a star,
    never all pairs): the class that shares its band keys with most others, as the common origin of copies does.
    Verified links joined into components are the groups; most classes are groups alone.
-3. Token-group matrix. Tokens are ordered from rare to frequent by a fixed-size count sketch over all documents (any
-   total order is right; a good one is fast). Two sets with Jaccard >= t must share one of the first
+3. Token-group matrix. Tokens are ordered from rare to frequent by a fixed-size count sketch over all documents, and
+   behind all others come those that several documents of a hash sample hold, by their exact counts there: in a large
+   table most cells of the sketch count alike (any total order is right; a good one is fast). Two sets with Jaccard >= t must share one of the first
    n - ceil(t * n) + 1 tokens of each in that order, and a known number of those. The matrix stores each group's union
    of such tokens of its members, with their least and greatest size. A query set's overlap with a group is at most the number of its tokens
    in that union; only groups where this bound reaches what the sizes ask for qualify. Where one member alone holds the shared tokens, the
    bound is that pair's own; else the group is opened and its members are counted one by one.
 4. Frequent tokens. Sets that share a token of many sets' prefixes are in one cluster. Their groups, whole or (large ones) in
    parts, lie in blocks with unions of all their tokens, and blocks of like sizes meet: each query set's overlap with every group's union is
-   counted, and only qualifying groups that no link joins yet are opened.
+   counted, and only qualifying groups that no link joins yet are opened. Blocks are sent to squares of CELL_BLOCKS by CELL_BLOCKS
+   meetings, so a block is copied once for so many others, not once for each.
 5. Pairs of opened groups are verified on the whole texts; all links together give the components.
 
 Defined results: a null, empty or blank text has no shingle and links with nothing (its component is itself); rows
@@ -39,6 +41,10 @@ from stepframe.shared import arrow_rows, kept, materialise
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 8, 3
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
+#: One document in SAMPLED has its tokens counted exactly, in so many parts; at most LISTED of a part's tokens are listed as frequent.
+SAMPLED, SAMPLE_PARTS, LISTED = 16, 64, 1 << 14
+#: Sampled tokens that a scanning task holds.
+HELD_TOKENS = 1 << 20
 #: A lookup table of at most this many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 BUCKET_TOKENS = 250_000
@@ -46,6 +52,8 @@ BUCKET_TOKENS = 250_000
 SPREAD_SETS = 10_000
 #: A token in more prefixes than this is handled by blocks of about BLOCK_TOKENS tokens and at most some BLOCK_SETS sets.
 HOT_CLASSES, BLOCK_TOKENS, BLOCK_SETS = 16, 20_000, 2_000
+#: Blocks on each side of a square of meetings, which one task holds.
+CELL_BLOCKS = 16
 #: Cells of a count matrix in a Python worker; pairs that one copy of a leader's text serves.
 CELLS, LED_PAIRS = 4_000_000, 500
 #: Texts (bytes) that a Python worker turns into arrays at a time, and rows of an Arrow batch.
@@ -74,21 +82,38 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def scan(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row per document (doc_id, n, key, bands) and the partial sketches (chunk, counts)."""
+    """One row per document (doc_id, n, key, bands), the partial sketches (chunk, counts) and the sampled tokens (-1 - part, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         names = ["doc_id", "n", "key", "bands", "chunk", "counts"]
+        held, n_held = [], 0
+
+        def partial(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            m = len(parts)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names)
+
+        def sampled() -> pa.RecordBatch:
+            tokens = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            cut = np.searchsorted(tokens, np.arange(SAMPLE_PARTS, dtype=np.uint64) * np.uint64((1 << 64) // SAMPLE_PARTS))
+            return partial([(-1 - k, x.tobytes()) for k, x in enumerate(np.split(tokens, cut[1:])) if len(x)])
+
         for b in chunks(batches, limit=SCAN_BYTES):
             sets = shingle_sets(b.column(1), words)
             tokens = np.concatenate(sets)
             if len(tokens):
                 sketch += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
             m = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        parts = [(k, c) for k, c in enumerate(sketch.reshape(-1, SKETCH_CHUNK)) if c.any()]
-        m = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([c.tobytes() for _, c in parts], pa.binary())], names=names)
+            keys = [set_key(s) for s in sets]
+            chosen = [s for s, key in zip(sets, keys, strict=True) if key % SAMPLED == 0 and len(s)]
+            held += chosen
+            n_held += sum(map(len, chosen))
+            if n_held > HELD_TOKENS:
+                yield sampled()
+                held, n_held = [], 0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+        yield sampled()
+        yield partial([(k, c.tobytes()) for k, c in enumerate(sketch.reshape(-1, SKETCH_CHUNK)) if c.any()])
 
     return docs.mapInArrow(run, "doc_id long, n long, key long, bands array<long>, chunk int, counts binary")
 
@@ -109,6 +134,54 @@ def sum_sketch(partial: DataFrame) -> np.ndarray:
     return sketch.reshape(-1)
 
 
+def sampled_counts(partial: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens, ascending, that two or more sampled documents hold and in how many; SAMPLE_PARTS * LISTED of them at most, the most frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own.setdefault(k, []).append(np.frombuffer(raw, np.uint64))
+        for k in list(own):
+            tokens, counts = np.unique(np.concatenate(own.pop(k)), return_counts=True)
+            top = np.flatnonzero(counts > 1)
+            top = np.sort(top[np.argsort(-counts[top], kind="stable")[:LISTED]])
+            cols = [pa.array([tokens[top].tobytes()], pa.binary()), pa.array([np.minimum(counts[top], 0x7FFFFFFF).astype(np.int32).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["tokens", "counts"])
+
+    rows = partial.repartition("chunk").mapInArrow(run, "tokens binary, counts binary").collect()
+    tokens, counts = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) if rows else np.zeros(0, kind) for c, kind in (("tokens", np.uint64), ("counts", np.int32)))
+    by = np.argsort(tokens)
+    return tokens[by], counts[by]
+
+
+class Order:
+    """The order of tokens, of a fixed size: cells of the sketch, and behind them the tokens listed as frequent."""
+
+    def __init__(self, sketch: np.ndarray, tokens: np.ndarray, counts: np.ndarray):
+        self.sketch, self.tokens, self.counts = sketch, tokens, counts
+        self.listed = np.zeros(len(sketch), bool)
+        self.listed[self._cells(tokens)] = True
+
+    def _cells(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+    def sampled(self, tokens: np.ndarray) -> np.ndarray:
+        """How many sampled documents hold each token; 0 of a token that is not listed."""
+        out = np.zeros(len(tokens), np.int64)
+        if len(self.tokens):
+            maybe = np.flatnonzero(self.listed[self._cells(tokens)])
+            at = np.minimum(np.searchsorted(self.tokens, tokens[maybe]), len(self.tokens) - 1)
+            hit = self.tokens[at] == tokens[maybe]
+            out[maybe[hit]] = self.counts[at[hit]]
+        return out
+
+    def ranks(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers that ascend from rare to frequent tokens, and which tokens are in more than about SPREAD_SETS sets."""
+        seen = self.sampled(tokens)
+        return self.sketch[self._cells(tokens)] + (seen << 32), seen * SAMPLED > SPREAD_SETS
+
+
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Of pairs (a, b) of class keys, those that link: (a, b, shared, united), from the whole texts.
 
@@ -158,22 +231,23 @@ def prefixes(docs: DataFrame, groups: DataFrame, n_groups: int, shared: Broadcas
     """(bucket, tokens, keys, owners, sizes): packed rows of the token-group matrix, dealt by token hash, and by class too where a token is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
         for b in chunks(batches, limit=SCAN_BYTES):
-            first, rows = [], []
-            for s, key, owner in zip(shingle_sets(b.column(2), words), b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            first, far, rows = [], [], []
+            sets = shingle_sets(b.column(2), words)
+            ranks, spreads = (np.split(x, np.cumsum([len(s) for s in sets])[:-1]) for x in shared.value.ranks(np.concatenate(sets)))
+            for s, rank, spread, key, owner in zip(sets, ranks, spreads, b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 # one row for each class: that of its representative (a repeated doc_id may bring other texts along)
                 if len(s) and set_key(s) == key:
-                    rank = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    first.append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]])
+                    prefix = np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]
+                    first.append(s[prefix])
+                    far.append(spread[prefix])
                     rows.append((key, owner, len(s)))
             if not rows:
                 continue
             lens = np.array([len(x) for x in first])
             flat = np.concatenate(first)
             key, owner, size = (np.repeat(np.array(c, np.int64), lens) for c in zip(*rows, strict=True))
-            spread = order[(flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > SPREAD_SETS
-            bucket = (mix(np.where(spread, flat ^ mix(key.view(np.uint64)), flat)) % np.uint64(buckets)).astype(np.int64)
+            bucket = (mix(np.where(np.concatenate(far), flat ^ mix(key.view(np.uint64)), flat)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             flat, key, owner, size, bucket = flat[by], key[by], owner[by] ^ key[by], size[by], bucket[by]
             cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
@@ -196,7 +270,7 @@ def open_groups(matrix: DataFrame, shared: Broadcast) -> DataFrame:
         token, key, owner, size = token[order], key[order], owner[order], size[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-        several |= shared.value[(token[first].view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > SPREAD_SETS
+        several |= shared.value.ranks(token[first].view(np.uint64))[1]
         keep = np.repeat(several, np.diff(np.append(first, len(token))))
         return pd.DataFrame({"token": token[keep], "key": key[keep], "owner": owner[keep], "n": size[keep]})
 
@@ -266,22 +340,31 @@ def _overlaps(rows: np.ndarray, tokens: np.ndarray, n_rows: int, union_tokens: n
     return out.reshape(n_rows, n_groups)
 
 
-def block_links(a: tuple, b: tuple, percent: int) -> list[tuple[int, int, int, int]]:
+class Unions:
+    """The matrix of a block (keys, owners, sizes, tokens): each group's token union, members and least and greatest size."""
+
+    def __init__(self, keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, tokens: np.ndarray):
+        self.block = keys, owners, sizes, tokens
+        self.groups, of = np.unique(owners, return_inverse=True)
+        self.sets = np.split(tokens, np.cumsum(sizes)[:-1])
+        self.by_group = np.argsort(of, kind="stable")
+        self.edge = np.searchsorted(of[self.by_group], np.arange(len(self.groups) + 1))
+        self.least, self.most = (f.reduceat(sizes[self.by_group], self.edge[:-1]) for f in (np.minimum, np.maximum))
+        group = np.repeat(of, sizes)
+        order = np.lexsort((group, tokens))
+        tokens, group = tokens[order], group[order]
+        fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (group[1:] != group[:-1])])
+        self.tokens, self.of = tokens[fresh], group[fresh]
+
+
+def block_links(a: tuple, b: tuple | Unions, percent: int) -> list[tuple[int, int, int, int]]:
     """Links from sets of block a to sets of other groups in block b, enough to join all groups that link. A block: keys, owners, sizes, tokens."""
-    (ka, oa, na, ta), (kb, ob, nb, tb) = a, b
-    groups, of = np.unique(ob, return_inverse=True)
+    matrix = b if isinstance(b, Unions) else Unions(*b)
+    (ka, oa, na, ta), (kb, _, nb, _) = a, matrix.block
+    groups, sets_b, by_group, edge, least, most = matrix.groups, matrix.sets, matrix.by_group, matrix.edge, matrix.least, matrix.most
     if len(groups) == 1 and (oa == groups[0]).all():
         return []
-    sets_b = np.split(tb, np.cumsum(nb)[:-1])
-    by_group = np.argsort(of, kind="stable")
-    edge = np.searchsorted(of[by_group], np.arange(len(groups) + 1))
-    least, most = np.minimum.reduceat(nb[by_group], edge[:-1]), np.maximum.reduceat(nb[by_group], edge[:-1])
-    # the matrix: each group's token union
-    entry_group = np.repeat(of, nb)
-    order = np.lexsort((entry_group, tb))
-    union_tokens, union_groups = tb[order], entry_group[order]
-    fresh = np.concatenate([[True], (union_tokens[1:] != union_tokens[:-1]) | (union_groups[1:] != union_groups[:-1])])
-    union_tokens, union_groups = union_tokens[fresh], union_groups[fresh]
+    union_tokens, union_groups = matrix.tokens, matrix.of
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -345,16 +428,22 @@ def cluster_links(members: DataFrame, docs: DataFrame, classes: DataFrame, words
 
     schema = "key long, owner long, cluster long, band long, part long, tokens binary"
     blocks = materialise(sets.mapInArrow(shingled, schema).groupBy("cluster", "band", "part").applyInPandas(pack, "cluster long, band long, part long, keys binary, owners binary, sizes binary, tokens binary"))
-    other = blocks.select("cluster", F.col("band").alias("band_b"), F.col("part").alias("part_b"), *(F.col(c).alias(f"{c}_b") for c in ("keys", "owners", "sizes", "tokens")))
-    once = (F.col("band_b") == F.col("band") + 1) | ((F.col("band_b") == F.col("band")) & (F.col("part") <= F.col("part_b")))
-    met = blocks.join(other, "cluster").where(once).repartition(F.xxhash64("cluster", "band", "part", "band_b", "part_b"))
+    met = meetings(blocks, parts)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for b in batches:
             col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
             for k in range(b.num_rows):
-                side = [tuple(np.frombuffer(col[f"{c}{end}"][k].as_py(), kind) for c, kind in (("keys", np.int64), ("owners", np.int64), ("sizes", np.int64), ("tokens", np.uint64))) for end in ("", "_b")]
-                rows = block_links(*side, percent)
+                at = tuple(col[c][k].as_py() for c in CELL)
+                if at != cell:
+                    cell, held = at, []
+                block = tuple(np.frombuffer(col[c][k].as_py(), kind) for c, kind in (("keys", np.int64), ("owners", np.int64), ("sizes", np.int64), ("tokens", np.uint64)))
+                if col["side"][k].as_py() == 0:
+                    held.append(Unions(*block))
+                    if at[1:3] != at[3:]:
+                        continue
+                rows = [x for other in held for x in block_links(block, other, percent)]
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "shared", "united"])
 
@@ -362,6 +451,36 @@ def cluster_links(members: DataFrame, docs: DataFrame, classes: DataFrame, words
         return materialise(met.mapInArrow(compare, "a long, b long, shared long, united long"))
 
 
+#: A square of meetings: blocks of a size band meet those of the same or the next band.
+CELL = ["cluster", "band", "square", "band_b", "square_b"]
+
+
+def meetings(blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    """The blocks as rows of the squares they belong to (CELL, side), those of side 0 first; in a square of a run of
+    blocks with itself they come once."""
+    own = parts.select("cluster", "band", F.ceil(F.col("parts") / CELL_BLOCKS).cast("long").alias("squares"))
+    after, before = (own.select("cluster", (F.col("band") + step).alias("band"), F.col("squares").alias(name)) for step, name in ((-1, "after"), (1, "before")))
+    sides = materialise(own.join(after, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left"))
+    band, square = F.col("band"), F.floor(F.col("part") / CELL_BLOCKS).cast("long")
+
+    def row(side: int, *cell: Column) -> Column:
+        return F.struct(F.lit(side).alias("side"), *(c.cast("long").alias(n) for c, n in zip(cell, CELL[1:], strict=True)))
+
+    def upto(n: Column, make) -> Column:
+        """make(0), ..., make(n - 1); n may be null."""
+        return F.transform(F.filter(F.sequence(F.lit(-1).cast("long"), F.coalesce(n, F.lit(0)).cast("long") - 1), lambda k: k >= 0), make)
+
+    cells = F.concat(
+        upto(F.col("squares") - square, lambda k: row(0, band, square, band, square + k)),
+        upto(F.col("after"), lambda k: row(0, band, square, band + 1, k)),
+        upto(square, lambda k: row(1, band, k, band, square)),
+        upto(F.col("before"), lambda k: row(1, band - 1, k, band, square)),
+    )
+    dealt = blocks.join(_small(sides, sides.count()), ["cluster", "band"]).select("cluster", F.explode(cells).alias("cell"), "keys", "owners", "sizes", "tokens")
+    dealt = dealt.select("cluster", "cell.*", "keys", "owners", "sizes", "tokens")
+    return dealt.repartition(*CELL).sortWithinPartitions(*CELL, "side")
+
+
 def open_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Links that join every two groups with a linking pair: the likeliest pair first, then all pairs of the rest."""
     best = pairs.groupBy("low", "high").agg(F.max(F.struct("shared", "a", "b")).alias("top")).select("low", "high", "top.a", "top.b")
@@ -388,9 +507,10 @@ def _similar_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     groups = materialise(classes.join(roots.withColumnRenamed("v", "key"), "key", "left").select(F.col("rep").alias("doc_id"), "key", F.coalesce("root", "key").alias("owner"), "n"))
     size = groups.agg(F.count("*"), F.sum(prefix_length(F.col("n"), percent))).first()
     if size[0]:
-        sketch = sum_sketch(scanned.where("chunk is not null").select("chunk", "counts"))
+        sketch = sum_sketch(scanned.where("chunk >= 0").select("chunk", "counts"))
         buckets = max(64, -(-int(size[1]) // BUCKET_TOKENS))
-        shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of a fixed size
+        order = Order(sketch, *sampled_counts(scanned.where("chunk < 0").select("chunk", "counts")))
+        shared = docs.sparkSession.sparkContext.broadcast(order)  # of a bounded size
         with arrow_rows(docs.sparkSession, ARROW_ROWS):
             opened = open_groups(prefixes(docs, groups.drop("n"), size[0], shared, buckets, words, percent), shared)
         cold, members = split_hot(opened)

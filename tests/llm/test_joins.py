@@ -5,7 +5,7 @@ import json
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +89,42 @@ def block(first, sets, owners):
     return first + np.arange(len(sets)), np.array(owners), np.array([len(s) for s in sets]), np.concatenate(sets)
 
 
+def test_blocks_of_a_cluster_meet_once_and_are_copied_by_squares(spark):
+    counts = {3: 70, 4: 20, 6: 1}  # size band: blocks
+    blocks = [(1, band, part, *[b"%d,%d" % (band, part)] * 4) for band, n in counts.items() for part in range(n)]
+    blocks = spark.createDataFrame(blocks, "cluster long, band long, part long, keys binary, owners binary, sizes binary, tokens binary")
+    parts = spark.createDataFrame([(1, band, n) for band, n in counts.items()], "cluster long, band long, parts long")
+    squares, copies = defaultdict(lambda: ([], [])), Counter()
+    for r in ngram_join.meetings(blocks, parts).collect():
+        band, part = map(int, bytes(r["keys"]).split(b","))
+        squares[tuple(r[c] for c in ngram_join.CELL)][r["side"]].append((band, part))
+        copies[band, part] += 1
+    met = Counter()
+    for at, (held, streamed) in squares.items():
+        assert max(len(held), len(streamed)) <= ngram_join.CELL_BLOCKS
+        met.update(tuple(sorted((x, y))) for x in held for y in (held if at[1:3] == at[3:] else streamed) if at[1:3] != at[3:] or x <= y)
+    every = [(band, part) for band, n in counts.items() for part in range(n)]
+    assert met == Counter((x, y) for x in every for y in every if x <= y and y[0] - x[0] <= 1)
+    # pair by pair a block of band 3 would be copied 91 times
+    assert max(copies.values()) <= -(-70 // ngram_join.CELL_BLOCKS) + -(-20 // ngram_join.CELL_BLOCKS)
+
+
+def test_frequent_tokens_come_last_where_the_sketch_is_full(spark):
+    texts = [f"{' '.join(f'w{i}x{j}' for j in range(6))} one line that all of these texts hold" for i in range(400)]
+    scanned = ngram_join.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    tokens, counts = ngram_join.sampled_counts(scanned.where("chunk < 0").select("chunk", "counts"))
+    sets = shingles.shingle_sets(pa.array(texts))
+    chosen = [s for s in sets if shingles.set_key(s) % ngram_join.SAMPLED == 0]
+    found, n = np.unique(np.concatenate(chosen), return_counts=True)
+    assert tokens.tolist() == found[n > 1].tolist() and counts.tolist() == n[n > 1].tolist() and len(tokens)
+    # every cell counts alike, as in a very large table
+    order = ngram_join.Order(np.full(1 << ngram_join.SKETCH_BITS, 1_000_000, np.int32), tokens, counts)
+    for s in sets:
+        rank, spread = order.ranks(s)
+        first = s[np.argsort(rank, kind="stable")[: ngram_join.prefix_length(len(s))]]
+        assert not np.isin(first, tokens).any() and not spread.any()
+
+
 def test_block_links_join_what_brute_force_joins():
     rng = np.random.default_rng(11)
     origin = [np.unique(rng.integers(0, 1 << 60, 40).astype(np.uint64)) for _ in range(6)]
