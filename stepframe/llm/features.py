@@ -89,5 +89,5 @@ def word_counts(texts: list[str | None], bits: int, prefixes: tuple[int, ...] =
 
 
 def sparse_batch(names: list[str], columns: list[pa.Array], at: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-    lists = [pa.array([x.astype(np.int32) for x in v], pa.list_(pa.int32())) for v in (at, counts)]
+    lists = [pa.array([x.astype(">i4").tobytes() for x in v], pa.binary()) for v in (at, counts)]
     return pa.RecordBatch.from_arrays([*columns, *lists], names=[*names, "at", "counts"])

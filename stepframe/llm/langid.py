@@ -183,13 +183,13 @@ def train(docs: DataFrame, per_language: int = 800, most_rows: int = 4000, most_
     for r in own.select("text").mapInArrow(frequencies, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
         df[r["gram"]] = r["df"]
     model.idf = np.log((1 + total) / (1 + df)) + 1
-    rows = own.where(chosen).select("lang", share.alias("share"), "text").mapInArrow(sampled, "lang string, share long, at array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r["share"], r["lang"], r["at"], r["counts"]))
+    rows = own.where(chosen).select("lang", share.alias("share"), "text").mapInArrow(sampled, "lang string, share long, at binary, counts binary").collect()
+    rows.sort(key=lambda r: (r["share"], r["lang"], bytes(r["at"]), bytes(r["counts"])))
     taken, room = [], dict.fromkeys(model.languages, quota)
     for r in rows:
         if room[r["lang"]]:
             room[r["lang"]] -= 1
-            taken.append((np.array(r["at"], np.int64), np.array(r["counts"], np.float64), number[r["lang"]]))
+            taken.append((np.frombuffer(r["at"], ">i4").astype(np.int64), np.frombuffer(r["counts"], ">i4").astype(np.float64), number[r["lang"]]))
     return fit(model, taken)
 
 

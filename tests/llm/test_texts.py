@@ -355,3 +355,21 @@ def test_severity_at_the_cut_and_of_repeated_rows(spark):
     (same,) = {(r.severity, r.chance, r.toxic) for r in toxicity.score(docs.where("doc_id = 4").unionByName(docs.where("doc_id = 4")), model).collect()}
     model.cut = same[1]
     assert toxicity.score(docs.where("doc_id = 4"), model).first().toxic and toxicity.keep_clean(docs.where("doc_id = 4"), model).count() == 0
+
+
+def test_samples_reach_the_driver_as_packed_numbers(spark, monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(400)), "ab"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda model, rows: seen.extend(rows) or model)
+    tracemalloc.start()
+    langid.train(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    numbers = sum(len(at) + len(counts) for at, counts, _ in seen)
+    assert len(seen) > 350 and seen[0][0].dtype == np.int64 and seen[0][1].dtype == np.float64
+    # 4 bytes a number as they come and 8 as they are learned from; a list of Python integers takes 8 more, and 32 for most
+    assert most < 20 * numbers + (8 << 20), (most, numbers)
