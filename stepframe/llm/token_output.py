@@ -48,8 +48,8 @@ MAGIC, VERSION, WITH_NULLS, PLAIN = b"TIDC", 3, 4, 0x100
 HEAD = struct.Struct("<4sIQQII")
 SYMBOLS, STEP, MOST, RATE = 256, 24, 60_000, 6
 LEAD = 32
-#: Pieces of texts and runs of letters that a worker remembers, some 150 MB.
-PIECES, LETTERS = 600_000, 500_000
+#: Other pieces of texts and runs of letters that a worker remembers, and bytes of texts that it cuts at a time.
+PIECES, LETTERS, CUT_BYTES = 100_000, 1_000_000, 4 << 20
 
 
 def _logistic() -> tuple[list[int], list[int]]:
@@ -286,10 +286,12 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
             plain = plain_frame(np.ma.concatenate(doc), np.concatenate(lens), np.concatenate(ids))
             return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in (file_no, frame_no, sum(map(len, doc)), held)), pa.array([plain], pa.binary())], names=["file_no", "frame_no", "n_docs", "n_ids", "plain"])
 
-        for b in chunks(batches):
-            got, n = encoder.encode(b.column(1).to_pylist())
-            own = np.full(len(got) + len(n), end_id, np.uint32)
-            own[np.arange(len(got)) + np.repeat(np.arange(len(n)), n)] = got
+        for b in chunks(batches, limit=CUT_BYTES):
+            got, n = encoder.encode(b.column(1))
+            inner = np.ones(len(got) + len(n), bool)
+            inner[np.cumsum(n + 1) - 1] = False
+            own = np.full(len(inner), end_id, np.uint32)
+            own[inner] = got
             own_ids = b.column(0)
             doc.append(np.ma.array(own_ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64, mask=own_ids.is_null().to_numpy(zero_copy_only=False)))
             lens.append(n + 1)

@@ -4,12 +4,13 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stepframe.llm import bpe, packing, token_output
 from stepframe.llm.jvm import token_coder
-from stepframe.llm.words import PieceEncoder, default_vocabulary, library_encoder
+from stepframe.llm.words import LibraryEncoder, PieceEncoder, default_vocabulary, library_encoder
 
 TEXTS = ["", None, "Hello  World's 123 <|endoftext|>x<|startoftext|> don't\tfoo\x1cbar aaaa aaaaa", "ΑΣ ΣΑΣ İstanbul ﬁ é 日本語 😀👍🏽 ½²٣ \x00y", "the of and " * 3000, "same", "same", "foo., bar! (x) a'b é ́z"]
 
@@ -40,6 +41,35 @@ def test_piece_encoders_equal_whole_texts(library):
     assert [model.decode(i) for i in ids] == [library.decode(i, skip_special_tokens=False) for i in ids]
 
 
+def test_library_encoder_looks_up_distinct_runs_only(library):
+    """Arrow arrays go in as they are; a run of letters is looked up once a call, not once for each place, case or tail."""
+    texts = [None, "The the, the.\ntHe  x é, é. É" * 2000, "", "the"]
+    encoder, looked = LibraryEncoder(default_vocabulary()), []
+
+    class Counting(type(encoder.letters.codes)):
+        def get(self, piece, default=None):
+            looked.append(piece)
+            return super().get(piece, default)
+
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    encoder.letters.codes = Counting()
+    for kind in (pa.string(), pa.large_string()):
+        looked.clear()
+        flat, lens = encoder.encode(pa.array(["cut off", *texts, "cut off"], kind).slice(1, len(texts)))
+        assert [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert sorted(looked) == sorted({"the", "x", "é", "É", "ÉThe"})
+
+
+def test_letters_that_normalise_to_marks_join_their_tails(library):
+    texts = ["İ.", "aİ, x", "\u0958. \ufb2e!", "İstanbul. \u0929."]
+    texts += ["".join(r) for r in np.random.default_rng(4).choice(list("aZéÉİΣσǅ̧́ \n\t\x1c.,;!#'stl01_<|>日각ﬁ½Ⅷ\x00\u0958"), (500, 40))]
+    flat, lens = LibraryEncoder(default_vocabulary()).encode(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(lens)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_bpe_digests(docs, library):
     got = {r.doc_id: r for r in bpe.bpe_digests(docs).collect()}
     for k, ids in enumerate(want(library)):
