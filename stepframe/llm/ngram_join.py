@@ -15,6 +15,9 @@
    parts, lie in blocks with unions of all their tokens, and blocks of like sizes meet: each query set's overlap with every group's union is
    counted, and only qualifying groups that no link joins yet are opened. Blocks are sent to squares of CELL_BLOCKS by CELL_BLOCKS
    meetings, so a block is copied once for so many others, not once for each.
+   Before that, where the clusters hold many tokens, step 3 is done again for their sets alone, in an order that has the
+   tokens just found frequent, with their exact counts, behind the others: any order that all sets of a round share is
+   right, and every pair that shares a frequent token is a pair of the next round. Most sets leave the clusters so.
 5. Pairs of opened groups are verified on the whole texts; all links together give the components.
 
 Defined results: a null, empty or blank text has no shingle and links with nothing (its component is itself); rows
@@ -33,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepframe.llm.arrow_text import chunks
+from stepframe.llm.arrow_text import chunks, ranges
 from stepframe.llm.components import components
 from stepframe.llm.shingles import common, mix, set_key, shingle_sets
 from stepframe.shared import arrow_rows, kept, materialise
@@ -45,8 +48,13 @@ SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 SAMPLED, SAMPLE_PARTS, LISTED = 16, 64, 1 << 14
 #: Sampled tokens that a scanning task holds.
 HELD_TOKENS = 1 << 20
-#: A lookup table of at most this many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: A lookup table of at most this many rows is broadcast in the JVM, one of at most LOOKUP_ROWS as sorted arrays (16 bytes a row) for Python workers;
+#: a larger one is joined by shuffle, which writes all texts once more.
+BROADCAST_ROWS, LOOKUP_ROWS = 500_000, 1 << 22
+#: Keys that a task remembers, so as to send a class once.
+SEEN_KEYS = 1 << 16
+#: Sets of clusters with more tokens than this go through the matrix again in a better order, so many times at most, as long as half of them leave; tokens then listed.
+ROUND_TOKENS, ROUNDS, FOUND_TOKENS = 1_000_000, 4, 1 << 20
 BUCKET_TOKENS = 250_000
 #: The rows of a token that is in more sets than this are dealt by set, not by token.
 SPREAD_SETS = 10_000
@@ -81,6 +89,47 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _arrays(table: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Long columns without nulls as arrays, in ascending order of the first."""
+    found = table.select(*columns).toArrow()
+    arrays = [np.concatenate([x.to_numpy() for x in c.chunks]) if c.num_chunks else np.zeros(0, np.int64) for c in found.columns]
+    by = np.argsort(arrays[0], kind="stable")
+    return [a[by] for a in arrays]
+
+
+def keyed_texts(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """(key, text) of the rows of docs (doc_id, text) for each of the `rows` rows of wanted (doc_id, key) with their doc_id."""
+    if rows <= BROADCAST_ROWS or rows > LOOKUP_ROWS:
+        return docs.join(_small(wanted, rows), "doc_id").select("key", "text")
+    held = docs.sparkSession.sparkContext.broadcast(_arrays(wanted, "doc_id", "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys = held.value
+        for b in batches:
+            own = b.column(0).fill_null(0).to_numpy()
+            first = np.searchsorted(ids, own)
+            n = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(ids, own, side="right") - first)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[np.repeat(first, n) + ranges(n)]), b.column(1).take(pa.array(np.repeat(np.arange(len(n)), n)))], names=["key", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, text string")
+
+
+def without(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """docs without the rows whose doc_id is one of the `rows` ids; nulls stay."""
+    if rows <= BROADCAST_ROWS or rows > LOOKUP_ROWS or docs.schema["doc_id"].dataType.typeName() != "long":
+        return docs.join(_small(ids, rows), "doc_id", "left_anti").select(docs.columns)
+    held, at = docs.sparkSession.sparkContext.broadcast(_arrays(ids, "doc_id")[0]), docs.columns.index("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(at)
+            gone = np.isin(own.fill_null(0).to_numpy(), held.value) & own.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(~gone))
+
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return materialise(docs.mapInArrow(run, docs.schema))
+
+
 def scan(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row per document (doc_id, n, key, bands), the partial sketches (chunk, counts) and the sampled tokens (-1 - part, tokens)."""
 
@@ -181,6 +230,13 @@ class Order:
         seen = self.sampled(tokens)
         return self.sketch[self._cells(tokens)] + (seen << 32), seen * SAMPLED > SPREAD_SETS
 
+    def behind(self, tokens: np.ndarray, prefixes: np.ndarray) -> Order:
+        """The order with these tokens, which so many prefixes hold, among the listed ones: about a fifth of a set is its prefix."""
+        tokens, counts = np.concatenate([self.tokens, tokens]), np.concatenate([self.counts, np.minimum(1 + prefixes * 5 // SAMPLED, 0x7FFFFFFF).astype(np.int32)])
+        by = np.lexsort((counts, tokens))
+        last = np.append(tokens[by][1:] != tokens[by][:-1], True)
+        return Order(self.sketch, tokens[by][last], counts[by][last])
+
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Of pairs (a, b) of class keys, those that link: (a, b, shared, united), from the whole texts.
@@ -188,7 +244,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int = W
     The text of `a` goes once to every LED_PAIRS of its pairs, which stream past it.
     """
     wanted = materialise(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", F.col("rep").alias("doc_id")))
-    texts = materialise(docs.join(_small(wanted, wanted.count()), "doc_id").select("key", "text"))
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        texts = materialise(keyed_texts(docs, wanted, wanted.count()))
     leads = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / LED_PAIRS).alias("parts")))
     led = pairs.join(leads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("long").alias("part"), "b").join(texts.withColumnRenamed("key", "b"), "b")
     lead = leads.join(texts.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
@@ -227,21 +284,34 @@ def star_pairs(reps: DataFrame) -> DataFrame:
     return materialise(keyed.join(leaders, ["band", "value"]).where("a <> key").select("a", F.col("key").alias("b")).distinct())
 
 
-def prefixes(docs: DataFrame, groups: DataFrame, n_groups: int, shared: Broadcast, buckets: int, words: int, percent: int) -> DataFrame:
-    """(bucket, tokens, keys, owners, sizes): packed rows of the token-group matrix, dealt by token hash, and by class too where a token is frequent."""
+def prefixes(texts: DataFrame, owners: Broadcast, shared: Broadcast, buckets: int, words: int, percent: int) -> DataFrame:
+    """(bucket, tokens, keys, owners, sizes): packed rows of the token-group matrix, dealt by token hash, and by class too where a token is frequent.
+
+    texts: (key, owner, text). Without a key every text counts; a class without an owner has that of the lookup `owners`
+    (keys, owners), or is a group alone. A class may come several times, at most once in SEEN_KEYS keys of a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        known, own = owners.value
         for b in chunks(batches, limit=SCAN_BYTES):
             first, far, rows = [], [], []
             sets = shingle_sets(b.column(2), words)
             ranks, spreads = (np.split(x, np.cumsum([len(s) for s in sets])[:-1]) for x in shared.value.ranks(np.concatenate(sets)))
             for s, rank, spread, key, owner in zip(sets, ranks, spreads, b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                # one row for each class: that of its representative (a repeated doc_id may bring other texts along)
-                if len(s) and set_key(s) == key:
+                # a repeated doc_id may bring other texts along
+                found = set_key(s) if len(s) else None
+                if found is not None and found not in seen and (key is None or found == key):
+                    if len(seen) >= SEEN_KEYS:
+                        seen.clear()
+                    seen.add(found)
                     prefix = np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]
                     first.append(s[prefix])
                     far.append(spread[prefix])
-                    rows.append((key, owner, len(s)))
+                    if owner is None:
+                        at = int(np.searchsorted(known, found))
+                        owner = int(own[at]) if at < len(known) and known[at] == found else found
+                    rows.append((found, owner, len(s)))
             if not rows:
                 continue
             lens = np.array([len(x) for x in first])
@@ -255,8 +325,7 @@ def prefixes(docs: DataFrame, groups: DataFrame, n_groups: int, shared: Broadcas
             packed = [pa.array([v[p].tobytes() for p in spans], pa.binary()) for v in (flat, key, owner, size.astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]], pa.int64()), *packed], names=["bucket", "tokens", "keys", "owners", "sizes"])
 
-    own = docs.join(_small(groups, n_groups), "doc_id").select("key", "owner", "text")
-    return own.mapInArrow(run, "bucket long, tokens binary, keys binary, owners binary, sizes binary")
+    return texts.select("key", "owner", "text").mapInArrow(run, "bucket long, tokens binary, keys binary, owners binary, sizes binary")
 
 
 def open_groups(matrix: DataFrame, shared: Broadcast) -> DataFrame:
@@ -266,7 +335,8 @@ def open_groups(matrix: DataFrame, shared: Broadcast) -> DataFrame:
         token, key, owner = (np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("tokens", "keys", "owners"))
         size = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]]).astype(np.int64)
         owner = owner ^ key
-        order = np.argsort(token, kind="stable")
+        order = np.lexsort((key, token))
+        order = order[np.append(True, (token[order][1:] != token[order][:-1]) | (key[order][1:] != key[order][:-1]))]
         token, key, owner, size = token[order], key[order], owner[order], size[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
@@ -311,17 +381,21 @@ def matrix_pairs(opened: DataFrame, percent: int) -> DataFrame:
     return materialise(pairs.where(asked).select("a", "b", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"), "shared"))
 
 
-def split_hot(opened: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The matrix rows of ordinary tokens, and (key, owner, n, cluster) of the classes that frequent ones connect.
+def split_hot(opened: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The matrix rows of ordinary tokens, (key, owner, n, lead) of the classes that hold frequent ones, and the rows of these.
 
     Two classes that share a frequent token are in one cluster, so pairs of ordinary tokens need only count those.
     """
-    frequent = materialise(opened.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > HOT_CLASSES).drop("m"))
+    frequent = materialise(opened.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > HOT_CLASSES))
     hot = materialise(opened.join(frequent, "token"))
-    cold = opened.join(frequent, "token", "left_anti")
-    lead = materialise(hot.groupBy("key").agg(F.min("token").alias("lead"), F.first("owner").alias("owner"), F.first("n").alias("n")))
-    roots = components(hot.select("key", "token").join(lead.select("key", "lead"), "key").select(F.col("lead").alias("a"), F.col("token").alias("b")).distinct())
-    return cold, materialise(lead.join(roots.withColumnsRenamed({"v": "lead"}), "lead", "left").select("key", "owner", "n", F.coalesce("root", "lead").alias("cluster")))
+    cold = opened.join(frequent.select("token"), "token", "left_anti")
+    return cold, materialise(hot.groupBy("key").agg(F.min("token").alias("lead"), F.first("owner").alias("owner"), F.first("n").alias("n"))), hot
+
+
+def clustered(members: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, owner, n, cluster) of the classes that frequent tokens connect."""
+    roots = components(hot.select("key", "token").join(members.select("key", "lead"), "key").select(F.col("lead").alias("a"), F.col("token").alias("b")).distinct())
+    return materialise(members.join(roots.withColumnsRenamed({"v": "lead"}), "lead", "left").select("key", "owner", "n", F.coalesce("root", "lead").alias("cluster")))
 
 
 def _overlaps(rows: np.ndarray, tokens: np.ndarray, n_rows: int, union_tokens: np.ndarray, union_groups: np.ndarray, n_groups: int) -> np.ndarray:
@@ -412,7 +486,10 @@ def cluster_links(members: DataFrame, docs: DataFrame, classes: DataFrame, words
     where = F.pmod(F.xxhash64("owner", F.pmod(F.xxhash64("key"), F.col("splits"))), F.col("parts")).cast("long")
     dealt = banded.join(parts, ["cluster", "band"]).join(splits, ["cluster", "band", "owner"]).withColumn("part", where)
     wanted = materialise(dealt.join(classes.select("key", "rep"), "key").select("key", F.col("rep").alias("doc_id"), "owner", "cluster", "band", "part"))
-    sets = docs.join(_small(wanted, wanted.count()), "doc_id").select("key", "owner", "cluster", "band", "part", "text")
+    rows = wanted.count()
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        texts = materialise(keyed_texts(docs, wanted.select("doc_id", "key"), rows))
+    sets = texts.join(_small(wanted.drop("doc_id"), rows), "key").select("key", "owner", "cluster", "band", "part", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, limit=SCAN_BYTES):
@@ -491,6 +568,40 @@ def open_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int
     return links if rest.isEmpty() else links.unionByName(verify(rest, docs, classes, words, percent))
 
 
+def matrix_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, order: Order, n_tokens: int, words: int, percent: int) -> DataFrame:
+    """Links (a, b, shared, united) that join all groups that link, in rounds: the last one's frequent tokens are left to the clusters."""
+    spark = docs.sparkSession
+    context = spark.sparkContext
+    grouped = roots.count()
+    if grouped <= LOOKUP_ROWS:
+        owners = context.broadcast(_arrays(roots, "v", "root"))
+        # all rows, as a task meets them: no lookup of the classes' representatives
+        texts = docs.where("doc_id is not null").select(F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("owner"), "text")
+    else:
+        owners = context.broadcast([np.zeros(0, np.int64)] * 2)
+        groups = classes.join(roots.withColumnRenamed("v", "key"), "key", "left").select(F.col("rep").alias("doc_id"), "key", F.coalesce("root", "key").alias("owner"))
+        texts = docs.join(groups, "doc_id").select("key", "owner", "text")
+    more, before = None, None
+    for k in range(ROUNDS + 1):
+        shared = context.broadcast(order)  # of a bounded size
+        with arrow_rows(spark, ARROW_ROWS):
+            opened = open_groups(prefixes(texts, owners, shared, max(64, -(-n_tokens // BUCKET_TOKENS)), words, percent), shared)
+        cold, members, hot = split_hot(opened)
+        links = open_pairs(matrix_pairs(cold, percent), docs, classes, words, percent)
+        more = links if more is None else more.unionByName(links)
+        rows, tokens, n_tokens = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(prefix_length(F.col("n"), percent)), F.lit(0)).cast("long")).first()
+        if not rows:
+            return more
+        if k == ROUNDS or tokens <= ROUND_TOKENS or (before is not None and 2 * tokens > before):
+            return more.unionByName(cluster_links(clustered(members, hot), docs, classes, words, percent))
+        before = tokens
+        found = _arrays(hot.select("token", "m").distinct().orderBy(F.desc("m"), "token").limit(FOUND_TOKENS), "token", "m")
+        order = order.behind(found[0].view(np.uint64), found[1])
+        wanted = materialise(members.select("key", "owner").join(classes.select("key", F.col("rep").alias("doc_id")), "key"))
+        with arrow_rows(spark, ARROW_ROWS):
+            texts = materialise(keyed_texts(docs, wanted.select("doc_id", "key"), rows)).join(_small(wanted.select("key", "owner"), rows), "key")
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links lead to, its own included)."""
     return kept(lambda: _similar_groups(docs, words, percent), docs.sparkSession)
@@ -504,19 +615,11 @@ def _similar_groups(docs: DataFrame, words: int, percent: int) -> DataFrame:
     classes = materialise(info.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).where("rep is not null"))
     links = verify(star_pairs(classes), docs, classes, words, percent)
     roots = components(links)
-    groups = materialise(classes.join(roots.withColumnRenamed("v", "key"), "key", "left").select(F.col("rep").alias("doc_id"), "key", F.coalesce("root", "key").alias("owner"), "n"))
-    size = groups.agg(F.count("*"), F.sum(prefix_length(F.col("n"), percent))).first()
+    size = classes.agg(F.count("*"), F.sum(prefix_length(F.col("n"), percent))).first()
     if size[0]:
         sketch = sum_sketch(scanned.where("chunk >= 0").select("chunk", "counts"))
-        buckets = max(64, -(-int(size[1]) // BUCKET_TOKENS))
         order = Order(sketch, *sampled_counts(scanned.where("chunk < 0").select("chunk", "counts")))
-        shared = docs.sparkSession.sparkContext.broadcast(order)  # of a bounded size
-        with arrow_rows(docs.sparkSession, ARROW_ROWS):
-            opened = open_groups(prefixes(docs, groups.drop("n"), size[0], shared, buckets, words, percent), shared)
-        cold, members = split_hot(opened)
-        more = open_pairs(matrix_pairs(cold, percent), docs, classes, words, percent)
-        if not members.isEmpty():
-            more = more.unionByName(cluster_links(members, docs, classes, words, percent))
+        more = matrix_links(docs, classes, roots, order, int(size[1]), words, percent)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
     home = materialise(info.join(roots.withColumnRenamed("v", "key"), "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("home")))
@@ -533,7 +636,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     found = similar_groups(docs, words, percent)
     ids = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("rows")))
     gone, repeated = ids.where("gone").select("doc_id"), ids.where("not gone and rows > 1").select("doc_id")
-    kept = docs.join(_small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    kept = without(docs, gone, gone.count())
     n = repeated.count()
     if not n:
         return kept

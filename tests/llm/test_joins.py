@@ -190,6 +190,44 @@ def test_group_bound_loses_no_pair(spark):
     assert len(want) > 5 and want <= {(min(r.a, r.b), max(r.a, r.b)) for r in got}
 
 
+def test_large_lookups_do_not_shuffle_the_texts(spark, monkeypatch):
+    docs = near_corpus(11) + [(10_000, None), (10_001, ""), (10_002, "one two three")]
+    df = spark.createDataFrame([*docs, (None, docs[0][1])], "doc_id long, text string")
+    want = brute_components(docs)
+    small = ngram_join._small
+
+    def looked_up(table, rows):
+        assert rows <= ngram_join.BROADCAST_ROWS or "doc_id" not in table.columns, "all texts go through a shuffle"
+        return small(table, rows)
+
+    monkeypatch.setattr(ngram_join, "_small", looked_up)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    got = sorted(tuple(r) for r in ngram_join.similar_groups(df).collect() if r.doc_id is not None)
+    assert got == want
+    kept = {r.doc_id for r in ngram_join.one_of_each(df).collect()}
+    assert kept == {d for d, _, c in want if d == c} | {None}
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_frequent_tokens_go_through_the_matrix_again(spark, monkeypatch, rounds):
+    # one passage in many texts, which is frequent though the sketch puts all tokens alike
+    rng = random.Random(3)
+    word = lambda: "w" + str(rng.randint(0, 5000))
+    passage = [word() for _ in range(8)]
+    docs = [(k, " ".join(word() for _ in range(10)) + " " + " ".join(passage) + " " + " ".join(word() for _ in range(4))) for k in range(120)]
+    docs += [(1000 + k, docs[k][1] + " more") for k in range(0, 40, 3)]
+    held = []
+    links, zeros = ngram_join.cluster_links, np.zeros
+    monkeypatch.setattr(ngram_join, "cluster_links", lambda members, *a: held.append(members.count()) or links(members, *a))
+    monkeypatch.setattr(ngram_join, "sum_sketch", lambda partial: zeros(1 << ngram_join.SKETCH_BITS, np.int32))
+    monkeypatch.setattr(ngram_join, "sampled_counts", lambda partial: (zeros(0, np.uint64), zeros(0, np.int32)))
+    monkeypatch.setattr(ngram_join, "ROUND_TOKENS", 0)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    got = sorted(tuple(r) for r in ngram_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == brute_components(docs)
+    assert (sum(held) > 20) == (rounds == 0)
+
+
 def test_repeated_ids_keep_one_of_each_group(spark):
     a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "x y z")
     df = spark.createDataFrame([(1, a), (1, a), (2, b), (3, b), (3, c), (4, a), (None, a)], "doc_id long, text string")
