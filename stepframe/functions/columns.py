@@ -217,7 +217,11 @@ def _scan(s: Typed, n: Typed, delims: str = " ") -> Typed:
 
 
 def _stripped(t: Typed) -> Column:
-    return F.trim(char(t))
+    """A text without blanks around it; a whole number plainly, without an exponent."""
+    if t.kind == "char":
+        return F.trim(t.col)
+    whole = (t.col == F.floor(t.col)) & (F.abs(t.col) < 1e15)
+    return F.when(whole, t.col.cast("long").cast("string")).otherwise(to_text(t.col))
 
 
 def _of_date(f: Callable[[Column], Column]) -> Callable[..., Typed]:

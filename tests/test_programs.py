@@ -4,7 +4,9 @@ import datetime as dt
 
 import pytest
 
+from stepframe.functions import scalar
 from stepframe.lang.parser import ParseError
+from stepframe.plans import catalogue, catalogue_more  # noqa: F401
 
 EPOCH = dt.date(1960, 1, 1)
 
@@ -420,3 +422,20 @@ def test_symbolic_equals_interpreter(session):
         got = (session.table("o").names, session.table("o").rows())
         run_step(step, session.library, force_interpreter=True)
         assert got == (session.table("o").names, session.table("o").rows()), body
+
+
+def test_large_whole_numbers_join_texts_plainly(check):
+    check("data a; k = 1180001; run; data t; set a; x = cats(k, 'B'); y = catx('-', k * 1000, k + 0.5, -k, .); drop k; run;", t=("x y", [("1180001B", "1180001000-1.1800015e+06--1180001-.")]))
+    assert scalar.FUNCTIONS["cats"](1180001.0, "B") == "1180001B" and scalar.FUNCTIONS["catx"]("-", 1e9, -2e6, 1e20) == "1000000000--2000000-1e+20"
+
+
+def test_percent_ties_are_those_of_the_percentage(check):
+    check("data a; p = 99500; output; p = 76500; output; p = 20500; output; run; data t; set a; h = put(p / 1000000, percent8.1); keep h; run;", t=("h", [("9.9%",), ("7.7%",), ("2.0%",)]))
+
+
+def test_codes_of_more_digits_than_the_picture(session, tmp_path):
+    rows = [(7, 1.5, "1-URGENT"), (123456, 2.5, "5-LOW"), (8850017, 3.5, "5-LOW"), (12345678901, 4.5, "5-LOW")]
+    session.spark.createDataFrame([(k, p, dt.datetime(2000, 1, 1), w) for k, p, w in rows], "o_orderkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.QUERIES["q60_user_formats_and_pictures"](session.spark, str(tmp_path)).orderBy("o_orderkey").collect()
+    assert [r.f for r in got] == ["00000-7", "12345-6", "88500-7", "12345-1"]
+
