@@ -7,11 +7,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepframe.frame import ORD, Table, Var, renamed
 from stepframe.plans import ordered
 
 
+#: Rows of a source that a merge looks up, where they repeat no key.
+LOOKED_UP = 10_000
+
+
 def by_columns(table: Table, keys: list[tuple[str, bool]]) -> list[Column]:
     """Sort expressions: missing first ascending, last descending; rows that tie stay in order."""
     out = []
@@ -132,6 +137,10 @@ def merge(tables: list[Table], keys: list[str], flags: list[str | None]) -> Tabl
     own = [F.struct(F.lit(True).alias("__here"), *(F.col(f"`{v.name}`").alias(v.name.lower()) for v in t.vars if v.name.lower() in owners)) for t in tables]
     if not by:
         return _merged(_side_by_side(tables, own), vars_, by, owners)
+    if len(tables) == 2 and all(t.var(b.name).kind == b.kind for t in tables for b in by):
+        for small in (1, 0):
+            if (rows := _looked_up(tables, by, own, small)) is not None:
+                return _merged(rows, vars_, by, owners)
     sides = []
     for k, t in enumerate(tables):
         cols = [F.col(f"`{t.var(b.name).name}`").alias(x) for x, b in zip(on, by, strict=True)]
@@ -144,6 +153,28 @@ def merge(tables: list[Table], keys: list[str], flags: list[str | None]) -> Tabl
     return _merged(paired, vars_, by, owners)
 
 
+def _looked_up(tables: list[Table], by: list[Var], own: list[Column], small: int) -> DataFrame | None:
+    """The paired rows of two sources of which one is small and repeats no key, else None: the other's rows stay where they are, so a key with many of them is not one task's."""
+    on, large = [f"__k{i}" for i in range(len(by))], 1 - small
+    keyed = [t.df.select(*(F.col(f"`{t.var(b.name).name}`").alias(x) for x, b in zip(on, by, strict=True)), own[k].alias(f"__s{k}"), F.col(ORD).alias("__rn")) for k, t in enumerate(tables)]
+    spark = tables[0].df.sparkSession
+    held = keyed[small].drop("__rn").limit(LOOKED_UP + 1).collect()
+    if len(held) > LOOKED_UP or len({tuple(r)[: len(on)] for r in held}) < len(held) or any(x != x for r in held for x in r[: len(on)]):
+        return None
+    few = F.broadcast(spark.createDataFrame(held, keyed[small].drop("__rn").schema))
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in on))
+    rows = keyed[large]
+    # the first row of each key that the small source has: there it contributes afresh
+    heads = rows.join(few.select(*on), same(rows, few), "left_semi").groupBy(*on).agg(F.min("__rn").alias("__head")).collect()
+    starts = F.broadcast(spark.createDataFrame(heads, T.StructType([*(rows.schema[c] for c in on), T.StructField("__head", rows.schema["__rn"].dataType)])))
+    met = few.join(starts, same(few, starts), "left").select(*(few[c] for c in on), f"__s{small}", "__head")
+    met = F.broadcast(met)
+    both = rows.join(met, same(rows, met), "left").select(*(rows[c] for c in on), "__rn", f"__s{large}", f"__s{small}", F.lit(1.0).alias(f"__in_{large}"), F.coalesce((F.col("__rn") == F.col("__head")).cast("double"), F.lit(0.0)).alias(f"__in_{small}"))
+    nothing = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    alone = met.where("__head is null").select(*on, nothing("__rn"), nothing(f"__s{large}"), f"__s{small}", F.lit(0.0).alias(f"__in_{large}"), F.lit(1.0).alias(f"__in_{small}"))
+    return both.unionByName(alone)
+
+
 def _side_by_side(tables: list[Table], own: list[Column]) -> DataFrame:
     """Rows paired by number: `__rn`, and for each source `__s<k>` (its row, or its last) and `__in_<k>`."""
     out = None
