@@ -37,6 +37,11 @@ def to_number(s: Column) -> Column:
 
 def to_text(x: Column) -> Column:
     """A number as its shortest text, '.' when missing (exponent below 1e-4 and from 1e6 on)."""
+    short = (x == F.floor(x)) & (F.abs(x) < 1e6)
+    return F.when(short, x.cast("long").cast("string")).otherwise(_shortest(x))
+
+
+def _shortest(x: Column) -> Column:
     s = F.abs(x).cast("string")
     pattern = r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$"
     whole, part = F.regexp_extract(s, pattern, 1), F.regexp_extract(s, pattern, 2)

@@ -8,6 +8,8 @@ import struct
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -18,7 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from stepframe.frame import ORD, Table, Var
 from stepframe.functions.columns import to_number, to_text
 from stepframe.functions.texts import general
-from stepframe.sources.lines import dsd_line
+from stepframe.shared import materialise
+from stepframe.sources.lines import dsd_line, dsd_text, write_ordered
 
 
 def sniffed(df: DataFrame, names: list[str]) -> Table:
@@ -62,18 +65,17 @@ def import_delimited(spark: SparkSession, path: str, delimiter: str = ",", getna
 
 
 def export_delimited(table: Table, path: str, delimiter: str = ",", putnames: bool = True) -> None:
-    """Rows in order into one local file, streamed; missing is empty, numbers have their shortest text."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    """Rows in order into one local file; missing is empty, numbers have their shortest text."""
     cols = [F.when(F.col(f"`{v.name}`").isNull(), "").otherwise(to_text(F.col(f"`{v.name}`"))) if v.kind == "num" else F.col(f"`{v.name}`") for v in table.vars]
-    with open(path, "w", encoding="utf-8") as f:
-        if putnames:
-            f.write(dsd_line(table.names, delimiter) + "\n")
-        for r in table.df.orderBy(ORD).select(*cols).toLocalIterator():
-            f.write(dsd_line([*r], delimiter) + "\n")
+    rows = table.df if table.in_place else table.df.orderBy(ORD)
+    rows = rows.select(*(c.alias(f"c{k}") for k, c in enumerate(cols)))
+    write_ordered(rows.select(dsd_text([F.col(c) for c in rows.columns], delimiter).alias("value")), path, dsd_line(table.names, delimiter) if putnames else None)
 
 
 # --- spreadsheets
 
+#: Rows of a sheet that the driver holds at a time.
+SHEET_ROWS = 50_000
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -92,16 +94,21 @@ def column_letters(k: int) -> str:
     return out
 
 
-def read_sheet(path: str) -> list[list[str]]:
-    """The first worksheet as texts."""
+def read_sheet(path: str) -> Iterator[list[str]]:
+    """The rows of the first worksheet as texts, as they are read."""
     with zipfile.ZipFile(path) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")]
         sheet = "xl/worksheets/sheet1.xml" if "xl/worksheets/sheet1.xml" in names else min(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))
-        rows = []
-        for row in ElementTree.fromstring(z.read(sheet)).iter(f"{MAIN}row"):
+        data = None
+        for event, row in ElementTree.iterparse(z.open(sheet), ("start", "end")):
+            if event == "start":
+                data = row if row.tag == f"{MAIN}sheetData" else data
+                continue
+            if row.tag != f"{MAIN}row":
+                continue
             cells: list[str] = []
             for c in row.iter(f"{MAIN}c"):
                 at = column_number(c.get("r")) if c.get("r") else len(cells)
@@ -110,19 +117,35 @@ def read_sheet(path: str) -> list[list[str]]:
                 text = "".join(t.text or "" for t in c.iter(f"{MAIN}t")) if kind == "inlineStr" else "" if v is None else shared[int(v.text)] if kind == "s" else v.text or ""
                 cells += [""] * (at + 1 - len(cells))
                 cells[at] = text
-            rows.append(cells)
-    return rows
+            yield cells
+            if data is not None:
+                data.clear()
 
 
 def import_sheet(spark: SparkSession, path: str, getnames: bool = True, datarow: int | None = None) -> Table:
-    """A worksheet as a table; a sheet has at most some million rows, so it is read on the driver."""
-    rows = read_sheet(path)
-    width = max(map(len, rows), default=0)
-    rows = [r + [""] * (width - len(r)) for r in rows]
-    names = variable_names(rows[0]) if getnames and rows else [f"VAR{k + 1}" for k in range(width)]
-    body = rows[(datarow - 1 if datarow else 1 if getnames else 0) :]
-    schema = ", ".join(f"c{k} string" for k in range(width)) + f", {ORD} long"
-    return sniffed(spark.createDataFrame([(*r, k) for k, r in enumerate(body)], schema), names)
+    """A worksheet as a table: the driver reads it and holds SHEET_ROWS rows at a time, which are written to the shared folder."""
+    start = datarow - 1 if datarow else 1 if getnames else 0
+    schema = f"cells array<string>, {ORD} long"
+    first, width, parts, held = [], 0, [], []
+
+    def flush() -> None:
+        parts.append(materialise(spark.createDataFrame(held, schema).coalesce(1)))
+        held.clear()
+
+    for k, cells in enumerate(read_sheet(path)):
+        width = max(width, len(cells))
+        if k == 0:
+            first = cells
+        if k >= start:
+            held.append((cells, k - start))
+            if len(held) == SHEET_ROWS:
+                flush()
+    if held or not parts:
+        flush()
+    first = first + [""] * (width - len(first))
+    names = variable_names(first) if getnames and first else [f"VAR{k + 1}" for k in range(width)]
+    cells = [F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(f"c{k}") for k in range(width)]
+    return sniffed(reduce(DataFrame.unionAll, parts).select(*cells, ORD), names)
 
 
 def export_sheet(table: Table, path: str, putnames: bool = True) -> None:
@@ -134,8 +157,7 @@ def export_sheet(table: Table, path: str, putnames: bool = True) -> None:
             return f'<c r="{ref}"><v>{general(v)}</v></c>'
         return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
 
-    rows = [table.names] * putnames + [list(r) for r in table.df.orderBy(ORD).select(*(f"`{n}`" for n in table.names)).toLocalIterator()]
-    body = "".join(f'<row r="{n}">{"".join(cell(k, n, v) for k, v in enumerate(r))}</row>' for n, r in enumerate(rows, 1))
+    rows = chain([table.names] * putnames, table.df.orderBy(ORD).select(*(f"`{n}`" for n in table.names)).toLocalIterator())
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     pack = "http://schemas.openxmlformats.org/package/2006"
@@ -146,7 +168,11 @@ def export_sheet(table: Table, path: str, putnames: bool = True) -> None:
         z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{pack}/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'{head}<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{pack}/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f"{head}<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as f:
+            f.write(f"{head}<worksheet {ns}><sheetData>".encode())
+            for n, r in enumerate(rows, 1):
+                f.write(f'<row r="{n}">{"".join(cell(k, n, v) for k, v in enumerate(r))}</row>'.encode())
+            f.write(b"</sheetData></worksheet>")
 
 
 # --- native binary datasets

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepframe.frame import ORD
+from stepframe.shared import materialise, scratch, shared_dir
 
 
 def fields(line: str, dlm: Any = None, dsd: bool = False) -> list[str]:
@@ -37,6 +39,12 @@ def fields(line: str, dlm: Any = None, dsd: bool = False) -> list[str]:
     return [*out, "".join(buf)]
 
 
+def dsd_text(values: list[Column], dlm: str = ",") -> Column:
+    """dsd_line() as a Column."""
+    cell = lambda v: F.when(v.contains(dlm) | v.contains('"') | v.contains("\n"), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+    return F.concat_ws(dlm, *map(cell, values))
+
+
 def dsd_line(values: list[str], dlm: str = ",") -> str:
     return dlm.join('"' + v.replace('"', '""') + '"' if dlm in v or '"' in v or "\n" in v else v for v in values)
 
@@ -78,8 +86,34 @@ def inline_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, mod: bool = False) -> None:
-    """The `value` column in order into one local file, streamed partition by partition. mod appends."""
+    """The `value` column in order into one local file. mod appends."""
+    with scratch(lines.sparkSession):
+        # written first: the sort by range reads its input twice
+        write_ordered(materialise(lines).orderBy(ORD).select("value"), path, mod=mod)
+
+
+def write_ordered(lines: DataFrame, path: str, header: str | None = None, mod: bool = False) -> None:
+    """The one text column of rows that lie in order: tasks write parts side by side in the shared folder, which are joined to one local file as bytes."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "a" if mod else "w", encoding="utf-8") as f:
-        for r in lines.orderBy(ORD).select("value").toLocalIterator():
-            f.write(r["value"] + "\n")
+    spark = lines.sparkSession
+    parts = f"{shared_dir(spark)}/stepframe-{uuid.uuid4().hex}"
+    java, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = java.org.apache.hadoop.fs.Path(parts)
+    files = folder.getFileSystem(conf)
+    try:
+        lines.write.option("compression", "none").text(parts)
+        names = sorted(str(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+        with open(path, "a" if mod else "w", encoding="utf-8") as f:
+            f.write(header + "\n" if header is not None else "")
+        out = java.java.io.FileOutputStream(os.path.abspath(path), True)
+        try:
+            for name in names:
+                part = files.open(java.org.apache.hadoop.fs.Path(folder, name))
+                try:
+                    java.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+                finally:
+                    part.close()
+        finally:
+            out.close()
+    finally:
+        files.delete(folder, True)

@@ -260,3 +260,42 @@ def test_large_formats_equal_small_ones(spark):
         df = spark.createDataFrame([(v,) for v in values], "v double" if kind == "num" else "v string").coalesce(1)
         got = [r[0] for r in df.select(C.user_label(C.Typed(F.col("v"), kind), fmt, F.lit("none"))).collect()]
         assert got == [fmt.show(v) if fmt.show(v) is not None else "none" for v in values]
+
+
+def test_merge_with_a_small_source_pairs_as_in_one_shuffle(spark, monkeypatch):
+    from stepframe.operators import tables as ops
+
+    a = spark.createDataFrame([(float(k % 4) if k % 4 != 3 else None, "x", float(k), k) for k in range(40)], "k double, v string, n double, o long")
+    b = spark.createDataFrame([(0.0, "zero", 5.0), (None, "none", 6.0), (9.0, "nine", 7.0)], "k double, v string, w double")
+    a, b = from_dataframe(a, F.col("o")), from_dataframe(b)
+    for pair in ((a, b), (b, a)):
+        found = []
+        for limit in (10_000, -1):
+            monkeypatch.setattr(ops, "LOOKED_UP", limit)
+            t = ops.merge(list(pair), ["k"], [None, None])
+            found.append(t.df.orderBy("__ord").drop("__ord", "o").collect())
+            plan = t.df._jdf.queryExecution().executedPlan().toString()
+            assert ("Window" in plan) == (limit < 0)
+        assert found[0] == found[1] and len(found[0]) == 41
+
+
+def test_a_sheet_is_read_and_written_in_parts(session, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "SHEET_ROWS", 3)
+    rows = [(float(k), "" if k % 4 == 1 else f"a<{k}>", None if k % 3 == 0 else k / 2) for k in range(11)]
+    t = from_dataframe(session.spark.createDataFrame(rows, "k double, s string, x double"))
+    files.export_sheet(t, f"{tmp_path}/a.xlsx")
+    assert not isinstance(files.read_sheet(f"{tmp_path}/a.xlsx"), list)
+    back = files.import_sheet(session.spark, f"{tmp_path}/a.xlsx")
+    assert back.names == ["k", "s", "x"] and back.rows() == rows
+    assert files.import_sheet(session.spark, f"{tmp_path}/a.xlsx", datarow=9).rows() == rows[7:]
+
+
+def test_files_are_written_by_tasks_in_order(session, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    rows = [(float(k), ["plain", 'a "b"', "c\td", "two\nlines", ""][k % 5], None if k % 7 == 0 else k * 1e5) for k in range(50)]
+    t = from_dataframe(session.spark.createDataFrame(rows, "k double, s string, x double").repartitionByRange(5, "k").sortWithinPartitions("k"))
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    files.export_delimited(t, f"{tmp_path}/a.txt", "\t")
+    want = [files.dsd_line(t.names, "\t")] + [files.dsd_line([texts.general(k), s, "" if x is None else texts.general(x)], "\t") for k, s, x in rows]
+    assert open(f"{tmp_path}/a.txt", encoding="utf-8").read() == "\n".join(want) + "\n"
